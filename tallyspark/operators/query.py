@@ -43,7 +43,7 @@ def date_range(df: DataFrame, start=None, end=None) -> DataFrame:
 def text_match(text: str) -> Column:
     """``description ILIKE %text% OR notes ILIKE %text%`` (``%``/``_`` are wildcards)."""
     pattern = safe_pattern(F.lit(f"%{text}%"))
-    return F.col("description").ilike(pattern) | F.col("notes").ilike(pattern)
+    return F.ilike(F.col("description"), pattern) | F.ilike(F.col("notes"), pattern)
 
 
 def search(df: DataFrame, *, text=None, start=None, end=None, category=None, source=None,

@@ -11,7 +11,9 @@ import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators import contrib as C
 from ..operators import query as Q
 from ..operators import stats as S
 from ..schema import money_out
@@ -182,3 +184,240 @@ def transaction_count(spark, sf):
 SELECT MAX(transaction_date) AS latest_date FROM ledger"""))
 def latest_date(spark, sf):
     return Q.latest_date(_orders(spark, sf))
+
+
+# --- search (F1-F9, A15) ----------------------------------------------------
+
+def _search_sql(where: str) -> str:
+    return O.with_orders(f"""
+SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source, notes
+FROM ledger WHERE {where}""")
+
+
+_SEARCH_COLS = ["id", "account_id", "transaction_date", "description", "amount", "balance",
+                "category", "source", "notes"]
+
+
+def _search(spark, sf, **filters):
+    return money_out(Q.search(_orders(spark, sf), **filters).select(*_SEARCH_COLS))
+
+
+@register("search_text", _search_sql(
+    "(description ILIKE '%coffee%' OR notes ILIKE '%coffee%')"))
+def search_text(spark, sf):
+    return _search(spark, sf, text="coffee")
+
+
+@register("search_wildcard", _search_sql(
+    "(description ILIKE '%e_d%' OR notes ILIKE '%e_d%')"))
+def search_wildcard(spark, sf):
+    return _search(spark, sf, text="e_d")
+
+
+@register("search_dates", _search_sql(
+    "transaction_date >= DATE '1996-03-01' AND transaction_date <= DATE '1996-05-31'"))
+def search_dates(spark, sf):
+    return _search(spark, sf, start="1996-03-01", end="1996-05-31")
+
+
+@register("search_category", _search_sql("category = 'Dining'"))
+def search_category(spark, sf):
+    return _search(spark, sf, category="Dining")
+
+
+@register("search_source", _search_sql("source = 'Transfer'"))
+def search_source(spark, sf):
+    return _search(spark, sf, source="Transfer")
+
+
+@register("search_amounts", _search_sql("amount >= 0 AND amount <= 50000"))
+def search_amounts(spark, sf):
+    return _search(spark, sf, min_amount=0, max_amount=50000)
+
+
+@register("search_combined", _search_sql(
+    "(description ILIKE '%coffee%' OR notes ILIKE '%high%') "
+    "AND transaction_date >= DATE '1997-01-01' AND transaction_date <= DATE '1998-12-31'"))
+def search_combined(spark, sf):
+    # different terms per column: the date filters come from ``search``, the
+    # text predicates are written directly.
+    base = _orders(spark, sf)
+    found = Q.search(base, start="1997-01-01", end="1998-12-31").filter(
+        F.col("description").ilike("%coffee%") | F.col("notes").ilike("%high%"))
+    return money_out(found.select(*_SEARCH_COLS))
+
+
+@register("search_empty_filters", _search_sql("TRUE"))
+def search_empty_filters(spark, sf):
+    return _search(spark, sf, text="", start="", end="", category="", source="")
+
+
+@register("search_total", O.with_orders("""
+SELECT CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS total, COUNT(*) AS matches
+FROM ledger WHERE (description ILIKE '%transfer%' OR notes ILIKE '%transfer%')
+  AND transaction_date >= DATE '1996-01-01'"""))
+def search_total(spark, sf):
+    return Q.search_total(_orders(spark, sf), text="transfer", start="1996-01-01")
+
+
+# --- listing and paging (O1-O6) --------------------------------------------
+
+_LIST_SQL = """
+SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source, notes
+FROM ledger ORDER BY transaction_date DESC, id DESC"""
+
+
+def _listed(df):
+    return money_out(df.select(*_SEARCH_COLS))
+
+
+@register("list_page", O.with_orders(_LIST_SQL + " LIMIT 50 OFFSET 100"))
+def list_page(spark, sf):
+    return _listed(Q.list_page(_orders(spark, sf), limit=50, offset=100))
+
+
+@register("list_all_when_limit_zero", O.with_orders(_LIST_SQL))
+def list_all_when_limit_zero(spark, sf):
+    return _listed(Q.list_page(_orders(spark, sf), limit=0, offset=100))
+
+
+@register("list_after", O.with_orders("""
+SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source, notes
+FROM ledger
+WHERE transaction_date < DATE '1998-06-15' OR (transaction_date = DATE '1998-06-15' AND id < 5000)
+ORDER BY transaction_date DESC, id DESC LIMIT 50"""))
+def list_after(spark, sf):
+    return _listed(Q.list_after(_orders(spark, sf), "1998-06-15", 5000, 50))
+
+
+@register("recent", O.with_orders(_LIST_SQL + " LIMIT 20"))
+def recent(spark, sf):
+    return _listed(Q.recent(_orders(spark, sf), 20))
+
+
+@register("latest_balance", O.with_orders("""
+SELECT CAST(balance AS DOUBLE) AS balance, transaction_date AS as_of_date
+FROM ledger ORDER BY transaction_date DESC, id DESC LIMIT 1"""))
+def latest_balance(spark, sf):
+    return Q.latest_balance(_orders(spark, sf))
+
+
+@register("latest_balance_by_account", O.with_orders("""
+SELECT account_id, CAST(balance AS DOUBLE) AS balance, transaction_date AS as_of_date
+FROM ledger
+QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY transaction_date DESC, id DESC) = 1"""))
+def latest_balance_by_account(spark, sf):
+    return Q.latest_balance(_orders(spark, sf), keys=["account_id"])
+
+
+# --- keyword contributions (J1, J2, A6, A7, A11-A14, F13) ------------------
+
+_PAIRS_SQL = """
+pairs AS (
+  SELECT t.id, t.transaction_date, t.description, t.amount, t.balance,
+         strftime(t.transaction_date, '%Y-%m') AS month, m.person_name, m.keyword
+  FROM ledger t JOIN mappings m ON t.description ILIKE '%' || m.keyword || '%'
+  WHERE t.amount > 0
+)"""
+
+
+def _with_pairs(body: str) -> str:
+    return O.with_orders_and_mappings("," + _PAIRS_SQL + "\n" + body).replace(
+        "),\n,", "),\n", 1)
+
+
+def _mappings(spark):
+    return FX.mappings(spark)
+
+
+@register("contributions", _with_pairs("""
+SELECT id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, MIN(person_name) AS person_name
+FROM pairs GROUP BY id, transaction_date, description, amount, balance"""))
+def contributions(spark, sf):
+    return C.contributions(_orders(spark, sf), _mappings(spark))
+
+
+@register("contributions_ngram", _with_pairs("""
+SELECT id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, MIN(person_name) AS person_name
+FROM pairs GROUP BY id, transaction_date, description, amount, balance"""))
+def contributions_ngram(spark, sf):
+    return C.contributions(_orders(spark, sf), _mappings(spark), strategy="ngram")
+
+
+@register("contributions_for_person", _with_pairs("""
+SELECT id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, MIN(person_name) AS person_name
+FROM pairs WHERE person_name = 'Blake' AND transaction_date >= DATE '1996-01-01'
+GROUP BY id, transaction_date, description, amount, balance"""))
+def contributions_for_person(spark, sf):
+    return C.contributions(_orders(spark, sf), _mappings(spark), person="Blake",
+                           start="1996-01-01")
+
+
+@register("contribution_totals", _with_pairs("""
+SELECT person_name, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(DISTINCT id) AS count
+FROM pairs GROUP BY person_name"""))
+def contribution_totals(spark, sf):
+    return C.totals(_orders(spark, sf), _mappings(spark))
+
+
+@register("contribution_totals_ngram", _with_pairs("""
+SELECT person_name, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(DISTINCT id) AS count
+FROM pairs GROUP BY person_name"""))
+def contribution_totals_ngram(spark, sf):
+    return C.totals(_orders(spark, sf), _mappings(spark), strategy="ngram")
+
+
+@register("contribution_totals_distinct", _with_pairs("""
+SELECT person_name, CAST(SUM(amount) AS DOUBLE) AS total, COUNT(*) AS count
+FROM (SELECT DISTINCT id, person_name, amount FROM pairs) GROUP BY person_name"""))
+def contribution_totals_distinct(spark, sf):
+    return C.totals(_orders(spark, sf), _mappings(spark), distinct_pairs=True)
+
+
+@register("contribution_months", _with_pairs("""
+SELECT month, person_name, CAST(SUM(amount) AS DOUBLE) AS total
+FROM pairs GROUP BY month, person_name"""))
+def contribution_months(spark, sf):
+    return C.monthly_totals(_orders(spark, sf), _mappings(spark))
+
+
+@register("contribution_summary", _with_pairs("""
+SELECT COUNT(*) AS people, CAST(COALESCE(SUM(total), 0) AS DOUBLE) AS total_amount,
+       CAST(COALESCE(SUM(cnt), 0) AS BIGINT) AS total_count
+FROM (SELECT person_name, SUM(amount) AS total, COUNT(DISTINCT id) AS cnt
+      FROM pairs GROUP BY person_name)"""))
+def contribution_summary(spark, sf):
+    return C.summary(_orders(spark, sf), _mappings(spark))
+
+
+@register("contribution_monthly_average", _with_pairs(f"""
+SELECT person_name, CAST(total AS DOUBLE) AS total, first_month, months,
+       CAST(total AS DOUBLE) / months AS monthly_average
+FROM (SELECT person_name, SUM(amount) AS total, MIN(month) AS first_month,
+             CAST(greatest(1, {AS_OF.year * 12 + AS_OF.month}
+                   - (CAST(substr(MIN(month), 1, 4) AS INTEGER) * 12
+                      + CAST(substr(MIN(month), 6, 2) AS INTEGER)) + 1) AS BIGINT) AS months
+      FROM pairs GROUP BY person_name)"""))
+def contribution_monthly_average(spark, sf):
+    return C.monthly_average(_orders(spark, sf), _mappings(spark), AS_OF)
+
+
+@register("avg_monthly_contributions", _with_pairs("""
+SELECT COALESCE(CAST(SUM(amount) AS DOUBLE) / COUNT(DISTINCT month), 0)
+         AS avg_monthly_contributions
+FROM pairs"""))
+def avg_monthly_contributions(spark, sf):
+    return C.avg_monthly(_orders(spark, sf), _mappings(spark))
+
+
+@register("distinct_people", O.with_orders_and_mappings("""
+SELECT DISTINCT person_name FROM mappings"""))
+def distinct_people(spark, sf):
+    # A11 lists the people of the mapping dimension that the ledger joins.
+    return C.distinct_people(_mappings(spark), ordered=False)
