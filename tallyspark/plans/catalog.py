@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contrib as C
+from ..operators import ingest as I
+from ..operators import maintain as M
+from ..operators import project as P
+from ..operators import recurring as R
 from ..operators import query as Q
 from ..operators import stats as S
 from ..schema import money_out
@@ -421,3 +425,354 @@ SELECT DISTINCT person_name FROM mappings"""))
 def distinct_people(spark, sf):
     # A11 lists the people of the mapping dimension that the ledger joins.
     return C.distinct_people(_mappings(spark), ordered=False)
+
+
+# --- recurrence (R1, P12) ---------------------------------------------------
+
+_FREQ_SQL = """CASE WHEN gap IS NULL THEN 'monthly' WHEN gap <= 10 THEN 'weekly'
+            WHEN gap <= 17 THEN 'biweekly' WHEN gap <= 35 THEN 'monthly'
+            WHEN gap <= 100 THEN 'quarterly' ELSE 'yearly' END"""
+
+
+def _recurring_sql(n: int) -> str:
+    return f"""
+SELECT direction, description, CAST(total AS DOUBLE) / occurrences AS amount,
+       {_FREQ_SQL} AS frequency, gap AS avg_days_between, occurrences
+FROM (
+  SELECT direction, description, COUNT(*) AS occurrences, SUM(abs(amount)) AS total,
+         CASE WHEN COUNT(*) > 1 THEN date_diff('day', MIN(transaction_date), MAX(transaction_date))
+              / (COUNT(*) - 1) END AS gap
+  FROM (SELECT *, CASE WHEN amount > 0 THEN 'deposit' ELSE 'withdrawal' END AS direction
+        FROM ledger)
+  GROUP BY direction, description
+  HAVING COUNT(*) >= {n}
+)"""
+
+
+@register("recurring_frequency", O.with_orders(_recurring_sql(3)))
+def recurring_frequency(spark, sf):
+    return R.analyze_recurring(_orders(spark, sf), min_occurrences=3)
+
+
+@register("recurring_frequency_events", f"WITH {O.EVENTS_LEDGER_CTE}" + _recurring_sql(2))
+def recurring_frequency_events(spark, sf):
+    return R.analyze_recurring(FX.events_ledger(spark, sf), min_occurrences=2)
+
+
+# --- projection (R2-R6, P6, P10, P11) ---------------------------------------
+
+PROJECTION_MONTHS = 12
+
+_PER_MONTH_SQL = """CASE lower(COALESCE(frequency, 'monthly')) WHEN 'weekly' THEN 52.0 / 12
+     WHEN 'biweekly' THEN 26.0 / 12 WHEN 'monthly' THEN 1.0 WHEN 'quarterly' THEN 1.0 / 3
+     WHEN 'yearly' THEN 1.0 / 12 ELSE 1.0 END"""
+
+_SCENARIO_CTE = f"""
+WITH accounts AS (
+  SELECT c_custkey AS account_id, CAST(c_acctbal AS DOUBLE) AS current_balance FROM customer
+), items AS (
+  SELECT c_custkey AS account_id, 'deposit' AS direction, CAST(100 + c_custkey % 50 AS DOUBLE)
+           AS amount,
+         ['weekly', 'biweekly', 'monthly', 'quarterly', 'yearly', 'other'][c_custkey % 6 + 1]
+           AS frequency
+  FROM customer
+  UNION ALL
+  SELECT c_custkey, 'withdrawal', CAST(-(200 + c_custkey % 30) AS DOUBLE), 'monthly' FROM customer
+), flows AS (
+  SELECT account_id,
+         COALESCE(SUM(CASE WHEN direction = 'deposit' THEN COALESCE(amount, 0) * {_PER_MONTH_SQL}
+                  END), 0) AS dep,
+         COALESCE(SUM(CASE WHEN direction <> 'deposit' THEN abs(COALESCE(amount, 0))
+                  * {_PER_MONTH_SQL} END), 0) AS wd
+  FROM items GROUP BY account_id
+), base AS (
+  SELECT a.account_id, a.current_balance AS b0, COALESCE(f.dep, 0) AS dep,
+         COALESCE(f.wd, 0) AS wd, COALESCE(f.dep, 0) - COALESCE(f.wd, 0) AS net
+  FROM accounts a LEFT JOIN flows f USING (account_id)
+)"""
+
+
+def _grid_sql(months: int, as_of: _dt.date) -> str:
+    return f"""
+SELECT account_id, strftime(DATE '{as_of}' + to_months(i), '%Y-%m') AS month,
+       strftime(DATE '{as_of}' + to_months(i), '%B %Y') AS month_name,
+       CASE WHEN i > 0 THEN dep ELSE 0.0 END AS deposits,
+       CASE WHEN i > 0 THEN wd ELSE 0.0 END AS withdrawals,
+       CASE WHEN i > 0 THEN net ELSE 0.0 END AS net_change,
+       b0 + CAST(i AS DOUBLE) * net AS projected_balance
+FROM base, range(0, {months} + 1) AS r(i)"""
+
+
+def _summary_sql(months: int) -> str:
+    return f"""
+SELECT account_id, b0 AS current_balance, b0 + {float(max(months, 0))} * net AS final_balance,
+       (b0 + {float(max(months, 0))} * net) - b0 AS total_change,
+       dep * {float(months)} AS total_deposits, wd * {float(months)} AS total_withdrawals,
+       net AS monthly_net,
+       CASE WHEN net > 0 THEN 'positive' WHEN net < 0 THEN 'negative' ELSE 'neutral' END AS trend,
+       CASE WHEN net < 0 AND b0 > 0 THEN CAST(floor(b0 / abs(net)) AS BIGINT) END
+         AS months_until_zero
+FROM base"""
+
+
+def _scenario(spark, sf):
+    return P.project_balances(FX.accounts(spark, sf), FX.recurring_items(spark, sf),
+                              PROJECTION_MONTHS, AS_OF)
+
+
+@register("projection_grid", _SCENARIO_CTE + _grid_sql(PROJECTION_MONTHS, AS_OF))
+def projection_grid(spark, sf):
+    return _scenario(spark, sf)[0]
+
+
+@register("projection_summary", _SCENARIO_CTE + _summary_sql(PROJECTION_MONTHS))
+def projection_summary(spark, sf):
+    return _scenario(spark, sf)[1]
+
+
+_AUTO_CTE = _with_pairs(f""", withdrawals AS (
+  SELECT description, abs(CAST(total AS DOUBLE) / occurrences) AS amount, 'monthly' AS frequency
+  FROM (SELECT description, COUNT(*) AS occurrences, SUM(abs(amount)) AS total
+        FROM ledger WHERE amount <= 0 AND transaction_date >= DATE '2001-01-01'
+        GROUP BY description HAVING COUNT(*) >= 2)
+), latest AS (
+  SELECT CAST(balance AS DOUBLE) AS b0 FROM ledger
+  ORDER BY transaction_date DESC, id DESC LIMIT 1
+), contrib AS (
+  SELECT COALESCE(CAST(SUM(amount) AS DOUBLE) / COUNT(DISTINCT month), 0) AS avg_dep FROM pairs
+), base AS (
+  SELECT CAST(0 AS BIGINT) AS account_id, (SELECT b0 FROM latest) AS b0,
+         (SELECT avg_dep FROM contrib) AS dep,
+         COALESCE((SELECT SUM(amount) FROM withdrawals), 0) AS wd
+), base2 AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base)
+""").replace("base AS (\n  SELECT CAST(0", "base0 AS (\n  SELECT CAST(0").replace(
+    "base2 AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base)",
+    "base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)")
+
+
+def _auto(spark, sf):
+    t = _orders(spark, sf)
+    wd = R.analyze_recurring(t.filter(F.col("transaction_date") >= F.lit(_dt.date(2001, 1, 1))),
+                             min_occurrences=2).filter(F.col("direction") == "withdrawal") \
+        .select("description", "amount", F.lit("monthly").alias("frequency"))
+    return P.auto_scenario(t, _mappings(spark), wd, AS_OF, PROJECTION_MONTHS)
+
+
+@register("auto_scenario", _AUTO_CTE + _summary_sql(PROJECTION_MONTHS))
+def auto_scenario(spark, sf):
+    return _auto(spark, sf)[1]
+
+
+@register("auto_scenario_grid", _AUTO_CTE + _grid_sql(PROJECTION_MONTHS, AS_OF))
+def auto_scenario_grid(spark, sf):
+    return _auto(spark, sf)[0]
+
+
+# --- import (K1, K2, I1) ----------------------------------------------------
+
+IMPORT_SPLIT = _dt.date(2024, 1, 16)
+IMPORT_FROM = _dt.date(2024, 1, 10)
+EVENTS_AS_OF = _dt.date(2024, 1, 31)
+
+
+def _import_inputs(spark, sf):
+    coarse = FX.coarse_events(spark, sf)
+    existing = I.first_per_key(coarse.filter(F.col("transaction_date") < F.lit(IMPORT_SPLIT)),
+                               ["line_no"])
+    incoming = coarse.filter(F.col("transaction_date") >= F.lit(IMPORT_FROM))
+    return existing, incoming
+
+
+_IMPORT_CTE = f"""WITH {O.COARSE_EVENTS_CTE},
+existing AS (
+  SELECT * FROM coarse WHERE transaction_date < DATE '{IMPORT_SPLIT}'
+  QUALIFY row_number() OVER (PARTITION BY transaction_date, description, amount
+                             ORDER BY line_no) = 1
+), incoming AS (
+  SELECT * FROM coarse WHERE transaction_date >= DATE '{IMPORT_FROM}'
+), firsts AS (
+  SELECT * FROM incoming
+  QUALIFY row_number() OVER (PARTITION BY transaction_date, description, amount
+                             ORDER BY line_no) = 1
+), new_rows AS (
+  SELECT f.* FROM firsts f ANTI JOIN existing e
+    USING (transaction_date, description, amount)
+)"""
+
+
+@register("import_dedupe", _IMPORT_CTE + """
+SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount, line_no
+FROM new_rows""")
+def import_dedupe(spark, sf):
+    existing, incoming = _import_inputs(spark, sf)
+    res = I.import_transactions(existing, incoming, ["line_no"])
+    return money_out(res.new.select("id", "account_id", "transaction_date", "description",
+                                    "amount", "line_no"))
+
+
+@register("import_counts", _IMPORT_CTE + """
+SELECT (SELECT COUNT(*) FROM incoming) AS incoming, (SELECT COUNT(*) FROM new_rows) AS inserted,
+       (SELECT COUNT(*) FROM incoming) - (SELECT COUNT(*) FROM new_rows) AS skipped""")
+def import_counts(spark, sf):
+    existing, incoming = _import_inputs(spark, sf)
+    return I.import_transactions(existing, incoming, ["line_no"]).counts
+
+
+@register("import_idempotent", _IMPORT_CTE + """
+SELECT (SELECT COUNT(*) FROM incoming) AS incoming, CAST(0 AS BIGINT) AS inserted,
+       (SELECT COUNT(*) FROM incoming) AS skipped""")
+def import_idempotent(spark, sf):
+    existing, incoming = _import_inputs(spark, sf)
+    first = I.import_transactions(existing, incoming, ["line_no"])
+    stored = existing.unionByName(first.new)
+    return I.import_transactions(stored, incoming, ["line_no"]).counts
+
+
+@register("watermark_load", f"""WITH {O.COARSE_EVENTS_CTE},
+existing AS (
+  SELECT * FROM coarse WHERE transaction_date < DATE '{IMPORT_SPLIT}'
+  QUALIFY row_number() OVER (PARTITION BY transaction_date, description, amount
+                             ORDER BY line_no) = 1
+), incoming AS (
+  SELECT * FROM coarse
+  WHERE transaction_date >= (SELECT MAX(transaction_date) FROM existing)
+    AND transaction_date <= DATE '{EVENTS_AS_OF}'
+), firsts AS (
+  SELECT * FROM incoming
+  QUALIFY row_number() OVER (PARTITION BY transaction_date, description, amount
+                             ORDER BY line_no) = 1
+), new_rows AS (
+  SELECT f.* FROM firsts f ANTI JOIN existing e USING (transaction_date, description, amount)
+)
+SELECT (SELECT COUNT(*) FROM incoming) AS incoming, (SELECT COUNT(*) FROM new_rows) AS inserted,
+       (SELECT COUNT(*) FROM incoming) - (SELECT COUNT(*) FROM new_rows) AS skipped""")
+def watermark_load(spark, sf):
+    coarse = FX.coarse_events(spark, sf)
+    existing = I.first_per_key(coarse.filter(F.col("transaction_date") < F.lit(IMPORT_SPLIT)),
+                               ["line_no"])
+    window = I.since_watermark(existing, coarse, EVENTS_AS_OF)
+    return I.import_transactions(existing, window, ["line_no"]).counts
+
+
+# --- maintenance (M1-M3) ----------------------------------------------------
+
+def _new_mappings(spark, sf):
+    """Mapping requests derived from ``customer``: padded names, empty
+    keywords, repeats of stored pairs and repeats inside the batch."""
+    c = FX.table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    person = F.when(k % 4 == 0, F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))) \
+        .otherwise(F.col("c_mktsegment"))
+    keyword = F.when(k % 9 == 0, F.lit("   ")).otherwise(F.lower(F.col("c_name")))
+    base = c.select(person.alias("person_name"), keyword.alias("keyword"))
+    repeats = c.filter(k % 5 == 0).select(F.col("c_mktsegment").alias("person_name"),
+                                          F.lower(F.col("c_name")).alias("keyword"))
+    stored = FX.mappings(spark).select(
+        F.concat(F.lit(" "), F.col("person_name")).alias("person_name"), "keyword")
+    return base.unionByName(repeats).unionByName(stored)
+
+
+_NEW_MAPPINGS_CTE = O.with_orders_and_mappings(""",
+requests AS (
+  SELECT CASE WHEN c_custkey % 4 = 0 THEN '  ' || c_mktsegment || ' ' ELSE c_mktsegment END
+           AS person_name,
+         CASE WHEN c_custkey % 9 = 0 THEN '   ' ELSE lower(c_name) END AS keyword
+  FROM customer
+  UNION ALL SELECT c_mktsegment, lower(c_name) FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT ' ' || person_name, keyword FROM mappings
+), cleaned AS (
+  SELECT trim(person_name) AS person_name, trim(keyword) AS keyword FROM requests
+)
+""").replace("),\n,\nrequests", "),\nrequests")
+
+
+@register("upsert_mappings", _NEW_MAPPINGS_CTE + """
+SELECT person_name, keyword FROM mappings
+UNION ALL
+SELECT DISTINCT c.person_name, c.keyword FROM cleaned c
+WHERE c.person_name <> '' AND c.keyword <> ''
+  AND NOT EXISTS (SELECT 1 FROM mappings m
+                  WHERE m.person_name = c.person_name AND m.keyword = c.keyword)""")
+def upsert_mappings(spark, sf):
+    after, _ = M.upsert_mappings(FX.mappings(spark), _new_mappings(spark, sf))
+    return after.select("person_name", "keyword")
+
+
+@register("upsert_mapping_rejects", _NEW_MAPPINGS_CTE + """
+SELECT person_name, keyword, reason FROM (
+  SELECT person_name, keyword,
+         CASE WHEN person_name = '' THEN 'empty_person' WHEN keyword = '' THEN 'empty_keyword'
+              END AS reason
+  FROM cleaned
+) WHERE reason IS NOT NULL
+UNION ALL
+SELECT person_name, keyword, 'duplicate' AS reason FROM (
+  SELECT c.person_name, c.keyword,
+         row_number() OVER (PARTITION BY c.person_name, c.keyword) AS rn,
+         EXISTS (SELECT 1 FROM mappings m
+                 WHERE m.person_name = c.person_name AND m.keyword = c.keyword) AS stored
+  FROM cleaned c WHERE c.person_name <> '' AND c.keyword <> ''
+) WHERE stored OR rn > 1""")
+def upsert_mapping_rejects(spark, sf):
+    _, rejects = M.upsert_mappings(FX.mappings(spark), _new_mappings(spark, sf))
+    return rejects
+
+
+def _id_mappings(spark, sf):
+    c = FX.table(spark, sf, "customer").filter(F.col("c_custkey") % 2 == 0)
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("person_name"),
+                    F.lower(F.col("c_name")).alias("keyword"))
+
+
+def _delete_ids(spark, sf):
+    o = FX.table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 == 0)
+    return o.select(F.col("o_custkey").alias("id"))
+
+
+@register("delete_mappings", """
+SELECT c_custkey AS id, c_mktsegment AS person_name, lower(c_name) AS keyword FROM customer
+WHERE c_custkey % 2 = 0
+  AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)""")
+def delete_mappings(spark, sf):
+    after, _ = M.delete_mappings(_id_mappings(spark, sf), _delete_ids(spark, sf))
+    return after
+
+
+@register("delete_mappings_not_found", """
+SELECT DISTINCT o_custkey AS id FROM orders
+WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer
+                                              WHERE c_custkey % 2 = 0)""")
+def delete_mappings_not_found(spark, sf):
+    _, missing = M.delete_mappings(_id_mappings(spark, sf), _delete_ids(spark, sf))
+    return missing
+
+
+def _corrections(spark, sf):
+    """Correction maps derived from ``orders``: set a category, clear notes,
+    try to change the amount (ignored), rewrite a description; some target
+    ids that do not exist."""
+    o = FX.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    m1 = o.filter(k % 11 == 0).select(k.alias("id"), F.create_map(
+        F.lit("category"), F.col("o_orderpriority")).alias("changes"))
+    m2 = o.filter(k % 13 == 0).select(k.alias("id"), F.create_map(
+        F.lit("notes"), F.lit(None).cast("string"), F.lit("amount"), F.lit("1")).alias("changes"))
+    m3 = o.filter(k % 17 == 0).select((k + 10_000_000_000).alias("id"), F.create_map(
+        F.lit("source"), F.lit("nowhere")).alias("changes"))
+    m4 = o.filter(k % 19 == 0).select(k.alias("id"), F.create_map(
+        F.lit("description"), F.upper(F.col("o_orderstatus")),
+        F.lit("source"), F.col("o_orderpriority")).alias("changes"))
+    return m1.unionByName(m2).unionByName(m3).unionByName(m4)
+
+
+@register("apply_corrections", O.with_orders("""
+SELECT id,
+       CASE WHEN id % 11 = 0 THEN o_orderpriority ELSE category END AS category,
+       CASE WHEN id % 19 = 0 THEN o_orderpriority ELSE source END AS source,
+       CASE WHEN id % 13 = 0 THEN NULL ELSE notes END AS notes,
+       CASE WHEN id % 19 = 0 THEN upper(o_orderstatus) ELSE description END AS description,
+       CAST(amount AS DOUBLE) AS amount
+FROM ledger JOIN orders ON ledger.id = orders.o_orderkey"""))
+def apply_corrections(spark, sf):
+    t = M.apply_corrections(_orders(spark, sf), _corrections(spark, sf))
+    return money_out(t.select("id", "category", "source", "notes", "description", "amount"))
