@@ -20,8 +20,11 @@ from ..operators import project as P
 from ..operators import recurring as R
 from ..operators import query as Q
 from ..operators import stats as S
+from ..functions import parse as PF
 from ..schema import money_out
+from ..session import shared_dir
 from ..sources import fixtures as FX
+from ..sources import statements as ST
 from . import oracle as O
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -776,3 +779,62 @@ FROM ledger JOIN orders ON ledger.id = orders.o_orderkey"""))
 def apply_corrections(spark, sf):
     t = M.apply_corrections(_orders(spark, sf), _corrections(spark, sf))
     return money_out(t.select("id", "category", "source", "notes", "description", "amount"))
+
+
+# --- parsing (P1, P2) and statement files (S1-S7) ----------------------------
+
+@register("parse_dates", """
+SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS transaction_date FROM orders""")
+def parse_dates(spark, sf):
+    o = FX.table(spark, sf, "orders")
+    d = F.col("o_orderdate").cast("date")
+    text = FX.render_date(d, F.col("o_orderkey"))
+    return o.select(F.col("o_orderkey").alias("id"), PF.parse_date(text).alias("transaction_date"))
+
+
+@register("parse_amounts", """
+SELECT o_orderkey AS id, CAST(CASE WHEN o_orderstatus = 'F' THEN -CAST(o_totalprice AS DECIMAL(12,2))
+  ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS DOUBLE) AS amount FROM orders""")
+def parse_amounts(spark, sf):
+    o = FX.table(spark, sf, "orders")
+    a = F.col("o_totalprice").cast("decimal(12,2)")
+    a = F.when(F.col("o_orderstatus") == "F", -a).otherwise(a)
+    text = FX.render_amount(a, F.col("o_orderkey"))
+    return o.select(F.col("o_orderkey").alias("id"),
+                    PF.parse_amount(text).cast("double").alias("amount"))
+
+
+def _statement_dir(spark, sf):
+    return FX.write_statements(_orders(spark, sf), shared_dir(spark, "statements"))
+
+
+_STATEMENT_ROWS = """
+SELECT * FROM ledger
+WHERE floor(account_id / 16) % 23 <> 0 AND id % 101 <> 0 AND id % 103 <> 0"""
+
+
+@register("statement_ingest", O.with_orders(f"""
+SELECT transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source
+FROM ({_STATEMENT_ROWS})"""))
+def statement_ingest(spark, sf):
+    clean, _ = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
+    return money_out(clean.select("transaction_date", "description", "amount", "balance",
+                                  "category", "source"))
+
+
+@register("statement_rejects", O.with_orders("""
+SELECT reason, COUNT(*) AS n FROM (
+  SELECT CASE WHEN id % 101 = 0 THEN 'bad_date' ELSE 'bad_amount' END AS reason
+  FROM ledger
+  WHERE floor(account_id / 16) % 23 <> 0 AND (id % 101 = 0 OR id % 103 = 0)
+  UNION ALL
+  SELECT DISTINCT 'missing_column' || CAST(floor(account_id / 16) AS VARCHAR) FROM ledger
+  WHERE floor(account_id / 16) % 23 = 0
+) GROUP BY reason""").replace(
+    "SELECT DISTINCT 'missing_column' || CAST(floor(account_id / 16) AS VARCHAR) FROM ledger",
+    "SELECT 'missing_column' FROM (SELECT DISTINCT floor(account_id / 16) AS k FROM ledger")
+    .replace("WHERE floor(account_id / 16) % 23 = 0\n)", "WHERE floor(account_id / 16) % 23 = 0)\n)"))
+def statement_rejects(spark, sf):
+    _, rejects = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
+    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -134,3 +134,73 @@ def recurring_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (-(F.lit(200) + k % 30)).cast("double").alias("amount"),
                   F.lit("monthly").alias("frequency"))
     return dep.unionByName(wd)
+
+
+# --- statement text rendered from a ledger ----------------------------------
+
+DATE_FORMATS = ["MM/dd/yyyy", "yyyy-MM-dd", "MM-dd-yyyy", "yyyy/MM/dd", "MM/dd/yy", "M/d/yyyy",
+                "MMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "yyyyMMdd"]
+ACCOUNTS_PER_FILE = 16
+
+
+def render_date(d, key):
+    """Date text in one of several formats chosen by ``key``; day-first
+    formats only for days > 12, where they are unambiguous."""
+    by_fmt = F.element_at(F.array(*[F.date_format(d, f) for f in DATE_FORMATS]),
+                          (key % len(DATE_FORMATS) + 1).cast("int"))
+    day_first = F.when(key % 2 == 0, F.date_format(d, "dd/MM/yyyy")) \
+        .otherwise(F.date_format(d, "dd-MM-yyyy"))
+    return F.when((key % 10 == 9) & (F.dayofmonth(d) > 12), day_first).otherwise(by_fmt)
+
+
+def render_amount(a, key):
+    """Amount text: plain, ``$x``, thousands commas, or ``(x)`` for negatives."""
+    plain = a.cast("string")
+    return (F.when(key % 4 == 0, plain)
+            .when(key % 4 == 1, F.concat(F.lit("$"), plain))
+            .when(key % 4 == 2, F.format_number(a, 2))
+            .otherwise(F.when(a < 0, F.concat(F.lit("("), (-a).cast("string"), F.lit(")")))
+                       .otherwise(plain)))
+
+
+def _quoted(c):
+    return F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+
+
+def statement_lines(ledger: DataFrame) -> DataFrame:
+    """(file_key, ord, value) lines of statement files: a preamble, a header,
+    then one line per transaction. Every 23rd file has a preamble that looks
+    like a header (the file is rejected); every 101st row has a missing date
+    and every 103rd an unreadable amount."""
+    k = F.col("id")
+    file_key = F.floor(F.col("account_id") / ACCOUNTS_PER_FILE)
+    date = F.when(k % 101 == 0, F.lit("n/a")).otherwise(render_date(F.col("transaction_date"), k))
+    amount = F.when(k % 103 == 0, F.lit("abc")).otherwise(render_amount(F.col("amount"), k))
+    line = F.concat_ws(",", _quoted(date), _quoted(F.col("description")), _quoted(amount),
+                       F.coalesce(F.col("balance").cast("string"), F.lit("")), k.cast("string"))
+    data = ledger.select(file_key.alias("file_key"), k.alias("ord"), line.alias("value"))
+    head = ledger.select(file_key.alias("file_key")).distinct().select(
+        "file_key", F.explode(F.array(
+            F.struct(F.lit(-3).cast("long").alias("ord"),
+                     F.when(F.col("file_key") % 23 == 0, F.lit("Last updated today"))
+                     .otherwise(F.concat(F.lit("Account,"), F.col("file_key").cast("string")))
+                     .alias("value")),
+            F.struct(F.lit(-2).cast("long").alias("ord"), F.lit("").alias("value")),
+            F.struct(F.lit(-1).cast("long").alias("ord"),
+                     F.lit("Transaction Date ,DESCRIPTION,Amount,Balance,Ref").alias("value"))
+        )).alias("l")
+    ).select("file_key", "l.ord", "l.value")
+    return data.unionByName(head)
+
+
+def write_statements(ledger: DataFrame, out_dir: str) -> str:
+    """Write one statement file per group of accounts under ``out_dir``.
+
+    Each file key is hash-partitioned into exactly one task and sorted by line
+    order inside it, so each ``file_key=...`` folder holds one ordered file.
+    """
+    lines = statement_lines(ledger)
+    (lines.repartition("file_key").sortWithinPartitions("file_key", "ord")
+     .select("file_key", "value").write.mode("overwrite").partitionBy("file_key")
+     .text(out_dir))
+    return out_dir
