@@ -24,7 +24,9 @@ from ..functions import parse as PF
 from ..schema import money_out
 from ..session import shared_dir
 from ..sources import fixtures as FX
+from ..sources import snapshot as SN
 from ..sources import statements as ST
+from ..streaming import statements as SS
 from . import oracle as O
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -838,3 +840,99 @@ SELECT reason, COUNT(*) AS n FROM (
 def statement_rejects(spark, sf):
     _, rejects = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("statement_import", O.with_orders(f"""
+SELECT COUNT(*) AS incoming,
+       COUNT(*) FILTER (WHERE transaction_date >= DATE '1998-01-01') AS inserted,
+       COUNT(*) FILTER (WHERE transaction_date < DATE '1998-01-01') AS skipped
+FROM ({_STATEMENT_ROWS})"""))
+def statement_import(spark, sf):
+    clean, _ = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
+    existing = _orders(spark, sf).filter(F.col("transaction_date") < F.lit(_dt.date(1998, 1, 1)))
+    return I.import_transactions(existing, clean, ["path", "line_no"]).counts
+
+
+@register("stream_ingest", O.with_orders(f"""
+SELECT transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source
+FROM ({_STATEMENT_ROWS})"""))
+def stream_ingest(spark, sf):
+    """Two drops of statement files, each picked up by one availableNow run."""
+    ledger = _orders(spark, sf)
+    key = F.floor(F.col("account_id") / FX.ACCOUNTS_PER_FILE)
+    in_dir = shared_dir(spark, "stream-in")
+    out_dir = shared_dir(spark, "stream-ledger")
+    ckpt = shared_dir(spark, "stream-ckpt")
+    for i, part in enumerate([key % 2 == 0, key % 2 == 1]):
+        FX.write_statements(ledger.filter(part), f"{in_dir}/drop{i}")
+        q = SS.stream_statements(spark, in_dir, out_dir, ckpt, glob="*.txt")
+        q.awaitTermination()
+    return money_out(SS.read_ledger(spark, out_dir).select(
+        "transaction_date", "description", "amount", "balance", "category", "source"))
+
+
+# --- snapshots (K3-K7, S10) -------------------------------------------------
+
+def _exported(spark, sf, ledger=None, m=None):
+    path = shared_dir(spark, "snapshot")
+    SN.export_snapshot(ledger if ledger is not None else _orders(spark, sf),
+                       m if m is not None else _mappings(spark), path)
+    return SN.read_snapshot(spark, path)
+
+
+@register("snapshot_roundtrip", O.with_orders("""
+SELECT transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source, notes FROM ledger"""))
+def snapshot_roundtrip(spark, sf):
+    snap = _exported(spark, sf)
+    return money_out(SN.snapshot_to_ledger(snap.transactions).select(
+        "transaction_date", "description", "amount", "balance", "category", "source", "notes"))
+
+
+@register("snapshot_validation", O.with_orders_and_mappings("""
+SELECT 'transactions' AS "table", 'missing_description' AS reason, COUNT(*) AS n
+FROM ledger WHERE id % 89 = 0 OR id % 83 = 0 GROUP BY 1, 2
+UNION ALL
+SELECT 'person_mappings', 'missing_keyword', COUNT(*) FROM mappings WHERE person_name = 'Drew'"""))
+def snapshot_validation(spark, sf):
+    k = F.col("id")
+    broken = _orders(spark, sf).withColumn(
+        "description", F.when(k % 89 == 0, F.lit(None).cast("string"))
+        .when(k % 83 == 0, F.lit("")).otherwise(F.col("description")))
+    m = _mappings(spark).withColumn(
+        "keyword", F.when(F.col("person_name") == "Drew", F.lit("")).otherwise(F.col("keyword")))
+    snap = _exported(spark, sf, broken, m)
+    return SN.validate_snapshot(snap).groupBy("table", "reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("snapshot_counts", O.with_orders_and_mappings("""
+SELECT 'transactions' AS "table", COUNT(*) AS expected, COUNT(*) AS actual, TRUE AS ok FROM ledger
+UNION ALL
+SELECT 'person_mappings', COUNT(*), COUNT(*), TRUE FROM mappings"""))
+def snapshot_counts(spark, sf):
+    snap = _exported(spark, sf)
+    return SN.verify_counts(snap.transactions, snap.mappings, snap.manifest)
+
+
+@register("snapshot_import", O.with_orders_and_mappings("""
+SELECT 'transactions' AS "table", COUNT(*) AS incoming,
+       COUNT(*) FILTER (WHERE transaction_date >= DATE '1998-01-01') AS inserted,
+       COUNT(*) FILTER (WHERE transaction_date < DATE '1998-01-01') AS skipped FROM ledger
+UNION ALL
+SELECT 'person_mappings', COUNT(*), COUNT(*) FILTER (WHERE id > 4),
+       COUNT(*) FILTER (WHERE id <= 4) FROM mappings"""))
+def snapshot_import(spark, sf):
+    snap = _exported(spark, sf)
+    existing_t = _orders(spark, sf).filter(F.col("transaction_date") < F.lit(_dt.date(1998, 1, 1)))
+    existing_m = _mappings(spark).filter(F.col("id") <= 4)
+    _, _, counts = SN.import_snapshot(existing_t, existing_m, snap)
+    return counts
+
+
+@register("existing_counts", O.with_orders_and_mappings("""
+SELECT (SELECT COUNT(*) FROM ledger) AS existing_transactions,
+       (SELECT COUNT(*) FROM mappings) AS existing_mappings"""))
+def existing_counts(spark, sf):
+    return SN.existing_counts(_orders(spark, sf), _mappings(spark))
