@@ -132,19 +132,31 @@ def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataF
     return rows.withColumn("ld", ld).join(matched, "ld").drop("ld")
 
 
+def _plain(keyword: Column) -> Column:
+    """True when the keyword has no LIKE metacharacter (``%``, ``_``, ``\\``)."""
+    return ~keyword.rlike(r"[%_\\]")
+
+
 def keyword_matches(rows: DataFrame, m: DataFrame, strategy: str = "auto") -> DataFrame:
     """Every (ledger row, mapping) pair with ``description ILIKE %keyword%``.
 
     Output: the columns of ``rows`` plus ``person_name`` and ``keyword``.
+    In the broadcast strategy a keyword without wildcards is tested with a
+    substring search on the lower-cased description (computed once per row);
+    only keywords with ``%``/``_``/``\\`` are evaluated as LIKE patterns.
     """
     prof = profile(m) if strategy in ("auto", "ngram") else None
     if strategy == "auto":
         strategy = choose_strategy(prof)
     if strategy == "broadcast":
-        pats = m.select("person_name", "keyword",
-                        contains_pattern(F.col("keyword")).alias("pattern"))
-        return rows.join(F.broadcast(pats), F.ilike(F.col("description"), F.col("pattern"))) \
-                   .drop("pattern")
+        kw = F.col("keyword")
+        pats = m.select("person_name", "keyword", _plain(kw).alias("_plain"),
+                        F.lower(kw).alias("_kw"), contains_pattern(kw).alias("_pattern"))
+        cond = F.when(F.col("_plain"), F.col("_ld").contains(F.col("_kw"))).otherwise(
+            F.ilike(F.col("description"), F.col("_pattern")))
+        return (rows.withColumn("_ld", F.lower(F.col("description")))
+                .join(F.broadcast(pats), cond)
+                .drop("_ld", "_plain", "_kw", "_pattern"))
     return _ngram_matches(rows, m, prof)
 
 

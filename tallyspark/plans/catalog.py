@@ -44,7 +44,7 @@ def register(name: str, sql: str | None):
 
 
 def _orders(spark, sf):
-    return FX.orders_ledger(spark, sf)
+    return FX.stored_orders_ledger(spark, sf)
 
 
 # --- statistics (A1-A5, P5, P7) ------------------------------------------
