@@ -84,8 +84,31 @@ def profile(m: DataFrame) -> MappingProfile:
                           int(r["wild"]), int(r["mx"]))
 
 
-def choose_strategy(prof: MappingProfile) -> str:
-    if prof.rows <= NESTED_LOOP_MAX_KEYWORDS and prof.bytes <= BROADCAST_MAX_BYTES:
+def _local_size(m: DataFrame) -> tuple[int, int] | None:
+    """Exact (rows, bytes) when the optimized plan is an in-memory local
+    relation (literal rows); None otherwise."""
+    try:
+        plan = m._jdf.queryExecution().optimizedPlan()
+        if plan.getClass().getSimpleName() != "LocalRelation":
+            return None
+        return int(plan.data().size()), int(plan.stats().sizeInBytes())
+    except Exception:  # Spark Connect or an unexpected plan: measure instead
+        return None
+
+
+def size_bound(m: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of the mapping table: read from a local relation, else
+    measured with one aggregate."""
+    local = _local_size(m)
+    if local is not None:
+        return local
+    prof = profile(m)
+    return prof.rows, prof.bytes
+
+
+def choose_strategy(prof) -> str:
+    rows, nbytes = (prof.rows, prof.bytes) if isinstance(prof, MappingProfile) else prof
+    if rows <= NESTED_LOOP_MAX_KEYWORDS and nbytes <= BROADCAST_MAX_BYTES:
         return "broadcast"
     return "ngram"
 
@@ -145,9 +168,8 @@ def keyword_matches(rows: DataFrame, m: DataFrame, strategy: str = "auto") -> Da
     substring search on the lower-cased description (computed once per row);
     only keywords with ``%``/``_``/``\\`` are evaluated as LIKE patterns.
     """
-    prof = profile(m) if strategy in ("auto", "ngram") else None
     if strategy == "auto":
-        strategy = choose_strategy(prof)
+        strategy = choose_strategy(size_bound(m))
     if strategy == "broadcast":
         kw = F.col("keyword")
         pats = m.select("person_name", "keyword", _plain(kw).alias("_plain"),
@@ -157,7 +179,7 @@ def keyword_matches(rows: DataFrame, m: DataFrame, strategy: str = "auto") -> Da
         return (rows.withColumn("_ld", F.lower(F.col("description")))
                 .join(F.broadcast(pats), cond)
                 .drop("_ld", "_plain", "_kw", "_pattern"))
-    return _ngram_matches(rows, m, prof)
+    return _ngram_matches(rows, m, profile(m))
 
 
 def _deposits(t: DataFrame, start, end) -> DataFrame:

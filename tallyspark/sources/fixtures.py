@@ -36,8 +36,22 @@ MAPPING_ROWS = [
 ]
 
 
+_READERS: dict[tuple[int, str], DataFrame] = {}
+
+
+def cached_reader(spark: SparkSession, path: str, read) -> DataFrame:
+    """Reuse the reader DataFrame of an immutable input within a session, so
+    its file listing and footer schema are resolved once, not per query."""
+    key = (id(spark._jsparkSession), path)
+    df = _READERS.get(key)
+    if df is None:
+        df = _READERS[key] = read()
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return cached_reader(spark, path, lambda: spark.read.parquet(path))
 
 
 def _money(c):
@@ -87,11 +101,26 @@ def stored_orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.materialize(spark, "orders-ledger", key, lambda: orders_ledger(spark, sf_dir))
 
 
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small literal table as an inline ``VALUES`` list: a JVM-side
+    ``LocalRelation`` whose exact row count the optimizer knows (no Python
+    worker, no job needed to size it)."""
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def mappings(spark: SparkSession) -> DataFrame:
     """The person -> keyword dimension (small; its size is checked before broadcast)."""
     rows = [(i + 1, p, kw) for i, (p, kw) in enumerate(MAPPING_ROWS)]
-    df = spark.createDataFrame(rows, "id long, person_name string, keyword string")
-    return conform(df, MAPPINGS)
+    return conform(literal_rows(spark, rows, ["id", "person_name", "keyword"]), MAPPINGS)
 
 
 def events_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,4 +82,5 @@ def materialize(spark: SparkSession, name: str, key: str,
         write_ledger(build(), tmp)
         if not _rename(spark, tmp, final) and not _exists(spark, f"{final}/_SUCCESS"):
             raise RuntimeError(f"could not publish {final}")
-    return read_ledger(spark, final)
+    from .fixtures import cached_reader   # published tables are immutable
+    return cached_reader(spark, final, lambda: read_ledger(spark, final))
