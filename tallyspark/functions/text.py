@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 # Python's ``str.strip()``/``str.split()`` whitespace: Unicode White_Space plus
 # the four ASCII information separators (U+001C..U+001F).
 WS_CLASS = r"(?U)[\s\x1c-\x1f]"
+# The same set as explicit characters, derived from Python's own definition.
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def strip_ws(col: Column) -> Column:
     """Trim leading and trailing whitespace the way Python's ``str.strip`` does.
 
-    Spark's ``trim`` removes only the space character.
+    Spark's ``trim`` removes only the space character; ``btrim`` with the
+    explicit character set needs no regular expression.
     """
-    return F.regexp_replace(col, rf"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def split_words(col: Column) -> Column:

@@ -790,8 +790,10 @@ SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS transaction_date FROM orde
 def parse_dates(spark, sf):
     o = FX.table(spark, sf, "orders")
     d = F.col("o_orderdate").cast("date")
-    text = FX.render_date(d, F.col("o_orderkey"))
-    return o.select(F.col("o_orderkey").alias("id"), PF.parse_date(text).alias("transaction_date"))
+    text = o.select(F.col("o_orderkey").alias("id"),
+                    FX.render_date(d, F.col("o_orderkey")).alias("text"))
+    return PF.with_parsed_dates(text, {"transaction_date": "text"}).select(
+        "id", "transaction_date")
 
 
 @register("parse_amounts", """

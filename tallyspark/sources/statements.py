@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import categorize, extract_source
-from ..functions.parse import is_na, parse_amount, parse_balance, parse_date
+from ..functions.parse import is_na, parse_amount, parse_balance, with_parsed_dates
 from ..functions.text import strip_ws
 
 # Header aliases (compared trimmed and lower-case).
@@ -47,9 +47,12 @@ CSV_FIELD = r',("(?:[^"]|"")*"(?=,|$)|[^,]*)'
 def _cells(line: Column) -> Column:
     """All CSV fields of a line (one regex pass), quotes removed."""
     raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_FIELD), 1)
-    return F.transform(raw, lambda f: F.when(
-        f.rlike(r'^"[\s\S]*"$'),
-        F.regexp_replace(F.regexp_extract(f, r'^"([\s\S]*)"$', 1), '""', '"')).otherwise(f))
+
+    def unquote(f):
+        quoted = f.startswith('"') & f.endswith('"') & (F.length(f) >= 2)
+        inner = F.substring(f, F.lit(2), F.length(f) - 2)
+        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(raw, unquote)
 
 
 def field_count(line: Column) -> Column:
@@ -107,7 +110,11 @@ def _line_rows(files: DataFrame) -> DataFrame:
 
 def parse_statement_files(raw: DataFrame, strict_header: bool = False) -> DataFrame:
     """``raw(path, content)`` -> one row per data line with parsed values and a
-    ``reason`` (NULL for clean rows), plus one row per rejected file."""
+    ``reason`` (NULL for clean rows), plus one row per rejected file.
+
+    Each stage adds named columns (cells, raw cell texts, parsed values,
+    reason), so every parser runs once per line and the generated code stays
+    small."""
     files = _files(raw, strict_header)
     rows = _line_rows(files).withColumn("cells", _cells(F.col("line")))
 
@@ -115,31 +122,43 @@ def parse_statement_files(raw: DataFrame, strict_header: bool = False) -> DataFr
         return F.when(F.col(p) > 0, F.get(F.col("cells"), F.col(p) - 1))
 
     in_width = F.slice("cells", 1, F.greatest(F.col("width"), F.lit(1)))
-    blank = ~F.exists(in_width, lambda c: ~is_na(c))
-    beyond = F.exists(F.slice("cells", F.col("width") + 1, F.lit(1 << 20)),
-                      lambda c: c != "")
-    quotes = F.length(F.col("line")) - F.length(F.regexp_replace("line", '"', ""))
-    raw_desc = cell("p_description")
-    date = parse_date(cell("p_transaction_date"))
-    amount = parse_amount(cell("p_amount"))
-    bal = F.when(F.col("p_balance") > 0, parse_balance(cell("p_balance"))).otherwise(
-        F.struct(F.lit(None).cast("decimal(12,2)").alias("value"), F.lit(True).alias("ok")))
-    desc = F.when(is_na(raw_desc), F.lit("nan")).otherwise(strip_ws(raw_desc))
     is_file = F.col("file_reason").isNotNull()
+    quotes = F.length(F.col("line")) - F.length(F.translate("line", '"', ""))
+    texts = rows.select(
+        "path", "csv_hash", "file_reason", "p_balance",
+        F.when(~is_file, F.col("idx")).cast("int").alias("line_no"),
+        F.col("line").alias("raw"),
+        cell("p_transaction_date").alias("date_raw"),
+        cell("p_description").alias("desc_raw"),
+        cell("p_amount").alias("amount_raw"),
+        cell("p_balance").alias("balance_raw"),
+        (quotes % 2 == 1).alias("unbalanced"),
+        F.exists(F.slice("cells", F.col("width") + 1, F.lit(1 << 20)),
+                 lambda c: c != "").alias("too_wide"),
+        (is_file | F.exists(in_width, lambda c: ~is_na(c))).alias("keep"),
+    ).filter("keep")
+    parsed = with_parsed_dates(texts, {"date": "date_raw"})
+    bal = parse_balance(F.col("balance_raw"))
+    parsed = parsed.select(
+        "*", parse_amount(F.col("amount_raw")).alias("amt"),
+        F.when(F.col("p_balance") > 0, bal.getField("value")).alias("bal"),
+        (F.col("p_balance").isNull() | (F.col("p_balance") == 0) | bal.getField("ok"))
+        .alias("bal_ok"),
+        F.when(is_na(F.col("desc_raw")), F.lit("nan")).otherwise(strip_ws(F.col("desc_raw")))
+        .alias("desc"))
     reason = (F.when(is_file, F.col("file_reason"))
-              .when(quotes % 2 == 1, "unbalanced_quote")
-              .when(beyond, "too_wide")
-              .when(date.isNull(), "bad_date")
-              .when(amount.isNull(), "bad_amount")
-              .when(~bal.getField("ok"), "bad_balance"))
-    parsed = rows.filter(is_file | ~blank).select(
-        "path", F.when(~is_file, F.col("idx")).cast("int").alias("line_no"), "csv_hash",
-        F.col("line").alias("raw"), reason.alias("reason"),
-        F.when(~is_file, date).alias("transaction_date"),
-        F.when(~is_file, desc).alias("description"),
-        F.when(~is_file, amount).alias("amount"),
-        F.when(~is_file, bal.getField("value")).alias("balance"))
-    return parsed.select(
+              .when(F.col("unbalanced"), "unbalanced_quote")
+              .when(F.col("too_wide"), "too_wide")
+              .when(F.col("date").isNull(), "bad_date")
+              .when(F.col("amt").isNull(), "bad_amount")
+              .when(~F.col("bal_ok"), "bad_balance"))
+    out = parsed.select(
+        "path", "line_no", "csv_hash", "raw", reason.alias("reason"),
+        F.when(~is_file, F.col("date")).alias("transaction_date"),
+        F.when(~is_file, F.col("desc")).alias("description"),
+        F.when(~is_file, F.col("amt")).alias("amount"),
+        F.when(~is_file, F.col("bal")).alias("balance"))
+    return out.select(
         "path", "line_no", "csv_hash", "raw", "transaction_date", "description", "amount",
         "balance",
         F.when(F.col("reason").isNull(), categorize(F.col("description"), F.col("amount")))
@@ -151,7 +170,7 @@ def parse_statement_files(raw: DataFrame, strict_header: bool = False) -> DataFr
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean, rejects) from ``parse_statement_files``. Both read the same
-    lineage: persist ``parsed`` (or write it) when both are consumed."""
+    lineage; ``read_statements`` materializes it once instead."""
     clean = parsed.filter(F.col("reason").isNull()).select(*CLEAN_COLUMNS)
     rejects = parsed.filter(F.col("reason").isNotNull()).select("path", "line_no", "raw",
                                                                 "reason")
@@ -163,7 +182,34 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFra
             .option("recursiveFileLookup", "true").load(path).select("path", "content"))
 
 
+def write_parsed(parsed: DataFrame, out_dir: str) -> str:
+    """Write parsed lines once, partitioned by ``status`` (clean/reject)."""
+    status = F.when(F.col("reason").isNull(), "clean").otherwise("reject")
+    parsed.withColumn("status", status).write.mode("overwrite").partitionBy("status") \
+        .parquet(out_dir)
+    return out_dir
+
+
+def read_parsed(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(clean, rejects) from a ``write_parsed`` folder (partition pruning on status)."""
+    t = spark.read.parquet(out_dir)
+    clean = t.filter(F.col("status") == "clean").select(*CLEAN_COLUMNS)
+    rejects = t.filter(F.col("status") == "reject").select("path", "line_no", "raw", "reason")
+    return clean, rejects
+
+
 def read_statements(spark: SparkSession, path: str, strict_header: bool = False,
-                    glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
-    """Read every statement file under ``path`` at once -> (clean, rejects)."""
-    return split_parsed(parse_statement_files(binary_files(spark, path, glob), strict_header))
+                    glob: str = "*.csv", out_dir: str | None = None
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Read every statement file under ``path`` at once -> (clean, rejects).
+
+    The files are parsed in one job and the result is written once to
+    ``out_dir`` (default: a new folder under the shared checkpoint folder),
+    partitioned by status; clean rows and rejects are then two pruned reads.
+    Writing cuts the lineage, so neither side re-parses the files and a lost
+    executor never forces a re-parse.
+    """
+    from ..session import shared_dir
+    out_dir = out_dir or shared_dir(spark, "statements-parsed")
+    write_parsed(parse_statement_files(binary_files(spark, path, glob), strict_header), out_dir)
+    return read_parsed(spark, out_dir)

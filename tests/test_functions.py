@@ -96,3 +96,10 @@ def test_per_month(spark):
 def test_safe_pattern(spark):
     got = _one(spark, ["%a\\%b%", "%ab\\c%", "%a\\\\x%", "%plain%"], safe_pattern)
     assert got == ["%a\\%b%", "%abc%", "%a\\\\x%", "%plain%"]
+
+
+def test_staged_dates_equal_column_form(spark):
+    from tallyspark.functions.parse import with_parsed_dates
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(DATES)], "i int, v string")
+    got = [r.d for r in with_parsed_dates(df, {"d": "v"}).orderBy("i").collect()]
+    assert got == [y for _, y in DATES]
