@@ -16,6 +16,11 @@ EDITABLE = ["category", "source", "notes", "description"]
 MAPPING_KEY = ["person_name", "keyword"]
 
 
+def list_mappings(m: DataFrame) -> DataFrame:
+    """All mappings ordered by person, then keyword."""
+    return m.select("id", "person_name", "keyword", "created_at").orderBy(*MAPPING_KEY)
+
+
 def upsert_mappings(m: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``new`` (person_name, keyword) rows: both trimmed; an empty value is
     rejected (``empty_person`` / ``empty_keyword``); a pair already stored, or

@@ -91,6 +91,15 @@ def list_page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataF
     return out
 
 
+def page(df: DataFrame, number: int, size: int = 50) -> DataFrame:
+    """Page ``number`` (1-based) of ``size`` rows, newest first, with
+    ``has_next`` = the page is full (the browser's rule). The window runs over
+    the page only (at most ``size`` rows)."""
+    from pyspark.sql import Window
+    rows = list_page(df, size, (max(number, 1) - 1) * size)
+    return rows.withColumn("has_next", F.count(F.lit(1)).over(Window.partitionBy()) == size)
+
+
 def list_after(df: DataFrame, date, id_: int, limit: int) -> DataFrame:
     """Keyset page: the ``limit`` rows after ``(date, id)`` in newest-first order."""
     d = F.lit(as_date(date))

@@ -292,6 +292,15 @@ def list_all_when_limit_zero(spark, sf):
     return _listed(Q.list_page(_orders(spark, sf), limit=0, offset=100))
 
 
+@register("page_view", O.with_orders("""
+SELECT *, COUNT(*) OVER () = 50 AS has_next FROM (
+  SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+         CAST(balance AS DOUBLE) AS balance, category, source, notes
+  FROM ledger ORDER BY transaction_date DESC, id DESC LIMIT 50 OFFSET 150)"""))
+def page_view(spark, sf):
+    return money_out(Q.page(_orders(spark, sf), 4, 50).select(*_SEARCH_COLS, "has_next"))
+
+
 @register("list_after", O.with_orders("""
 SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
        CAST(balance AS DOUBLE) AS balance, category, source, notes
@@ -425,6 +434,13 @@ def avg_monthly_contributions(spark, sf):
     return C.avg_monthly(_orders(spark, sf), _mappings(spark))
 
 
+@register("list_mappings", O.with_orders_and_mappings("""
+SELECT id, person_name, keyword FROM mappings"""))
+def list_mappings(spark, sf):
+    # S9 lists the mapping dimension the ledger queries join against.
+    return M.list_mappings(_mappings(spark)).select("id", "person_name", "keyword")
+
+
 @register("distinct_people", O.with_orders_and_mappings("""
 SELECT DISTINCT person_name FROM mappings"""))
 def distinct_people(spark, sf):

@@ -72,17 +72,20 @@ def _as_snapshot_rows(t: DataFrame) -> DataFrame:
 
 
 def export_snapshot(t: DataFrame, m: DataFrame, path: str, source_db: str = "ledger") -> DataFrame:
-    """Write transactions (without id, newest first inside each file) and
-    mappings as JSON lines, then a manifest with per-table counts. The counts
+    """Write transactions (without id, newest first) and mappings (by person,
+    keyword) as JSON lines, then a manifest with per-table counts. The counts
     are taken from the written files, so they describe exactly what was
     exported. Returns the manifest DataFrame."""
     spark = t.sparkSession
     rows = _as_snapshot_rows(t)
-    rows.sortWithinPartitions(F.desc("transaction_date")).write.mode("overwrite").json(
-        f"{path}/transactions")
+    # Global order as the reference writes it: part files follow the range
+    # partitions of the sort, newest transactions first.
+    rows.orderBy(F.desc("transaction_date"), "description", "amount").write.mode(
+        "overwrite").json(f"{path}/transactions")
     m.select("person_name", "keyword",
              F.date_format("created_at", TS_FORMAT).alias("created_at")) \
-        .write.mode("overwrite").json(f"{path}/person_mappings")
+        .orderBy("person_name", "keyword").write.mode("overwrite").json(
+            f"{path}/person_mappings")
     written_t = spark.read.schema(SNAPSHOT_TRANSACTIONS).json(f"{path}/transactions")
     written_m = spark.read.schema(SNAPSHOT_MAPPINGS).json(f"{path}/person_mappings")
     stamp = F.date_format(F.current_timestamp(), TS_FORMAT)
