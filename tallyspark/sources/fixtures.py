@@ -42,7 +42,8 @@ _READERS: dict[tuple[int, str], DataFrame] = {}
 def cached_reader(spark: SparkSession, path: str, read) -> DataFrame:
     """Reuse the reader DataFrame of an immutable input within a session, so
     its file listing and footer schema are resolved once, not per query."""
-    key = (id(spark._jsparkSession), path)
+    session = getattr(spark, "_jsparkSession", None) or spark
+    key = (id(session), path)
     df = _READERS.get(key)
     if df is None:
         df = _READERS[key] = read()
