@@ -98,7 +98,7 @@ def stored_orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             os.path.join(pkg, "functions", "classify.py"),
             os.path.join(pkg, "functions", "text.py"), os.path.join(pkg, "schema.py")]
     inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer")]
-    key = L.fingerprint(inputs, code)
+    key = L.fingerprint(inputs, code, spark)
     return L.materialize(spark, "orders-ledger", key, lambda: orders_ledger(spark, sf_dir))
 
 

@@ -71,12 +71,28 @@ def _rename(spark: SparkSession, src: str, dst: str) -> bool:
         return True
 
 
-def fingerprint(inputs: list[str], code_files: list[str]) -> str:
-    """Hash of input file names/sizes/mtimes and of the deriving code."""
+def _signature(spark: SparkSession | None, path: str) -> str:
+    """Size, file count and modification time of a file or folder, read
+    through the cluster's file system (HDFS, object stores, local)."""
+    try:
+        fs, p = _fs_and_path(spark, path)
+        summary = fs.getContentSummary(p)
+        mtime = fs.getFileStatus(p).getModificationTime()
+        return f"{path}:{summary.getLength()}:{summary.getFileCount()}:{mtime}"
+    except Exception:
+        try:
+            st = os.stat(path)
+            return f"{path}:{st.st_size}:{int(st.st_mtime)}"
+        except OSError:
+            return path
+
+
+def fingerprint(inputs: list[str], code_files: list[str],
+                spark: SparkSession | None = None) -> str:
+    """Hash of the inputs' sizes/mtimes and of the deriving code."""
     h = hashlib.sha256()
     for path in inputs:
-        st = os.stat(path)
-        h.update(f"{path}:{st.st_size}:{int(st.st_mtime)}".encode())
+        h.update(_signature(spark, path).encode())
     for path in code_files:
         with open(path, "rb") as fh:
             h.update(fh.read())
