@@ -108,15 +108,21 @@ def _line_rows(files: DataFrame) -> DataFrame:
     return exploded.filter(F.col("file_reason").isNotNull() | data)
 
 
-def parse_statement_files(raw: DataFrame, strict_header: bool = False) -> DataFrame:
+def parse_statement_files(raw: DataFrame, strict_header: bool = False,
+                          spread_lines: bool = False) -> DataFrame:
     """``raw(path, content)`` -> one row per data line with parsed values and a
     ``reason`` (NULL for clean rows), plus one row per rejected file.
 
     Each stage adds named columns (cells, raw cell texts, parsed values,
     reason), so every parser runs once per line and the generated code stays
-    small."""
+    small. With ``spread_lines`` the exploded lines are rebalanced (AQE splits
+    large partitions), so a huge file is parsed by many tasks, not by the one
+    task that read it."""
     files = _files(raw, strict_header)
-    rows = _line_rows(files).withColumn("cells", _cells(F.col("line")))
+    lines = _line_rows(files)
+    if spread_lines:
+        lines = lines.hint("rebalance")
+    rows = lines.withColumn("cells", _cells(F.col("line")))
 
     def cell(p: str) -> Column:
         return F.when(F.col(p) > 0, F.get(F.col("cells"), F.col(p) - 1))
@@ -198,18 +204,33 @@ def read_parsed(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame
     return clean, rejects
 
 
+SPREAD_ABOVE_BYTES = 64 << 20
+
+
+def largest_file(spark: SparkSession, path: str, glob: str = "*.csv") -> int:
+    """Size of the largest matching file, from listing metadata only (the
+    ``length`` column; file contents are not read)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    return int(files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0])
+
+
 def read_statements(spark: SparkSession, path: str, strict_header: bool = False,
-                    glob: str = "*.csv", out_dir: str | None = None
-                    ) -> tuple[DataFrame, DataFrame]:
+                    glob: str = "*.csv", out_dir: str | None = None,
+                    spread_lines: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Read every statement file under ``path`` at once -> (clean, rejects).
 
     The files are parsed in one job and the result is written once to
     ``out_dir`` (default: a new folder under the shared checkpoint folder),
     partitioned by status; clean rows and rejects are then two pruned reads.
     Writing cuts the lineage, so neither side re-parses the files and a lost
-    executor never forces a re-parse.
+    executor never forces a re-parse. ``spread_lines`` (default: when some file
+    exceeds 64 MB) rebalances lines so a hot file is parsed by many tasks.
     """
     from ..session import shared_dir
     out_dir = out_dir or shared_dir(spark, "statements-parsed")
-    write_parsed(parse_statement_files(binary_files(spark, path, glob), strict_header), out_dir)
+    if spread_lines is None:
+        spread_lines = largest_file(spark, path, glob) > SPREAD_ABOVE_BYTES
+    parsed = parse_statement_files(binary_files(spark, path, glob), strict_header, spread_lines)
+    write_parsed(parsed, out_dir)
     return read_parsed(spark, out_dir)

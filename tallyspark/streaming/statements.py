@@ -19,7 +19,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import month_key
 from ..operators.ingest import import_transactions
-from ..sources.statements import CLEAN_COLUMNS, parse_statement_files, split_parsed
+from ..sources.statements import (CLEAN_COLUMNS, SPREAD_ABOVE_BYTES, parse_statement_files,
+                                  split_parsed)
 
 LEDGER_COLUMNS = CLEAN_COLUMNS + ["imported_at"]
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -41,7 +42,9 @@ def _stored(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame |
 def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
                  strict_header: bool = False) -> None:
     spark = batch.sparkSession
-    parsed = parse_statement_files(batch.select("path", "content"), strict_header)
+    largest = batch.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    parsed = parse_statement_files(batch.select("path", "content"), strict_header,
+                                   spread_lines=largest > SPREAD_ABOVE_BYTES)
     clean, rejects = split_parsed(parsed.persist())
     try:
         incoming = clean.withColumn("imported_at", F.current_timestamp())

@@ -129,3 +129,13 @@ def test_watermark_defaults(spark):
 def I_since(existing, incoming, as_of):
     from tallyspark.operators.ingest import since_watermark
     return since_watermark(existing, incoming, as_of)
+
+
+def test_spread_lines_gives_same_rows(spark):
+    ledger = FX.orders_ledger(spark, SF_SMALL)
+    d = FX.write_statements(ledger, shared_dir(spark, "spread"))
+    a, ra = ST.read_statements(spark, d, glob="*.txt", spread_lines=False)
+    b, rb = ST.read_statements(spark, d, glob="*.txt", spread_lines=True)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert ra.count() == rb.count()
+    assert ST.largest_file(spark, d, "*.txt") > 0
