@@ -42,7 +42,8 @@ def _stored(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame |
 def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
                  strict_header: bool = False) -> None:
     spark = batch.sparkSession
-    largest = batch.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    size = F.col("length") if "length" in batch.columns else F.length("content")
+    largest = batch.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
     parsed = parse_statement_files(batch.select("path", "content"), strict_header,
                                    spread_lines=largest > SPREAD_ABOVE_BYTES)
     clean, rejects = split_parsed(parsed.persist())
