@@ -273,6 +273,8 @@ def avg_monthly(t: DataFrame, m: DataFrame, start=None, end=None,
         .alias("avg_monthly_contributions"))
 
 
-def distinct_people(m: DataFrame, ordered: bool = True) -> DataFrame:
-    out = m.select("person_name").distinct()
+def distinct_people(t: DataFrame, m: DataFrame, start=None, end=None, strategy: str = "auto",
+                    ordered: bool = True) -> DataFrame:
+    """People with at least one contribution (the browser's person list)."""
+    out = month_person(t, m, start, end, strategy).select("person_name").distinct()
     return out.orderBy("person_name") if ordered else out

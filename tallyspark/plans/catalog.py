@@ -435,17 +435,22 @@ def avg_monthly_contributions(spark, sf):
 
 
 @register("list_mappings", O.with_orders_and_mappings("""
-SELECT id, person_name, keyword FROM mappings"""))
+SELECT id, person_name, keyword FROM mappings
+UNION ALL
+SELECT c_custkey + 1000000000 AS id, c_mktsegment AS person_name, lower(c_name) AS keyword
+FROM customer WHERE c_custkey % 2 = 0"""))
 def list_mappings(spark, sf):
-    # S9 lists the mapping dimension the ledger queries join against.
-    return M.list_mappings(_mappings(spark)).select("id", "person_name", "keyword")
+    # S9 over the fixture mappings plus mappings derived from ``customer``
+    derived = _id_mappings(spark, sf).withColumn("id", F.col("id") + 1_000_000_000)
+    m = _mappings(spark).select("id", "person_name", "keyword").unionByName(derived)
+    return M.list_mappings(m.withColumn("created_at", F.lit(None).cast("timestamp"))).select(
+        "id", "person_name", "keyword")
 
 
-@register("distinct_people", O.with_orders_and_mappings("""
-SELECT DISTINCT person_name FROM mappings"""))
+@register("distinct_people", _with_pairs("""
+SELECT DISTINCT person_name FROM pairs"""))
 def distinct_people(spark, sf):
-    # A11 lists the people of the mapping dimension that the ledger joins.
-    return C.distinct_people(_mappings(spark), ordered=False)
+    return C.distinct_people(_orders(spark, sf), _mappings(spark), ordered=False)
 
 
 # --- recurrence (R1, P12) ---------------------------------------------------
