@@ -3,9 +3,9 @@
 Writing uses the ``rebalance`` hint on ``month``: AQE splits a heavy month
 over several tasks and merges light ones, so one busy month does not become
 one task or one huge file, and quiet months do not become many tiny files.
-Files are sorted by date inside each month, so Parquet min/max statistics
-prune row groups for date filters; ``query.date_range`` adds the month bounds
-that turn date filters into ``PartitionFilters``.
+Files are sorted by account and date inside each month, so Parquet min/max
+statistics prune row groups for account and date filters; ``query.date_range``
+adds the month bounds that turn date filters into ``PartitionFilters``.
 
 ``materialize`` stores a derived ledger once in the shared checkpoint folder
 (keyed by a fingerprint of its inputs and of the code that derives it). The
@@ -30,8 +30,11 @@ from ..session import checkpoint_root
 
 
 def write_ledger(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Month partitions; inside them rows are sorted by account, then date, so
+    row-group statistics skip data for single-account and date-range reads."""
     out = df.withColumn("month", month_key(F.col("transaction_date")))
-    (out.hint("rebalance", "month").sortWithinPartitions("month", "transaction_date", "id")
+    order = [c for c in ("account_id", "transaction_date", "id") if c in out.columns]
+    (out.hint("rebalance", "month").sortWithinPartitions("month", *order)
      .write.mode(mode).partitionBy("month").parquet(path))
 
 
