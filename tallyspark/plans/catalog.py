@@ -342,9 +342,8 @@ pairs AS (
 )"""
 
 
-def _with_pairs(body: str) -> str:
-    return O.with_orders_and_mappings("," + _PAIRS_SQL + "\n" + body).replace(
-        "),\n,", "),\n", 1)
+def _with_pairs(body: str, *more: str) -> str:
+    return O.with_orders_and_mappings(body, _PAIRS_SQL, *more)
 
 
 def _mappings(spark):
@@ -556,24 +555,26 @@ def projection_summary(spark, sf):
     return _scenario(spark, sf)[1]
 
 
-_AUTO_CTE = _with_pairs(f""", withdrawals AS (
+_AUTO_CTES = ["""
+withdrawals AS (
   SELECT description, abs(CAST(total AS DOUBLE) / occurrences) AS amount, 'monthly' AS frequency
   FROM (SELECT description, COUNT(*) AS occurrences, SUM(abs(amount)) AS total
         FROM ledger WHERE amount <= 0 AND transaction_date >= DATE '2001-01-01'
         GROUP BY description HAVING COUNT(*) >= 2)
-), latest AS (
+)""", """
+latest AS (
   SELECT CAST(balance AS DOUBLE) AS b0 FROM ledger
   ORDER BY transaction_date DESC, id DESC LIMIT 1
-), contrib AS (
+)""", """
+contrib AS (
   SELECT COALESCE(CAST(SUM(amount) AS DOUBLE) / COUNT(DISTINCT month), 0) AS avg_dep FROM pairs
-), base AS (
+)""", """
+base0 AS (
   SELECT CAST(0 AS BIGINT) AS account_id, (SELECT b0 FROM latest) AS b0,
          (SELECT avg_dep FROM contrib) AS dep,
          COALESCE((SELECT SUM(amount) FROM withdrawals), 0) AS wd
-), base2 AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base)
-""").replace("base AS (\n  SELECT CAST(0", "base0 AS (\n  SELECT CAST(0").replace(
-    "base2 AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base)",
-    "base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)")
+)""", """
+base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)"""]
 
 
 def _auto(spark, sf):
@@ -584,12 +585,12 @@ def _auto(spark, sf):
     return P.auto_scenario(t, _mappings(spark), wd, AS_OF, PROJECTION_MONTHS)
 
 
-@register("auto_scenario", _AUTO_CTE + _summary_sql(PROJECTION_MONTHS))
+@register("auto_scenario", _with_pairs(_summary_sql(PROJECTION_MONTHS), *_AUTO_CTES))
 def auto_scenario(spark, sf):
     return _auto(spark, sf)[1]
 
 
-@register("auto_scenario_grid", _AUTO_CTE + _grid_sql(PROJECTION_MONTHS, AS_OF))
+@register("auto_scenario_grid", _with_pairs(_grid_sql(PROJECTION_MONTHS, AS_OF), *_AUTO_CTES))
 def auto_scenario_grid(spark, sf):
     return _auto(spark, sf)[0]
 
@@ -698,7 +699,7 @@ def _new_mappings(spark, sf):
     return base.unionByName(repeats).unionByName(stored)
 
 
-_NEW_MAPPINGS_CTE = O.with_orders_and_mappings(""",
+_NEW_MAPPINGS_CTES = ["""
 requests AS (
   SELECT CASE WHEN c_custkey % 4 = 0 THEN '  ' || c_mktsegment || ' ' ELSE c_mktsegment END
            AS person_name,
@@ -706,25 +707,29 @@ requests AS (
   FROM customer
   UNION ALL SELECT c_mktsegment, lower(c_name) FROM customer WHERE c_custkey % 5 = 0
   UNION ALL SELECT ' ' || person_name, keyword FROM mappings
-), cleaned AS (
+)""", """
+cleaned AS (
   SELECT trim(person_name) AS person_name, trim(keyword) AS keyword FROM requests
-)
-""").replace("),\n,\nrequests", "),\nrequests")
+)"""]
+
+
+def _new_mappings_sql(body: str) -> str:
+    return O.with_orders_and_mappings(body, *_NEW_MAPPINGS_CTES)
 
 
-@register("upsert_mappings", _NEW_MAPPINGS_CTE + """
+@register("upsert_mappings", _new_mappings_sql("""
 SELECT person_name, keyword FROM mappings
 UNION ALL
 SELECT DISTINCT c.person_name, c.keyword FROM cleaned c
 WHERE c.person_name <> '' AND c.keyword <> ''
   AND NOT EXISTS (SELECT 1 FROM mappings m
-                  WHERE m.person_name = c.person_name AND m.keyword = c.keyword)""")
+                  WHERE m.person_name = c.person_name AND m.keyword = c.keyword)"""))
 def upsert_mappings(spark, sf):
     after, _ = M.upsert_mappings(FX.mappings(spark), _new_mappings(spark, sf))
     return after.select("person_name", "keyword")
 
 
-@register("upsert_mapping_rejects", _NEW_MAPPINGS_CTE + """
+@register("upsert_mapping_rejects", _new_mappings_sql("""
 SELECT person_name, keyword, reason FROM (
   SELECT person_name, keyword,
          CASE WHEN person_name = '' THEN 'empty_person' WHEN keyword = '' THEN 'empty_keyword'
@@ -738,7 +743,7 @@ SELECT person_name, keyword, 'duplicate' AS reason FROM (
          EXISTS (SELECT 1 FROM mappings m
                  WHERE m.person_name = c.person_name AND m.keyword = c.keyword) AS stored
   FROM cleaned c WHERE c.person_name <> '' AND c.keyword <> ''
-) WHERE stored OR rn > 1""")
+) WHERE stored OR rn > 1"""))
 def upsert_mapping_rejects(spark, sf):
     _, rejects = M.upsert_mappings(FX.mappings(spark), _new_mappings(spark, sf))
     return rejects
@@ -854,12 +859,9 @@ SELECT reason, COUNT(*) AS n FROM (
   FROM ledger
   WHERE floor(account_id / 16) % 23 <> 0 AND (id % 101 = 0 OR id % 103 = 0)
   UNION ALL
-  SELECT DISTINCT 'missing_column' || CAST(floor(account_id / 16) AS VARCHAR) FROM ledger
-  WHERE floor(account_id / 16) % 23 = 0
-) GROUP BY reason""").replace(
-    "SELECT DISTINCT 'missing_column' || CAST(floor(account_id / 16) AS VARCHAR) FROM ledger",
-    "SELECT 'missing_column' FROM (SELECT DISTINCT floor(account_id / 16) AS k FROM ledger")
-    .replace("WHERE floor(account_id / 16) % 23 = 0\n)", "WHERE floor(account_id / 16) % 23 = 0)\n)"))
+  SELECT 'missing_column' FROM (SELECT DISTINCT floor(account_id / 16) AS k FROM ledger)
+  WHERE k % 23 = 0
+) GROUP BY reason"""))
 def statement_rejects(spark, sf):
     _, rejects = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -109,9 +109,14 @@ coarse AS (
 )"""
 
 
+def with_ctes(*ctes: str, body: str) -> str:
+    """``WITH cte1, cte2, ... body`` from ``name AS (...)`` definitions."""
+    return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+
+
 def with_orders(body: str) -> str:
-    return f"WITH {ORDERS_LEDGER_CTE}\n{body}"
+    return with_ctes(ORDERS_LEDGER_CTE, body=body)
 
 
-def with_orders_and_mappings(body: str) -> str:
-    return f"WITH {ORDERS_LEDGER_CTE},{MAPPINGS_CTE}\n{body}"
+def with_orders_and_mappings(body: str, *more: str) -> str:
+    return with_ctes(ORDERS_LEDGER_CTE, MAPPINGS_CTE, *more, body=body)
