@@ -201,19 +201,28 @@ def contributions(t: DataFrame, m: DataFrame, start=None, end=None, person: str
     return out.orderBy(F.desc("transaction_date"), "id") if ordered else out
 
 
-def month_person(t: DataFrame, m: DataFrame, start=None, end=None,
-                 strategy: str = "auto") -> DataFrame:
-    """The (month, person) base table every contribution statistic rolls up from.
+def per_row_person(t: DataFrame, m: DataFrame, start=None, end=None,
+                   strategy: str = "auto") -> DataFrame:
+    """One row per (transaction, person) with ``hits`` = matching keywords.
 
-    ``total`` = fan-out SUM over join pairs, ``ids`` = distinct transactions,
-    ``pairs`` = join pairs, ``total_distinct`` = SUM over distinct (id, person).
-    """
+    All pairs of a transaction come out of the same join task, so the
+    partial aggregate folds them before the shuffle."""
     rows = _deposits(t, start, end).select(
         "id", "amount", month_key(F.col("transaction_date")).alias("month"),
         "description")
     pairs = keyword_matches(rows, m, strategy)
-    per_id = pairs.groupBy("id", "month", "amount", "person_name").agg(
+    return pairs.groupBy("id", "month", "amount", "person_name").agg(
         F.count(F.lit(1)).alias("hits"))
+
+
+def month_person(t: DataFrame, m: DataFrame, start=None, end=None,
+                 strategy: str = "auto") -> DataFrame:
+    """The (month, person) base table the monthly statistics roll up from.
+
+    ``total`` = fan-out SUM over join pairs, ``ids`` = distinct transactions,
+    ``pairs`` = join pairs, ``total_distinct`` = SUM over distinct (id, person).
+    """
+    per_id = per_row_person(t, m, start, end, strategy)
     return per_id.groupBy("month", "person_name").agg(
         F.sum(F.col("amount") * F.col("hits")).alias("total"),
         F.count(F.lit(1)).alias("ids"),
@@ -226,10 +235,10 @@ def totals(t: DataFrame, m: DataFrame, start=None, end=None, distinct_pairs: boo
            strategy: str = "auto", ordered: bool = False) -> DataFrame:
     """Per person: total (fan-out, or per distinct row with ``distinct_pairs``)
     and the number of distinct transactions."""
-    mp = month_person(t, m, start, end, strategy)
-    col = "total_distinct" if distinct_pairs else "total"
-    out = mp.groupBy("person_name").agg(F.sum(col).cast("double").alias("total"),
-                                        F.sum("ids").alias("count"))
+    per_id = per_row_person(t, m, start, end, strategy)
+    value = F.col("amount") if distinct_pairs else F.col("amount") * F.col("hits")
+    out = per_id.groupBy("person_name").agg(F.sum(value).cast("double").alias("total"),
+                                            F.count(F.lit(1)).alias("count"))
     return out.orderBy(F.desc("total"), "person_name") if ordered else out
 
 

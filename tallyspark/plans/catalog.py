@@ -892,11 +892,16 @@ def stream_ingest(spark, sf):
     for i, part in enumerate([key % 2 == 0, key % 2 == 1]):
         FX.write_statements(ledger.filter(part), f"{in_dir}/drop{i}")
         q = SS.stream_statements(spark, in_dir, out_dir, ckpt, glob="*.txt")
-        q.awaitTermination()
+        if not q.awaitTermination(STREAM_TIMEOUT_S):
+            q.stop()
+            raise TimeoutError(f"stream import did not finish in {STREAM_TIMEOUT_S} s")
     return money_out(SS.read_ledger(spark, out_dir).select(
         "transaction_date", "description", "amount", "balance", "category", "source"))
 
 
+STREAM_TIMEOUT_S = 900
+
+
 # --- snapshots (K3-K7, S10) -------------------------------------------------
 
 def _exported(spark, sf, ledger=None, m=None):
