@@ -30,9 +30,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_key, months_since
+from ..functions.calendar import months_since
 from ..functions.text import contains_pattern
-from .query import date_range
+from .query import date_range, ledger_month
 
 # Size bounds of the broadcast strategy (checked on the mapping table).
 NESTED_LOOP_MAX_KEYWORDS = 256
@@ -208,8 +208,7 @@ def per_row_person(t: DataFrame, m: DataFrame, start=None, end=None,
     All pairs of a transaction come out of the same join task, so the
     partial aggregate folds them before the shuffle."""
     rows = _deposits(t, start, end).select(
-        "id", "amount", month_key(F.col("transaction_date")).alias("month"),
-        "description")
+        "id", "amount", ledger_month(t).alias("month"), "description")
     pairs = keyword_matches(rows, m, strategy)
     return pairs.groupBy("id", "month", "amount", "person_name").agg(
         F.count(F.lit(1)).alias("hits"))

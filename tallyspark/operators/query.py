@@ -35,6 +35,13 @@ def date_bounds(df: DataFrame, start=None, end=None) -> list[Column]:
     return conds
 
 
+def ledger_month(df: DataFrame) -> Column:
+    """``YYYY-MM`` of each row: the stored ledger's ``month`` partition column
+    when present (free: constant per file), else computed from the date."""
+    from ..functions.calendar import month_key
+    return F.col("month") if "month" in df.columns else month_key(F.col(DATE))
+
+
 def date_range(df: DataFrame, start=None, end=None) -> DataFrame:
     conds = date_bounds(df, start, end)
     return df.filter(reduce(lambda a, b: a & b, conds)) if conds else df

@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_key
-from .query import date_range
+from .query import date_range, ledger_month
 
 
 def _zero() -> Column:
@@ -78,8 +77,7 @@ def monthly(df: DataFrame, start=None, end=None, keys: list[str] | None = None,
             ordered: bool = False) -> DataFrame:
     """Deposits, withdrawals and net per ``YYYY-MM`` month."""
     keys = keys or []
-    out = date_range(df, start, end).groupBy(
-        *keys, month_key(F.col("transaction_date")).alias("month")).agg(
+    out = date_range(df, start, end).groupBy(*keys, ledger_month(df).alias("month")).agg(
         _deposits().alias("deposits"), _withdrawals().alias("withdrawals"),
         _dsum(_amt()).alias("net"))
     return out.orderBy(*keys, F.desc("month")) if ordered else out
@@ -133,7 +131,7 @@ def statistics_one_pass(df: DataFrame, start=None, end=None,
     keys = keys or []
     d = date_range(df, start, end).select(
         *keys, "amount", "transaction_date", "source", "category",
-        month_key(F.col("transaction_date")).alias("month"))
+        ledger_month(df).alias("month"))
     pos = _amt() > 0
     sets = [keys, keys + ["source"], keys + ["month"], keys + ["category"]]
     agg = d.groupingSets(sets, *keys, "source", "month", "category").agg(
