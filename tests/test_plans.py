@@ -66,3 +66,26 @@ def test_column_pruning(spark):
     text = plan_text(df, "formatted")
     assert "ReadSchema: struct<o_custkey:bigint,o_orderdate:timestamp_ntz>" in text
     assert "ReadSchema: struct<c_custkey:bigint>" in text
+
+
+def test_statement_parse_has_no_shuffle(spark):
+    from tallyspark.session import shared_dir
+    from tallyspark.sources import statements as ST
+    d = FX.write_statements(FX.orders_ledger(spark, SF_SMALL), shared_dir(spark, "plan-st"))
+    parsed = ST.parse_statement_files(ST.binary_files(spark, d, "*.txt"))
+    text = plan_text(parsed, "simple")
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_import_reads_stored_keys_for_batch_span_only(spark):
+    from tallyspark.operators import ingest as I
+    from tallyspark.sources import ledger as L
+    path = tempfile.mkdtemp(prefix="stored-")
+    L.write_ledger(FX.orders_ledger(spark, SF_SMALL), path)
+    stored = L.read_ledger(spark, path)
+    batch = FX.orders_ledger(spark, SF_SMALL).filter(
+        "transaction_date between '1997-03-01' and '1997-03-31'")
+    res = I.import_transactions(stored, batch, ["id"])
+    text = plan_text(res.new, "formatted")
+    assert "PartitionFilters: [isnotnull(month" in text and "1997-03" in text
+    assert res.counts.first().inserted == 0
