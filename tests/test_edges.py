@@ -5,7 +5,6 @@ import os
 import tempfile
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from tallyspark.operators import contrib as C
 from tallyspark.operators import query as Q
