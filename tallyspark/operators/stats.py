@@ -114,9 +114,6 @@ def recent_months(df: DataFrame, n: int = 6, start=None, end=None) -> DataFrame:
     return monthly(df, start, end, ordered=True).limit(n)
 
 
-STAT_SETS = ["overall", "source", "month", "category"]
-
-
 def statistics_one_pass(df: DataFrame, start=None, end=None,
                         keys: list[str] | None = None) -> DataFrame:
     """Overall, by-source, monthly and by-category statistics in one scan.

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import categorize, extract_source
 from ..functions.parse import is_na, parse_amount, parse_balance, with_parsed_dates
 from ..functions.text import strip_ws
+from ..schema import REJECTS, conform
 
 # Header aliases (compared trimmed and lower-case).
 ALIASES = {
@@ -200,7 +201,7 @@ def read_parsed(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame
     """(clean, rejects) from a ``write_parsed`` folder (partition pruning on status)."""
     t = spark.read.parquet(out_dir)
     clean = t.filter(F.col("status") == "clean").select(*CLEAN_COLUMNS)
-    rejects = t.filter(F.col("status") == "reject").select("path", "line_no", "raw", "reason")
+    rejects = conform(t.filter(F.col("status") == "reject"), REJECTS)
     return clean, rejects
 
 
