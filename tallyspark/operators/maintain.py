@@ -26,30 +26,33 @@ def upsert_mappings(m: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     rejected (``empty_person`` / ``empty_keyword``); a pair already stored, or
     repeated in the batch, is rejected as ``duplicate``. Returns
     ``(mappings_after, rejects)``. Ids of added rows are a 64-bit hash of the key.
+
+    Duplicate rejects are the input rows themselves: each row gets a row id,
+    the smallest id per key (a partial aggregate) is the accepted copy, and
+    the other rows are found by joining back on the key -- a join AQE splits
+    when one key holds many copies, instead of one task generating them.
     """
     has_created = "created_at" in new.columns
     n = new.select(
         strip_ws(F.col("person_name")).alias("person_name"),
         strip_ws(F.col("keyword")).alias("keyword"),
         (F.col("created_at") if has_created else F.lit(None).cast("timestamp"))
-        .alias("created_at"))
+        .alias("created_at"),
+        F.monotonically_increasing_id().alias("_rid"))
     empty_p = F.col("person_name").isNull() | (F.col("person_name") == "")
     empty_k = F.col("keyword").isNull() | (F.col("keyword") == "")
-    reason = F.when(empty_p, "empty_person").when(empty_k, "empty_keyword")
-    checked = n.withColumn("reason", reason)
+    checked = n.withColumn("reason", F.when(empty_p, "empty_person").when(empty_k,
+                                                                           "empty_keyword"))
     valid = checked.filter(F.col("reason").isNull())
-    in_batch = valid.groupBy(*MAPPING_KEY).agg(
-        F.count(F.lit(1)).alias("copies"), F.min("created_at").alias("created_at"))
-    fresh = in_batch.join(m.select(*MAPPING_KEY), MAPPING_KEY, "left_anti")
-    added = fresh.select(
+    per_key = valid.groupBy(*MAPPING_KEY).agg(
+        F.min("_rid").alias("_keep"), F.min_by("created_at", "_rid").alias("created_at"))
+    stored = m.select(*MAPPING_KEY).distinct().withColumn("_stored", F.lit(True))
+    flagged = per_key.join(stored, MAPPING_KEY, "left")
+    added = flagged.filter(F.col("_stored").isNull()).select(
         F.xxhash64(*MAPPING_KEY).alias("id"), *MAPPING_KEY,
         F.coalesce(F.col("created_at"), F.current_timestamp()).alias("created_at"))
-    stored_dupes = in_batch.join(m.select(*MAPPING_KEY), MAPPING_KEY, "left_semi").select(
-        *MAPPING_KEY, F.col("copies").alias("n"))
-    batch_dupes = fresh.filter(F.col("copies") > 1).select(
-        *MAPPING_KEY, (F.col("copies") - 1).alias("n"))
-    dupes = stored_dupes.unionByName(batch_dupes).select(
-        *MAPPING_KEY, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).select(
+    dupes = valid.join(flagged.select(*MAPPING_KEY, "_keep", "_stored"), MAPPING_KEY).filter(
+        F.col("_stored").isNotNull() | (F.col("_rid") != F.col("_keep"))).select(
         *MAPPING_KEY, F.lit("duplicate").alias("reason"))
     rejects = checked.filter(F.col("reason").isNotNull()).select(
         *MAPPING_KEY, "reason").unionByName(dupes)
