@@ -25,14 +25,36 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB of ledger input):
+# start shuffles wide and let AQE coalesce them to ~128 MB partitions, so a
+# task's shuffle input fits executor memory without spilling much; read
+# Parquet in 256 MB splits; split skewed join partitions (a key holding a large
+# share of rows); let broadcasts happen only below 64 MB of measured size.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "tallyspark",
                   shuffle_partitions: int | None = None,
-                  conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with AQE (coalescing and skew-join splitting) and UTC time."""
+                  conf: dict[str, str] | None = None,
+                  profile: str = "local") -> SparkSession:
+    """A session with AQE (coalescing and skew-join splitting) and UTC time;
+    ``profile="cluster"`` adds ``CLUSTER_CONF``."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
     settings = dict(DEFAULT_CONF)
+    if profile == "cluster":
+        settings.update(CLUSTER_CONF)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
