@@ -169,6 +169,12 @@ def categorize(spark, sf):
                                                  "source"))
 
 
+@register("extract_source", O.with_orders("""
+SELECT id, description, CAST(amount AS DOUBLE) AS amount, source FROM ledger"""))
+def extract_source(spark, sf):
+    return money_out(_orders(spark, sf).select("id", "description", "amount", "source"))
+
+
 # --- distinct lists and point statistics (A8-A11, A16) ---------------------
 
 @register("distinct_categories", O.with_orders("""
