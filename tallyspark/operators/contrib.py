@@ -122,6 +122,8 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataFrame:
+    """Large-dimension plan (see module docstring). Like the stored table, it
+    assumes (person_name, keyword) pairs are unique in ``m``."""
     pats = _patterns(m)
     ld = F.lower(F.col("description"))
     descs = rows.select(ld.alias("ld")).distinct()
