@@ -56,10 +56,6 @@ def _cells(line: Column) -> Column:
     return F.transform(raw, unquote)
 
 
-def field_count(line: Column) -> Column:
-    return F.size(_cells(line))
-
-
 def _is_header(line: Column, strict: bool) -> Column:
     low = F.lower(line)
     if strict:
