@@ -139,3 +139,23 @@ def test_spread_lines_gives_same_rows(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert ra.count() == rb.count()
     assert ST.largest_file(spark, d, "*.txt") > 0
+
+
+def test_stream_accepts_late_rows_and_skips_repeats(spark):
+    ledger = FX.orders_ledger(spark, SF_SMALL)
+    in_dir = shared_dir(spark, "late-in")
+    out, ckpt = shared_dir(spark, "late-out"), shared_dir(spark, "late-ckpt")
+    recent = F.col("transaction_date") >= F.lit(dt.date(1998, 1, 1))
+    FX.write_statements(ledger.filter(recent), f"{in_dir}/d1")
+    SS.stream_statements(spark, in_dir, out, ckpt, glob="*.txt").awaitTermination()
+    first = SS.read_ledger(spark, out).count()
+    # the second drop holds older rows plus repeats of a tenth of the first drop
+    FX.write_statements(ledger.filter(~recent | (F.col("id") % 10 == 0)), f"{in_dir}/d2")
+    SS.stream_statements(spark, in_dir, out, ckpt, glob="*.txt").awaitTermination()
+    streamed = SS.read_ledger(spark, out).select("transaction_date", "description", "amount")
+    assert streamed.count() > first
+    all_dir = shared_dir(spark, "late-all")
+    FX.write_statements(ledger, all_dir)
+    clean, _ = ST.read_statements(spark, all_dir, glob="*.txt")
+    batch = clean.select("transaction_date", "description", "amount")
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
