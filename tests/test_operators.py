@@ -242,12 +242,16 @@ def test_upsert_and_delete_mappings(spark, mappings):
 
 def test_corrections(spark, ledger):
     first = ledger.orderBy("id").first()
+    second = ledger.orderBy("id").offset(1).first()
     c = spark.createDataFrame(
         [(first.id, {"category": "X", "amount": "1"}), (first.id, {"notes": None}),
-         (10 ** 12, {"category": "Y"})], "id long, changes map<string,string>")
-    r = M.apply_corrections(ledger, c).filter(F.col("id") == first.id).first()
+         (10 ** 12, {"category": "Y"}), (second.id, {})], "id long, changes map<string,string>")
+    out = M.apply_corrections(ledger, c)
+    r = out.filter(F.col("id") == first.id).first()
     assert r.category == "X" and r.notes is None and r.amount == first.amount
     assert r.description == first.description
+    assert out.filter(F.col("id") == second.id).first() == second     # empty map: unchanged
+    assert out.count() == ledger.count()
 
 
 # --- recurrence ---------------------------------------------------------------------
