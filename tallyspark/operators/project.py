@@ -22,19 +22,34 @@ from . import contrib as C
 from .query import latest_balance
 
 
+MICRO = 1_000_000
+
+
+def _micro(x):
+    """A monthly amount in integer millionths (rounded half up once per item)."""
+    return F.floor(x * F.lit(float(MICRO)) + F.lit(0.5))
+
+
 def monthly_flows(items: DataFrame, keys: list[str]) -> DataFrame:
     """Recurring items -> monthly deposits and withdrawals per account.
 
     Deposits keep their sign; withdrawals count with their absolute value; an
-    absent amount is 0; frequency per ``per_month``.
+    absent amount is 0; frequency per ``per_month``. Each item's monthly
+    amount is summed in integer millionths: the sum is exact and does not
+    depend on the order rows arrive in after the shuffle (a double sum would
+    differ in the last bits from run to run). Item amounts up to about nine
+    trillion per month fit.
     """
     amt = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
     k = per_month(F.col("frequency"))
     is_dep = F.col("direction") == "deposit"
+
+    def total(c):
+        return (F.coalesce(F.sum(c), F.lit(0)).cast("double") / F.lit(float(MICRO)))
+
     return items.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(is_dep, amt * k)), F.lit(0.0)).alias("monthly_deposits"),
-        F.coalesce(F.sum(F.when(~is_dep, F.abs(amt) * k)), F.lit(0.0))
-        .alias("monthly_withdrawals"),
+        total(F.when(is_dep, _micro(amt * k))).alias("monthly_deposits"),
+        total(F.when(~is_dep, _micro(F.abs(amt) * k))).alias("monthly_withdrawals"),
     )
 
 

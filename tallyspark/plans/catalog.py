@@ -498,6 +498,11 @@ _PER_MONTH_SQL = """CASE lower(COALESCE(frequency, 'monthly')) WHEN 'weekly' THE
      WHEN 'biweekly' THEN 26.0 / 12 WHEN 'monthly' THEN 1.0 WHEN 'quarterly' THEN 1.0 / 3
      WHEN 'yearly' THEN 1.0 / 12 ELSE 1.0 END"""
 
+def _micro_sql(x: str) -> str:
+    """A monthly amount in integer millionths, rounded half up."""
+    return f"CAST(floor(({x}) * 1000000.0 + 0.5) AS BIGINT)"
+
+
 _SCENARIO_CTE = f"""
 WITH accounts AS (
   SELECT c_custkey AS account_id, CAST(c_acctbal AS DOUBLE) AS current_balance FROM customer
@@ -511,10 +516,11 @@ WITH accounts AS (
   SELECT c_custkey, 'withdrawal', CAST(-(200 + c_custkey % 30) AS DOUBLE), 'monthly' FROM customer
 ), flows AS (
   SELECT account_id,
-         COALESCE(SUM(CASE WHEN direction = 'deposit' THEN COALESCE(amount, 0) * {_PER_MONTH_SQL}
-                  END), 0) AS dep,
-         COALESCE(SUM(CASE WHEN direction <> 'deposit' THEN abs(COALESCE(amount, 0))
-                  * {_PER_MONTH_SQL} END), 0) AS wd
+         CAST(COALESCE(SUM(CASE WHEN direction = 'deposit' THEN {_micro_sql(
+             "COALESCE(amount, 0) * " + _PER_MONTH_SQL)} END), 0) AS DOUBLE) / 1000000.0 AS dep,
+         CAST(COALESCE(SUM(CASE WHEN direction <> 'deposit' THEN {_micro_sql(
+             "abs(COALESCE(amount, 0)) * " + _PER_MONTH_SQL)} END), 0) AS DOUBLE) / 1000000.0
+           AS wd
   FROM items GROUP BY account_id
 ), base AS (
   SELECT a.account_id, a.current_balance AS b0, COALESCE(f.dep, 0) AS dep,
@@ -577,8 +583,10 @@ contrib AS (
 )""", """
 base0 AS (
   SELECT CAST(0 AS BIGINT) AS account_id, (SELECT b0 FROM latest) AS b0,
-         (SELECT avg_dep FROM contrib) AS dep,
-         COALESCE((SELECT SUM(amount) FROM withdrawals), 0) AS wd
+         CAST((SELECT """ + _micro_sql("avg_dep * 1.0") + """ FROM contrib) AS DOUBLE)
+           / 1000000.0 AS dep,
+         CAST(COALESCE((SELECT SUM(""" + _micro_sql("amount * 1.0") + """) FROM withdrawals), 0)
+           AS DOUBLE) / 1000000.0 AS wd
 )""", """
 base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)"""]
 
