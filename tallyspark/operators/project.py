@@ -62,11 +62,14 @@ def project_balances(accounts: DataFrame, items: DataFrame, months: int = 12,
     ``months < 0``); row 0 has zero flows and the current balance.
     summary: final balance, total change, totals over the horizon, monthly
     net, trend and months until zero (NULL unless net < 0 and balance > 0).
+    Accounts without a current balance are left out; ``projection_rejects``
+    lists them.
     """
     keys = keys or ["account_id"]
     as_of = as_of or _dt.date.today()
     flows = monthly_flows(items, keys)
-    base = accounts.join(flows, keys, "left").select(
+    valid = accounts.filter(F.col("current_balance").isNotNull())
+    base = valid.join(flows, keys, "left").select(
         *keys, F.col("current_balance").cast("double").alias("b0"),
         F.coalesce("monthly_deposits", F.lit(0.0)).alias("dep"),
         F.coalesce("monthly_withdrawals", F.lit(0.0)).alias("wd"),
@@ -104,6 +107,14 @@ def project_balances(accounts: DataFrame, items: DataFrame, months: int = 12,
     return grid, summary
 
 
+def projection_rejects(accounts: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Accounts that cannot be projected: no current balance (the reference's
+    call fails on a missing balance; here the account is reported instead)."""
+    keys = keys or ["account_id"]
+    return accounts.filter(F.col("current_balance").isNull()).select(
+        *keys, F.lit("missing_balance").alias("reason"))
+
+
 def auto_scenario(t: DataFrame, m: DataFrame, withdrawals: DataFrame, as_of: _dt.date,
                   months: int = 12, start=None, end=None) -> tuple[DataFrame, DataFrame]:
     """The browser's automatic projection for one ledger: current balance =

@@ -567,6 +567,18 @@ def projection_summary(spark, sf):
     return _scenario(spark, sf)[1]
 
 
+@register("projection_rejects", O.with_orders("""
+SELECT account_id, 'missing_balance' AS reason FROM (
+  SELECT account_id, balance FROM ledger
+  QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY transaction_date DESC, id DESC) = 1
+) WHERE balance IS NULL"""))
+def projection_rejects(spark, sf):
+    # accounts whose newest ledger row carries no balance cannot be projected
+    accounts = Q.latest_balance(_orders(spark, sf), keys=["account_id"]).select(
+        "account_id", F.col("balance").alias("current_balance"))
+    return P.projection_rejects(accounts)
+
+
 _AUTO_CTES = ["""
 withdrawals AS (
   SELECT description, abs(CAST(total AS DOUBLE) / occurrences) AS amount, 'monthly' AS frequency

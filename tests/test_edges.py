@@ -81,3 +81,17 @@ def test_keyword_with_backslash_and_wildcards(spark):
     # '\%' is a literal %; a stray '\s' is read as 's' (so 'f\s' looks for 'fs',
     # found nowhere); '_' matches one character
     assert b == n == [(1, "P"), (1, "R"), (2, "R")]
+
+
+def test_projection_skips_and_reports_missing_balance(spark):
+    from tallyspark.operators import project as P
+    acc = spark.createDataFrame([(1, 100.0), (2, None)], "account_id long, current_balance double")
+    items = spark.createDataFrame([(1, "deposit", "d", 10.0, "monthly"),
+                                   (2, "deposit", "d", 10.0, "monthly")],
+                                  "account_id long, direction string, description string, "
+                                  "amount double, frequency string")
+    grid, summary = P.project_balances(acc, items, 2, dt.date(2024, 1, 31))
+    assert {r.account_id for r in summary.collect()} == {1}
+    assert {r.account_id for r in grid.collect()} == {1}
+    assert [(r.account_id, r.reason) for r in P.projection_rejects(acc).collect()] == [
+        (2, "missing_balance")]
