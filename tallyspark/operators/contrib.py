@@ -66,7 +66,8 @@ def _patterns(m: DataFrame) -> DataFrame:
     underscores = F.length(ph) - F.length(F.regexp_replace(ph, "_", ""))
     return m.select(
         "person_name", "keyword", pattern.alias("pattern"), literal.alias("literal"),
-        F.least(F.length(literal), F.lit(3)).alias("n"), underscores.alias("underscores"))
+        F.least(F.length(literal), F.lit(3)).alias("n"), underscores.alias("underscores"),
+        _plain(F.col("keyword")).alias("plain"))
 
 
 def profile(m: DataFrame) -> MappingProfile:
@@ -133,14 +134,15 @@ def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataF
         dg = descs.select("ld", F.explode(_grams(F.col("ld"), n)).alias("gram"))
         freq = dg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
         kp = pats.filter(F.col("n") == n)
-        kg = kp.select("person_name", "keyword", "pattern",
+        kg = kp.select("person_name", "keyword", "pattern", "literal", "plain",
                        F.explode(_grams(F.col("literal"), n)).alias("gram"))
         best = (kg.join(freq, "gram", "left")
-                .groupBy("person_name", "keyword", "pattern")
+                .groupBy("person_name", "keyword", "pattern", "literal", "plain")
                 .agg(F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram")))
         cand = dg.join(best, "gram")
-        found.append(cand.filter(F.like(F.col("ld"), F.col("pattern")))
-                     .select("ld", "person_name", "keyword"))
+        verified = F.when(F.col("plain"), F.col("ld").contains(F.col("literal"))).otherwise(
+            F.like(F.col("ld"), F.col("pattern")))
+        found.append(cand.filter(verified).select("ld", "person_name", "keyword"))
     if prof.wildcard_only:
         # '%' + only wildcards + '%': matches iff length >= number of '_'.
         wp = pats.filter(F.col("n") == 0).select("person_name", "keyword",
