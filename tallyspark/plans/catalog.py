@@ -463,7 +463,7 @@ def avg_monthly_contributions(spark, sf):
 SELECT id, person_name, keyword FROM mappings
 UNION ALL
 SELECT c_custkey + 1000000000 AS id, c_mktsegment AS person_name, lower(c_name) AS keyword
-FROM customer WHERE c_custkey % 2 = 0"""))
+FROM customer"""))
 def list_mappings(spark, sf):
     # S9 over the fixture mappings plus mappings derived from ``customer``
     derived = _id_mappings(spark, sf).withColumn("id", F.col("id") + 1_000_000_000)
@@ -738,8 +738,8 @@ def _new_mappings(spark, sf):
         .otherwise(F.col("c_mktsegment"))
     keyword = F.when(k % 9 == 0, F.lit("   ")).otherwise(F.lower(F.col("c_name")))
     base = c.select(person.alias("person_name"), keyword.alias("keyword"))
-    repeats = c.filter(k % 5 == 0).select(F.col("c_mktsegment").alias("person_name"),
-                                          F.lower(F.col("c_name")).alias("keyword"))
+    repeats = c.select(F.col("c_mktsegment").alias("person_name"),
+                       F.lower(F.col("c_name")).alias("keyword"))
     stored = FX.mappings(spark).select(
         F.concat(F.lit(" "), F.col("person_name")).alias("person_name"), "keyword")
     return base.unionByName(repeats).unionByName(stored)
@@ -751,7 +751,7 @@ requests AS (
            AS person_name,
          CASE WHEN c_custkey % 9 = 0 THEN '   ' ELSE lower(c_name) END AS keyword
   FROM customer
-  UNION ALL SELECT c_mktsegment, lower(c_name) FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT c_mktsegment, lower(c_name) FROM customer
   UNION ALL SELECT ' ' || person_name, keyword FROM mappings
 )""", """
 cleaned AS (
@@ -796,58 +796,66 @@ def upsert_mapping_rejects(spark, sf):
 
 
 def _id_mappings(spark, sf):
-    c = FX.table(spark, sf, "customer").filter(F.col("c_custkey") % 2 == 0)
+    """Every customer name as a keyword of its market segment, id = customer key."""
+    c = FX.table(spark, sf, "customer")
     return c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("person_name"),
                     F.lower(F.col("c_name")).alias("keyword"))
 
 
 def _delete_ids(spark, sf):
-    o = FX.table(spark, sf, "orders").filter(F.col("o_orderkey") % 3 == 0)
-    return o.select(F.col("o_custkey").alias("id"))
+    """One delete request per order: every third names its customer's mapping,
+    the others an id no mapping has."""
+    o = FX.table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    return o.select(F.when(k % 3 == 0, F.col("o_custkey")).otherwise(k + 1_000_000_000)
+                    .alias("id"))
 
 
-@register("delete_mappings", """
+_DELETE_IDS_SQL = """
+SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey + 1000000000 END AS id
+FROM orders"""
+
+
+@register("delete_mappings", f"""
 SELECT c_custkey AS id, c_mktsegment AS person_name, lower(c_name) AS keyword FROM customer
-WHERE c_custkey % 2 = 0
-  AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)""")
+WHERE c_custkey NOT IN ({_DELETE_IDS_SQL})""")
 def delete_mappings(spark, sf):
     after, _ = M.delete_mappings(_id_mappings(spark, sf), _delete_ids(spark, sf))
     return after
 
 
-@register("delete_mappings_not_found", """
-SELECT DISTINCT o_custkey AS id FROM orders
-WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer
-                                              WHERE c_custkey % 2 = 0)""")
+@register("delete_mappings_not_found", f"""
+SELECT DISTINCT id FROM ({_DELETE_IDS_SQL})
+WHERE id NOT IN (SELECT c_custkey FROM customer)""")
 def delete_mappings_not_found(spark, sf):
     _, missing = M.delete_mappings(_id_mappings(spark, sf), _delete_ids(spark, sf))
     return missing
 
 
 def _corrections(spark, sf):
-    """Correction maps derived from ``orders``: set a category, clear notes,
-    try to change the amount (ignored), rewrite a description; some target
-    ids that do not exist."""
+    """One correction per order, by order key: set the category; clear notes
+    and try to change the amount (ignored); target an id that does not exist;
+    rewrite description and source."""
     o = FX.table(spark, sf, "orders")
     k = F.col("o_orderkey")
-    m1 = o.filter(k % 11 == 0).select(k.alias("id"), F.create_map(
-        F.lit("category"), F.col("o_orderpriority")).alias("changes"))
-    m2 = o.filter(k % 13 == 0).select(k.alias("id"), F.create_map(
-        F.lit("notes"), F.lit(None).cast("string"), F.lit("amount"), F.lit("1")).alias("changes"))
-    m3 = o.filter(k % 17 == 0).select((k + 10_000_000_000).alias("id"), F.create_map(
-        F.lit("source"), F.lit("nowhere")).alias("changes"))
-    m4 = o.filter(k % 19 == 0).select(k.alias("id"), F.create_map(
-        F.lit("description"), F.upper(F.col("o_orderstatus")),
-        F.lit("source"), F.col("o_orderpriority")).alias("changes"))
-    return m1.unionByName(m2).unionByName(m3).unionByName(m4)
+    r = k % 4
+    changes = (
+        F.when(r == 0, F.create_map(F.lit("category"), F.col("o_orderpriority")))
+        .when(r == 1, F.create_map(F.lit("notes"), F.lit(None).cast("string"),
+                                   F.lit("amount"), F.lit("1")))
+        .when(r == 2, F.create_map(F.lit("source"), F.lit("nowhere")))
+        .otherwise(F.create_map(F.lit("description"), F.upper(F.col("o_orderstatus")),
+                                F.lit("source"), F.col("o_orderpriority"))))
+    target = F.when(r == 2, k + 10_000_000_000).otherwise(k)
+    return o.select(target.alias("id"), changes.alias("changes"))
 
 
 @register("apply_corrections", O.with_orders("""
 SELECT id,
-       CASE WHEN id % 11 = 0 THEN o_orderpriority ELSE category END AS category,
-       CASE WHEN id % 19 = 0 THEN o_orderpriority ELSE source END AS source,
-       CASE WHEN id % 13 = 0 THEN NULL ELSE notes END AS notes,
-       CASE WHEN id % 19 = 0 THEN upper(o_orderstatus) ELSE description END AS description,
+       CASE WHEN id % 4 = 0 THEN o_orderpriority ELSE category END AS category,
+       CASE WHEN id % 4 = 3 THEN o_orderpriority ELSE source END AS source,
+       CASE WHEN id % 4 = 1 THEN NULL ELSE notes END AS notes,
+       CASE WHEN id % 4 = 3 THEN upper(o_orderstatus) ELSE description END AS description,
        CAST(amount AS DOUBLE) AS amount
 FROM ledger JOIN orders ON ledger.id = orders.o_orderkey"""))
 def apply_corrections(spark, sf):
@@ -997,13 +1005,15 @@ SELECT 'transactions' AS "table", COUNT(*) AS incoming,
        COUNT(*) FILTER (WHERE transaction_date >= DATE '1998-01-01') AS inserted,
        COUNT(*) FILTER (WHERE transaction_date < DATE '1998-01-01') AS skipped FROM ledger
 UNION ALL
-SELECT 'person_mappings', COUNT(*), COUNT(*) FILTER (WHERE id > 4),
-       COUNT(*) FILTER (WHERE id <= 4) FROM mappings"""))
+SELECT 'person_mappings', (SELECT COUNT(*) FROM mappings) + COUNT(*),
+       (SELECT COUNT(*) FROM mappings), COUNT(*) FROM customer"""))
 def snapshot_import(spark, sf):
-    snap = _exported(spark, sf)
+    # the snapshot holds the fixture mappings and one per customer; the stored
+    # side already has the customer ones
+    customer_m = _id_mappings(spark, sf).withColumn("created_at", F.lit(None).cast("timestamp"))
+    snap = _exported(spark, sf, m=_mappings(spark).unionByName(customer_m))
     existing_t = _orders(spark, sf).filter(F.col("transaction_date") < F.lit(_dt.date(1998, 1, 1)))
-    existing_m = _mappings(spark).filter(F.col("id") <= 4)
-    _, _, counts = SN.import_snapshot(existing_t, existing_m, snap)
+    _, _, counts = SN.import_snapshot(existing_t, customer_m, snap)
     return counts
 
 
