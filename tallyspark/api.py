@@ -103,7 +103,10 @@ class Ledger:
         """Statement files -> (new ledger, counts, rejects)."""
         clean, rejects = ST.read_statements(self.spark, path, strict_header, glob)
         res = I.import_transactions(self.transactions, clean, ["path", "line_no"])
-        new = res.new.select(*[c for c in self.transactions.columns if c in res.new.columns])
+        # new rows get an id from their key (the key is unique in the ledger)
+        keyed = res.new.withColumn("id", F.xxhash64(*I.KEY)).withColumn(
+            "imported_at", F.current_timestamp())
+        new = keyed.select(*[c for c in self.transactions.columns if c in keyed.columns])
         return (replace(self, transactions=self.transactions.unionByName(
             new, allowMissingColumns=True)), res.counts, rejects)
 

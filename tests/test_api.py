@@ -32,6 +32,7 @@ def test_facade_import_twice_is_idempotent(spark):
     d = FX.write_statements(t, shared_dir(spark, "api-st"))
     empty = Ledger(spark, t.limit(0), FX.mappings(spark))
     once, counts, _ = empty.import_csv(d, glob="*.txt")
+    assert once.transactions.filter(F.col("id").isNull()).count() == 0
     c1 = counts.first()
     assert c1.inserted > 0 and c1.inserted + c1.skipped == c1.incoming
     _, counts2, _ = once.import_csv(d, glob="*.txt")
