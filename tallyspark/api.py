@@ -129,7 +129,10 @@ class Ledger:
         snap = SN.read_document(self.spark, path) if document else SN.read_snapshot(
             self.spark, path)
         new_t, new_m, counts = SN.import_snapshot(self.transactions, self.mappings, snap)
-        t = self.transactions.unionByName(new_t, allowMissingColumns=True)
+        new_t = new_t.withColumn("id", F.xxhash64(*I.KEY))
+        t = self.transactions.unionByName(
+            new_t.select(*[c for c in self.transactions.columns if c in new_t.columns]),
+            allowMissingColumns=True)
         m = self.mappings.unionByName(
             new_m.withColumn("id", F.xxhash64("person_name", "keyword")),
             allowMissingColumns=True)
