@@ -907,6 +907,17 @@ def statement_ingest(spark, sf):
                                   "category", "source"))
 
 
+@register("statement_ingest_split", O.with_orders(f"""
+SELECT transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+       CAST(balance AS DOUBLE) AS balance, category, source
+FROM ({_STATEMENT_ROWS})"""))
+def statement_ingest_split(spark, sf):
+    # the large-file reader: split text scan, per-file header aggregate, join
+    clean, _ = ST.read_large_statements(spark, _statement_dir(spark, sf), glob="*.txt")
+    return money_out(clean.select("transaction_date", "description", "amount", "balance",
+                                  "category", "source"))
+
+
 @register("statement_rejects", O.with_orders("""
 SELECT reason, COUNT(*) AS n FROM (
   SELECT CASE WHEN id % 101 = 0 THEN 'bad_date' ELSE 'bad_amount' END AS reason

@@ -8,15 +8,16 @@ shuffle and no join back. ``posexplode`` then yields (line number, text) and
 one quote-aware regular expression splits the cells; every cell goes through the native-Column parsers.
 Bad rows become rejects with a reason instead of failing the job (S7).
 
-Limits: a file is one row, so one file is read by one task (statements are
-small; a file must stay under the 2 GB binary value limit). Quoted line
-breaks are not supported: a line with an odd number of quotes is rejected
-(``unbalanced_quote``).
+For very large files ``parse_large_statement_files`` reads with the split
+``text`` source instead (exact line numbers from per-split offsets, headers
+from one per-file aggregate joined back); ``read_statements`` switches to it
+when a file exceeds 64 MB. Quoted line breaks are not supported: a line with an
+odd number of quotes is rejected (``unbalanced_quote``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import categorize, extract_source
@@ -67,18 +68,10 @@ def _alias_test(words: list[str]):
     return lambda h: F.coalesce(h.isin(words), F.lit(False))
 
 
-def _files(raw: DataFrame, strict_header: bool) -> DataFrame:
-    """Per file: hash, lines, header position, column positions, verdict."""
-    text = F.col("content").cast("string")
-    lines = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r\n|\n|\r")
-    f = raw.select("path", F.md5("content").alias("csv_hash"),
-                   F.is_valid_utf8(text).alias("utf8"),
-                   (F.length("content") == 0).alias("empty"),
-                   lines.alias("lines"))
-    hit = F.array_position(F.transform("lines", lambda l: _is_header(l, strict_header)), True)
-    f = f.withColumn("header_no", F.greatest(hit, F.lit(1)).cast("int"))  # 1-based; default 1
-    names = F.transform(_cells(F.element_at("lines", F.col("header_no"))),
-                        lambda h: F.lower(strip_ws(h)))
+def _resolve_header(f: DataFrame) -> DataFrame:
+    """From per-file ``header`` text (plus ``utf8``/``empty`` flags): names,
+    width, column positions and the file-level verdict ``file_reason``."""
+    names = F.transform(_cells(F.col("header")), lambda h: F.lower(strip_ws(h)))
     f = f.withColumn("names", names).withColumn("width", F.size("names"))
     for target, words in ALIASES.items():
         flags = F.transform("names", _alias_test(words))
@@ -93,6 +86,20 @@ def _files(raw: DataFrame, strict_header: bool) -> DataFrame:
     return f.withColumn("file_reason", reason)
 
 
+def _files(raw: DataFrame, strict_header: bool) -> DataFrame:
+    """Per file: hash, lines, header position, column positions, verdict."""
+    text = F.col("content").cast("string")
+    lines = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r\n|\n|\r")
+    f = raw.select("path", F.md5("content").alias("csv_hash"),
+                   F.is_valid_utf8(text).alias("utf8"),
+                   (F.length("content") == 0).alias("empty"),
+                   lines.alias("lines"))
+    hit = F.array_position(F.transform("lines", lambda l: _is_header(l, strict_header)), True)
+    f = f.withColumn("header_no", F.greatest(hit, F.lit(1)).cast("int"))  # 1-based; default 1
+    f = f.withColumn("header", F.element_at("lines", F.col("header_no")))
+    return _resolve_header(f)
+
+
 def _line_rows(files: DataFrame) -> DataFrame:
     """One row per physical line after the header of every accepted file, and
     one marker row (``line`` NULL) per rejected file: a single scan feeds both."""
@@ -115,10 +122,15 @@ def parse_statement_files(raw: DataFrame, strict_header: bool = False,
     small. With ``spread_lines`` the exploded lines are rebalanced (AQE splits
     large partitions), so a huge file is parsed by many tasks, not by the one
     task that read it."""
-    files = _files(raw, strict_header)
-    lines = _line_rows(files)
+    lines = _line_rows(_files(raw, strict_header))
     if spread_lines:
         lines = lines.hint("rebalance")
+    return _parse_lines(lines)
+
+
+def _parse_lines(lines: DataFrame) -> DataFrame:
+    """Data lines (path, csv_hash, file_reason, header_no, width, p_*, idx,
+    line) -> parsed rows with a reject ``reason``; shared by both readers."""
     rows = lines.withColumn("cells", _cells(F.col("line")))
 
     def cell(p: str) -> Column:
@@ -171,6 +183,77 @@ def parse_statement_files(raw: DataFrame, strict_header: bool = False,
         "reason")
 
 
+def _split_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, size, mtime, idx, line) for every physical line, read with the
+    ``text`` source, which splits large files into many tasks.
+
+    Exact 0-based line numbers without a row-level window: within a split the
+    generated row ids are consecutive, so a line's number is the count of lines
+    in the file's earlier splits plus its distance from the split's first id.
+    The per-split table (a few rows per file) gets its offsets from a running
+    sum over the file's splits."""
+    raw = (spark.read.format("text").option("pathGlobFilter", glob)
+           .option("recursiveFileLookup", "true").load(path)
+           .select(F.col("_metadata.file_path").alias("path"),
+                   F.col("_metadata.file_block_start").alias("block"),
+                   F.col("_metadata.file_size").alias("size"),
+                   F.col("_metadata.file_modification_time").alias("mtime"),
+                   F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line")))
+    splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
+                                              F.min("rid").alias("first_rid"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    idx = F.col("offset") + F.col("rid") - F.col("first_rid")
+    lines = raw.join(splits.select("path", "block", "first_rid", "offset"), ["path", "block"])
+    return lines.select("path", "size", "mtime", idx.alias("idx"),
+                        F.when(idx == 0, F.regexp_replace("line", "^\ufeff", ""))
+                        .otherwise(F.col("line")).alias("line"))
+
+
+def parse_large_statement_files(spark: SparkSession, path: str, glob: str = "*.csv",
+                                strict_header: bool = False) -> DataFrame:
+    """Like ``parse_statement_files``, but every stage is split: files are read
+    by many tasks, headers come from one small per-file aggregate, and lines
+    meet their file's header through a join (AQE broadcasts the per-file side
+    when it is small and splits a hot file's lines otherwise).
+
+    ``csv_hash`` here identifies the file by path, size and modification time
+    (an MD5 of the bytes would need the whole file in one task)."""
+    lines = _split_lines(spark, path, glob)
+    looks = _is_header(F.col("line"), strict_header)
+    per_file = lines.groupBy("path", "size", "mtime").agg(
+        F.min(F.when(looks, F.struct("idx", "line"))).alias("hit"),
+        F.min(F.struct("idx", "line")).alias("first"),
+        F.min(F.is_valid_utf8("line").cast("int")).alias("utf8"))
+    header = F.coalesce(F.col("hit"), F.col("first"))
+    files = _resolve_header(per_file.select(
+        "path",
+        F.md5(F.concat_ws("|", "path", F.col("size").cast("string"),
+                          F.col("mtime").cast("string"))).alias("csv_hash"),
+        (F.col("utf8") == 1).alias("utf8"), F.lit(False).alias("empty"),
+        (header.getField("idx") + 1).cast("int").alias("header_no"),
+        header.getField("line").alias("header")))
+    cols = ["path", "csv_hash", "file_reason", "header_no", "width", "p_transaction_date",
+            "p_description", "p_amount", "p_balance"]
+    accepted = files.filter(F.col("file_reason").isNull()).select(*cols)
+    data = lines.select("path", "idx", "line").join(accepted, "path").filter(
+        (F.col("idx") + 1 > F.col("header_no")) & (F.col("line") != ""))
+    markers = files.filter(F.col("file_reason").isNotNull()).select(
+        *cols, F.lit(None).cast("long").alias("idx"), F.lit(None).cast("string").alias("line"))
+    return _parse_lines(data.select(*cols, "idx", "line").unionByName(markers))
+
+
+def read_large_statements(spark: SparkSession, path: str, strict_header: bool = False,
+                          glob: str = "*.csv", out_dir: str | None = None
+                          ) -> tuple[DataFrame, DataFrame]:
+    """``read_statements`` for very large files: no file is read by one task."""
+    from ..session import shared_dir
+    out_dir = out_dir or shared_dir(spark, "statements-parsed")
+    write_parsed(parse_large_statement_files(spark, path, glob, strict_header), out_dir)
+    return read_parsed(spark, out_dir)
+
+
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clean, rejects) from ``parse_statement_files``. Both read the same
     lineage; ``read_statements`` materializes it once instead."""
@@ -221,13 +304,17 @@ def read_statements(spark: SparkSession, path: str, strict_header: bool = False,
     ``out_dir`` (default: a new folder under the shared checkpoint folder),
     partitioned by status; clean rows and rejects are then two pruned reads.
     Writing cuts the lineage, so neither side re-parses the files and a lost
-    executor never forces a re-parse. ``spread_lines`` (default: when some file
-    exceeds 64 MB) rebalances lines so a hot file is parsed by many tasks.
+    executor never forces a re-parse. When some file exceeds 64 MB (checked
+    from listing metadata, contents unread) the split reader is used, so no
+    file is read or parsed by a single task; ``spread_lines=True`` instead
+    keeps whole-file reads and only rebalances the parsing.
     """
     from ..session import shared_dir
     out_dir = out_dir or shared_dir(spark, "statements-parsed")
-    if spread_lines is None:
-        spread_lines = largest_file(spark, path, glob) > SPREAD_ABOVE_BYTES
-    parsed = parse_statement_files(binary_files(spark, path, glob), strict_header, spread_lines)
+    if spread_lines is None and largest_file(spark, path, glob) > SPREAD_ABOVE_BYTES:
+        parsed = parse_large_statement_files(spark, path, glob, strict_header)
+    else:
+        parsed = parse_statement_files(binary_files(spark, path, glob), strict_header,
+                                       bool(spread_lines))
     write_parsed(parsed, out_dir)
     return read_parsed(spark, out_dir)

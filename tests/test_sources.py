@@ -159,3 +159,21 @@ def test_stream_accepts_late_rows_and_skips_repeats(spark):
     clean, _ = ST.read_statements(spark, all_dir, glob="*.txt")
     batch = clean.select("transaction_date", "description", "amount")
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_split_reader_matches_whole_file_reader(spark):
+    ledger = FX.orders_ledger(spark, SF_SMALL)
+    d = FX.write_statements(ledger, shared_dir(spark, "split-st"))
+    a, ra = ST.read_statements(spark, d, glob="*.txt", spread_lines=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")     # force many splits
+    try:
+        b, rb = ST.read_large_statements(spark, d, glob="*.txt")
+        cols = ["path", "line_no", "transaction_date", "description", "amount", "balance",
+                "category", "source"]
+        assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+        assert b.select(cols).exceptAll(a.select(cols)).count() == 0
+        r = ["path", "line_no", "reason"]
+        assert ra.select(r).exceptAll(rb.select(r)).count() == 0
+        assert rb.select(r).exceptAll(ra.select(r)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
