@@ -183,7 +183,7 @@ def _parse_lines(lines: DataFrame) -> DataFrame:
         "reason")
 
 
-def _split_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+def _split_lines(spark: SparkSession, path, glob: str) -> DataFrame:
     """(path, size, mtime, idx, line) for every physical line, read with the
     ``text`` source, which splits large files into many tasks.
 
@@ -192,8 +192,10 @@ def _split_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     in the file's earlier splits plus its distance from the split's first id.
     The per-split table (a few rows per file) gets its offsets from a running
     sum over the file's splits."""
-    raw = (spark.read.format("text").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", "true").load(path)
+    reader = spark.read.format("text")
+    if isinstance(path, str):
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    raw = (reader.load(path)
            .select(F.col("_metadata.file_path").alias("path"),
                    F.col("_metadata.file_block_start").alias("block"),
                    F.col("_metadata.file_size").alias("size"),
@@ -211,15 +213,16 @@ def _split_lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
                         .otherwise(F.col("line")).alias("line"))
 
 
-def parse_large_statement_files(spark: SparkSession, path: str, glob: str = "*.csv",
+def parse_large_statement_files(spark: SparkSession, path, glob: str = "*.csv",
                                 strict_header: bool = False) -> DataFrame:
     """Like ``parse_statement_files``, but every stage is split: files are read
     by many tasks, headers come from one small per-file aggregate, and lines
     meet their file's header through a join (AQE broadcasts the per-file side
     when it is small and splits a hot file's lines otherwise).
 
-    ``csv_hash`` here identifies the file by path, size and modification time
-    (an MD5 of the bytes would need the whole file in one task)."""
+    ``path`` is a folder (with ``glob``) or a list of file paths. ``csv_hash``
+    here identifies the file by path, size and modification time (an MD5 of the
+    bytes would need the whole file in one task)."""
     lines = _split_lines(spark, path, glob)
     looks = _is_header(F.col("line"), strict_header)
     per_file = lines.groupBy("path", "size", "mtime").agg(

@@ -6,6 +6,10 @@ batch import (first row per key wins, stored keys are skipped). No streaming
 state is kept: cross-batch dedupe is the anti join against the stored ledger,
 so state cannot grow without bound and late files are still accepted.
 
+A micro-batch holding a file over 64 MB is parsed by the split reader (the
+batch's file names go to a split ``text`` scan), so no big file is read or
+parsed by one task.
+
 Replay safety: batch ``b`` writes only to ``ledger/batch_id=b`` (overwrite)
 and dedupes against every *other* batch folder, so re-running a batch after a
 failure rewrites the same rows instead of skipping them as "already stored".
@@ -19,7 +23,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import month_key
 from ..operators.ingest import import_transactions
-from ..sources.statements import (CLEAN_COLUMNS, SPREAD_ABOVE_BYTES, parse_statement_files,
+from ..sources.statements import (CLEAN_COLUMNS, SPREAD_ABOVE_BYTES,
+                                  parse_large_statement_files, parse_statement_files,
                                   split_parsed)
 
 LEDGER_COLUMNS = CLEAN_COLUMNS + ["imported_at"]
@@ -44,8 +49,13 @@ def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
     spark = batch.sparkSession
     size = F.col("length") if "length" in batch.columns else F.length("content")
     largest = batch.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
-    parsed = parse_statement_files(batch.select("path", "content"), strict_header,
-                                   spread_lines=largest > SPREAD_ABOVE_BYTES)
+    if largest > SPREAD_ABOVE_BYTES:
+        # one trigger's file names (metadata, bounded by the trigger size): the
+        # split reader reads and parses the big files in many tasks
+        paths = [r.path for r in batch.select("path").collect()]
+        parsed = parse_large_statement_files(spark, paths, strict_header=strict_header)
+    else:
+        parsed = parse_statement_files(batch.select("path", "content"), strict_header)
     clean, rejects = split_parsed(parsed.persist())
     try:
         incoming = clean.withColumn("imported_at", F.current_timestamp())

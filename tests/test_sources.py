@@ -177,3 +177,19 @@ def test_split_reader_matches_whole_file_reader(spark):
         assert rb.select(r).exceptAll(ra.select(r)).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_stream_batch_with_large_file_uses_split_reader(spark, monkeypatch):
+    import tallyspark.streaming.statements as SSM
+    ledger = FX.orders_ledger(spark, SF_SMALL)
+    in_dir = FX.write_statements(ledger, shared_dir(spark, "big-in"))
+    batch = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option(
+        "recursiveFileLookup", "true").load(in_dir)
+    monkeypatch.setattr(SSM, "SPREAD_ABOVE_BYTES", 0)      # every file counts as large
+    out = shared_dir(spark, "big-out")
+    SSM.import_batch(batch, 0, out)
+    streamed = SSM.read_ledger(spark, out).select("transaction_date", "description", "amount")
+    clean, _ = ST.read_statements(spark, in_dir, glob="*.txt", spread_lines=False)
+    batch_rows = clean.select("transaction_date", "description", "amount")
+    assert streamed.exceptAll(batch_rows).count() == 0
+    assert batch_rows.exceptAll(streamed).count() == 0
