@@ -190,10 +190,16 @@ def clean_amount_text(raw: Column) -> Column:
     return F.when(paren, F.concat(F.lit("-"), inner)).otherwise(s)
 
 
+# A zero mantissa with any exponent ("0e99") is zero; Spark's decimal cast
+# would count the exponent as integer digits and overflow.
+ZERO_RE = r"^[+-]?(0+\.?0*|\.0+)([eE][+-]?\d+)?$"
+
+
 def parse_number(raw: Column) -> Column:
     """Amount text -> decimal(12,2) (HALF_UP), NULL when unreadable."""
     s = clean_amount_text(raw)
-    return F.when(s.rlike(NUMBER_RE), s.try_cast("decimal(12,2)"))
+    return (F.when(s.rlike(ZERO_RE), F.lit(0).cast("decimal(12,2)"))
+            .when(s.rlike(NUMBER_RE), s.try_cast("decimal(12,2)")))
 
 
 def parse_amount(raw: Column) -> Column:
