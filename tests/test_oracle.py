@@ -49,3 +49,41 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns == ["month", "deposits", "withdrawals", "net"]
+
+
+def test_random_search_filters_match_duckdb(spark, duck):
+    import random
+
+    from tallyspark.operators import query as Q
+    from tallyspark.plans import oracle as O
+    from tallyspark.sources import fixtures as FX
+    rnd = random.Random(43)
+    t = FX.orders_ledger(spark, SF_SMALL)
+    for _ in range(12):
+        p = {"text": rnd.choice([None, "", "coffee", "e_d", "TRANSFER", "high", "1%"]),
+             "start": rnd.choice([None, "", "1996-01-01", "1998-06-30"]),
+             "end": rnd.choice([None, "", "1997-12-31", "2000-01-01"]),
+             "category": rnd.choice([None, "", "Dining", "Income", "Fees"]),
+             "source": rnd.choice([None, "", "Transfer", "Other"]),
+             "min_amount": rnd.choice([None, 0, -1000, 50000]),
+             "max_amount": rnd.choice([None, 0, 100000])}
+        where = ["TRUE"]
+        if p["text"]:
+            pat = "%" + p["text"] + "%"
+            where.append(f"(description ILIKE '{pat}' OR notes ILIKE '{pat}')")
+        if p["start"]:
+            where.append(f"transaction_date >= DATE '{p['start']}'")
+        if p["end"]:
+            where.append(f"transaction_date <= DATE '{p['end']}'")
+        if p["category"]:
+            where.append(f"category = '{p['category']}'")
+        if p["source"]:
+            where.append(f"source = '{p['source']}'")
+        if p["min_amount"] is not None:
+            where.append(f"amount >= {p['min_amount']}")
+        if p["max_amount"] is not None:
+            where.append(f"amount <= {p['max_amount']}")
+        sql = O.with_orders("SELECT id FROM ledger WHERE " + " AND ".join(where))
+        want = sorted(r[0] for r in duck.execute(sql).fetchall())
+        got = sorted(r.id for r in Q.search(t, **p).select("id").collect())
+        assert got == want, p
