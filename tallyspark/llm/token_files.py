@@ -143,8 +143,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
                       block_ids: int = BLOCK_IDS) -> None:
     """Tokenise ``docs`` and write the folder ``path``.
 
-    Documents lie in ascending ``doc_id`` order (nulls first; rows with one id by their ids'
-    bytes). Null text counts as empty, so such a document is its end id alone; repeated rows are
+    Documents lie in ascending ``doc_id`` order (nulls first; rows with one id by a hash of
+    their ids, then by these). Null text counts as empty, so such a document is its end id alone; repeated rows are
     all written; an empty table writes a folder without blocks. A document is never split.
     """
     dtype = id_dtype(tokenizer)
@@ -182,7 +182,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
                     block, skip, held, ids, n = block + 1, skip + n, [], [], 0
         if held:
             yield flush()
-    (encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # Ranges are cut on a hash of the ids, not on the ids, whose samples would go to the driver.
+    tie = F.xxhash64("ids")
+    (encoded.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
      .mapInArrow(run, "shard long, block long, skip long, n_ids long, "
                  f"doc_ids array<{kind}>, sizes array<long>, control binary, data binary")
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks"))
@@ -200,7 +202,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     total = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     first = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n"))
                          .alias("first"))
-    placed = blocks.join(first, "shard").select(
+    placed = blocks.join(F.broadcast(first), "shard").select(   # one row a file
         (F.col("first") + F.col("skip")).alias("at"), "n_ids", "doc_ids", "sizes", "control", "data")
 
     def run(batches):
