@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +78,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+@contextmanager
+def no_gc():
+    """Python's cycle collector off for a task that makes many short-lived objects but no
+    cycles; reference counts free them all the same."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

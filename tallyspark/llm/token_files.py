@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import shared_dir
 
-from .common import read, slices, stored, subset
+from .common import no_gc, read, slices, stored, subset
 from .pretokens import BYTE_LEVEL, UNCOMMON, byte_chars
 
 BLOCK_IDS = 1 << 18
@@ -75,7 +76,7 @@ class WordCache(dict):
         self.tok.no_padding()
         self.model = self.tok.model
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.to_char = {b: c for b, c in byte_chars().items() if chr(b) != c}
+        self.to_char = "".join(c for _, c in sorted(byte_chars().items()))
         self.pack = struct.Struct("<" + {"<u2": "H", "<u4": "I"}[dtype]).pack
         self.dtype, self.max_words = dtype, max_words
 
@@ -93,10 +94,16 @@ class WordCache(dict):
                 ids = self.tok.encode(t, add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype).tobytes())
             else:
-                out.append(b"".join([self[w] for w in BYTE_LEVEL.findall(t)]))
+                out.append(b"".join(map(self.__getitem__, BYTE_LEVEL.findall(t))))
         return out
 
 
+@lru_cache(maxsize=2)
+def word_cache(path: str, dtype: str) -> WordCache:
+    """One cache a worker process, kept from task to task."""
+    return WordCache(path, dtype)
+
+
 def id_dtype(path: str) -> str:
     """Two bytes an id where the vocabulary fits, else four."""
     from tokenizers import Tokenizer
@@ -110,27 +117,37 @@ def encode_ids(docs: DataFrame, path: str, end_id: int | None, doc_id: str, text
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def run(batches):
-        coder = WordCache(path, dtype)
-        for whole in batches:
-            for b in slices(whole):
-                ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([i + end for i in ids], pa.binary())],
-                    names=["doc_id", "ids"])
+        coder = word_cache(path, dtype)
+        with no_gc():
+            for whole in batches:
+                for b in slices(whole):
+                    ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id"), pa.array([i + end for i in ids], pa.binary())],
+                        names=["doc_id", "ids"])
     kind = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
+def joined(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column in one array, and the ids in each row."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:][:len(column) + 1]
+    if not len(column):
+        return np.zeros(0, dtype), np.zeros(0, np.int64)
+    raw = column.buffers()[2]
+    data = b"" if raw is None else raw.slice(ends[0], ends[-1] - ends[0])
+    return np.frombuffer(data, dtype), np.diff(ends).astype(np.int64) // np.dtype(dtype).itemsize
+
+
 def id_counts(encoded: DataFrame, dtype: str) -> DataFrame:
     """``id, n``: counted per task first, so the shuffle carries one row per id and task."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for v in b.column("ids").to_pylist():
-                c = np.bincount(np.frombuffer(v, dtype))
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[:len(c)] += c
+            c = np.bincount(joined(b.column("ids"), dtype)[0])
+            if len(c) > len(total):
+                total = np.pad(total, (0, len(c) - len(total)))
+            total[:len(c)] += c
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])],
                                          names=["id", "n"])
@@ -160,28 +177,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
 
     def run(batches):
         shard, block, skip = TaskContext.get().partitionId(), 0, 0
-        held, ids, n = [], [], 0
-
-        def flush():
-            ranks = rank_of[np.concatenate(ids)]
-            control, data = pack(ranks)
-            return pa.RecordBatch.from_pydict({
-                "shard": pa.array([shard], pa.int64()), "block": pa.array([block], pa.int64()),
-                "skip": pa.array([skip], pa.int64()), "n_ids": pa.array([n], pa.int64()),
-                "doc_ids": pa.array([held], pa.list_(id_kind)),
-                "sizes": pa.array([[len(i) for i in ids]], pa.list_(pa.int64())),
-                "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary())})
         for b in batches:
-            id_kind = b.column("doc_id").type
-            for d, v in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
-                held.append(d)
-                ids.append(np.frombuffer(v, dtype))
-                n += len(ids[-1])
-                if n >= block_ids:
-                    yield flush()
-                    block, skip, held, ids, n = block + 1, skip + n, [], [], 0
-        if held:
-            yield flush()
+            ids, sizes = joined(b.column("ids"), dtype)
+            ids, after = rank_of[ids], np.cumsum(sizes)
+            # a block: the documents that begin in the same stretch of block_ids ids
+            cuts = np.flatnonzero(np.diff((after - sizes) // block_ids)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(sizes)]):
+                if i == j:
+                    continue
+                part = ids[after[i] - sizes[i]:after[j - 1]]
+                control, data = pack(part)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int64()), pa.array([block], pa.int64()),
+                    pa.array([skip], pa.int64()), pa.array([len(part)], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()),
+                                             b.column("doc_id").slice(i, j - i)),
+                    pa.array([sizes[i:j]], pa.list_(pa.int64())),
+                    pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                    names=["shard", "block", "skip", "n_ids", "doc_ids", "sizes", "control", "data"])
+                block, skip = block + 1, skip + len(part)
     # Ranges are cut on a hash of the ids, not on the ids, whose samples would go to the driver.
     tie = F.xxhash64("ids")
     (encoded.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
