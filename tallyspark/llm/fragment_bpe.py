@@ -14,13 +14,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, slices, subset
+from .common import no_gc, read, slices, subset
 from .pretokens import UNCOMMON, WORD_LEVEL, byte_chars
 
 CACHE_WORDS = 300_000
@@ -55,7 +56,7 @@ class FragmentBpe:
         # A fragment inside a word has no word end; the last one has.
         self.inner = models.BPE(vocab=self.vocab, merges=merges)
         self.final = self.lib.model if self.suffix else self.inner
-        self.to_char = {b: c for b, c in byte_chars().items() if chr(b) != c}
+        self.to_char = "".join(c for _, c in sorted(byte_chars().items()))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_re = re.compile("(" + "|".join(
             re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
@@ -115,8 +116,7 @@ class FragmentBpe:
                 known = self.raw_words
                 out += [known[w] for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(norm)]
             else:
-                known = self.words
-                out += [known[w] for w in WORD_LEVEL.findall(part.lower())]
+                out += map(self.words.__getitem__, WORD_LEVEL.findall(part.lower()))
         return out
 
     def decode(self, ids) -> str:
@@ -124,6 +124,12 @@ class FragmentBpe:
         return " ".join(self.token_of[i] for i in ids if i in self.token_of)
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str) -> FragmentBpe:
+    """One coder a worker process, kept from task to task."""
+    return FragmentBpe(path)
+
+
 def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                   with_ids: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_text`` (decimal ids joined by a space), ``decoded`` and, with
@@ -137,20 +143,21 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     schema = f"doc_id {kind}, n_tokens long, ids_text string, decoded string"
 
     def run(batches):
-        coder = FragmentBpe(path)
-        for whole in batches:
-            for b in slices(whole, 256):
-                got = [coder.encode(t or "") for t in b.column("text").to_pylist()]
-                ids = [" ".join([e[0] for e in g]) for g in got]
-                cols = [b.column("doc_id"),
-                        pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
-                        pa.array(ids, pa.string()),
-                        pa.array([" ".join([e[1] for e in g]) for g in got], pa.string())]
-                if with_ids:
-                    cols.append(pa.array([np.array(i.split(), np.int32) for i in ids],
-                                         pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(
-                    cols, names=["doc_id", "n_tokens", "ids_text", "decoded"] + ["ids"] * with_ids)
+        coder = coder_of(path)
+        with no_gc():
+            for whole in batches:
+                for b in slices(whole, 256):
+                    got = [coder.encode(t or "") for t in b.column("text").to_pylist()]
+                    ids = [" ".join([e[0] for e in g]) for g in got]
+                    cols = [b.column("doc_id"),
+                            pa.array([i.count(" ") + 1 if i else 0 for i in ids], pa.int64()),
+                            pa.array(ids, pa.string()),
+                            pa.array([" ".join([e[1] for e in g]) for g in got], pa.string())]
+                    if with_ids:
+                        cols.append(pa.array([np.array(i.split(), np.int32) for i in ids],
+                                             pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(cols, names=[
+                        "doc_id", "n_tokens", "ids_text", "decoded"] + ["ids"] * with_ids)
     return src.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 

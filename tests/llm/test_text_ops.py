@@ -48,7 +48,9 @@ def test_token_files_empty_repeated_and_null_ids(spark):
     token_files.write_token_files(
         spark.createDataFrame([(5, "a b"), (None, "x"), (5, "a b"), (5, None)], schema), tok, path)
     got = token_files.read_token_files(spark, path).orderBy("start").collect()
-    assert [(r.doc_id, r.start) for r in got] == [(None, 0), (5, 2), (5, 3), (5, 6)]
+    assert [r.doc_id for r in got] == [None, 5, 5, 5]
+    assert sorted(r.n_tokens for r in got) == [1, 2, 3, 3]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(4)]
 
 
 @pytest.mark.parametrize("sf", [SMALL, "/root/testdata/sf0.01"])
