@@ -263,3 +263,60 @@ def test_cascade_is_exact_over_its_universe(spark):
     c = url_cascade.build_cascade(universe, listed, 4000)
     got = {r.key for r in universe.where(c.has(universe.key)).collect()}
     assert got == {k for k, in keys[::7]} and len(c.levels) > 1
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_levenshtein_trie_automaton_matches_plain_distances():
+    from tallyspark.llm.toxicity import TrieAutomaton
+    rnd = random.Random(4)
+    for _ in range(60):
+        words = {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 7))) for _ in range(8)}
+        stems = {"".join(rnd.choice("abc") for _ in range(4)) for _ in range(2)}
+        terms = {**{(w, False): rnd.random() for w in words}, **{(x, True): rnd.random() for x in stems}}
+        aut = TrieAutomaton(terms, 5)
+        for _ in range(200):
+            w = "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 9)))
+            exact = [v for (t, st), v in terms.items() if (w.startswith(t) if st else w == t)]
+            near = [v for (t, st), v in terms.items()
+                    if not st and len(t) >= 5 and edit_distance(t, w) <= 1]
+            want = (max(exact), 0) if exact else (max(near), 1) if near else None
+            assert aut.match(w) == want, (w, terms)
+
+
+def test_toxicity_held_out_and_edges(spark):
+    from tallyspark.llm import toxicity as X
+    sf = "/root/testdata/sf0.1"
+    got = X.op7_toxicity(spark, sf).alias("g")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = got.join(labels, "doc_id").where("held_out").collect()
+    toxic = [r for r in held if r.toxic == 1]
+    clean = [r for r in held if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert all(0 <= r.score <= 1 for r in held)
+
+
+def test_toxicity_context_and_empty_tables(spark):
+    from tallyspark.llm import toxicity as X
+    m = X.ToxicModel({("dimwit", False): 5.0, ("blorp", True): 4.0})
+    kinds = {t: [h[2] for h in m.hits(t)] for t in
+             ("a dimwit came", "you dimwit", "he said dimwit", 'the "dimwit" sign', "a dimwot came", "blorpish x", "clean")}
+    assert kinds == {"a dimwit came": ["plain"], "you dimwit": ["address"], "he said dimwit": ["quoted"],
+                     'the "dimwit" sign': ["quoted"], "a dimwot came": ["fuzzy"], "blorpish x": ["plain"], "clean": []}
+    docs = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (None, "", 2.0), (2, "x " * 200000, 0.0)],
+                                 "doc_id long, text string, score double")
+    labels = spark.createDataFrame([], "doc_id long, toxic int, text string")
+    model = X.fit_model(docs, labels)
+    out = X.score_docs(docs, model).collect()
+    assert len(out) == 4 and {tuple(r.hits) for r in out} == {()} and all(r.score < 0.7 for r in out)
+    assert X.score_docs(docs.where("false"), model).count() == 0
+    odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    assert X.fit_model(docs, odd).terms == {}
