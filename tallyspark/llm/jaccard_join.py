@@ -328,7 +328,8 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
                         [b.column(c).take(pa.array(same, pa.int64())) for c in ("block", "tiles", "tile", "node")]
                         + [pa.array([sets[i].tobytes() for i in same], pa.binary())],
                         names=["block", "tiles", "tile", "node", "shingles"])
-    texts = src.join(members.select("block", "tiles", "tile", "node", "rep"),
+    # The same sort-merge join at every size: members grow with the documents.
+    texts = src.join(members.select("block", "tiles", "tile", "node", "rep").hint("merge"),
                      F.col("doc_id").eqNullSafe(F.col("rep"))).select("block", "tiles", "tile", "node", "text")
     sets = stored(texts.mapInArrow(sets_of, "block long, tiles long, tile long, node long, shingles binary"),
                   "block-sets")
