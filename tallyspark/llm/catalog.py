@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (decontaminate, fragment_bpe, jaccard_join, language_kernel, line_quality,
-               secret_ledger, token_files, toxicity, url_cascade)
+               secret_ledger, suffix_dedup, token_files, toxicity, url_cascade)
 
 QUERIES = {
     "op1_token_files": (token_files.op1_token_files, None),
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_fragment_bpe": (fragment_bpe.op5_fragment_bpe, None),
     "op6_jaccard_join": (jaccard_join.op6_jaccard_join, None),
     "op7_toxicity": (toxicity.op7_toxicity, None),
+    "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, None),
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_url_filter": (url_cascade.op10_url_filter, url_cascade.OP10_SQL),
 }

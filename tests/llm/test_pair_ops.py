@@ -95,3 +95,79 @@ def test_components(spark):
         want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
         got = {r.node: r.comp for r in graph.components(df).collect()}
         assert got == want
+
+
+def test_loser_tree_merges_runs_with_exact_prefixes():
+    from tallyspark.llm.suffix_dedup import LoserTree, front_code, front_decode, shared
+    rnd = random.Random(6)
+    for _ in range(300):
+        runs = [sorted(bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(0, 7)))
+                for _ in range(rnd.randint(0, 6))]
+        coded = [front_code(r) if r else ([], [], b"") for r in runs]
+        out = list(LoserTree([((s, n, None) for s, n in front_decode(*c)) for c in coded]))
+        assert [x[0] for x in out] == sorted(s for r in runs for s in r)
+        assert [x[1] for x in out[1:]] == [shared(a[0], b[0], 0) for a, b in zip(out, out[1:])]
+
+
+def test_repeats_query(spark):
+    from tallyspark.llm import suffix_dedup
+    assert rows_of(suffix_dedup.op8_suffix_dedup(spark, SMALL)) == sorted(brute.repeats(docs_of(spark, SMALL)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeats_random(spark, seed, monkeypatch):
+    """Small strings and reaches, small runs and buckets, both ways of judging a key."""
+    from tallyspark.llm import suffix_dedup as S
+    rnd = random.Random(seed)
+    monkeypatch.setattr(S, "RUN_ENTRIES", 7)
+    monkeypatch.setattr(S, "BUCKET_ENTRIES", 9)
+    monkeypatch.setattr(S, "PAIRS_UP_TO", 2 if seed % 2 else 32)
+    size, reach = ((20, 8), (24, 16), (40, 16), (33, 2))[seed]
+    alphabet = "ab" if seed == 1 else "abcdefgh é"
+    pool = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(size // 2, 3 * size))) for _ in range(6)]
+    rows = []
+    for d in range(60):
+        t = "".join(rnd.choice([rnd.choice(pool), "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30)))])
+                    for _ in range(rnd.randint(0, 5)))
+        rows.append((d, t))
+    rows += [(70, "a" * 200), (71, ""), (72, "ab" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = rows_of(S.remove_repeats(docs, size=size, reach=reach, digest=True))
+    assert got == sorted(brute.repeats(rows, size))
+
+
+def test_repeats_edges(spark):
+    from tallyspark.llm import suffix_dedup as S
+    schema = "doc_id long, text string, uid string, spans int"
+    same = "x" * 100 + "".join(chr(97 + i * i % 23) for i in range(400))
+    rows = [(1, None, "", 0), (2, same, "", 0), (2, same, "", 0), (None, "short", "", 0), (3, "A" * 5000, "", 0)]
+    got = {r.doc_id: tuple(r)[1:] for r in S.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == (0, 0, 0, b"") and got[2] == (500, 500, 1, b"") and got[None] == (5, 0, 0, b"short")
+    assert got[3] == (5000, 5000, 1, b"")
+    assert S.remove_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_both_ways_of_judging_a_key_agree():
+    from tallyspark.llm import suffix_dedup as S
+    rnd = random.Random(8)
+    size, reach = 20, 8
+    for _ in range(200):
+        entries = {}
+        for _ in range(rnd.randint(2, 12)):
+            left = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, reach - 1)))
+            right = "k" * 13 + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 7)))
+            entries[right.encode(), left.encode()] = rnd.choice([1, 1, 2])
+        keys = sorted(entries)
+        rights, lefts = zip(*keys)
+        lcps = [0] + [S.shared(a, b, 0) for a, b in zip(rights, rights[1:])]
+        many = [entries[k] for k in keys]
+        a = S._flags_by_pairs(rights, lcps, lefts, many, size, reach)
+        b = S._flags_by_offset(rights, lcps, lefts, many, size, reach)
+        assert (a == b).all()
+        strings = [[l[len(l) - o:] + r[:size - o] if o <= len(l) and size - o <= len(r) else None
+                    for o in range(reach)] for r, l in keys]
+        for o in range(reach):
+            col = [s[o] for s in strings]
+            for i, s in enumerate(col):
+                total = sum(m for x, m in zip(col, many) if x == s)
+                assert a[i, o] == (s is not None and total > 1)
