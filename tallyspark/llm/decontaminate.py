@@ -13,14 +13,12 @@ stretches without such pairs are skipped in bulk before streaming.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, subset
+from .common import read, ship_package, subset
 
 WINDOW = 13
 MAX_ITEM_WORDS = 2_000_000
@@ -216,8 +214,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     return src.mapInArrow(run, schema)
 
 
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
+                      coverage_percent: int = 5, text: str = "text", item_id: str = "item_id",
+                      item_text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
+    """``docs`` (all columns) without the contaminated rows; the others stay as they are."""
+    aut = ItemAutomaton(collect_items(items, item_id, item_text, max_item_words), window)
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            words = [words_of(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+            hit, offsets, _ = aut.scan(words)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = total[offsets[1:]] - total[offsets[:-1]]
+            yield b.filter(pa.array((n_hit == 0) | (100 * n_hit < coverage_percent * np.diff(offsets))))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_decontaminate(spark, sf_dir):

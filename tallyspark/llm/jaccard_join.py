@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join by T-occurrence search, with connected components.
 
-Two documents link when the Jaccard similarity of their sets of word shingles is at least 0.9.
+Two documents link when the Jaccard similarity of their sets of word shingles is at least
+``percent`` / 100.
 
 1. **Sets.** One pass turns every text into its set of 64-bit shingle hashes. Documents with one
    set are one *node* (its hash), so exact copies are met once.
-2. **Blocks.** Linked sets of at most U shingles differ in at most ``d = 2U/19`` of them. Cut the
-   hash range into ``d + 3`` buckets: at least three buckets hold the same shingles on both
-   sides. Each non-empty bucket's content gives a signature; nodes that share one are candidates
+2. **Blocks.** Linked sets of at most U shingles differ in at most ``d`` of them, where
+   ``d = 2U (100 - percent) / (100 + percent)``. Cut the hash range into ``d + 3`` buckets: at
+   least three buckets hold the same shingles on both sides. Each non-empty bucket's content gives a signature; nodes that share one are candidates
    (a node with three or more empty buckets gives theirs too, so no link is lost). Signatures
    are first met within a batch of documents, and only one row a signature and batch is
    shuffled. Components of candidates are blocks: no link crosses a block.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import no_gc, read, slices, stored, subset
 from .graph import components
 
-SIZE = 3                    # words of a shingle; 100 * overlap >= 90 * union, by contract
+SIZE, PERCENT = 3, 90       # of the contract; in general five words and 80 are usual
 TILE = 2_000_000            # shingles searched in one task
 SPARE = 3                   # buckets beyond the greatest difference
 BAND = 1.5                  # greatest size of a band over its least
@@ -86,37 +87,44 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([total]))[0] >> np.uint64(1))
 
 
-@lru_cache(maxsize=None)
-def band(n: int) -> tuple[int, int, int]:
+def most_different(total: int, percent: int) -> int:
+    """The most shingles in which two linked sets of ``total`` shingles together differ."""
+    return total * (100 - percent) // (100 + percent)
+
+
+@lru_cache(maxsize=1 << 16)
+def band(n: int, percent: int) -> tuple[int, int, int]:
     """(number, least, greatest size) of the band of a size; band 0 holds sizes that link only
-    to equal sets."""
-    number, low = 0, 10
+    to equal sets among themselves."""
+    number, low = 0, 1
+    while not most_different(2 * low, percent):
+        low += 1
     if n < low:
         return 0, 0, low - 1
     while True:
         number += 1
-        after = max(low + 1, int(low * BAND))
+        # wide enough that a partner lies in the same band or the next
+        after = max(low + 1, int(low * BAND), -(-low * 100 // percent) + 1)
         if n < after:
             return number, low, after - 1
         low = after
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=1 << 10)
 def bucket_edges(k: int) -> np.ndarray:
     return np.array([-(-(j << 64) // k) for j in range(1, k)], np.uint64)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Bucket signatures of a set, for its own band and, if a partner can lie there, the next."""
     out = []
-    number, _, high = band(len(s))
+    number, _, high = band(len(s), percent)
     groups = [(number, high)] if number else []
-    after = band(high + 1)
-    if 10 * len(s) >= 9 * (high + 1):
+    after = band(high + 1, percent)
+    if 100 * len(s) >= percent * (high + 1):
         groups.append((after[0], after[2]))
     for g, top in groups:
-        differ = 2 * top // 19
-        k = differ + SPARE
+        k = most_different(2 * top, percent) + SPARE
         at = np.concatenate([[0], np.searchsorted(s, bucket_edges(k)), [len(s)]])
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ _K[2]), dtype=np.uint64)])
         body = total[at[1:]] - total[at[:-1]]
@@ -127,18 +135,24 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _batch_rows(ids, texts: list, size: int):
-    """Rows of one batch: documents (kind 0: node, set size), one signature row a signature
-    (kind 1: signature, node), candidate links met within the batch (kind 2: node, node)."""
-    nodes, sizes, sig, owner, seen = [], [], [], [], set()
+def _nodes(ids, texts: list, size: int):
+    """``doc_id, node, n`` of a batch; a text without words has no node."""
+    sets = [shingles(t, size) for t in texts]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64()),
+         pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
+
+
+def _candidates(texts: list, size: int, percent: int):
+    """Rows ``sig, node, other`` of one batch: one row a signature, with the first node that has
+    it, and candidate links met within the batch (``other`` not null)."""
+    sig, owner, seen = [], [], set()
     for t in texts:
         s = shingles(t, size)
         node = set_hash(s) if len(s) else None
-        nodes.append(node)
-        sizes.append(len(s))
         if node is not None and node not in seen:
             seen.add(node)
-            x = signatures(s)
+            x = signatures(s, percent)
             sig.append(x)
             owner.append(np.full(len(x), node, np.int64))
     sig = np.concatenate(sig) if sig else np.zeros(0, np.int64)
@@ -150,14 +164,11 @@ def _batch_rows(ids, texts: list, size: int):
     hub = owner[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else owner
     pairs = np.unique(np.stack([hub[~first], owner[~first]]), axis=1)
     pairs = pairs[:, pairs[0] != pairs[1]]
-    n, m = int(first.sum()), pairs.shape[1]
-    kind = np.repeat(np.array([0, 1, 2], np.int8), [len(texts), n, m])
-    pad = pa.nulls(n + m, ids.type)
     return pa.RecordBatch.from_arrays([
-        pa.array(kind), pa.concat_arrays([ids, pad]),
-        pa.concat_arrays([pa.array(nodes, pa.int64()), pa.array(sig[first]), pa.array(pairs[0])]),
-        pa.concat_arrays([pa.array(sizes, pa.int64()), pa.array(owner[first]), pa.array(pairs[1])])],
-        names=["kind", "doc_id", "x", "y"])
+        pa.array(np.concatenate([sig[first], mix(pairs[0].view(np.uint64)).view(np.int64)])),
+        pa.array(np.concatenate([owner[first], pairs[0]])),
+        pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pairs[1])])],
+        names=["sig", "node", "other"])
 
 
 class Links:
@@ -178,7 +189,7 @@ class Links:
         self.up[max(i, j)] = min(i, j)
 
 
-def search(sets: list[np.ndarray], start=None, side=None) -> list[int]:
+def search(sets: list[np.ndarray], start=None, side=None, percent: int = PERCENT) -> list[int]:
     """The component (least index) of every set. ``start`` holds components already known;
     with ``side``, only sets of different sides are compared."""
     n = len(sets)
@@ -200,10 +211,10 @@ def search(sets: list[np.ndarray], start=None, side=None) -> list[int]:
     for r in range(1, n):
         q = int(order[r])
         s = int(size[q])
-        low = int(np.searchsorted(sizes, -(-9 * s // 10)))
+        least = -(-percent * s // 100)                # T, and the smallest partner
+        low = int(np.searchsorted(sizes, least))
         if low >= r:
             continue
-        least = -(-9 * s // 10)                       # T for the smallest partner
         mine = tokens[q]
         a, z = begin[mine], begin[mine + 1]
         length = z - a
@@ -230,7 +241,7 @@ def search(sets: list[np.ndarray], start=None, side=None) -> list[int]:
                 continue
             spot = np.searchsorted(tokens[p], probe)
             hits = int((tokens[p][np.minimum(spot, len(tokens[p]) - 1)] == probe).sum())
-            if 190 * (c + hits) >= 90 * (s + int(size[p])):
+            if (100 + percent) * (c + hits) >= percent * (s + int(size[p])):
                 links.join(p, q)
                 own = links.find(q)
     return [links.find(i) for i in range(n)]
@@ -250,7 +261,8 @@ def _by_group(batches, keys: int):
         yield held
 
 
-def _search_groups(rows: DataFrame, keys: list[str], crossing: bool = False) -> DataFrame:
+def _search_groups(rows: DataFrame, keys: list[str], percent: int,
+                   crossing: bool = False) -> DataFrame:
     """Links ``a, b`` (star by star) found in each group of ``keys`` of ``rows`` (node, sets and,
     with ``crossing``, tile and comp)."""
     cols = [*keys, "node", "shingles"] + (["tile", "comp"] if crossing else [])
@@ -268,7 +280,7 @@ def _search_groups(rows: DataFrame, keys: list[str], crossing: bool = False) ->
                     first: dict = {}
                     start = [first.setdefault(r[k + 3], i) for i, r in enumerate(group)]
                     side = [r[k + 2] for r in group]
-                top = search(sets, start, side)
+                top = search(sets, start, side, percent)
                 pairs = [(group[t][k], group[i][k]) for i, t in enumerate(top) if t != i]
                 if pairs:
                     a, b = zip(*pairs)
@@ -286,7 +298,7 @@ def _tiled(members: DataFrame, tile: int) -> DataFrame:
 
 
 def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text",
-         tile: int = TILE) -> DataFrame:
+         percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per document row.
 
     ``component_id`` is the least ``doc_id`` reachable over links, the document's own included.
@@ -298,20 +310,27 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     src = subset(docs, doc_id=doc_id, text=text)
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def first_pass(batches):
+    def bounded(b):
+        if len(word_hashes()) > CACHE_WORDS:
+            word_hashes().clear()
+        return b.column("text").to_pylist()
+
+    def nodes(batches):
+        with no_gc():
+            for b in batches:
+                yield _nodes(b.column("doc_id"), bounded(b), size)
+
+    def candidates(batches):
         with no_gc():
             for b in batches:
-                if len(word_hashes()) > CACHE_WORDS:
-                    word_hashes().clear()
-                yield _batch_rows(b.column("doc_id"), b.column("text").to_pylist(), size)
-    rows = stored(src.mapInArrow(first_pass, f"kind tinyint, doc_id {kind}, x long, y long"),
-                  "shingle-rows", ["kind"])
-    per_doc = rows.where("kind = 0").select("doc_id", F.col("x").alias("node"), F.col("y").alias("n"))
-    met = rows.where("kind = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    hub = F.min("y").over(Window.partitionBy("x"))
-    across = (rows.where("kind = 1").select("x", "y").withColumn("a", hub).where("a != y")
-              .select("a", F.col("y").alias("b")))
-    blocks = stored(components(met.unionByName(across)).withColumnRenamed("comp", "block"), "blocks")
+                yield _candidates(bounded(b), size, percent)
+    per_doc = stored(src.mapInArrow(nodes, f"doc_id {kind}, node long, n long"), "set-nodes")
+    # Signatures go straight into their shuffle and are kept nowhere else.
+    hub = F.min("node").over(Window.partitionBy("sig"))
+    met = (src.select("text").mapInArrow(candidates, "sig long, node long, other long")
+           .withColumn("b", F.coalesce("other", hub)).where("b != node")
+           .select(F.col("node").alias("a"), "b"))
+    blocks = stored(components(met).withColumnRenamed("comp", "block"), "blocks")
 
     reps = per_doc.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -333,10 +352,10 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
                      F.col("doc_id").eqNullSafe(F.col("rep"))).select("block", "tiles", "tile", "node", "text")
     sets = stored(texts.mapInArrow(sets_of, "block long, tiles long, tile long, node long, shingles binary"),
                   "block-sets")
-    found = stored(_search_groups(sets, ["block", "tile"]), "found-links")
+    found = stored(_search_groups(sets, ["block", "tile"], percent), "found-links")
     tiled = sets.where("tiles > 1")
     if not tiled.isEmpty():
-        found = _search_tiles(tiled, found, tile)
+        found = _search_tiles(tiled, found, tile, percent)
     comp = components(found)
     low = (reps.select("node", "rep").join(comp, "node", "left")
            .select("node", "rep", F.coalesce("comp", "node").alias("comp")))
@@ -348,7 +367,7 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _search_tiles(sets: DataFrame, found: DataFrame, tile: int) -> DataFrame:
+def _search_tiles(sets: DataFrame, found: DataFrame, tile: int, percent: int) -> DataFrame:
     """All links of blocks of several tiles, given those inside tiles: representatives first,
     then pairs of tiles where a block is not yet one component."""
     def labelled(links):
@@ -357,7 +376,7 @@ def _search_tiles(sets: DataFrame, found: DataFrame, tile: int) -> DataFrame:
                 .withColumn("comp", F.coalesce("comp", "node")))
     reps = labelled(found).where("node = comp").withColumn("n", F.length("shingles") / 8).select(
         "block", "node", "n", "shingles")
-    found = stored(found.unionByName(_search_groups(_tiled(reps, tile), ["block", "tile"])), "found-links")
+    found = stored(found.unionByName(_search_groups(_tiled(reps, tile), ["block", "tile"], percent)), "found-links")
     now = labelled(found)
     open_blocks = (now.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                    .where("x != y").select("block"))
@@ -365,15 +384,16 @@ def _search_tiles(sets: DataFrame, found: DataFrame, tile: int) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
              .where("other != tile")
              .withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other")))
-    return stored(found.unionByName(_search_groups(pairs, ["block", "t1", "t2"], True)), "found-links")
+    return stored(found.unionByName(_search_groups(pairs, ["block", "t1", "t2"], percent, True)), "found-links")
 
 
-def keep_one(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text",
+             percent: int = PERCENT) -> DataFrame:
     """``docs`` without all but one document of each component, the one of the least id.
 
     Documents without shingles, and rows without an id, all stay. Of rows that share both id and
     text one stays; rows that share an id but not the text stay or go together."""
-    groups = stored(link(docs, size, doc_id, text), "groups")
+    groups = stored(link(docs, size, doc_id, text, percent), "groups")
     gone = (groups.where("component_id is not null and doc_id is not null and doc_id != component_id")
             .select(F.col("doc_id").alias("__id")).distinct())
     kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")

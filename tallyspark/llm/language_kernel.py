@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_crc32, read, slices, subset
+from .common import bucket_crc32, read, ship_package, slices, subset
 
 
 @dataclass(frozen=True)
@@ -148,6 +148,15 @@ class KernelModel:
         score = (e / e.sum(1, keepdims=True))[np.arange(len(texts)), best]
         return [self.langs[i] for i in best], score.astype(np.float64)
 
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """(language, score) of any texts: ``und`` and 0 without a letter or a model."""
+        can = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
+        lang, score = ["und"] * len(texts), [0.0] * len(texts)
+        if can:
+            for i, x, s in zip(can, *self.predict([texts[i] for i in can])):
+                lang[i], score[i] = x, float(s)
+        return lang, score
+
 
 def fit_model(docs: DataFrame, fit: Fit = Fit(), doc_id: str = "doc_id", text: str = "text",
               lang: str = "lang") -> KernelModel:
@@ -191,18 +200,32 @@ def identify(docs: DataFrame, model: KernelModel, doc_id: str = "doc_id",
         m = shared.value
         for whole in batches:
             for b in slices(whole, 128):
-                texts = b.column("text").to_pylist()
-                can = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
-                lang, score = ["und"] * len(texts), [0.0] * len(texts)
-                if can:
-                    for i, x, s in zip(can, *m.predict([texts[i] for i in can])):
-                        lang[i], score[i] = x, float(s)
+                lang, score = m.judge(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                     names=["doc_id", "lang_pred", "score"])
     return src.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def reject_unknown(docs: DataFrame, model: KernelModel, text: str = "text",
+                   min_score: float = 0.0) -> DataFrame:
+    """``docs`` (all columns) without the rows whose text is ``und`` or scores under
+    ``min_score``. A prediction depends on the text alone, so rows are judged where they lie.
+    A model that knows no language rejects only texts without a letter."""
+    ship_package(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for whole in batches:
+            for b in slices(whole, 128):
+                texts = b.column(b.schema.get_field_index(text)).to_pylist()
+                keep = ([x != "und" and s >= min_score for x, s in zip(*m.judge(texts))]
+                        if m.langs else [has_letter(t) for t in texts])
+                yield b.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_kernel(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     got = identify(docs, fit_model(docs))

@@ -264,7 +264,10 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
                              pa.array(np.concatenate(uid)), pa.array(np.concatenate(at))],
                             names=["key", "uid", "at"])
     spots = stored(rows.mapInArrow(list_anchors, "key long, uid long, at long"), "anchors")
-    again = spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Stored, so that both sides of the join below are plain shuffles, of which the skew join
+    # splits a key that very many texts share.
+    again = stored(spots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"),
+                   "repeated-keys")
     # The same sort-merge joins at every size: all sides grow with the documents.
     met = stored(spots.join(again.hint("merge"), "key").groupBy("uid").agg(F.collect_list("at").alias("at")),
                  "met-anchors")

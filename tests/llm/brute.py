@@ -73,12 +73,12 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
 
-def links(rows):
-    """op6: {doc_id: (n_shingles, component_id)} over (doc_id, text) rows, all pairs."""
+def links(rows, size=3, percent=90):
+    """op6: [(doc_id, n_shingles, component_id)] over (doc_id, text) rows, all pairs."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
-        sets.append({tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) > 2
+        sets.append({tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size
                     else {tuple(w)} if w else set())
     top = list(range(len(rows)))
 
@@ -89,8 +89,8 @@ def links(rows):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 10 * min(len(a), len(b)) >= 9 * max(len(a), len(b)) \
-                    and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) \
+                    and 100 * len(a & b) >= percent * len(a | b):
                 top[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):

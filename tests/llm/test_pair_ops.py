@@ -44,23 +44,33 @@ def test_jaccard_near_copies_and_tiles(spark, tile):
     assert rows_of(jaccard_join.link(docs, tile=tile)) == sorted(brute.links(rows))
 
 
-def test_signatures_lose_no_link():
+def test_jaccard_of_five_words_and_eighty_percent(spark):
+    rows = near_copies(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(jaccard_join.link(docs, 5, percent=80)) == sorted(brute.links(rows, 5, 80))
+    rows = docs_of(spark, SMALL)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard_join.link(docs, 5, percent=80)) == sorted(brute.links(rows, 5, 80))
+
+
+@pytest.mark.parametrize("percent", [90, 80, 55])
+def test_signatures_lose_no_link(percent):
     """Sets at the edge of the similarity always share a signature, whatever differs."""
     rnd = np.random.default_rng(3)
-    for _ in range(3000):
-        n = int(rnd.integers(9, 400))
+    for _ in range(2000):
+        n = int(rnd.integers(2, 400))
         s = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
-        drop = int(rnd.integers(0, n // 10 + 1))
+        drop = int(rnd.integers(0, n * (100 - percent) // 100 + 1))
         t = np.sort(rnd.permutation(s)[drop:])
         while True:
             more = np.unique(np.append(t, rnd.integers(0, 2**64, 1, dtype=np.uint64)))
             inter = len(np.intersect1d(s, more))
-            if 100 * inter < 90 * (len(s) + len(more) - inter) or rnd.random() < .05:
+            if 100 * inter < percent * (len(s) + len(more) - inter) or rnd.random() < .05:
                 break
             t = more
         inter = len(np.intersect1d(s, t))
-        if 100 * inter >= 90 * (len(s) + len(t) - inter) and not np.array_equal(s, t):
-            assert set(jaccard_join.signatures(s)) & set(jaccard_join.signatures(t)), (len(s), len(t))
+        if len(t) and 100 * inter >= percent * (len(s) + len(t) - inter) and not np.array_equal(s, t):
+            assert set(jaccard_join.signatures(s, percent)) & set(jaccard_join.signatures(t, percent))
 
 
 def test_jaccard_edges(spark):
