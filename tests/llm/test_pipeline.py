@@ -10,7 +10,7 @@ from conftest_llm import ODD, SMALL
 def plain(rows, items):
     """(doc_id, n_tokens) of what the stages keep, from (doc_id, text) rows of distinct ids."""
     rows = [(d, t) for d, t in rows if t is not None and any(map(str.isalpha, t))]
-    rows = [(d, t) for (d, t), (_, _, c) in zip(rows, brute.links(rows, 5, 80)) if c == d]
+    rows = [(d, t) for (d, t), (_, _, c) in zip(rows, brute.links(rows)) if c == d]
     rows = [(d, t) for (d, t), c in zip(rows, brute.contamination(rows, items)) if not c[5]]
     out = []
     for d, t in rows:
