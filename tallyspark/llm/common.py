@@ -6,6 +6,7 @@ import gc
 import os
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,11 +82,16 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 @contextmanager
-def no_gc():
-    """Python's cycle collector off for a task that makes many short-lived objects but no
-    cycles; reference counts free them all the same."""
+def task_memory(*caches: dict):
+    """For the length of a task: Python's cycle collector off (these tasks make many short-lived
+    objects but no cycles; reference counts free them all the same). After it, ``caches`` are
+    emptied and Arrow's unused memory goes back, as the worker lives on."""
     gc.disable()
     try:
         yield
     finally:
+        for c in caches:
+            c.clear()
         gc.enable()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import no_gc, read, slices, subset
+from .common import read, slices, subset, task_memory
 from .pretokens import UNCOMMON, WORD_LEVEL, byte_chars
 
 CACHE_WORDS = 300_000
@@ -144,7 +144,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches):
         coder = coder_of(path)
-        with no_gc():
+        with task_memory():
             for whole in batches:
                 for b in slices(whole, 256):
                     got = [coder.encode(t or "") for t in b.column("text").to_pylist()]

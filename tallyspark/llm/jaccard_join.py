@@ -32,14 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import no_gc, read, slices, stored, subset
+from .common import read, slices, stored, subset, task_memory
 from .graph import components
 
 SIZE, PERCENT = 3, 90       # of the contract; in general five words and 80 are usual
 TILE = 2_000_000            # shingles searched in one task
 SPARE = 3                   # buckets beyond the greatest difference
 BAND = 1.5                  # greatest size of a band over its least
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+BATCH = 2048                # documents whose signatures are met before the shuffle
 MERGE_BY_HEAP = 2048
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -73,6 +74,8 @@ def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = word_hashes()
+    if len(known) > CACHE_WORDS:
+        known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
     width = min(size, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
@@ -269,7 +272,7 @@ def _search_groups(rows: DataFrame, keys: list[str], percent: int,
     k = len(keys)
 
     def run(batches):
-        with no_gc():
+        with task_memory():
             for group in _by_group(batches, k):
                 if len(group) < 2:
                     continue
@@ -310,20 +313,17 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     src = subset(docs, doc_id=doc_id, text=text)
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def bounded(b):
-        if len(word_hashes()) > CACHE_WORDS:
-            word_hashes().clear()
-        return b.column("text").to_pylist()
-
     def nodes(batches):
-        with no_gc():
-            for b in batches:
-                yield _nodes(b.column("doc_id"), bounded(b), size)
+        with task_memory(word_hashes()):
+            for whole in batches:
+                for b in slices(whole, BATCH):
+                    yield _nodes(b.column("doc_id"), b.column("text").to_pylist(), size)
 
     def candidates(batches):
-        with no_gc():
-            for b in batches:
-                yield _candidates(bounded(b), size, percent)
+        with task_memory(word_hashes()):
+            for whole in batches:
+                for b in slices(whole, BATCH):
+                    yield _candidates(b.column("text").to_pylist(), size, percent)
     per_doc = stored(src.mapInArrow(nodes, f"doc_id {kind}, node long, n long"), "set-nodes")
     # Signatures go straight into their shuffle and are kept nowhere else.
     hub = F.min("node").over(Window.partitionBy("sig"))
@@ -337,7 +337,7 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     members = stored(_tiled(blocks.join(reps, "node"), tile), "block-members")
 
     def sets_of(batches):
-        with no_gc():
+        with task_memory(word_hashes()):
             for whole in batches:
                 for b in slices(whole):
                     sets = [shingles(t, size) for t in b.column("text").to_pylist()]

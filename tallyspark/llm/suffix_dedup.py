@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import shared_dir
 
-from .common import no_gc, read, slices, stored, subset
+from .common import read, slices, stored, subset, task_memory
 from .jaccard_join import mix
 
 SIZE = 400
@@ -247,7 +247,7 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
     width = reach - 1                                      # bytes kept left of an anchor
 
     def list_anchors(batches):
-        with no_gc():
+        with task_memory():
             for whole in batches:
                 for b in slices(whole):
                     uid, at, key = [], [], []
@@ -297,7 +297,7 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
         def batch(rows_):
             cols = list(zip(*rows_))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
-        with no_gc():
+        with task_memory():
             for whole in batches:
                 for b in slices(whole, 64):
                     for u, raw, at in zip(b.column("uid").to_pylist(), _raw(b.column("text")),
@@ -334,7 +334,7 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), ints, ints))],
                 names=["run", "entry", "low", "high"])
-        with no_gc():
+        with task_memory():
             held, bucket = [], None
             for b in batches:
                 for one in slices(b, 1):

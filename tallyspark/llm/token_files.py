@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import shared_dir
 
-from .common import no_gc, read, slices, stored, subset
+from .common import read, slices, stored, subset, task_memory
 from .pretokens import BYTE_LEVEL, UNCOMMON, byte_chars
 
 BLOCK_IDS = 1 << 18
@@ -118,7 +118,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int | None, doc_id: str, text
 
     def run(batches):
         coder = word_cache(path, dtype)
-        with no_gc():
+        with task_memory():
             for whole in batches:
                 for b in slices(whole):
                     ids = coder.encode([t or "" for t in b.column("text").to_pylist()])

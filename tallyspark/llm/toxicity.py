@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_crc32, no_gc, read, slices, stored, subset
+from .common import bucket_crc32, read, slices, stored, subset, task_memory
 
 
 @dataclass(frozen=True)
@@ -334,7 +334,7 @@ def score_docs(docs: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text:
                               ("weight", pa.float64())]))
 
     def run(batches):
-        with no_gc():
+        with task_memory():
             for whole in batches:
                 for b in slices(whole):
                     texts = b.column("text").to_pylist()
