@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, ship_package, subset
+from .common import read, ship_package, slices, subset
 
 WINDOW = 13
 MAX_ITEM_WORDS = 2_000_000
@@ -192,7 +192,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
               "contaminated boolean" + (", clean_text string" if with_text else ""))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = b.column("text").to_pylist()
             words = [words_of(t) for t in texts]
             hit, offsets, found = aut.scan(words)
@@ -222,7 +222,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     ship_package(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             words = [words_of(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             hit, offsets, _ = aut.scan(words)
             total = np.concatenate([[0], np.cumsum(hit)])

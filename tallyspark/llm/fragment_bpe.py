@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import read, slices, subset, task_memory
 from .pretokens import UNCOMMON, WORD_LEVEL, byte_chars
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 class _Words(dict):
@@ -144,7 +144,7 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(batches):
         coder = coder_of(path)
-        with task_memory():
+        with task_memory(coder.words, coder.raw_words, coder.fragments):
             for whole in batches:
                 for b in slices(whole, 256):
                     got = [coder.encode(t or "") for t in b.column("text").to_pylist()]

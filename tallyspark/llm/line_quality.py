@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, subset
+from .common import read, slices, subset
 
 # Words are separated by these six characters; symbols as in the contract.
 SPACES, SYMBOLS, WINDOW = b"\x20\t\n\x0b\x0c\r", b"#*$%&|<>", 8
@@ -126,7 +126,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), doc_id: str = "doc_id",
     schema = f"doc_id {kind}, " + ", ".join(f"{n} {t}" for n, t in fields)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             out = [judge(t, rules) for t in b.column("text").to_pylist()]
             cols = [pa.array([o[n] for o in out], {"long": pa.int64(), "boolean": pa.bool_(),
                                                    "string": pa.string()}[t]) for n, t in fields]
