@@ -396,6 +396,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: st
     groups = stored(link(docs, size, doc_id, text, percent), "groups")
     gone = (groups.where("component_id is not null and doc_id is not null and doc_id != component_id")
             .select(F.col("doc_id").alias("__id")).distinct())
+    gone = gone.hint("merge")       # the same join at every size, as above
     kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
     again = (groups.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__id"))
              .count().where("count > 1").select("__id"))
