@@ -66,18 +66,24 @@ def delete_mappings(m: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
     return m.join(ids, "id", "left_anti"), ids.join(m.select("id"), "id", "left_anti")
 
 
-def apply_corrections(t: DataFrame, corrections: DataFrame) -> DataFrame:
+def apply_corrections(t: DataFrame, corrections: DataFrame, order: str | None = None) -> DataFrame:
     """Apply ``corrections(id, changes map<string,string>)`` to the ledger.
 
     Only category, source, notes and description change; a key present with a
     NULL value sets NULL, an absent key keeps the value; other keys (such as
     amount) are ignored; unknown ids have no effect. Several correction rows
-    for one id are merged per field (conflicting non-NULL values: the largest).
+    for one id are merged per field: the value of the greatest ``order`` (a column
+    of ``corrections``), an explicit NULL included; without ``order`` conflicting
+    non-NULL values give the largest.
     Each id's merged map holds at most the four editable fields.
     """
-    entries = corrections.select("id", F.explode("changes").alias("field", "value")).filter(
+    rank = F.lit(0) if order is None else F.col(order)
+    entries = corrections.select("id", rank.alias("_order"),
+                                 F.explode("changes").alias("field", "value")).filter(
         F.col("field").isin(EDITABLE))
-    merged = entries.groupBy("id", "field").agg(F.max("value").alias("value")).groupBy(
+    last = (F.max("value") if order is None
+            else F.max_by(F.struct("value"), "_order")["value"])
+    merged = entries.groupBy("id", "field").agg(last.alias("value")).groupBy(
         "id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value")))
                   .alias("_changes"))
     joined = t.join(merged, "id", "left")

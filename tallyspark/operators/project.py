@@ -13,44 +13,39 @@ form in the last bits).
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import month_key, month_label, per_month
+from ..functions.calendar import OCCURRENCES_PER_MONTH, month_key, month_label
 from . import contrib as C
 from .query import latest_balance
 
 
-MICRO = 1_000_000
-
-
-def _micro(x):
-    """A monthly amount in integer millionths (rounded half up once per item)."""
-    return F.floor(x * F.lit(float(MICRO)) + F.lit(0.5))
-
-
 def monthly_flows(items: DataFrame, keys: list[str]) -> DataFrame:
     """Recurring items -> monthly deposits and withdrawals per account.
 
     Deposits keep their sign; withdrawals count with their absolute value; an
-    absent amount is 0; frequency per ``per_month``. Each item's monthly
-    amount is summed in integer millionths: the sum is exact and does not
-    depend on the order rows arrive in after the shuffle (a double sum would
-    differ in the last bits from run to run). Item amounts up to about nine
-    trillion per month fit.
+    absent amount is 0; frequency per ``OCCURRENCES_PER_MONTH`` (absent:
+    monthly; unknown: once a month). Amounts are summed exactly, as decimals of
+    ten places, for each direction and frequency; the few sums of an account
+    are then multiplied by their factors and added in one fixed order, so the
+    result does not depend on the order rows arrive in.
     """
-    amt = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
-    k = per_month(F.col("frequency"))
+    amt = F.coalesce(F.col("amount").cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
+    f = F.lower(F.coalesce(F.col("frequency"), F.lit("monthly")))
     is_dep = F.col("direction") == "deposit"
+    known = [name for name, _ in OCCURRENCES_PER_MONTH]
 
-    def total(c):
-        return (F.coalesce(F.sum(c), F.lit(0)).cast("double") / F.lit(float(MICRO)))
+    def total(cond, value):
+        parts = [F.coalesce(F.sum(F.when(cond & which, value)).cast("double"), F.lit(0.0)) * F.lit(k)
+                 for which, k in [*((f == name, float(k)) for name, k in OCCURRENCES_PER_MONTH),
+                                  (~f.isin(known), 1.0)]]
+        return reduce(lambda x, y: x + y, parts)
 
-    return items.groupBy(*keys).agg(
-        total(F.when(is_dep, _micro(amt * k))).alias("monthly_deposits"),
-        total(F.when(~is_dep, _micro(F.abs(amt) * k))).alias("monthly_withdrawals"),
-    )
+    return items.groupBy(*keys).agg(total(is_dep, amt).alias("monthly_deposits"),
+                                    total(~is_dep, F.abs(amt)).alias("monthly_withdrawals"))
 
 
 def project_balances(accounts: DataFrame, items: DataFrame, months: int = 12,

@@ -7,6 +7,7 @@ date bounds also become ``PartitionFilters``.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,11 @@ def text_match(text: str) -> Column:
     return F.ilike(F.col("description"), pattern) | F.ilike(F.col("notes"), pattern)
 
 
+def exact(bound) -> Column:
+    """A bound as the decimal that its text names, not rounded to cents."""
+    return F.lit(Decimal(format(Decimal(str(bound)), "f")))
+
+
 def search(df: DataFrame, *, text=None, start=None, end=None, category=None, source=None,
            min_amount=None, max_amount=None, ordered: bool = False) -> DataFrame:
     """All set filters ANDed; empty strings mean "no filter", 0 is a valid bound."""
@@ -65,9 +71,9 @@ def search(df: DataFrame, *, text=None, start=None, end=None, category=None, sou
     if source:
         conds.append(F.col("source") == F.lit(source))
     if min_amount is not None:
-        conds.append(F.col("amount") >= F.lit(min_amount).cast("decimal(12,2)"))
+        conds.append(F.col("amount") >= exact(min_amount))
     if max_amount is not None:
-        conds.append(F.col("amount") <= F.lit(max_amount).cast("decimal(12,2)"))
+        conds.append(F.col("amount") <= exact(max_amount))
     out = df.filter(reduce(lambda a, b: a & b, conds, F.lit(True)))
     return out.orderBy(F.col(DATE).desc(), F.col("id").desc()) if ordered else out
 

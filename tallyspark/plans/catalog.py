@@ -251,16 +251,18 @@ def search_amounts(spark, sf):
     return _search(spark, sf, min_amount=0, max_amount=50000)
 
 
+@register("search_amounts_between_cents", _search_sql("amount >= -1234.564 AND amount <= 10000000000.0"))
+def search_amounts_between_cents(spark, sf):
+    return _search(spark, sf, min_amount=-1234.564, max_amount=1e10)
+
+
 @register("search_combined", _search_sql(
-    "(description ILIKE '%coffee%' OR notes ILIKE '%high%') "
-    "AND transaction_date >= DATE '1997-01-01' AND transaction_date <= DATE '1998-12-31'"))
+    "(description ILIKE '%e%' OR notes ILIKE '%e%') "
+    "AND transaction_date >= DATE '1995-01-01' AND transaction_date <= DATE '1998-12-31' "
+    "AND category = 'Dining' AND source = 'Coffee House' AND amount >= -250000.005 AND amount <= 250000.005"))
 def search_combined(spark, sf):
-    # different terms per column: the date filters come from ``search``, the
-    # text predicates are written directly.
-    base = _orders(spark, sf)
-    found = Q.search(base, start="1997-01-01", end="1998-12-31").filter(
-        F.col("description").ilike("%coffee%") | F.col("notes").ilike("%high%"))
-    return money_out(found.select(*_SEARCH_COLS))
+    return _search(spark, sf, text="e", start="1995-01-01", end="1998-12-31", category="Dining",
+                   source="Coffee House", min_amount=-250000.005, max_amount=250000.005)
 
 
 @register("search_empty_filters", _search_sql("TRUE"))
@@ -514,13 +516,17 @@ def recurring_frequency_events(spark, sf):
 
 PROJECTION_MONTHS = 12
 
-_PER_MONTH_SQL = """CASE lower(COALESCE(frequency, 'monthly')) WHEN 'weekly' THEN 52.0 / 12
-     WHEN 'biweekly' THEN 26.0 / 12 WHEN 'monthly' THEN 1.0 WHEN 'quarterly' THEN 1.0 / 3
-     WHEN 'yearly' THEN 1.0 / 12 ELSE 1.0 END"""
+_FACTORS_SQL = [("= 'weekly'", 52 / 12), ("= 'biweekly'", 26 / 12), ("= 'monthly'", 1.0),
+                ("= 'quarterly'", 1 / 3), ("= 'yearly'", 1 / 12),
+                ("NOT IN ('weekly', 'biweekly', 'monthly', 'quarterly', 'yearly')", 1.0)]
 
-def _micro_sql(x: str) -> str:
-    """A monthly amount in integer millionths, rounded half up."""
-    return f"CAST(floor(({x}) * 1000000.0 + 0.5) AS BIGINT)"
+
+def _flow_sql(cond: str, value: str) -> str:
+    """Amount times occurrences a month, summed exactly for each frequency."""
+    return " + ".join(
+        f"COALESCE(CAST(SUM(CASE WHEN {cond} AND lower(COALESCE(frequency, 'monthly')) {which} "
+        f"THEN CAST({value} AS DECIMAL(28,10)) END) AS DOUBLE), 0) * CAST({k!r} AS DOUBLE)"
+        for which, k in _FACTORS_SQL)
 
 
 _SCENARIO_CTE = f"""
@@ -536,11 +542,8 @@ WITH accounts AS (
   SELECT c_custkey, 'withdrawal', CAST(-(200 + c_custkey % 30) AS DOUBLE), 'monthly' FROM customer
 ), flows AS (
   SELECT account_id,
-         CAST(COALESCE(SUM(CASE WHEN direction = 'deposit' THEN {_micro_sql(
-             "COALESCE(amount, 0) * " + _PER_MONTH_SQL)} END), 0) AS DOUBLE) / 1000000.0 AS dep,
-         CAST(COALESCE(SUM(CASE WHEN direction <> 'deposit' THEN {_micro_sql(
-             "abs(COALESCE(amount, 0)) * " + _PER_MONTH_SQL)} END), 0) AS DOUBLE) / 1000000.0
-           AS wd
+         {_flow_sql("direction = 'deposit'", "COALESCE(amount, 0)")} AS dep,
+         {_flow_sql("direction <> 'deposit'", "abs(COALESCE(amount, 0))")} AS wd
   FROM items GROUP BY account_id
 ), base AS (
   SELECT a.account_id, a.current_balance AS b0, COALESCE(f.dep, 0) AS dep,
@@ -603,7 +606,7 @@ _AUTO_CTES = ["""
 withdrawals AS (
   SELECT description, abs(CAST(total AS DOUBLE) / occurrences) AS amount, 'monthly' AS frequency
   FROM (SELECT description, COUNT(*) AS occurrences, SUM(abs(amount)) AS total
-        FROM ledger WHERE amount <= 0 AND transaction_date >= DATE '2001-01-01'
+        FROM ledger WHERE amount <= 0
         GROUP BY description HAVING COUNT(*) >= 2)
 )""", """
 latest AS (
@@ -615,18 +618,16 @@ contrib AS (
 )""", """
 base0 AS (
   SELECT CAST(0 AS BIGINT) AS account_id, (SELECT b0 FROM latest) AS b0,
-         CAST((SELECT """ + _micro_sql("avg_dep * 1.0") + """ FROM contrib) AS DOUBLE)
-           / 1000000.0 AS dep,
-         CAST(COALESCE((SELECT SUM(""" + _micro_sql("amount * 1.0") + """) FROM withdrawals), 0)
-           AS DOUBLE) / 1000000.0 AS wd
+         CAST((SELECT CAST(avg_dep AS DECIMAL(28,10)) FROM contrib) AS DOUBLE) AS dep,
+         COALESCE(CAST((SELECT SUM(CAST(amount AS DECIMAL(28,10))) FROM withdrawals) AS DOUBLE), 0)
+           AS wd
 )""", """
 base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)"""]
 
 
 def _auto(spark, sf):
     t = _orders(spark, sf)
-    wd = R.analyze_recurring(t.filter(F.col("transaction_date") >= F.lit(_dt.date(2001, 1, 1))),
-                             min_occurrences=2).filter(F.col("direction") == "withdrawal") \
+    wd = R.analyze_recurring(t, min_occurrences=2).filter(F.col("direction") == "withdrawal") \
         .select("description", "amount", F.lit("monthly").alias("frequency"))
     return P.auto_scenario(t, _mappings(spark), wd, AS_OF, PROJECTION_MONTHS)
 
@@ -957,16 +958,11 @@ def stream_ingest(spark, sf):
     for i, part in enumerate([key % 2 == 0, key % 2 == 1]):
         FX.write_statements(ledger.filter(part), f"{in_dir}/drop{i}")
         q = SS.stream_statements(spark, in_dir, out_dir, ckpt, glob="*.txt")
-        if not q.awaitTermination(STREAM_TIMEOUT_S):
-            q.stop()
-            raise TimeoutError(f"stream import did not finish in {STREAM_TIMEOUT_S} s")
+        q.awaitTermination()
     return money_out(SS.read_ledger(spark, out_dir).select(
         "transaction_date", "description", "amount", "balance", "category", "source"))
 
 
-STREAM_TIMEOUT_S = 900
-
-
 # --- snapshots (K3-K7, S10) -------------------------------------------------
 
 def _exported(spark, sf, ledger=None, m=None):

@@ -148,7 +148,7 @@ def _parse_lines(lines: DataFrame) -> DataFrame:
         cell("p_amount").alias("amount_raw"),
         cell("p_balance").alias("balance_raw"),
         (quotes % 2 == 1).alias("unbalanced"),
-        F.exists(F.slice("cells", F.col("width") + 1, F.lit(1 << 20)),
+        F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))),
                  lambda c: c != "").alias("too_wide"),
         (is_file | F.exists(in_width, lambda c: ~is_na(c))).alias("keep"),
     ).filter("keep")

@@ -17,6 +17,7 @@ failure rewrites the same rows instead of skipping them as "already stored".
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -39,8 +40,10 @@ def read_ledger(spark: SparkSession, ledger_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame | None:
     try:
         led = spark.read.parquet(ledger_dir)
-    except Exception:  # nothing written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None                                # nothing written yet
     return led.filter(F.col("batch_id") != F.lit(batch_id))
 
 
@@ -74,11 +77,12 @@ def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
 
 def stream_statements(spark: SparkSession, in_dir: str, ledger_dir: str, checkpoint: str,
                       glob: str = "*.csv", available_now: bool = True,
-                      strict_header: bool = False) -> StreamingQuery:
+                      strict_header: bool = False, max_files: int = 1000) -> StreamingQuery:
     """Start the import stream; with ``available_now`` it processes every file
-    present and stops (a scheduled incremental job)."""
+    present and stops (a scheduled incremental job). A trigger takes at most
+    ``max_files`` files, so a backlog is imported in bounded batches."""
     src = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
-           .option("pathGlobFilter", glob)
+           .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
            .option("recursiveFileLookup", "true").load(in_dir))
     w = (src.writeStream
          .foreachBatch(lambda df, bid: import_batch(df, bid, ledger_dir, strict_header))

@@ -254,6 +254,35 @@ def test_corrections(spark, ledger):
     assert out.count() == ledger.count()
 
 
+def test_ordered_corrections_keep_the_last_value(spark, ledger):
+    first = ledger.orderBy("id").first()
+    c = spark.createDataFrame(
+        [(first.id, {"category": "Z", "notes": "a"}, 1), (first.id, {"category": "A", "notes": None}, 2)],
+        "id long, changes map<string,string>, seq int")
+    r = M.apply_corrections(ledger, c, order="seq").filter(F.col("id") == first.id).first()
+    assert r.category == "A" and r.notes is None
+
+
+def test_projection_sums_are_exact(spark):
+    accounts = spark.createDataFrame([(1, 650.0), (2, 0.0)], "account_id long, current_balance double")
+    items = spark.createDataFrame(
+        [(1, "withdrawal", 100.0, "biweekly"), (2, "deposit", 1e13, "weekly")],
+        "account_id long, direction string, amount double, frequency string")
+    from tallyspark.operators import project as P
+    got = {r.account_id: r for r in P.project_balances(accounts, items)[1].collect()}
+    assert got[1].months_until_zero == 3
+    assert abs(got[2].monthly_net - 1e13 * 52 / 12) < 1
+
+
+def test_search_bounds_are_not_rounded(spark, ledger):
+    from tallyspark.operators import query as Q
+    rows = spark.createDataFrame([(1, "10.00"), (2, "10.01")], "id long, amount string").withColumn(
+        "amount", F.col("amount").cast("decimal(12,2)"))
+    assert [r.id for r in Q.search(rows, max_amount=10.005).collect()] == [1]
+    assert [r.id for r in Q.search(rows, min_amount=10.004).collect()] == [2]
+    assert Q.search(rows, max_amount=1e10).count() == 2
+
+
 # --- recurrence ---------------------------------------------------------------------
 
 def test_recurring_frequency_classes(spark):
