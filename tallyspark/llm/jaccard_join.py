@@ -5,11 +5,13 @@ Two documents link when the Jaccard similarity of their sets of word shingles is
 
 1. **Sets.** One pass turns every text into its set of 64-bit shingle hashes. Documents with one
    set are one *node* (its hash), so exact copies are met once.
-2. **Blocks.** Linked sets of at most U shingles differ in at most ``d`` of them, where
-   ``d = 2U (100 - percent) / (100 + percent)``. Cut the hash range into ``d + 3`` buckets: at
-   least three buckets hold the same shingles on both sides. Each non-empty bucket's content gives a signature; nodes that share one are candidates
-   (a node with three or more empty buckets gives theirs too, so no link is lost). Signatures
-   are first met within a batch of documents, and only one row a signature and batch is
+2. **Blocks.** Linked sets share at least T of their shingles, so under any one order of all
+   shingles their first few common ones lie among the first ``n - T + l`` of each set
+   (``prefix_size``). By hash order, which needs no count, these prefixes are met: each shingle
+   gets its number of holders. Two linked sets have ``needed`` of these in common, so a set of c
+   that others hold too has one of the common ones among its c - needed + 1 rarest; sets that
+   share one of those are candidates, and a set with fewer than ``needed`` meets nobody.
+   Prefixes are first met within a batch of documents, and only one row a shingle and batch is
    shuffled. Components of candidates are blocks: no link crosses a block.
 3. **T-occurrence search** inside each block (``DivideSkip``): a set must share at least T
    shingles with the query, so its L longest inverted lists are set aside, the short ones are
@@ -37,10 +39,8 @@ from .graph import components
 
 SIZE, PERCENT = 3, 90       # of the contract; in general five words and 80 are usual
 TILE = 2_000_000            # shingles searched in one task
-SPARE = 3                   # buckets beyond the greatest difference
-BAND = 1.5                  # greatest size of a band over its least
 CACHE_WORDS = 200_000
-BATCH = 2048                # documents whose signatures are met before the shuffle
+BATCH = 2048                # documents whose prefixes are met before the shuffle
 MERGE_BY_HEAP = 2048
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -90,52 +90,27 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([total]))[0] >> np.uint64(1))
 
 
-def most_different(total: int, percent: int) -> int:
-    """The most shingles in which two linked sets of ``total`` shingles together differ."""
-    return total * (100 - percent) // (100 + percent)
-
-
-@lru_cache(maxsize=1 << 16)
-def band(n: int, percent: int) -> tuple[int, int, int]:
-    """(number, least, greatest size) of the band of a size; band 0 holds sizes that link only
-    to equal sets among themselves."""
-    number, low = 0, 1
-    while not most_different(2 * low, percent):
-        low += 1
-    if n < low:
-        return 0, 0, low - 1
-    while True:
-        number += 1
-        # wide enough that a partner lies in the same band or the next
-        after = max(low + 1, int(low * BAND), -(-low * 100 // percent) + 1)
-        if n < after:
-            return number, low, after - 1
-        low = after
-
-
-@lru_cache(maxsize=1 << 10)
-def bucket_edges(k: int) -> np.ndarray:
-    return np.array([-(-(j << 64) // k) for j in range(1, k)], np.uint64)
-
-
-def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Bucket signatures of a set, for its own band and, if a partner can lie there, the next."""
-    out = []
-    number, _, high = band(len(s), percent)
-    groups = [(number, high)] if number else []
-    after = band(high + 1, percent)
-    if 100 * len(s) >= percent * (high + 1):
-        groups.append((after[0], after[2]))
-    for g, top in groups:
-        k = most_different(2 * top, percent) + SPARE
-        at = np.concatenate([[0], np.searchsorted(s, bucket_edges(k)), [len(s)]])
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s ^ _K[2]), dtype=np.uint64)])
-        body = total[at[1:]] - total[at[:-1]]
-        salt = np.arange(g * 100_000_000, g * 100_000_000 + k, dtype=np.uint64) * _K[0]
-        sig = mix(body + mix(salt))
-        filled = at[1:] > at[:-1]
-        out.append(sig[filled] if k - int(filled.sum()) < SPARE else sig)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def least_common(n: int, percent: int) -> int:
+    """T: the fewest shingles that a set of ``n`` shares with a linked one, and the least size of
+    that one."""
+    return (percent * n + 99) // 100
+
+
+def spare(n: int, percent: int) -> int:
+    """l: common shingles kept within the prefixes of linked sets of at least ``n``."""
+    return max(1, min(least_common(n, percent), (100 - percent) * n // 100))
+
+
+def prefix_size(n: int, percent: int = PERCENT) -> int:
+    """How many of a set's least shingles meet other sets: n - T leave the first common one in,
+    and each more another."""
+    return n - least_common(n, percent) + spare(n, percent)
+
+
+def needed(n: int, percent: int = PERCENT) -> int:
+    """Shingles that the prefixes of a set of ``n`` and of any linked one have in common: the
+    spare ones of the smallest partner."""
+    return spare(least_common(n, percent), percent)
 
 
 def _nodes(ids, texts: list, size: int):
@@ -146,32 +121,24 @@ def _nodes(ids, texts: list, size: int):
          pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "node", "n"])
 
 
-def _candidates(texts: list, size: int, percent: int):
-    """Rows ``sig, node, other`` of one batch: one row a signature, with the first node that has
-    it, and candidate links met within the batch (``other`` not null)."""
-    sig, owner, seen = [], [], set()
+def _prefixes(texts: list, size: int, percent: int):
+    """Rows ``token, nodes`` of one batch: one row a prefix shingle, with the ascending nodes
+    that hold it; rows of one first node lie together, which packs well."""
+    token, owner, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], set()
     for t in texts:
         s = shingles(t, size)
         node = set_hash(s) if len(s) else None
         if node is not None and node not in seen:
             seen.add(node)
-            x = signatures(s, percent)
-            sig.append(x)
-            owner.append(np.full(len(x), node, np.int64))
-    sig = np.concatenate(sig) if sig else np.zeros(0, np.int64)
-    owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-    order = np.argsort(sig, kind="stable")
-    sig, owner = sig[order], owner[order]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    hub = owner[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(sig) else owner
-    pairs = np.unique(np.stack([hub[~first], owner[~first]]), axis=1)
-    pairs = pairs[:, pairs[0] != pairs[1]]
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([sig[first], mix(pairs[0].view(np.uint64)).view(np.int64)])),
-        pa.array(np.concatenate([owner[first], pairs[0]])),
-        pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(pairs[1])])],
-        names=["sig", "node", "other"])
+            token.append(s[:prefix_size(len(s), percent)])
+            owner.append(np.full(len(token[-1]), node, np.int64))
+    token, owner = np.concatenate(token).view(np.int64), np.concatenate(owner)
+    order = np.lexsort((owner, token))
+    token, owner = token[order], owner[order]
+    at = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    nodes = pa.ListArray.from_arrays(pa.array(np.append(at, len(token)), pa.int32()), pa.array(owner))
+    whole = pa.RecordBatch.from_arrays([pa.array(token[at]), nodes], names=["token", "nodes"])
+    return whole.take(pa.array(np.argsort(owner[at], kind="stable")))
 
 
 class Links:
@@ -300,6 +267,30 @@ def _tiled(members: DataFrame, tile: int) -> DataFrame:
         "tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
 
 
+def _meet(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidate links ``a, b`` (star by star) from ``rows`` (token, nodes) of all batches and
+    ``reps`` (node, n). The rows go straight into their shuffle and are kept nowhere else."""
+    token = Window.partitionBy("token")
+    shared = (rows.select("token", "nodes", F.sum(F.size("nodes")).over(token).alias("holders"),
+                          F.min(F.element_at("nodes", 1)).over(token).alias("low"),
+                          F.max(F.element_at("nodes", -1)).over(token).alias("high"))
+              .where("low != high")
+              # exact copies of other batches have the same node; still one task a token
+              .select("token", "holders", F.explode("nodes").alias("node")).distinct())
+    least = F.expr(f"({percent} * n + 99) div 100")
+    sizes = (reps.withColumn("t", least).select("node", F.expr(       # as needed()
+        f"greatest(1, least(({percent} * t + 99) div 100, {100 - percent} * t div 100))").alias("need"))
+        .hint("merge"))                                               # the same join at every size
+    rare = Window.partitionBy("node").orderBy("holders", "token")
+    first = stored(shared.join(sizes, "node").select(
+        "token", "node", "need", F.row_number().over(rare).alias("rank"),
+        F.count("*").over(Window.partitionBy("node")).alias("c"))
+        .where(F.col("rank") <= F.col("c") - F.col("need") + 1).select("token", "node"), "rare-shared")
+    hubs = (first.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("high"))
+            .where("b != high").select("token", "b"))
+    return first.join(hubs.hint("merge"), "token").where("node != b").select(F.col("node").alias("a"), "b")
+
+
 def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text",
          percent: int = PERCENT, tile: int = TILE) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per document row.
@@ -319,21 +310,17 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
                 for b in slices(whole, BATCH):
                     yield _nodes(b.column("doc_id"), b.column("text").to_pylist(), size)
 
-    def candidates(batches):
+    def prefixes(batches):
         with task_memory(word_hashes()):
             for whole in batches:
                 for b in slices(whole, BATCH):
-                    yield _candidates(b.column("text").to_pylist(), size, percent)
+                    yield _prefixes(b.column("text").to_pylist(), size, percent)
     per_doc = stored(src.mapInArrow(nodes, f"doc_id {kind}, node long, n long"), "set-nodes")
-    # Signatures go straight into their shuffle and are kept nowhere else.
-    hub = F.min("node").over(Window.partitionBy("sig"))
-    met = (src.select("text").mapInArrow(candidates, "sig long, node long, other long")
-           .withColumn("b", F.coalesce("other", hub)).where("b != node")
-           .select(F.col("node").alias("a"), "b"))
-    blocks = stored(components(met).withColumnRenamed("comp", "block"), "blocks")
-
     reps = per_doc.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    met = _meet(src.select("text").mapInArrow(prefixes, "token long, nodes array<long>"), reps, percent)
+    blocks = stored(components(met).withColumnRenamed("comp", "block"), "blocks")
+
     members = stored(_tiled(blocks.join(reps, "node"), tile), "block-members")
 
     def sets_of(batches):
