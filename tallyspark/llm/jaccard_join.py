@@ -30,7 +30,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +38,7 @@ from .graph import components
 
 SIZE, PERCENT = 3, 90       # of the contract; in general five words and 80 are usual
 TILE = 2_000_000            # shingles searched in one task
-CACHE_WORDS = 200_000
+PIECE = 1 << 18             # bytes hashed at once
 BATCH = 2048                # documents whose prefixes are met before the shuffle
 MERGE_BY_HEAP = 2048
 
@@ -56,32 +55,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
-        return got
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _K[0])          # of a byte; capitals as small letters
+_VALUE[ord("A"):ord("Z") + 1] = _VALUE[ord("a"):ord("z") + 1]
+_BASE = 0x2545F4914F6CDD1D                                        # odd, so it has an inverse
 
 
 @lru_cache(maxsize=1)
-def word_hashes() -> _WordHashes:
-    """One bounded dictionary a worker process."""
-    return _WordHashes()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_BASE ** i`` and its inverse modulo 2 ** 64 for i < n."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _words_of_piece(x: np.ndarray) -> np.ndarray:
+    """Hashes of the words of some bytes: differences of running polynomial sums."""
+    power, inverse = _powers(max(PIECE, 1 << (len(x) - 1).bit_length()))
+    gap = np.concatenate([[True], _SPACE[x], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    value = _VALUE[x]
+    value *= power[:len(x)]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """The hash of every word, A-Z as a-z. Long texts go in pieces that end behind a space."""
+    x = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(x):
+        end = at + PIECE
+        while end < len(x):
+            gaps = np.flatnonzero(_SPACE[x[end - PIECE:end]])
+            if len(gaps):
+                end += int(gaps[-1]) + 1 - PIECE
+                break
+            end += PIECE                                  # one word fills the piece: read on
+        out.append(_words_of_piece(x[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = word_hashes()
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    h = np.fromiter(map(known.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
     width = min(size, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
+    many = len(h) - width + 1
+    out = np.full(many, width, np.uint64)
     for k in range(width):
-        out = mix(out * _K[k % 3] + h[k:len(h) - width + 1 + k])
-    return np.unique(out)
+        out *= _K[k % 3]
+        out += h[k:many + k]
+    out = np.sort(mix(out))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -305,13 +337,13 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def nodes(batches):
-        with task_memory(word_hashes()):
+        with task_memory():
             for whole in batches:
                 for b in slices(whole, BATCH):
                     yield _nodes(b.column("doc_id"), b.column("text").to_pylist(), size)
 
     def prefixes(batches):
-        with task_memory(word_hashes()):
+        with task_memory():
             for whole in batches:
                 for b in slices(whole, BATCH):
                     yield _prefixes(b.column("text").to_pylist(), size, percent)
@@ -324,7 +356,7 @@ def link(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     members = stored(_tiled(blocks.join(reps, "node"), tile), "block-members")
 
     def sets_of(batches):
-        with task_memory(word_hashes()):
+        with task_memory():
             for whole in batches:
                 for b in slices(whole):
                     sets = [shingles(t, size) for t in b.column("text").to_pylist()]

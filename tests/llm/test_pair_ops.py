@@ -53,6 +53,21 @@ def test_jaccard_of_five_words_and_eighty_percent(spark):
     assert rows_of(jaccard_join.link(docs, 5, percent=80)) == sorted(brute.links(rows, 5, 80))
 
 
+@pytest.mark.parametrize("piece", [jaccard_join.PIECE, 64, 7])
+def test_word_hashes_tell_words_apart(monkeypatch, piece):
+    """Equal words (A-Z as a-z) have equal hashes and others differ, wherever pieces are cut."""
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abAB01é日\x1c\xa0") for _ in range(rnd.choice([1, 2, 3, 8, 40, 3000])))
+             for _ in range(1500)]
+    text = "".join(w + rnd.choice(" \t\n\x0b\x0c\r") * rnd.randint(1, 3) for w in words)
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    got = [jaccard_join.word_hashes(t).tolist() for t in (text, " " + text.rstrip(), *ODD)]
+    plain = [(t or "").encode().lower().split() for t in (text, text, *ODD)]
+    assert list(map(len, got)) == list(map(len, plain)) and got[0] == got[1]
+    pairs = {(h, w) for hs, ws in zip(got, plain) for h, w in zip(hs, ws)}
+    assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs}) > 1000
+
+
 @pytest.mark.parametrize("percent", [90, 80, 55])
 def test_prefixes_hold_the_needed_shingles(percent):
     """Prefixes of sets at the edge of the similarity share what is needed, whatever differs."""
