@@ -123,8 +123,8 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataFrame:
-    """Large-dimension plan (see module docstring). Like the stored table, it
-    assumes (person_name, keyword) pairs are unique in ``m``."""
+    """Large-dimension plan (see module docstring). A mapping repeated in ``m``
+    matches once per copy, as in the broadcast plan."""
     pats = _patterns(m)
     ld = F.lower(F.col("description"))
     descs = rows.select(ld.alias("ld")).distinct()
@@ -133,16 +133,20 @@ def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataF
     for n in prof.ngram_lengths:
         dg = descs.select("ld", F.explode(_grams(F.col("ld"), n)).alias("gram"))
         freq = dg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        kp = pats.filter(F.col("n") == n)
-        kg = kp.select("person_name", "keyword", "pattern", "literal", "plain",
+        kp = (pats.filter(F.col("n") == n)
+              .groupBy("person_name", "keyword", "pattern", "literal", "plain")
+              .agg(F.count(F.lit(1)).alias("copies")))
+        kg = kp.select("person_name", "keyword", "pattern", "literal", "plain", "copies",
                        F.explode(_grams(F.col("literal"), n)).alias("gram"))
         best = (kg.join(freq, "gram", "left")
-                .groupBy("person_name", "keyword", "pattern", "literal", "plain")
+                .groupBy("person_name", "keyword", "pattern", "literal", "plain", "copies")
                 .agg(F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram")))
         cand = dg.join(best, "gram")
         verified = F.when(F.col("plain"), F.col("ld").contains(F.col("literal"))).otherwise(
             F.like(F.col("ld"), F.col("pattern")))
-        found.append(cand.filter(verified).select("ld", "person_name", "keyword"))
+        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+        found.append(cand.filter(verified).select("ld", "person_name", "keyword",
+                                                  copy.alias("copy")).drop("copy"))
     if prof.wildcard_only:
         # '%' + only wildcards + '%': matches iff length >= number of '_'.
         wp = pats.filter(F.col("n") == 0).select("person_name", "keyword",

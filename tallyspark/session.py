@@ -66,7 +66,8 @@ def build_session(master: str | None = None, app: str = "tallyspark",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the session (set one if unset)."""
+    """The shared checkpoint folder named by the session. Where none is set, a local master gets a
+    temporary folder; on a cluster that is an error, as executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         try:
@@ -74,6 +75,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # Spark Connect: no SparkContext
             root = None
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               "executors share")
         root = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(root)

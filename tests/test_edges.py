@@ -5,12 +5,14 @@ import os
 import tempfile
 from decimal import Decimal
 
+import pytest
 
 from tallyspark.operators import contrib as C
 from tallyspark.operators import query as Q
 from tallyspark.operators import recurring as R
 from tallyspark.operators import stats as S
 from tallyspark.schema import TRANSACTIONS, conform
+from tallyspark.session import checkpoint_root
 from tallyspark.sources import fixtures as FX
 from tallyspark.sources.statements import read_statements
 
@@ -95,3 +97,21 @@ def test_projection_skips_and_reports_missing_balance(spark):
     assert {r.account_id for r in grid.collect()} == {1}
     assert [(r.account_id, r.reason) for r in P.projection_rejects(acc).collect()] == [
         (2, "missing_balance")]
+
+
+def test_cluster_needs_a_shared_checkpoint_folder():
+    """Without ``spark.checkpoint.dir`` only a local master gets a temporary folder."""
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())

@@ -32,3 +32,17 @@ def test_random_keywords_same_pairs(spark, seed):
                for r in C.keyword_matches(t, m, "ngram").collect())
     assert len(a) > 100
     assert a == b
+
+
+def test_repeated_mappings_count_alike(spark):
+    """A mapping listed twice matches twice, whichever plan is chosen."""
+    t = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 1), "rent from AVERY", Decimal("10.01"), None),
+         (2, dt.date(2024, 1, 2), "other", Decimal("5.00"), None)],
+        "id long, transaction_date date, description string, "
+        "amount decimal(12,2), balance decimal(12,2)")
+    m = spark.createDataFrame([(1, "P", "avery"), (2, "P", "avery"), (3, "P", "%%"), (4, "P", "%%")],
+                              "id long, person_name string, keyword string")
+    got = [sorted((r.id, r.person_name, r.keyword) for r in C.keyword_matches(t, m, s).collect())
+           for s in ("broadcast", "ngram")]
+    assert got[0] == got[1] == sorted([(1, "P", "avery")] * 2 + [(1, "P", "%%"), (2, "P", "%%")] * 2)
