@@ -4,8 +4,14 @@ Items are normalised to words (``A-Z`` lower-cased; runs of digits, letters and
 characters) and all go into one word-level suffix automaton. Documents are streamed through it:
 the state is the longest suffix of the words read that occurs in some item. Whenever the matched
 length reaches the window (13 words), or a whole shorter item has just been read, those words are
-hit. The automaton travels to the tasks, so documents are neither joined nor shuffled; its size
-follows the test items and is checked against ``max_item_words``.
+hit. Documents are neither joined nor shuffled.
+
+Items are cut into parts of at most ``PART_WORDS`` words (a longer item into pieces that overlap by
+a window less one word, so no window is lost), which pass the driver one at a time and reach the
+tasks by broadcast. A task holds a block of documents against every part: only the items with a
+window (or, if shorter, all their words) in the block enter an automaton, which is built there and
+never holds more words than a part; hits and items of all automata are united per row. So memory
+does not follow the number of items, and no number of them is refused.
 
 A window can only lie where every pair of neighbouring words is a pair of some item, so the
 stretches without such pairs are skipped in bulk before streaming.
@@ -13,6 +19,11 @@ stretches without such pairs are skipped in bulk before streaming.
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Iterator
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import read, ship_package, slices, subset
 
 WINDOW = 13
-MAX_ITEM_WORDS = 2_000_000
+PART_WORDS = 200_000       # of items in one part, and in one automaton
+BLOCK_WORDS = 4_000_000    # of documents held against the parts at a time (at least 512 rows)
 
 # Bytes of words are 0-9, a-z (after lower-casing) and all of 0x80 and above.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122
@@ -126,8 +138,14 @@ class ItemAutomaton:
         ids = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(offsets[-1]))
         hit = np.zeros(len(ids), bool)
         found: list[set] = [set() for _ in texts]
+        self.scan_ids(ids, offsets, hit, found)
+        return hit, offsets, found
+
+    def scan_ids(self, ids: np.ndarray, offsets: np.ndarray, hit: np.ndarray,
+                 found: list[set]) -> None:
+        """Mark hit words of the documents in ``hit``, add their items' numbers to ``found``."""
         if not len(ids) or not len(self.names):
-            return hit, offsets, found
+            return
         known = np.flatnonzero(ids)
         joined = np.zeros(len(ids) + 1, bool)             # word i and i - 1 may share a window
         if len(self.pairs):
@@ -143,17 +161,138 @@ class ItemAutomaton:
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             doc = int(np.searchsorted(offsets, a, "right")) - 1
             self.stream(ids[a:b].tolist(), a, hit, found[doc])
-        return hit, offsets, found
 
 
-def collect_items(items: DataFrame, item_id: str, text: str, max_item_words: int) -> list:
-    """The items on the driver, after their size has been checked."""
+def pieces(text: str, window: int, part_words: int) -> Iterator[list[bytes]]:
+    """The words of an item, cut where it is over ``part_words`` long."""
+    words = words_of(text)
+    step = max(part_words - window + 1, 1)
+    for at in range(0, max(len(words) - window + 1, 1), step):
+        part = words[at:at + step + window - 1]
+        if part:
+            yield part
+
+
+def item_parts(items: DataFrame, item_id: str, text: str, window: int = WINDOW,
+               part_words: int = PART_WORDS, max_item_words: int | None = None) -> list:
+    """Broadcasts of the items, each of at most ``part_words`` words (or one piece of a window).
+    The driver holds one part at a time. Only a caller's own ``max_item_words`` refuses items."""
     src = subset(items, item_id=item_id, text=text).where("text is not null")
-    size = src.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    if size > max_item_words:
-        raise ValueError(f"{size} words of test items are over the bound of {max_item_words}; "
-                         "decontaminate against parts of the items in turn")
-    return [(None if r.item_id is None else str(r.item_id), r.text) for r in src.collect()]
+    out, names, sizes, words, total = [], [], [], [], 0
+
+    def close():
+        raw = pickle.dumps((names, sizes, b" ".join(words)))
+        out.append(items.sparkSession.sparkContext.broadcast(zlib.compress(raw)))
+
+    for r in src.toLocalIterator():
+        name = None if r.item_id is None else str(r.item_id)
+        for piece in pieces(r.text, window, part_words):
+            total += len(piece)
+            if max_item_words is not None and total > max_item_words:
+                raise ValueError(f"over {max_item_words} words of test items")
+            if words and len(words) + len(piece) > part_words:
+                close()
+                names, sizes, words = [], [], []
+            names.append(name)
+            sizes.append(len(piece))
+            words += piece
+    if words:
+        close()
+    return out
+
+
+def _grams(ids: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit number for each run of ``window`` ids; equal runs have equal numbers."""
+    n = len(ids) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    for j in range(window):
+        out *= np.uint64(0xD1342543DE82EF95)
+        out += mixed[j:j + n]
+    return out
+
+
+class Block:
+    """Some rows' texts as numbers of words, to be held against all items."""
+
+    def __init__(self, window: int):
+        self.window, self.vocab = window, {}
+        self.batches, self.sizes, self.ids, self.n = [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch, column: str) -> None:
+        words = [words_of(t) for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        vocab = self.vocab
+        n = sum(map(len, words))
+        self.ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for t in words for w in t),
+                                    np.int32, n))
+        self.sizes.extend(map(len, words))
+        self.batches.append(batch)
+        self.n += n
+
+    def _likely(self, part: bytes, grams: np.ndarray) -> Iterator[tuple[str | None, str, int]]:
+        """The items of a part that can have a hit in the block, with their numbers of words."""
+        w = self.window
+        names, sizes, text = pickle.loads(zlib.decompress(part))
+        words, sizes = text.split(), np.array(sizes, np.int64)
+        ends = np.cumsum(sizes)
+        flat = np.fromiter(map(self.vocab.get, words, repeat(-1)), np.int64, len(words))
+        item = np.repeat(np.arange(len(names)), sizes)
+        short = sizes < w
+        keep = short & (np.bincount(item[flat < 0], minlength=len(names)) == 0)
+        keys = _grams(flat, w)
+        if len(keys) and len(grams):
+            unknown = np.concatenate([[0], np.cumsum(flat < 0)])
+            at = np.flatnonzero((item[:len(keys)] == item[w - 1:])
+                                & (unknown[w:] == unknown[:len(keys)]))
+            spot = np.minimum(np.searchsorted(grams, keys[at]), len(grams) - 1)
+            keep[item[at[grams[spot] == keys[at]]]] = True
+        for k in np.flatnonzero(keep).tolist():
+            own = words[ends[k] - sizes[k]:ends[k]]
+            yield names[k], b" ".join(own).decode("utf-8", "surrogatepass"), len(own)
+
+    def held(self, parts: list, part_words: int) -> tuple[np.ndarray, np.ndarray, list[set]]:
+        """(hit flag of every word, offsets of the rows, ids of the items found in each row)."""
+        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        offsets = np.concatenate([[0], np.cumsum(np.array(self.sizes, np.int64))]).astype(np.int64)
+        hit = np.zeros(len(ids), bool)
+        names: list[set] = [set() for _ in self.sizes]
+        pool, size = [], 0
+
+        def scan():
+            aut = ItemAutomaton(pool, self.window)
+            get = aut.vocab.get
+            table = np.fromiter((get(w, 0) for w in self.vocab), np.int64, len(self.vocab))
+            found: list[set] = [set() for _ in self.sizes]
+            aut.scan_ids(table[ids], offsets, hit, found)
+            for have, f in zip(names, found):
+                have.update(aut.names[k] for k in f)
+
+        if len(ids):
+            grams = np.sort(_grams(ids, self.window))
+            for p in parts:
+                for name, text, n in self._likely(p.value, grams):
+                    if pool and size + n > part_words:
+                        scan()
+                        pool, size = [], 0
+                    pool.append((name, text))
+                    size += n
+            if pool:
+                scan()
+        return hit, offsets, names
+
+
+def blocks(batches, column: str, window: int, block_words: int) -> Iterator[Block]:
+    block = Block(window)
+    for part in (part for whole in batches for part in slices(whole)):
+        block.add(part, column)
+        if block.n >= block_words:
+            yield block
+            block = Block(window)
+    if block.batches:
+        yield block
 
 
 def clean(text: str, words: list[bytes], hit: np.ndarray) -> str:
@@ -176,7 +315,8 @@ def clean(text: str, words: list[bytes], hit: np.ndarray) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                   coverage_percent: int = 5, doc_id: str = "doc_id", text: str = "text",
                   item_id: str = "item_id", item_text: str = "text",
-                  max_item_words: int = MAX_ITEM_WORDS, with_text: bool = True) -> DataFrame:
+                  max_item_words: int | None = None, with_text: bool = True,
+                  part_words: int = PART_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document row: ``n_words, n_hit, n_items, items`` (sorted as strings),
     ``contaminated`` (hit words are at least ``coverage_percent`` of all) and, if asked for,
     ``clean_text`` (hit spans removed).
@@ -185,49 +325,57 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     Items without words match nothing; repeated items count once by id; an item with a null id
     marks words but is not listed. No items, or no documents, give no hits, or no rows.
     """
-    aut = ItemAutomaton(collect_items(items, item_id, item_text, max_item_words), window)
+    parts = item_parts(items, item_id, item_text, window, part_words, max_item_words)
     src = subset(docs, doc_id=doc_id, text=text)
     kind = src.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, "
               "contaminated boolean" + (", clean_text string" if with_text else ""))
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole)):
-            texts = b.column("text").to_pylist()
-            words = [words_of(t) for t in texts]
-            hit, offsets, found = aut.scan(words)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_words = np.diff(offsets)
-            n_hit = total[offsets[1:]] - total[offsets[:-1]]
-            names = [sorted({aut.names[k] for k in f} - {None}) for f in found]
-            cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                    pa.array([len(x) for x in names], pa.int64()),
-                    pa.array(names, pa.list_(pa.string())),
-                    pa.array((n_hit > 0) & (100 * n_hit >= coverage_percent * n_words))]
-            if with_text:
-                cols.append(pa.array([
-                    clean(t, w, hit[a:z]) if n else t for t, w, a, z, n in
-                    zip(texts, words, offsets[:-1], offsets[1:], n_hit)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, names=[
-                "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
-                + ["clean_text"] * with_text)
+        for block in blocks(batches, "text", window, block_words):
+            hits, ends, found = block.held(parts, part_words)
+            total = np.concatenate([[0], np.cumsum(hits)])
+            row = 0
+            for b in block.batches:
+                offsets = ends[row:row + b.num_rows + 1]
+                n_words = np.diff(offsets)
+                n_hit = total[offsets[1:]] - total[offsets[:-1]]
+                names = [sorted(f - {None}) for f in found[row:row + b.num_rows]]
+                cols = [b.column("doc_id"), pa.array(n_words, pa.int64()),
+                        pa.array(n_hit, pa.int64()),
+                        pa.array([len(x) for x in names], pa.int64()),
+                        pa.array(names, pa.list_(pa.string())),
+                        pa.array((n_hit > 0) & (100 * n_hit >= coverage_percent * n_words))]
+                if with_text:
+                    cols.append(pa.array([
+                        clean(t, words_of(t), hits[a:z]) if n else t for t, a, z, n in
+                        zip(b.column("text").to_pylist(), offsets[:-1], offsets[1:], n_hit)],
+                        pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=[
+                    "doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
+                    + ["clean_text"] * with_text)
+                row += b.num_rows
     return src.mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                       coverage_percent: int = 5, text: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", max_item_words: int = MAX_ITEM_WORDS) -> DataFrame:
+                      item_text: str = "text", max_item_words: int | None = None,
+                      part_words: int = PART_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` (all columns) without the contaminated rows; the others stay as they are."""
-    aut = ItemAutomaton(collect_items(items, item_id, item_text, max_item_words), window)
+    parts = item_parts(items, item_id, item_text, window, part_words, max_item_words)
     ship_package(docs.sparkSession)
 
     def run(batches):
-        for b in (part for whole in batches for part in slices(whole)):
-            words = [words_of(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            hit, offsets, _ = aut.scan(words)
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[offsets[1:]] - total[offsets[:-1]]
-            yield b.filter(pa.array((n_hit == 0) | (100 * n_hit < coverage_percent * np.diff(offsets))))
+        for block in blocks(batches, text, window, block_words):
+            hits, ends, _ = block.held(parts, part_words)
+            total = np.concatenate([[0], np.cumsum(hits)])
+            n_hit = total[ends[1:]] - total[ends[:-1]]
+            keep = (n_hit == 0) | (100 * n_hit < coverage_percent * np.diff(ends))
+            row = 0
+            for b in block.batches:
+                yield b.filter(pa.array(keep[row:row + b.num_rows]))
+                row += b.num_rows
     return docs.mapInArrow(run, docs.schema)
 
 

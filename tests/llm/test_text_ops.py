@@ -238,6 +238,35 @@ def test_decontaminate_edges(spark):
         decontaminate.decontaminate(docs, items, max_item_words=2)
 
 
+def test_decontaminate_parts(spark):
+    """Items beyond any one automaton: small parts and blocks give what one part gives."""
+    rnd = random.Random(8)
+    word = lambda: rnd.choice(["ab", "cd", "é", "f1", "gh", "i", "jk"])
+    items = [(str(i % 35), " ".join(word() for _ in range(rnd.choice([2, 5, 14, 40, 300])))) for i in range(40)]
+    docs = []
+    for d in range(1200):
+        t = [word() + rnd.choice(["", "x"]) for _ in range(rnd.randint(0, 30))]
+        src = rnd.choice(items)[1].split()
+        at = rnd.randrange(len(src))
+        docs.append((d, " ".join(t + src[at:at + rnd.randint(0, 60)])))
+    want = sorted(brute.contamination(docs, items))
+    assert sum(w[2] > 0 for w in want) > 100
+    left, right = (spark.createDataFrame(docs, "doc_id long, text string"),
+                   spark.createDataFrame(items, "item_id string, text string"))
+    for bounds in ({}, {"part_words": 30, "block_words": 500}, {"part_words": 1}):
+        got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, brute.sha(",".join(r["items"])), r.contaminated)
+               for r in decontaminate.decontaminate(left, right, **bounds).collect()]
+        assert sorted(got) == want
+        kept = decontaminate.drop_contaminated(left, right, **bounds).collect()
+        assert sorted(r.doc_id for r in kept) == [w[0] for w in want if not w[5]]
+    # over two million words, where this raised before
+    many = spark.range(2_100).selectExpr(
+        "cast(id as string) item_id", "repeat(concat('w', id, ' v '), 500) text")
+    probe = spark.createDataFrame([(1, "w7 v " * 10), (2, "w7 w8 " * 10)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(probe, many).collect()}
+    assert got == {1: (20, ["7"]), 2: (0, [])}
+
+
 def test_url_edges(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.NET/x"), (4, "http://a.net"), (5, "x://b.Example.net/en/1?q"),
             (6, "http://example.com/de/"), (7, "http://aexample.com/de/"), (8, "http://q.org/fr/#t"),
