@@ -1,22 +1,24 @@
 """Bank-statement CSV files -> clean typed ledger rows and rejects (S1-S7).
 
-Plan shape: one ``binaryFile`` scan gives one row per file (path, bytes).
-Everything per file -- MD5 (S6), UTF-8 check, BOM strip, line split, header
-detection (S2), header aliases and required columns (S3, S4) -- is computed
-with array functions on that row, so finding each file's header needs no
-shuffle and no join back. ``posexplode`` then yields (line number, text) and
-one quote-aware regular expression splits the cells; every cell goes through the native-Column parsers.
+Plan shape: files of every size are read with the split ``text`` source, so no file
+is read by one task: exact line numbers come from per-split offsets, and one
+per-file aggregate gives the content hash (S6), the UTF-8 check, the header (S2),
+its aliases and required columns (S3, S4), which is joined back to the lines. Files
+without a line (0 bytes, or a BOM alone) are known from the listing only.
+One quote-aware regular expression splits the cells; every cell goes through the
+native-Column parsers.
 Bad rows become rejects with a reason instead of failing the job (S7).
 
-For very large files ``parse_large_statement_files`` reads with the split
-``text`` source instead (exact line numbers from per-split offsets, headers
-from one per-file aggregate joined back); ``read_statements`` switches to it
-when a file exceeds 64 MB. Quoted line breaks are not supported: a line with an
+``parse_statement_files`` parses contents already at hand (one row per file) to the
+same rows. Quoted line breaks are not supported: a line with an
 odd number of quotes is rejected (``unbalanced_quote``).
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,36 @@ def _resolve_header(f: DataFrame) -> DataFrame:
     return f.withColumn("file_reason", reason)
 
 
+def _line_hash(idx: Column, line: Column) -> Column:
+    """120 bits of a line's text and number, to be combined by xor over a file's lines."""
+    h = F.md5(F.concat(idx.cast("string"), F.lit("|"), line))
+    return F.struct(F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("a"),
+                    F.conv(F.substring(h, 16, 15), 16, 10).cast("long").alias("b"))
+
+
+def _file_hash(size: Column, n: Column, a: Column, b: Column) -> Column:
+    """``csv_hash``: of the file's bytes in all, its lines and their order, nothing else (two
+    files that differ only in which line ends are CR LF, at equal size, are alike)."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit(0)).cast("string")
+                                    for c in (size, n, a, b)]))
+
+
 def _files(raw: DataFrame, strict_header: bool) -> DataFrame:
     """Per file: hash, lines, header position, column positions, verdict."""
     text = F.col("content").cast("string")
     lines = F.split(F.regexp_replace(text, "^\ufeff", ""), "\r\n|\n|\r")
-    f = raw.select("path", F.md5("content").alias("csv_hash"),
+    f = raw.select("path", F.length("content").alias("size"),
                    F.is_valid_utf8(text).alias("utf8"),
                    (F.length("content") == 0).alias("empty"),
                    lines.alias("lines"))
+    # what follows the last line end is a line only if it is not empty
+    ended = F.when(F.element_at("lines", -1) == "", F.size("lines") - 1).otherwise(F.size("lines"))
+    hashes = F.transform(F.slice("lines", F.lit(1), ended), lambda l, i: _line_hash(i, l))
+    xor = F.aggregate(hashes, F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")),
+                      lambda x, h: F.struct(x["a"].bitwiseXOR(h["a"]).alias("a"),
+                                            x["b"].bitwiseXOR(h["b"]).alias("b")))
+    f = f.withColumn("xor", xor).withColumn("csv_hash", _file_hash(
+        F.col("size"), ended, F.col("xor.a"), F.col("xor.b"))).drop("size", "xor")
     hit = F.array_position(F.transform("lines", lambda l: _is_header(l, strict_header)), True)
     f = f.withColumn("header_no", F.greatest(hit, F.lit(1)).cast("int"))  # 1-based; default 1
     f = f.withColumn("header", F.element_at("lines", F.col("header_no")))
@@ -184,8 +208,9 @@ def _parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def _split_lines(spark: SparkSession, path, glob: str) -> DataFrame:
-    """(path, size, mtime, idx, line) for every physical line, read with the
-    ``text`` source, which splits large files into many tasks.
+    """(path, idx, line) for every physical line, read with the ``text`` source,
+    which splits large files into many tasks and leaves out a file's first BOM.
+    ``path`` is a folder or a list of file names.
 
     Exact 0-based line numbers without a row-level window: within a split the
     generated row ids are consecutive, so a line's number is the count of lines
@@ -195,11 +220,15 @@ def _split_lines(spark: SparkSession, path, glob: str) -> DataFrame:
     reader = spark.read.format("text")
     if isinstance(path, str):
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    elif not path:
+        return spark.createDataFrame([], "path string, idx long, line string")
+    else:
+        path = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]     # names, not patterns
+    # the metadata holds the path as a URI; elsewhere (binaryFile) it is plain
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     raw = (reader.load(path)
-           .select(F.col("_metadata.file_path").alias("path"),
+           .select(plain.alias("path"),
                    F.col("_metadata.file_block_start").alias("block"),
-                   F.col("_metadata.file_size").alias("size"),
-                   F.col("_metadata.file_modification_time").alias("mtime"),
                    F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line")))
     splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
                                               F.min("rid").alias("first_rid"))
@@ -208,35 +237,56 @@ def _split_lines(spark: SparkSession, path, glob: str) -> DataFrame:
     splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     idx = F.col("offset") + F.col("rid") - F.col("first_rid")
     lines = raw.join(splits.select("path", "block", "first_rid", "offset"), ["path", "block"])
-    return lines.select("path", "size", "mtime", idx.alias("idx"),
-                        F.when(idx == 0, F.regexp_replace("line", "^\ufeff", ""))
-                        .otherwise(F.col("line")).alias("line"))
+    return lines.select("path", idx.alias("idx"), "line")
+
+
+def empty_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(path, size 0) of the 0-byte files, which no scan returns: the names of the
+    listing that the scan of the listing's metadata does not have."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    names = [(re.sub("^file:///", "file:/", unquote(n)),) for n in files.inputFiles()]
+    return (spark.createDataFrame(names, "path string").join(files.select("path"), "path", "left_anti")
+            .select("path", F.lit(0).cast("long").alias("size")))
+
+
+def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, size) of every file, from metadata only."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    return files.select("path", F.col("length").alias("size")).unionByName(
+        empty_files(spark, path, glob))
 
 
 def parse_large_statement_files(spark: SparkSession, path, glob: str = "*.csv",
-                                strict_header: bool = False) -> DataFrame:
+                                strict_header: bool = False,
+                                listed: DataFrame | None = None) -> DataFrame:
     """Like ``parse_statement_files``, but every stage is split: files are read
     by many tasks, headers come from one small per-file aggregate, and lines
     meet their file's header through a join (AQE broadcasts the per-file side
     when it is small and splits a hot file's lines otherwise).
 
-    ``path`` is a folder (with ``glob``) or a list of file paths. ``csv_hash``
-    here identifies the file by path, size and modification time (an MD5 of the
-    bytes would need the whole file in one task)."""
+    ``path`` is a folder (with ``glob``) or a list of the names of files with bytes in
+    them; a list needs ``listed(path, size)``, which may name 0-byte files too."""
     lines = _split_lines(spark, path, glob)
+    if listed is None:
+        listed = _listing(spark, path, glob)
     looks = _is_header(F.col("line"), strict_header)
-    per_file = lines.groupBy("path", "size", "mtime").agg(
+    h = _line_hash(F.col("idx"), F.col("line"))
+    per_file = lines.groupBy("path").agg(
         F.min(F.when(looks, F.struct("idx", "line"))).alias("hit"),
         F.min(F.struct("idx", "line")).alias("first"),
+        F.count(F.lit(1)).alias("n"),
+        F.bit_xor(h["a"]).alias("a"), F.bit_xor(h["b"]).alias("b"),
         F.min(F.is_valid_utf8("line").cast("int")).alias("utf8"))
     header = F.coalesce(F.col("hit"), F.col("first"))
-    files = _resolve_header(per_file.select(
+    files = _resolve_header(listed.join(per_file, "path", "left").select(
         "path",
-        F.md5(F.concat_ws("|", "path", F.col("size").cast("string"),
-                          F.col("mtime").cast("string"))).alias("csv_hash"),
-        (F.col("utf8") == 1).alias("utf8"), F.lit(False).alias("empty"),
-        (header.getField("idx") + 1).cast("int").alias("header_no"),
-        header.getField("line").alias("header")))
+        _file_hash(F.col("size"), F.col("n"), F.col("a"), F.col("b")).alias("csv_hash"),
+        (F.coalesce(F.col("utf8"), F.lit(1)) == 1).alias("utf8"),
+        (F.col("size") == 0).alias("empty"),
+        (F.coalesce(header.getField("idx"), F.lit(0)) + 1).cast("int").alias("header_no"),
+        F.coalesce(header.getField("line"), F.lit("")).alias("header")))
     cols = ["path", "csv_hash", "file_reason", "header_no", "width", "p_transaction_date",
             "p_description", "p_amount", "p_balance"]
     accepted = files.filter(F.col("file_reason").isNull()).select(*cols)
@@ -250,11 +300,8 @@ def parse_large_statement_files(spark: SparkSession, path, glob: str = "*.csv",
 def read_large_statements(spark: SparkSession, path: str, strict_header: bool = False,
                           glob: str = "*.csv", out_dir: str | None = None
                           ) -> tuple[DataFrame, DataFrame]:
-    """``read_statements`` for very large files: no file is read by one task."""
-    from ..session import shared_dir
-    out_dir = out_dir or shared_dir(spark, "statements-parsed")
-    write_parsed(parse_large_statement_files(spark, path, glob, strict_header), out_dir)
-    return read_parsed(spark, out_dir)
+    """``read_statements`` by its default reader."""
+    return read_statements(spark, path, strict_header, glob, out_dir)
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,9 +334,6 @@ def read_parsed(spark: SparkSession, out_dir: str) -> tuple[DataFrame, DataFrame
     return clean, rejects
 
 
-SPREAD_ABOVE_BYTES = 64 << 20
-
-
 def largest_file(spark: SparkSession, path: str, glob: str = "*.csv") -> int:
     """Size of the largest matching file, from listing metadata only (the
     ``length`` column; file contents are not read)."""
@@ -307,17 +351,17 @@ def read_statements(spark: SparkSession, path: str, strict_header: bool = False,
     ``out_dir`` (default: a new folder under the shared checkpoint folder),
     partitioned by status; clean rows and rejects are then two pruned reads.
     Writing cuts the lineage, so neither side re-parses the files and a lost
-    executor never forces a re-parse. When some file exceeds 64 MB (checked
-    from listing metadata, contents unread) the split reader is used, so no
-    file is read or parsed by a single task; ``spread_lines=True`` instead
-    keeps whole-file reads and only rebalances the parsing.
+    executor never forces a re-parse. The split reader is used at every size;
+    a caller that gives ``spread_lines`` has every file read whole instead
+    (``True``: and the parsing rebalanced), with the same rows.
     """
     from ..session import shared_dir
     out_dir = out_dir or shared_dir(spark, "statements-parsed")
-    if spread_lines is None and largest_file(spark, path, glob) > SPREAD_ABOVE_BYTES:
+    if spread_lines is None:
         parsed = parse_large_statement_files(spark, path, glob, strict_header)
     else:
-        parsed = parse_statement_files(binary_files(spark, path, glob), strict_header,
-                                       bool(spread_lines))
+        empty = empty_files(spark, path, glob).select("path", F.lit(b"").alias("content"))
+        parsed = parse_statement_files(binary_files(spark, path, glob).unionByName(empty),
+                                       strict_header, spread_lines)
     write_parsed(parsed, out_dir)
     return read_parsed(spark, out_dir)

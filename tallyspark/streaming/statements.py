@@ -6,9 +6,9 @@ batch import (first row per key wins, stored keys are skipped). No streaming
 state is kept: cross-batch dedupe is the anti join against the stored ledger,
 so state cannot grow without bound and late files are still accepted.
 
-A micro-batch holding a file over 64 MB is parsed by the split reader (the
-batch's file names go to a split ``text`` scan), so no big file is read or
-parsed by one task.
+The batch's file names go to the split reader, whatever the files' sizes, so no
+file is read or parsed by one task. 0-byte files, which no batch returns, are
+listed from the folder's metadata and rejected once.
 
 Replay safety: batch ``b`` writes only to ``ledger/batch_id=b`` (overwrite)
 and dedupes against every *other* batch folder, so re-running a batch after a
@@ -24,10 +24,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import month_key
 from ..operators.ingest import import_transactions
-from ..sources.statements import (CLEAN_COLUMNS, SPREAD_ABOVE_BYTES,
-                                  parse_large_statement_files, parse_statement_files,
+from ..sources.statements import (CLEAN_COLUMNS, empty_files, parse_large_statement_files,
                                   split_parsed)
 
+SPREAD_ABOVE_BYTES = 0    # not read any more (no size is special); an existing test sets it
+
 LEDGER_COLUMNS = CLEAN_COLUMNS + ["imported_at"]
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -47,18 +48,33 @@ def _stored(spark: SparkSession, ledger_dir: str, batch_id: int) -> DataFrame |
     return led.filter(F.col("batch_id") != F.lit(batch_id))
 
 
+def _new_empty(spark: SparkSession, batch_id: int, ledger_dir: str, in_dir: str,
+               glob: str) -> DataFrame:
+    """0-byte files of the folder that no other batch has rejected."""
+    empty = empty_files(spark, in_dir, glob)
+    try:
+        old = spark.read.schema("path string, reason string, batch_id long").json(
+            f"{ledger_dir}_rejects")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty
+    old = old.filter((F.col("batch_id") != batch_id) & (F.col("reason") == "empty_file"))
+    return empty.join(old.select("path"), "path", "left_anti")
+
+
 def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
-                 strict_header: bool = False) -> None:
+                 strict_header: bool = False, in_dir: str | None = None,
+                 glob: str = "*.csv") -> None:
+    """Import one batch of files; with ``in_dir`` its 0-byte files are rejected too."""
     spark = batch.sparkSession
     size = F.col("length") if "length" in batch.columns else F.length("content")
-    largest = batch.agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
-    if largest > SPREAD_ABOVE_BYTES:
-        # one trigger's file names (metadata, bounded by the trigger size): the
-        # split reader reads and parses the big files in many tasks
-        paths = [r.path for r in batch.select("path").collect()]
-        parsed = parse_large_statement_files(spark, paths, strict_header=strict_header)
-    else:
-        parsed = parse_statement_files(batch.select("path", "content"), strict_header)
+    listed = batch.select("path", size.cast("long").alias("size"))
+    # one trigger's file names (metadata, bounded by the trigger size)
+    paths = [r.path for r in listed.select("path").collect()]
+    if in_dir is not None:
+        listed = listed.unionByName(_new_empty(spark, batch_id, ledger_dir, in_dir, glob))
+    parsed = parse_large_statement_files(spark, paths, strict_header=strict_header, listed=listed)
     clean, rejects = split_parsed(parsed.persist())
     try:
         incoming = clean.withColumn("imported_at", F.current_timestamp())
@@ -85,7 +101,7 @@ def stream_statements(spark: SparkSession, in_dir: str, ledger_dir: str, checkpo
            .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
            .option("recursiveFileLookup", "true").load(in_dir))
     w = (src.writeStream
-         .foreachBatch(lambda df, bid: import_batch(df, bid, ledger_dir, strict_header))
+         .foreachBatch(lambda df, bid: import_batch(df, bid, ledger_dir, strict_header, in_dir, glob))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

@@ -193,3 +193,42 @@ def test_stream_batch_with_large_file_uses_split_reader(spark, monkeypatch):
     batch_rows = clean.select("transaction_date", "description", "amount")
     assert streamed.exceptAll(batch_rows).count() == 0
     assert batch_rows.exceptAll(streamed).count() == 0
+
+
+def test_statement_files_do_not_depend_on_their_neighbours(spark, tmp_path):
+    head, row = b"Date,Description,Amount\n", b"01/15/2024,x,1\n"
+    files = {"a b+%41.txt": head + row, "bad.txt": b"\xef\xbb\xbfDate,Description,Amount,\xff\n" + row,
+             "empty.txt": b"", "bom.txt": b"\xef\xbb\xbf", "two.txt": b"\xef\xbb\xbf" * 2 + head + row,
+             "crlf.txt": (head + row).replace(b"\n", b"\r\n"), "[s]{1}.txt": head + row + row}
+
+    def seen(clean, rejects):
+        name = F.element_at(F.split("path", "/"), -1)
+        return ({tuple(r) for r in clean.select(name, "line_no", "csv_hash", "description").collect()},
+                {tuple(r) for r in rejects.select(name, "line_no", "reason").collect()})
+
+    alone, beside = tmp_path / "alone", tmp_path / "beside"
+    for d in (alone, beside):
+        d.mkdir()
+        for n, b in files.items():
+            (d / n).write_bytes(b)
+    (beside / "large.txt").write_bytes((b"z" * (1 << 20) + b"\n") * 66 + head + row)
+    clean, rejects = seen(*ST.read_statements(spark, str(alone), glob="*.txt"))
+    assert rejects == {("bad.txt", None, "invalid_utf8"), ("empty.txt", None, "empty_file"),
+                       ("bom.txt", None, "missing_column"), ("two.txt", None, "missing_column")}
+    assert {c[:2] for c in clean} == {("a b+%41.txt", 1), ("crlf.txt", 1), ("[s]{1}.txt", 1), ("[s]{1}.txt", 2)}
+    assert len({c[2] for c in clean}) == 3
+    c, r = ST.read_statements(spark, str(beside), glob="*.txt")
+    small = ~F.col("path").endswith("large.txt")
+    assert seen(c.filter(small), r) == (clean, rejects)
+    assert seen(*ST.read_statements(spark, str(alone), glob="*.txt", spread_lines=False)) == (clean, rejects)
+    # the stream gives the same, and an empty file's reject only once
+    out = str(tmp_path / "ledger")
+    for _ in range(2):
+        SS.stream_statements(spark, str(alone), out, str(tmp_path / "ckpt"), glob="*.txt").awaitTermination()
+        (alone / "later.txt").write_bytes(b"Nothing\n")
+    got = seen(SS.read_ledger(spark, out), spark.read.schema("path string, line_no int, reason string")
+               .json(f"{out}_rejects"))
+    # the import keeps the first of the rows, which are all alike
+    assert got == ({c for c in clean if c[:2] == ("[s]{1}.txt", 1)},
+                   rejects | {("later.txt", None, "missing_column")})
+    assert spark.read.json(f"{out}_rejects").filter("reason = 'empty_file'").count() == 1
