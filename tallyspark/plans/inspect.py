@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas",
-                "MapInPandas")
+# Parts of the names of Spark's plan nodes that run Python workers.
+PYTHON_NODES = ("EvalPython", "PythonUDF", "PythonUDTF", "InPandas", "InArrow", "PythonDataSource",
+                "mapPartitionsInternal")
 
 
 def plan_text(df: DataFrame, mode: str = "formatted") -> str:

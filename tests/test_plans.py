@@ -11,6 +11,7 @@ from conftest import SF_SMALL
 from tallyspark.functions.calendar import month_key
 from tallyspark.operators import contrib as C
 from tallyspark.operators import query as Q
+from tallyspark.plans.catalog import QUERIES
 from tallyspark.plans.inspect import count_nodes, plan_text, python_nodes
 from tallyspark.sources import fixtures as FX
 
@@ -19,9 +20,9 @@ WRITING = {"statement_ingest", "statement_rejects", "statement_import", "stream_
            "snapshot_roundtrip", "snapshot_validation", "snapshot_counts", "snapshot_import"}
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_in_plan(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name][0](spark, SF_SMALL)
     assert python_nodes(df) == []
 
 
