@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, fragment_bpe, jaccard_join, language_kernel, line_quality,
-               secret_ledger, suffix_dedup, token_files, toxicity, url_cascade)
+from . import (decontaminate, fragment_bpe, jaccard_join, language_kernel, lexical_search,
+               line_quality, merkle_manifest, secret_ledger, suffix_dedup, token_files, toxicity,
+               url_cascade, warc)
 
 QUERIES = {
     "op1_token_files": (token_files.op1_token_files, None),
@@ -16,4 +17,7 @@ QUERIES = {
     "op8_suffix_dedup": (suffix_dedup.op8_suffix_dedup, None),
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_url_filter": (url_cascade.op10_url_filter, url_cascade.OP10_SQL),
+    "op11_ranked_search": (lexical_search.op11_ranked_search, lexical_search.OP11_SQL),
+    "op12_merkle_manifest": (merkle_manifest.op12_merkle_manifest, None),
+    "op13_warc": (warc.op13_warc, warc.OP13_SQL),
 }
