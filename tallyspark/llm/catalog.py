@@ -18,6 +18,6 @@ QUERIES = {
     "op9_decontaminate": (decontaminate.op9_decontaminate, None),
     "op10_url_filter": (url_cascade.op10_url_filter, url_cascade.OP10_SQL),
     "op11_ranked_search": (lexical_search.op11_ranked_search, lexical_search.OP11_SQL),
-    "op12_merkle_manifest": (merkle_manifest.op12_merkle_manifest, None),
+    "op12_merkle_manifest": (merkle_manifest.op12_merkle_manifest, merkle_manifest.OP12_SQL),
     "op13_warc": (warc.op13_warc, warc.OP13_SQL),
 }

@@ -115,7 +115,7 @@ def climb(nodes: DataFrame, height: int) -> list[DataFrame]:
     """The stored nodes (``tree, pos, n, node``) of every round; the last has one a tree."""
     width = 3 ** height
 
-    def reduce(key, g: pd.DataFrame) -> pd.DataFrame:
+    def reduce(key, g):
         g = g.sort_values("pos")
         n = int(g["n"].iloc[0])
         steps = min(height, depth(n))
@@ -145,7 +145,7 @@ def exchange(nodes: DataFrame, outer: DataFrame, height: int, finish, schema: st
     the rows from the sorted nodes, the superblock's levels and the proofs."""
     width = 3 ** height
 
-    def run(key, g: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+    def run(key, g, above):
         g = g.sort_values("pos")
         tree = levels(g["node"].tolist(), min(height, depth(int(g["n"].iloc[0]))))
         rest = list(above["proof"].iloc[0])
@@ -188,9 +188,14 @@ def manifest(docs: DataFrame, fields=FIELDS, group: str = "source", order: str =
     rounds = climb(base, height)
     tops = rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("member"), "node")
     over = climb(placed(tops, ["member"], "merkle-tops"), height)
-    root = over[-1].select("node").first()
-    root = None if root is None else root[0]
-    start = over[-1].select("tree", "pos", F.array().cast("array<string>").alias("proof"))
+    top = over[-1].select("node").first()
+    schema = (f"leaf string, subroot string, root string, proof {'string' if digest else 'array<string>'}, "
+              "folded_root string, verified boolean")
+    if top is None:
+        got = spark.createDataFrame([], f"key {kind}, {schema}")
+        return _named(got, kind, order, digest)
+    root = top[0]
+    start = spark.createDataFrame([("", 0, [])], "tree string, pos long, proof array<string>")
 
     def named(g, proofs, above):
         return pd.DataFrame({"tree": g["member"], "pos": 0, "subroot": g["node"], "proof": proofs})
@@ -205,9 +210,11 @@ def manifest(docs: DataFrame, fields=FIELDS, group: str = "source", order: str =
         return pd.DataFrame({"key": g["key"], "leaf": g["node"], "subroot": above["subroot"].iloc[0], "root": root,
                              "proof": out, "folded_root": folded, "verified": [x == root for x in folded]})
     # As text, for pandas has no integers beside nulls.
-    got = exchange(base.withColumn("key", F.col("key").cast("string")), below, height, finish,
-                   "key string, leaf string, subroot string, root string, "
-                   f"proof {'string' if digest else 'array<string>'}, folded_root string, verified boolean")
+    got = exchange(base.withColumn("key", F.col("key").cast("string")), below, height, finish, f"key string, {schema}")
+    return _named(got, kind, order, digest)
+
+
+def _named(got: DataFrame, kind: str, order: str, digest: bool) -> DataFrame:
     return got.select(F.col("key").cast(kind).alias(order), "leaf", "subroot", "root",
                       F.col("proof").alias("proof_sha256" if digest else "proof"), "folded_root", "verified")
 
@@ -217,3 +224,64 @@ def op12_merkle_manifest(spark, sf_dir):
     even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
     tampered = F.when(even, F.translate("text", "\n", "")).otherwise(F.col("text"))
     return manifest(docs, claim={"text": tampered}, digest=True)
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in (*FIELDS[:-1], text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+# Bit by bit; 3988292384 is the reflected CRC-32 polynomial.
+_CRC_SQL = ("xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+            "lambda c: CAST(ascii(c) AS BIGINT)), lambda acc, b: list_reduce([xor(acc, b)] || range(8), "
+            "lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Levels of the trees over ``leaves`` (tree, pos, node, n), and the siblings of each leaf."""
+    return f"""{name}(tree, lvl, pos, node, n) AS (
+  SELECT tree, 0, pos, node, n FROM {leaves}
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), (n + 2) // 3
+  FROM {name} WHERE n > 1 GROUP BY tree, lvl, pos // 3, n),
+{name}_step AS (
+  SELECT l.tree, l.pos, u.lvl,
+         coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (WHERE u.pos < l.pos // CAST(pow(3, u.lvl) AS BIGINT)), '') AS a,
+         coalesce(string_agg(u.node, '' ORDER BY u.pos) FILTER (WHERE u.pos > l.pos // CAST(pow(3, u.lvl) AS BIGINT)), '') AS z
+  FROM {leaves} l JOIN {name} u ON u.tree = l.tree AND u.n > 1 AND u.pos // 3 = l.pos // CAST(pow(3, u.lvl + 1) AS BIGINT)
+  GROUP BY l.tree, l.pos, u.lvl)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS tree, {_leaf_sql("text")} AS node,
+         CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+              ELSE {_leaf_sql("text")} END AS told FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos,
+         count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree_sql("inner_tree", "leaves")},
+tops AS (
+  SELECT 'all' AS tree, tree AS member, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n
+  FROM inner_tree WHERE n = 1),
+{_tree_sql("outer_tree", "tops")},
+steps AS (
+  SELECT tree, pos, lvl AS step, a, z FROM inner_tree_step
+  UNION ALL
+  SELECT l.tree, l.pos, 1000 + s.lvl, s.a, s.z FROM leaves l JOIN tops t ON t.member = l.tree
+  JOIN outer_tree_step s ON s.pos = t.pos),
+path AS (
+  SELECT tree, pos, list(a ORDER BY step) AS a, list(z ORDER BY step) AS z,
+         sha256(string_agg(a || z, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY tree, pos),
+folded(tree, pos, i, node) AS (
+  SELECT tree, pos, CAST(0 AS BIGINT), told FROM leaves
+  UNION ALL
+  SELECT f.tree, f.pos, i + 1, sha256(a[i + 1] || node || z[i + 1]) FROM folded f
+  JOIN path p ON p.tree = f.tree AND p.pos = f.pos AND i < len(a)),
+root AS (SELECT node FROM outer_tree WHERE n = 1)
+SELECT l.doc_id, l.node AS leaf, t.node AS subroot, r.node AS root,
+       coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = r.node AS verified
+FROM leaves l JOIN tops t ON t.member = l.tree CROSS JOIN root r
+LEFT JOIN path p ON p.tree = l.tree AND p.pos = l.pos
+JOIN folded f ON f.tree = l.tree AND f.pos = l.pos AND f.i = coalesce(len(p.a), 0)
+"""

@@ -14,8 +14,8 @@ Spark can split where very many rows share one payload.
 magic, validates a candidate by decoding its member up to the end of the first record's header,
 and then reads member by member; it owns the records that begin inside its range, and reads the
 last one past its end. A stored (incompressible) payload may itself hold an archive, whose members
-look real to a task that begins inside it. So every range also reports where it began and ended;
-ranges that do not begin where the ones before ended are read anew from there.
+look real to a task that begins inside it. So every range also reports where it began and ended,
+and ranges that do not begin where the ones before ended are read anew from there.
 """
 
 from __future__ import annotations
@@ -319,16 +319,21 @@ def read_ranges(ranges: DataFrame, payload: bool) -> DataFrame:
                         if start is None:
                             start = 0 if r["low"] == 0 else find_start(source, r["size"], r["low"], r["high"])
                         rows, held, end = [], 0, None
-                        if start is not None and start < r["high"]:
-                            for at, end, data in read_members(source, r["size"], start, r["high"]):
+                        try:
+                            for at, end, data in (() if start is None else
+                                                  read_members(source, r["size"], start, r["high"])):
                                 for headers, block in records_of(data):
                                     rows.append(told(headers, block, {"file": r["file"], "low": r["low"], "at": at}))
                                 held += len(data)
                                 if held > 1 << 22 or len(rows) > 4096:
                                     yield batch(rows)
                                     rows, held = [], 0
-                        rows.append({"kind": "range", "file": r["file"], "low": r["low"],
-                                     "at": None if end is None else start, "stop": end})
+                            start = None if end is None else start
+                        except (ValueError, zlib.error) as e:
+                            if r["start"] is not None or r["low"] == 0:
+                                raise ValueError(f"{r['file']}, from byte {start}: {e}") from e
+                            rows, start, end = [], -1, None      # looked real, was not
+                        rows.append({"kind": "range", "file": r["file"], "low": r["low"], "at": start, "stop": end})
                         yield batch(rows)
     return ranges.mapInArrow(run, SCHEMA)
 
@@ -348,16 +353,22 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, range_bytes:
     ranges = archive_files(spark, path).select("file", "size", F.explode(cut).alias("low")).where("size > 0")
     ranges = stored(ranges.select("*", F.least("size", F.col("low") + range_bytes).alias("high"),
                                   F.lit(None).cast("long").alias("start")), "warc-ranges")
-    n = ranges.count()
-    found = stored(read_ranges(ranges.repartition(max(1, n), "file", "low"), payload), "warc-records", ["kind"])
+    size = ranges.agg(F.count("*").alias("n"), F.sum(F.col("high") - F.col("low")).alias("bytes")).first()
+    tasks = max(1, min(size.n, (size.bytes or 0) >> 20))       # short ranges share a task
+    found = stored(read_ranges(ranges.repartition(tasks, "file", "low"), payload), "warc-records", ["kind"])
+    whole = Window.partitionBy("file")
+    before = whole.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     while True:
-        order = Window.partitionBy("file").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-        spans = found.where("kind = 'range'").select("file", "low", "at", "stop")
-        due = spans.join(ranges.drop("start"), ["file", "low"]).withColumn(
-            "due", F.coalesce(F.max("stop").over(order), F.lit(0)))
+        spans = found.where("kind = 'range'").select("file", "low", "at", "stop").join(
+            ranges.drop("start"), ["file", "low"])
         # a range owns records exactly if the ones before end inside it, and then from there on
-        wrong = due.where(~F.when(F.col("due") < F.col("high"), F.col("due")).eqNullSafe(F.col("at")))
-        wrong = stored(wrong.select("file", "size", "low", "high", F.col("due").alias("start")), "warc-wrong")
+        spans = spans.withColumn("due", F.coalesce(F.max("stop").over(before), F.lit(0)))
+        right = F.when(F.col("due") < F.col("high"), F.col("due")).eqNullSafe(F.col("at"))
+        # a file's first wrong range, and where it is due: the ranges up to there are read anew
+        first = F.min(F.when(~right, F.struct("low", "due"))).over(whole)
+        wrong = stored(spans.withColumn("first", first)
+                       .where((F.col("low") >= F.col("first.low")) & (F.col("low") <= F.col("first.due")))
+                       .select("file", "size", "low", "high", F.col("first.due").alias("start")), "warc-wrong")
         if wrong.isEmpty():
             return found.where("kind = 'record'").drop("kind", "low", "stop")
         again = read_ranges(wrong.repartition("file", "low"), payload)

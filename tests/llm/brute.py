@@ -139,3 +139,78 @@ def contamination(rows, items, window=13):
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))),
                     bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def ranked(rows, items, k=10):
+    """op11: (item_id, rank, doc_id, score) of (id, text) rows; distinct document ids."""
+    import math
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = [(d, Counter(term.findall((t or "").translate(low)))) for d, t in rows]
+    terms = [(d, c) for d, c in terms if c]
+    n_docs, total = len(terms), sum(c.total() for _, c in terms)
+    df = Counter(t for _, c in terms for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for d, c in terms:
+            m = 10 + (90 * c.total() * n_docs) // total
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    * ((10**9 * c[t]) // (1000 * c[t] + 8 * m))
+                    for t in set(term.findall((text or "").translate(low))) if c[t])
+            if s > 0:
+                found.append((-s, d is None, d or 0, d))
+        out += [(item, i + 1, f[3], -f[0]) for i, f in enumerate(sorted(found, key=lambda f: f[:3])[:k])]
+    return out
+
+
+def merkle(rows, claim):
+    """op12: rows are (doc_id, source, lang, n_chars, text); ``claim`` gives the told row."""
+    def enc(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def climb(nodes):
+        tree = [nodes]
+        while len(tree[-1]) > 1:
+            tree.append([sha("".join(tree[-1][i:i + 3])) for i in range(0, len(tree[-1]), 3)])
+        return tree
+
+    def path(tree, i):
+        for low in tree[:-1]:
+            yield low[i - i % 3:i], low[i + 1:i - i % 3 + 3]
+            i //= 3
+
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append((r[0] is not None, r[0] or 0, sha("".join(map(enc, r))), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [climb([x[2] for x in sorted(groups[s], key=lambda x: x[:3])]) for s in names]
+    top = climb([t[-1][0] for t in trees])
+    root, out = top[-1][0], []
+    for k, (s, tree) in enumerate(zip(names, trees)):
+        for i, (_, _, leaf, r) in enumerate(sorted(groups[s], key=lambda x: x[:3])):
+            steps = [*path(tree, i), *path(top, k)]
+            node = sha("".join(map(enc, claim(r))))
+            for a, z in steps:
+                node = sha("".join(a) + node + "".join(z))
+            proof = sha("".join("".join(a) + "".join(z) for a, z in steps))
+            out.append((r[0], leaf, tree[-1][0], root, proof, node, node == root))
+    return out
+
+
+def archived(rows, least=0):
+    """op13: (page_id, bytes, digest, type, refers_to) of (page_id, html) rows."""
+    import base64
+    first = {}
+    for p, t in rows:
+        body = (t or "").encode()
+        if len(body) >= least and p is not None and p > first.get(body, (-1 << 63)):
+            first[body] = p
+    out = []
+    for p, t in rows:
+        body = (t or "").encode()
+        f = first.get(body) if len(body) >= least else None
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        response = f is None or f == p
+        out.append((p, len(body), digest, "response" if response else "revisit", None if response else f))
+    return out
