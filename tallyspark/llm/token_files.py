@@ -65,7 +65,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordCache(dict):
     """Encodes texts with the tokenizers library. A text is cut into the tokenizer's own
     pre-tokens; each distinct one is encoded once by the library's model and kept in this
-    bounded dictionary. Texts with rare characters or special tokens are encoded whole."""
+    bounded dictionary. When it is full, its words become the older half, of which those that
+    are met again come back. Texts with rare characters or special tokens are encoded whole."""
 
     def __init__(self, path: str, dtype: str, max_words: int = CACHE_WORDS):
         super().__init__()
@@ -78,19 +79,23 @@ class WordCache(dict):
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.to_char = "".join(c for _, c in sorted(byte_chars().items()))
         self.pack = struct.Struct("<" + {"<u2": "H", "<u4": "I"}[dtype]).pack
-        self.dtype, self.max_words = dtype, max_words
+        self.dtype, self.max_words, self.older = dtype, max_words, {}
 
     def __missing__(self, word: str) -> bytes:
-        chars = word.encode().decode("latin-1").translate(self.to_char)
-        got = self[word] = b"".join([self.pack(t.id) for t in self.model.tokenize(chars)])
+        got = self.older.get(word)
+        if got is None:
+            chars = (word if word.isascii() else word.encode().decode("latin-1")).translate(self.to_char)
+            got = b"".join([self.pack(t.id) for t in self.model.tokenize(chars)])
+        self[word] = got
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.max_words:
-            self.clear()
         out = []
         for t in texts:
-            if UNCOMMON.search(t) or any(s in t for s in self.specials):
+            if len(self) > self.max_words:
+                self.older = dict(self)
+                self.clear()
+            if not t.isascii() and UNCOMMON.search(t) or any(s in t for s in self.specials):
                 ids = self.tok.encode(t, add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype).tobytes())
             else:
@@ -111,22 +116,37 @@ def id_dtype(path: str) -> str:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int | None, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, ids`` (little-endian integers of ``id_dtype``), the end id included."""
+    """Rows of kind ``doc``: ``doc_id, ids`` (little-endian integers of ``id_dtype``), the end id
+    included; and for each task one of kind ``sum``, whose ``ids`` are the 64-bit counts of its ids."""
     src = subset(docs, doc_id=doc_id, text=text)
     dtype = id_dtype(path)
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
 
     def run(batches):
-        coder = word_cache(path, dtype)
+        coder, total, kind = word_cache(path, dtype), np.zeros(0, np.int64), None
         with task_memory():
             for whole in batches:
+                kind = whole.schema.field("doc_id").type
                 for b in slices(whole):
-                    ids = coder.encode([t or "" for t in b.column("text").to_pylist()])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id"), pa.array([i + end for i in ids], pa.binary())],
-                        names=["doc_id", "ids"])
+                    ids = [i + end for i in coder.encode([t or "" for t in b.column("text").to_pylist()])]
+                    column = pa.array(ids, pa.binary())
+                    total = added(total, np.bincount(joined(column, dtype)[0]))
+                    yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(ids)), b.column("doc_id"), column],
+                                                     names=["kind", "doc_id", "ids"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.nulls(1, kind), pa.array([total.tobytes()])],
+                                             names=["kind", "doc_id", "ids"])
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, ids binary")
+    return src.mapInArrow(run, f"kind string, doc_id {kind}, ids binary")
+
+
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, of which the shorter ends in zeros."""
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.astype(np.int64)
+    out[:len(b)] += b
+    return out
 
 
 def joined(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
@@ -139,19 +159,17 @@ def joined(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype), np.diff(ends).astype(np.int64) // np.dtype(dtype).itemsize
 
 
-def id_counts(encoded: DataFrame, dtype: str) -> DataFrame:
-    """``id, n``: counted per task first, so the shuffle carries one row per id and task."""
+def id_counts(encoded: DataFrame) -> DataFrame:
+    """``id, n``, from the counts of the encoding tasks."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            c = np.bincount(joined(b.column("ids"), dtype)[0])
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[:len(c)] += c
+            for counts in b.column("ids").to_pylist():
+                total = added(total, np.frombuffer(counts, np.int64))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids])],
                                          names=["id", "n"])
-    return (encoded.select("ids").mapInArrow(run, "id long, n long")
+    return (encoded.where("kind = 'sum'").select("ids").mapInArrow(run, "id long, n long")
             .groupBy("id").agg(F.sum("n").alias("n")))
 
 
@@ -165,8 +183,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
     all written; an empty table writes a folder without blocks. A document is never split.
     """
     dtype = id_dtype(tokenizer)
-    encoded = stored(encode_ids(docs, tokenizer, end_id, doc_id, text), "token-ids")
-    order = id_counts(encoded, dtype).orderBy(F.desc("n"), "id").collect()   # <= vocabulary
+    encoded = stored(encode_ids(docs, tokenizer, end_id, doc_id, text), "token-ids", ["kind"])
+    order = id_counts(encoded).orderBy(F.desc("n"), "id").collect()   # <= vocabulary
     spark = docs.sparkSession
     spark.createDataFrame([(k, int(r.id), int(r.n)) for k, r in enumerate(order)],
                           "rank long, id long, n long").coalesce(1) \
@@ -198,6 +216,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int |
                 block, skip = block + 1, skip + len(part)
     # Ranges are cut on a hash of the ids, not on the ids, whose samples would go to the driver.
     tie = F.xxhash64("ids")
+    encoded = encoded.where("kind = 'doc'").select("doc_id", "ids")
     (encoded.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "ids")
      .mapInArrow(run, "shard long, block long, skip long, n_ids long, "
                  f"doc_ids array<{kind}>, sizes array<long>, control binary, data binary")
