@@ -8,10 +8,11 @@ suffixes brings equal strings together; three things keep that in bounds:
   least 8-byte hash of every ``REACH`` (256) neighbouring positions. Equal strings of 400 bytes
   have an anchor at one and the same offset below 256, so each pair of them is met at suffixes
   that share at least 145 bytes; ``left`` holds the bytes before the anchor, ``right`` the 400
-  from it on. Anchors whose 145 bytes occur only once in the corpus cannot take part and are
-  dropped after a count of hashes.
+  from it on. Anchors whose first 64 bytes occur only once in the corpus cannot take part and are
+  dropped after a count of hashes. (64 of the 145, so that shorter passages of many words are met
+  as well; they are reported, not removed.)
 * **Front-coded runs.** Every task sorts its suffixes and sends, for each bucket of the
-  145-byte key, one run: lengths of common prefixes and what follows them. Occurrences with equal
+  64-byte key, one run: lengths of common prefixes and what follows them. Occurrences with equal
   left and right are one entry of a run, whatever their number.
 * **Loser trees.** A bucket merges its runs in a loser tree that carries common-prefix lengths:
   the entry sharing more with the last output wins unseen, and ties are compared only beyond the
@@ -29,6 +30,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,13 +43,17 @@ from .jaccard_join import mix
 
 SIZE = 400
 REACH = 256                 # neighbouring positions that choose one anchor; a power of two
+KEY = 64                    # bytes from an anchor on by which repeats are looked up
+PASSAGE = 51                # words of a shared passage that is reported, whatever its bytes
 RUN_ENTRIES = 20_000        # suffixes sorted at a time
 BUCKET_ENTRIES = 20_000     # aimed at in a merge
 PAIRS_UP_TO = 32            # entries of one key compared pair by pair
 
 
 def key_length(size: int, reach: int) -> int:
-    return size - reach + 1
+    """Equal strings of ``size`` bytes share ``size - reach + 1`` bytes from an anchor on; a shorter
+    key finds shorter passages too."""
+    return min(KEY, size - reach + 1)
 
 
 def anchors(raw: np.ndarray, size: int = SIZE, reach: int = REACH) -> np.ndarray:
@@ -204,9 +210,24 @@ def intervals(flag: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(z) - 1) for a, z in zip(edge[::2], edge[1::2])]
 
 
+def passages(rights, lcps, lefts, many) -> list[bool]:
+    """Whether an entry shares a passage of ``PASSAGE`` words with a neighbour of its sorted group,
+    or occurs more than once with as many around its anchor."""
+    def long(left, right):
+        return len(left) + len(right) >= 2 * PASSAGE - 1 and len((left + right).split()) >= PASSAGE
+    out = [k > 1 and long(left, right) for k, left, right in zip(many, lefts, rights)]
+    for i in range(1, len(out)):
+        if not (out[i - 1] and out[i]):
+            n = shared(lefts[i - 1][::-1], lefts[i][::-1], 0)
+            if long(lefts[i][len(lefts[i]) - n:], rights[i][:lcps[i]]):
+                out[i - 1] = out[i] = True
+    return out
+
+
 def judge(merged, size: int, reach: int):
-    """``(payload, offsets)`` for every entry of a merged bucket with repeated strings; the
-    payload is (left, occurrences, ...), ``offsets`` are inclusive intervals."""
+    """``(payload, offsets, passage)`` for every entry of a merged bucket with repeated strings; the
+    payload is (left, occurrences, ...), ``offsets`` are inclusive intervals, ``passage`` tells
+    whether a passage of many words is shared."""
     least = key_length(size, reach)
     group: list = []
 
@@ -215,9 +236,10 @@ def judge(merged, size: int, reach: int):
             rights, lcps, loads = zip(*group)
             make = _flags_by_pairs if len(group) <= PAIRS_UP_TO else _flags_by_offset
             flag = make(rights, lcps, [p[0] for p in loads], [p[1] for p in loads], size, reach)
-            for row, p in zip(flag, loads):
-                if row.any():
-                    yield p, intervals(row)
+            known = passages(rights, lcps, [p[0] for p in loads], [p[1] for p in loads])
+            for row, p, passage in zip(flag, loads, known):
+                if passage or row.any():
+                    yield p, intervals(row), passage
     for entry in merged:
         if entry[1] < least and group:
             yield from decide()
@@ -241,9 +263,10 @@ def _raw(column) -> list[np.ndarray]:
 
 
 def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataFrame:
-    """``uid, spans`` (array of start, stop) of every row of ``rows`` (uid long, text string,
-    not null) with repeated strings. Spans may overlap."""
+    """``uid, spans`` (array of start, stop; may overlap) and ``n_shared`` (anchors in shared passages of
+    many words) of every row of ``rows`` (uid long, text string, not null) that has any."""
     least = key_length(size, reach)
+    short = reach + least - 1                              # shortest string that has an anchor
     width = reach - 1                                      # bytes kept left of an anchor
 
     def list_anchors(batches):
@@ -252,7 +275,7 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
                 for b in slices(whole):
                     uid, at, key = [], [], []
                     for u, raw in zip(b.column("uid").to_pylist(), _raw(b.column("text"))):
-                        spots = anchors(raw, size, reach)
+                        spots = anchors(raw, short, reach)
                         if len(spots):
                             data = raw.tobytes()
                             at.append(spots)
@@ -328,12 +351,12 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
 
     def merge(batches):
         def finish(held):
-            out = [(p[2], p[3], [a for a, _ in offs], [z for _, z in offs])
-                   for p, offs in judge(LoserTree([open_run(r) for r in held]), size, reach)]
-            cols = list(zip(*out)) or [[]] * 4
+            out = [(p[2], p[3], [a for a, _ in offs], [z for _, z in offs], passage)
+                   for p, offs, passage in judge(LoserTree([open_run(r) for r in held]), size, reach)]
+            cols = list(zip(*out)) or [[]] * 5
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), ints, ints))],
-                names=["run", "entry", "low", "high"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), ints, ints, pa.bool_()))],
+                names=["run", "entry", "low", "high", "passage"])
         with task_memory():
             held, bucket = [], None
             for b in batches:
@@ -349,13 +372,14 @@ def find_repeats(rows: DataFrame, size: int = SIZE, reach: int = REACH) -> DataF
     fields = ["bucket", "run", "same", "sizes", "rest", "left_sizes", "lefts", "entry", "many"]
     verdict = (runs.where("kind = 'run'").select(*fields).repartition("bucket")
                .sortWithinPartitions("bucket", "run")
-               .mapInArrow(merge, "run long, entry int, low array<int>, high array<int>"))
+               .mapInArrow(merge, "run long, entry int, low array<int>, high array<int>, passage boolean"))
     places = runs.where("kind = 'occ'").select("run", F.explode(F.arrays_zip("entry", "uid", "at")).alias("o")) \
         .select("run", "o.entry", "o.uid", "o.at")
     spans = F.transform(F.arrays_zip("low", "high"), lambda x: F.struct(
         (F.col("at") - x["high"]).alias("start"), (F.col("at") - x["low"] + size).alias("stop")))
-    return stored(places.join(verdict.hint("merge"), ["run", "entry"]).select("uid", spans.alias("s"))
-                  .groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("spans")), "repeat-spans")
+    return stored(places.join(verdict.hint("merge"), ["run", "entry"]).select("uid", spans.alias("s"), "passage")
+                  .groupBy("uid").agg(F.flatten(F.collect_list("s")).alias("spans"),
+                                      F.count_if("passage").alias("n_shared")), "repeat-spans")
 
 
 def union_of(spans) -> list[tuple[int, int]]:
@@ -372,8 +396,10 @@ def union_of(spans) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text",
                    reach: int = REACH, digest: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans`` and ``kept`` (binary: the remaining bytes; they
-    need not be whole characters), or with ``digest`` their ``kept_sha256``; one row per document
-    row.
+    need not be whole characters), or with ``digest`` their ``kept_sha256``, and ``n_shared``; one
+    row per document row. ``n_shared`` is above 0 where the text has a passage of ``PASSAGE`` words
+    or more that another place has too, also one too short to be removed: always if the passage has
+    ``reach + KEY - 1`` bytes or more, mostly if it has fewer.
 
     Null text counts as empty; texts under ``size`` bytes keep all. Every row is a text of its
     own, so repeated rows are copies of one another, whatever their ids. An empty table gives an
@@ -402,11 +428,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", te
                     kept.append(hashlib.sha256(left).hexdigest() if digest else left)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array(parts, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"])
+                     pa.array(parts, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary()),
+                     pc.fill_null(b.column("n_shared"), 0)],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept",
+                           "n_shared"])
     last = "kept_sha256 string" if digest else "kept binary"
-    return (rows.join(found.hint("merge"), "uid", "left").select("doc_id", "text", "spans")
-            .mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {last}"))
+    return (rows.join(found.hint("merge"), "uid", "left").select("doc_id", "text", "spans", "n_shared")
+            .mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {last}, n_shared long"))
 
 
 def op8_suffix_dedup(spark, sf_dir):
