@@ -3,10 +3,11 @@
 The join condition is ``description ILIKE '%' || keyword || '%'``. Two exact
 physical strategies produce the same (row, mapping) pairs:
 
-* ``broadcast``: the mapping table is broadcast and joined with a nested-loop
-  predicate; the ledger never shuffles. Chosen only after measuring the
-  mapping table (row count and bytes) against fixed bounds, because the cost
-  is rows x keywords and the broadcast must fit every executor.
+* ``inline``: the mappings become expressions of the ledger row itself, one
+  test per mapping, so there is no join and no shuffle of the ledger. Chosen
+  only after measuring the mapping table (row count and bytes) against fixed
+  bounds, because the cost is rows x keywords; a larger table takes the other
+  strategy even where ``inline`` is asked for.
 * ``ngram``: for large mapping tables. Each pattern's longest literal segment
   must occur in any matching description, so one of its n-grams (n <= 3, the
   one rarest among the distinct descriptions) is an equi-join key against the
@@ -18,7 +19,8 @@ physical strategies produce the same (row, mapping) pairs:
 
 Aggregations follow the reference's fan-out semantics: ``SUM(amount)`` over
 join pairs (a row hit by two keywords of one person counts twice) and
-``COUNT(DISTINCT id)``. Both come from one ``(id, person)`` pre-aggregate whose
+``COUNT(DISTINCT id)``. Both come from one row per (ledger row, person) with its
+number of hits: inline, the row itself yields them; else a pre-aggregate whose
 map-side combine collapses all pairs of a row inside its task.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import datetime as _dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +37,9 @@ from ..functions.calendar import months_since
 from ..functions.text import contains_pattern
 from .query import date_range, ledger_month
 
-# Size bounds of the broadcast strategy (checked on the mapping table).
-NESTED_LOOP_MAX_KEYWORDS = 256
-BROADCAST_MAX_BYTES = 4 << 20
+# Size bounds of the inline strategy (checked on the mapping table).
+INLINE_MAX_KEYWORDS = 256
+INLINE_MAX_BYTES = 4 << 20
 
 _ROW_COLS = ["id", "transaction_date", "description", "amount", "balance"]
 
@@ -109,8 +112,8 @@ def size_bound(m: DataFrame) -> tuple[int, int]:
 
 def choose_strategy(prof) -> str:
     rows, nbytes = (prof.rows, prof.bytes) if isinstance(prof, MappingProfile) else prof
-    if rows <= NESTED_LOOP_MAX_KEYWORDS and nbytes <= BROADCAST_MAX_BYTES:
-        return "broadcast"
+    if rows <= INLINE_MAX_KEYWORDS and nbytes <= INLINE_MAX_BYTES:
+        return "inline"
     return "ngram"
 
 
@@ -124,7 +127,7 @@ def _grams(text: Column, n: int) -> Column:
 
 def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataFrame:
     """Large-dimension plan (see module docstring). A mapping repeated in ``m``
-    matches once per copy, as in the broadcast plan."""
+    matches once per copy, as in the inline plan."""
     pats = _patterns(m)
     ld = F.lower(F.col("description"))
     descs = rows.select(ld.alias("ld")).distinct()
@@ -168,26 +171,55 @@ def _plain(keyword: Column) -> Column:
     return ~keyword.rlike(r"[%_\\]")
 
 
+@dataclass(frozen=True)
+class Test:
+    """One mapping as a test on a ledger row."""
+    person: str | None
+    keyword: str
+    holds: Column
+
+
+def tests(m: DataFrame, strategy: str = "auto") -> list[Test] | None:
+    """The mappings as tests, by person (null last); None where the n-gram plan is to be used. Only a
+    table within the bounds is brought to the driver. A keyword without wildcards is a substring
+    search on the lower-cased description; only ``%``/``_``/``\\`` need a LIKE pattern."""
+    if strategy == "ngram" or choose_strategy(size_bound(m)) == "ngram":
+        return None
+    kw = F.col("keyword")
+    rows = m.select("person_name", "keyword", _plain(kw).alias("plain"), F.lower(kw).alias("low"),
+                    contains_pattern(kw).alias("pattern")).where(kw.isNotNull()).collect()
+    rows.sort(key=lambda r: (r.person_name is None, (r.person_name or "").encode()))
+    low = F.lower(F.col("description"))
+    return [Test(r.person_name, r.keyword, low.contains(r.low) if r.plain else
+                 F.ilike(F.col("description"), F.lit(r.pattern))) for r in rows]
+
+
+def _any(found: list[Test]) -> Column:
+    return reduce(lambda a, b: a | b, [x.holds for x in found], F.lit(False))
+
+
+def _people(found: list[Test]) -> list[tuple[str | None, list[Test]]]:
+    """The tests of each person, in order of the names."""
+    out: dict = {}
+    for x in found:
+        out.setdefault(x.person, []).append(x)
+    return list(out.items())
+
+
 def keyword_matches(rows: DataFrame, m: DataFrame, strategy: str = "auto") -> DataFrame:
     """Every (ledger row, mapping) pair with ``description ILIKE %keyword%``.
 
     Output: the columns of ``rows`` plus ``person_name`` and ``keyword``.
-    In the broadcast strategy a keyword without wildcards is tested with a
-    substring search on the lower-cased description (computed once per row);
-    only keywords with ``%``/``_``/``\\`` are evaluated as LIKE patterns.
     """
-    if strategy == "auto":
-        strategy = choose_strategy(size_bound(m))
-    if strategy == "broadcast":
-        kw = F.col("keyword")
-        pats = m.select("person_name", "keyword", _plain(kw).alias("_plain"),
-                        F.lower(kw).alias("_kw"), contains_pattern(kw).alias("_pattern"))
-        cond = F.when(F.col("_plain"), F.col("_ld").contains(F.col("_kw"))).otherwise(
-            F.ilike(F.col("description"), F.col("_pattern")))
-        return (rows.withColumn("_ld", F.lower(F.col("description")))
-                .join(F.broadcast(pats), cond)
-                .drop("_ld", "_plain", "_kw", "_pattern"))
-    return _ngram_matches(rows, m, profile(m))
+    found = tests(m, strategy)
+    if found is None:
+        return _ngram_matches(rows, m, profile(m))
+    pairs = [F.when(x.holds, F.struct(F.lit(x.person).cast("string").alias("person_name"),
+                                      F.lit(x.keyword).alias("keyword"))) for x in found]
+    pair = F.explode(F.array_compact(F.array(*pairs)) if pairs else
+                     F.array().cast("array<struct<person_name:string,keyword:string>>"))
+    return rows.where(_any(found)).select("*", pair.alias("_pair")).select(
+        *rows.columns, "_pair.person_name", "_pair.keyword")
 
 
 def _deposits(t: DataFrame, start, end) -> DataFrame:
@@ -201,8 +233,16 @@ def contributions(t: DataFrame, m: DataFrame, start=None, end=None, person: str
     before the pick."""
     if person:
         m = m.filter(F.col("person_name") == F.lit(person))
-    pairs = keyword_matches(_deposits(t, start, end).select(*_ROW_COLS), m, strategy)
-    out = pairs.groupBy(*_ROW_COLS).agg(F.min("person_name").alias("person_name"))
+    rows = _deposits(t, start, end).select(*_ROW_COLS)
+    found = tests(m, strategy)
+    if found is None:
+        out = _ngram_matches(rows, m, profile(m)).groupBy(*_ROW_COLS).agg(
+            F.min("person_name").alias("person_name"))
+    else:
+        # people in order of their names: the first that holds is the least
+        first = reduce(lambda rest, p: F.when(_any(p[1]), F.lit(p[0]).cast("string")).otherwise(rest),
+                       reversed(_people(found)), F.lit(None).cast("string"))
+        out = rows.where(_any(found)).withColumn("person_name", first)
     out = out.select(F.col("id"), F.col("transaction_date"), F.col("description"),
                      F.col("amount").cast("double").alias("amount"),
                      F.col("balance").cast("double").alias("balance"), F.col("person_name"))
@@ -211,15 +251,24 @@ def contributions(t: DataFrame, m: DataFrame, start=None, end=None, person: str
 
 def per_row_person(t: DataFrame, m: DataFrame, start=None, end=None,
                    strategy: str = "auto") -> DataFrame:
-    """One row per (transaction, person) with ``hits`` = matching keywords.
-
-    All pairs of a transaction come out of the same join task, so the
-    partial aggregate folds them before the shuffle."""
+    """One row per (transaction, person) with ``hits`` = matching keywords: ``id, month, amount,
+    person_name, hits``."""
     rows = _deposits(t, start, end).select(
         "id", "amount", ledger_month(t).alias("month"), "description")
-    pairs = keyword_matches(rows, m, strategy)
-    return pairs.groupBy("id", "month", "amount", "person_name").agg(
-        F.count(F.lit(1)).alias("hits"))
+    found = tests(m, strategy)
+    if found is None:
+        # All pairs of a transaction come out of the same join task, so the partial aggregate
+        # folds them before the shuffle.
+        return _ngram_matches(rows, m, profile(m)).groupBy("id", "month", "amount", "person_name").agg(
+            F.count(F.lit(1)).alias("hits"))
+    people = [F.when(_any(own), F.struct(
+        F.lit(name).cast("string").alias("person_name"),
+        reduce(lambda a, b: a + b, [x.holds.cast("bigint") for x in own]).alias("hits")))
+        for name, own in _people(found)]
+    hit = F.explode(F.array_compact(F.array(*people)) if people else
+                    F.array().cast("array<struct<person_name:string,hits:bigint>>"))
+    return rows.where(_any(found)).select("id", "month", "amount", hit.alias("_hit")).select(
+        "id", "month", "amount", "_hit.person_name", "_hit.hits")
 
 
 def month_person(t: DataFrame, m: DataFrame, start=None, end=None,

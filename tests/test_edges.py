@@ -78,7 +78,7 @@ def test_keyword_with_backslash_and_wildcards(spark):
         "id long, transaction_date date, description string, amount decimal(12,2)"))
     m = spark.createDataFrame([(1, "P", "0\\% off"), (2, "Q", "f\\s"), (3, "R", "0_ off")],
                               "id long, person_name string, keyword string")
-    b = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "broadcast").collect())
+    b = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "inline").collect())
     n = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "ngram").collect())
     # '\%' is a literal %; a stray '\s' is read as 's' (so 'f\s' looks for 'fs',
     # found nowhere); '_' matches one character

@@ -1,4 +1,4 @@
-"""The n-gram keyword join returns exactly the broadcast join's pairs."""
+"""The n-gram keyword join returns exactly the inline plan's pairs."""
 
 import datetime as dt
 import random
@@ -27,7 +27,7 @@ def test_random_keywords_same_pairs(spark, seed):
     m = spark.createDataFrame([(i, f"P{i % 7}", k) for i, k in enumerate(sorted(kws))],
                               "id long, person_name string, keyword string")
     a = sorted((r.id, r.person_name, r.keyword)
-               for r in C.keyword_matches(t, m, "broadcast").collect())
+               for r in C.keyword_matches(t, m, "inline").collect())
     b = sorted((r.id, r.person_name, r.keyword)
                for r in C.keyword_matches(t, m, "ngram").collect())
     assert len(a) > 100
@@ -44,5 +44,5 @@ def test_repeated_mappings_count_alike(spark):
     m = spark.createDataFrame([(1, "P", "avery"), (2, "P", "avery"), (3, "P", "%%"), (4, "P", "%%")],
                               "id long, person_name string, keyword string")
     got = [sorted((r.id, r.person_name, r.keyword) for r in C.keyword_matches(t, m, s).collect())
-           for s in ("broadcast", "ngram")]
+           for s in ("inline", "ngram")]
     assert got[0] == got[1] == sorted([(1, "P", "avery")] * 2 + [(1, "P", "%%"), (2, "P", "%%")] * 2)

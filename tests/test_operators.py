@@ -194,7 +194,7 @@ EXPECTED = {"Avery": (254390016.29, 594), "Blake": (209574659.48, 811),
             "Casey": (152355933.34, 611), "Drew": (268030399.95, 1081)}
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "ngram"])
+@pytest.mark.parametrize("strategy", ["inline", "ngram"])
 def test_contribution_totals(ledger, mappings, strategy):
     got = {r.person_name: (round(r.total, 2), r["count"])
            for r in C.totals(ledger, mappings, strategy=strategy).collect()}
@@ -221,7 +221,7 @@ def test_wildcard_only_keyword_ngram(spark):
                               "amount decimal(12,2), balance decimal(12,2)")
     m = spark.createDataFrame([(1, "P", "___"), (2, "Q", "b\\c"), (3, "R", "%")],
                               "id long, person_name string, keyword string")
-    a = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "broadcast").collect())
+    a = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "inline").collect())
     b = sorted((r.id, r.person_name) for r in C.keyword_matches(t, m, "ngram").collect())
     assert a == b == [(1, "R"), (2, "P"), (2, "Q"), (2, "R")]
 

@@ -26,19 +26,27 @@ def test_no_python_in_plan(spark, name):
     assert python_nodes(df) == []
 
 
-def test_keyword_join_is_broadcast(spark):
-    t = FX.orders_ledger(spark, SF_SMALL)
-    pairs = C.keyword_matches(t.filter("amount > 0"), FX.mappings(spark))
-    text = plan_text(pairs, "simple")
-    assert "BroadcastNestedLoopJoin" in text
-    # the ledger side is not shuffled for the match itself
-    assert count_nodes(pairs, "Exchange hashpartitioning") <= 1  # only the customer join
+def test_small_mappings_move_no_ledger_row(spark):
+    """Pairs and first matches need no join and no shuffle; totals one shuffle of their sums."""
+    t, m = FX.orders_ledger(spark, SF_SMALL), FX.mappings(spark)
+    own = {n: count_nodes(t, n) for n in ("Join", "Exchange")}          # the fixture's customer join
+    for df in (C.keyword_matches(t.filter("amount > 0"), m), C.contributions(t, m), C.per_row_person(t, m)):
+        assert count_nodes(df, "Join") == own["Join"] and count_nodes(df, "Exchange") == own["Exchange"]
+        assert count_nodes(df, "Aggregate") == 0
+    for df in (C.totals(t, m), C.monthly_totals(t, m), C.month_person(t, m)):
+        assert count_nodes(df, "Join") == own["Join"] and count_nodes(df, "SortAggregate") == 0
+        assert count_nodes(df, "Exchange") == own["Exchange"] + 1
+
+
+def test_large_mappings_are_never_inlined(spark):
+    m = spark.range(C.INLINE_MAX_KEYWORDS + 1).selectExpr("id", "'P' AS person_name", "concat('k', id) AS keyword")
+    assert C.tests(m, "inline") is None and len(C.tests(m.limit(5))) == 5
 
 
 def test_strategy_choice(spark):
     prof = C.profile(FX.mappings(spark))
-    assert C.choose_strategy(prof) == "broadcast"
-    big = C.MappingProfile(rows=C.NESTED_LOOP_MAX_KEYWORDS + 1, bytes=0, ngram_lengths=(3,),
+    assert C.choose_strategy(prof) == "inline"
+    big = C.MappingProfile(rows=C.INLINE_MAX_KEYWORDS + 1, bytes=0, ngram_lengths=(3,),
                            wildcard_only=0, max_underscores=0)
     assert C.choose_strategy(big) == "ngram"
 
