@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import OCCURRENCES_PER_MONTH, month_key, month_label
@@ -28,18 +28,18 @@ def monthly_flows(items: DataFrame, keys: list[str]) -> DataFrame:
 
     Deposits keep their sign; withdrawals count with their absolute value; an
     absent amount is 0; frequency per ``OCCURRENCES_PER_MONTH`` (absent:
-    monthly; unknown: once a month). Amounts are summed exactly, as decimals of
-    ten places, for each direction and frequency; the few sums of an account
-    are then multiplied by their factors and added in one fixed order, so the
-    result does not depend on the order rows arrive in.
+    monthly; unknown: once a month). Amounts are summed for each direction and
+    frequency, and the few sums of an account then multiplied by their factors
+    and added in one fixed order, so the result does not depend on the order rows
+    arrive in: see ``exact_sum``.
     """
-    amt = F.coalesce(F.col("amount").cast("decimal(28,10)"), F.lit(0).cast("decimal(28,10)"))
+    amt = F.coalesce(F.col("amount").cast("double"), F.lit(0.0))
     f = F.lower(F.coalesce(F.col("frequency"), F.lit("monthly")))
     is_dep = F.col("direction") == "deposit"
     known = [name for name, _ in OCCURRENCES_PER_MONTH]
 
     def total(cond, value):
-        parts = [F.coalesce(F.sum(F.when(cond & which, value)).cast("double"), F.lit(0.0)) * F.lit(k)
+        parts = [exact_sum(F.when(cond & which, value)) * F.lit(k)
                  for which, k in [*((f == name, float(k)) for name, k in OCCURRENCES_PER_MONTH),
                                   (~f.isin(known), 1.0)]]
         return reduce(lambda x, y: x + y, parts)
@@ -48,6 +48,16 @@ def monthly_flows(items: DataFrame, keys: list[str]) -> DataFrame:
                                     total(~is_dep, F.abs(amt)).alias("monthly_withdrawals"))
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles, 0 for none. Values from a thousandth to 10**15 keep all their digits in a
+    decimal of 18 places, so their sum is exact in any order. Values outside are added as
+    doubles: no value is rounded or too large."""
+    size = F.abs(value)
+    inside = (size >= 1e-3) & (size < 1e15)
+    return (F.coalesce(F.sum(F.when(inside, value).cast("decimal(33,18)")).cast("double"), F.lit(0.0))
+            + F.coalesce(F.sum(F.when(~inside, value)), F.lit(0.0)))
+
+
 def project_balances(accounts: DataFrame, items: DataFrame, months: int = 12,
                      as_of: _dt.date | None = None, keys: list[str] | None = None
                      ) -> tuple[DataFrame, DataFrame]:

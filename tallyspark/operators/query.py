@@ -136,19 +136,27 @@ def latest_date(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def latest_balance(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Balance of the newest row (ties: highest id), per key.
 
-    ``max_by`` is a partial aggregate: one row per key crosses the shuffle.
+    ``max_by`` is a partial aggregate: one row per key crosses the shuffle. Date and
+    id are packed into one decimal, so that its buffer is of fixed width and the
+    aggregate hashes instead of sorting.
     Without keys an empty ledger gives 0, as the reference does; a newest row
     with a NULL balance gives NULL.
     """
-    order = F.struct(F.col(DATE), F.col("id"))
-    bal = F.max_by(F.col("balance"), order)
+    newest = _packed_order(F.col(DATE), F.col("id"))
+    bal = F.max_by(F.col("balance"), newest).cast("double")
+    day = F.max_by(F.col(DATE), newest).alias("as_of_date")
     if keys:
-        return df.groupBy(*keys).agg(bal.cast("double").alias("balance"),
-                                     F.max(order).getField(DATE).alias("as_of_date"))
-    return df.agg(
-        F.when(F.count(F.lit(1)) == 0, F.lit(0.0)).otherwise(bal.cast("double")).alias("balance"),
-        F.max(order).getField(DATE).alias("as_of_date"),
-    )
+        return df.groupBy(*keys).agg(bal.alias("balance"), day)
+    return df.agg(F.when(F.count(F.lit(1)) == 0, F.lit(0.0)).otherwise(bal).alias("balance"), day)
+
+
+def _packed_order(day: Column, id_: Column) -> Column:
+    """Orders like (day, id), nulls before all values, as a decimal of 38 digits: 20 for an id of any
+    64-bit value, the rest for the days."""
+    span = F.lit(Decimal(10**20))
+    days = F.coalesce(F.unix_date(day), F.lit(-(1 << 31))).cast("decimal(11,0)")
+    number = F.coalesce(id_.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)))
+    return (days.cast("decimal(17,0)") * span + number).cast("decimal(38,0)")
 
 
 def distinct_values(df: DataFrame, column: str, ordered: bool = True,

@@ -118,28 +118,31 @@ def statistics_one_pass(df: DataFrame, start=None, end=None,
                         keys: list[str] | None = None) -> DataFrame:
     """Overall, by-source, monthly and by-category statistics in one scan.
 
-    One ``GROUPING SETS`` aggregate (``Expand`` + one partial aggregate + one
-    shuffle) replaces four scans. ``grouping_id`` tells the sets apart, since
-    a source may be a real NULL. Output is long: ``stat_set`` names the set and
-    ``group_key`` holds its source/month/category. Source groups without
-    deposits and the NULL category group are dropped, as the per-set queries
-    filter them. Note: unlike ``overall``, an empty ledger yields no rows.
+    The rows are first folded to one per (keys, month, source, category); only
+    these few rows are copied for the ``GROUPING SETS`` (``Expand``) of the second
+    aggregate. ``grouping_id`` tells the sets apart, since a source may be a real
+    NULL. Output is long: ``stat_set`` names the set and ``group_key`` holds its
+    source/month/category. Source groups without deposits and the NULL category
+    group are dropped, as the per-set queries filter them. Note: unlike
+    ``overall``, an empty ledger yields no rows.
     """
     keys = keys or []
     d = date_range(df, start, end).select(
         *keys, "amount", "transaction_date", "source", "category",
         ledger_month(df).alias("month"))
-    pos = _amt() > 0
+    amount, pos = _amt(), _amt() > 0
+    cells = d.groupBy(*keys, "source", "month", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(pos, F.lit(1))).alias("n_pos"),
+        F.sum(F.when(pos, amount)).alias("up"), F.sum(F.when(amount < 0, amount)).alias("down"),
+        F.sum(amount).alias("all"), F.min("transaction_date").alias("first"),
+        F.max("transaction_date").alias("last"))
     sets = [keys, keys + ["source"], keys + ["month"], keys + ["category"]]
-    agg = d.groupingSets(sets, *keys, "source", "month", "category").agg(
+    agg = cells.groupingSets(sets, *keys, "source", "month", "category").agg(
         F.grouping_id("source", "month", "category").alias("gid"),
-        F.count(F.lit(1)).alias("transactions"),
-        F.count(F.when(pos, F.lit(1))).alias("deposit_count"),
-        _deposits().alias("deposits"),
-        _withdrawals().alias("withdrawals"),
-        _dsum(_amt()).alias("net"),
-        F.min("transaction_date").alias("earliest_date"),
-        F.max("transaction_date").alias("latest_date"),
+        F.sum("n").alias("transactions"), F.sum("n_pos").alias("deposit_count"),
+        _dsum(F.col("up")).alias("deposits"), _dsum(F.col("down")).alias("withdrawals"),
+        _dsum(F.col("all")).alias("net"),
+        F.min("first").alias("earliest_date"), F.max("last").alias("latest_date"),
     )
     # grouping_id bits (source, month, category): 7 = overall, 3 = source,
     # 5 = month, 6 = category.

@@ -516,17 +516,15 @@ def recurring_frequency_events(spark, sf):
 
 PROJECTION_MONTHS = 12
 
-_FACTORS_SQL = [("= 'weekly'", 52 / 12), ("= 'biweekly'", 26 / 12), ("= 'monthly'", 1.0),
-                ("= 'quarterly'", 1 / 3), ("= 'yearly'", 1 / 12),
-                ("NOT IN ('weekly', 'biweekly', 'monthly', 'quarterly', 'yearly')", 1.0)]
+_FACTORS_SQL = [("weekly", "52.0::DOUBLE / 12"), ("biweekly", "26.0::DOUBLE / 12"), ("monthly", "1::DOUBLE"),
+                ("quarterly", "1.0::DOUBLE / 3"), ("yearly", "1.0::DOUBLE / 12")]
 
 
 def _flow_sql(cond: str, value: str) -> str:
-    """Amount times occurrences a month, summed exactly for each frequency."""
-    return " + ".join(
-        f"COALESCE(CAST(SUM(CASE WHEN {cond} AND lower(COALESCE(frequency, 'monthly')) {which} "
-        f"THEN CAST({value} AS DECIMAL(28,10)) END) AS DOUBLE), 0) * CAST({k!r} AS DOUBLE)"
-        for which, k in _FACTORS_SQL)
+    """Amount times occurrences a month, summed."""
+    factor = " ".join(f"WHEN '{name}' THEN {k}" for name, k in _FACTORS_SQL)
+    return (f"COALESCE(fsum(CASE WHEN {cond} THEN CAST({value} AS DOUBLE) * CASE lower(COALESCE(frequency, 'monthly')) "
+            f"{factor} ELSE CAST(1 AS DOUBLE) END END), 0)")
 
 
 _SCENARIO_CTE = f"""
@@ -618,9 +616,8 @@ contrib AS (
 )""", """
 base0 AS (
   SELECT CAST(0 AS BIGINT) AS account_id, (SELECT b0 FROM latest) AS b0,
-         CAST((SELECT CAST(avg_dep AS DECIMAL(28,10)) FROM contrib) AS DOUBLE) AS dep,
-         COALESCE(CAST((SELECT SUM(CAST(amount AS DECIMAL(28,10))) FROM withdrawals) AS DOUBLE), 0)
-           AS wd
+         (SELECT avg_dep FROM contrib) AS dep,
+         COALESCE((SELECT fsum(amount) FROM withdrawals), 0) AS wd
 )""", """
 base AS (SELECT account_id, b0, dep, wd, dep - wd AS net FROM base0)"""]
 

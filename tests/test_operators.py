@@ -295,3 +295,14 @@ def test_search_fixture_count(ledger):
     found = Q.search(ledger, start="1997-01-01", end="1998-12-31").filter(
         F.col("description").ilike("%coffee%") | F.col("notes").ilike("%high%"))
     assert found.count() == 327
+
+
+@pytest.mark.parametrize("amounts", [[1 / 3] * 3, [1e18, 1.0, -3e18], [1e-9, 2e-9], [0.1] * 10, [9.99e14] * 50])
+def test_projection_sums_of_any_size(spark, amounts):
+    """Deposits by the reference's formula: the sum of amount x occurrences a month."""
+    import math
+    items = spark.createDataFrame([(1, "deposit", a, "weekly") for a in amounts] + [(1, "withdrawal", a, None) for a in amounts],
+                                  "account_id long, direction string, amount double, frequency string").repartition(4)
+    r = P.monthly_flows(items, ["account_id"]).first()
+    assert math.isclose(r.monthly_deposits, sum(a * 52 / 12 for a in amounts), rel_tol=1e-13)
+    assert math.isclose(r.monthly_withdrawals, sum(map(abs, amounts)), rel_tol=1e-13)
