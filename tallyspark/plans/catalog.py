@@ -861,6 +861,39 @@ def apply_corrections(spark, sf):
     return money_out(t.select("id", "category", "source", "notes", "description", "amount"))
 
 
+def _renamed(spark, sf):
+    """Orders with unique descriptions and one amount; every order of status F is renamed to SAME, in
+    the order of the order keys: on each date the first takes the name."""
+    o = FX.table(spark, sf, "orders")
+    t = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("transaction_date"),
+                 F.concat(F.lit("ORDER "), F.col("o_orderkey")).alias("description"),
+                 F.lit(1).cast("decimal(12,2)").alias("amount"), F.lit("").alias("category"),
+                 F.lit("").alias("source"), F.lit("").alias("notes"))
+    c = o.where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("id"), F.create_map(F.lit("description"), F.lit("SAME"),
+                                                      F.lit("notes"), F.lit("renamed")).alias("changes"))
+    return M.correct(t, c)
+
+
+_RENAMED_SQL = """
+SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS asked,
+       row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE), o_orderstatus = 'F' ORDER BY o_orderkey) AS place
+FROM orders"""
+
+
+@register("correction_conflicts", f"""
+SELECT id, 'SAME' AS description, 'duplicate_key' AS reason FROM ({_RENAMED_SQL}) WHERE asked AND place > 1""")
+def correction_conflicts(spark, sf):
+    return _renamed(spark, sf)[1]
+
+
+@register("corrections_refused_whole", f"""
+SELECT id, CASE WHEN asked AND place = 1 THEN 'SAME' ELSE 'ORDER ' || id END AS description,
+       CASE WHEN asked AND place = 1 THEN 'renamed' ELSE '' END AS notes FROM ({_RENAMED_SQL})""")
+def corrections_refused_whole(spark, sf):
+    return _renamed(spark, sf)[0].select("id", "description", "notes")
+
+
 # --- parsing (P1, P2) and statement files (S1-S7) ----------------------------
 
 @register("parse_dates", """
@@ -960,6 +993,13 @@ def stream_ingest(spark, sf):
         "transaction_date", "description", "amount", "balance", "category", "source"))
 
 
+@register("import_empty", "SELECT 0::BIGINT AS incoming, 0::BIGINT AS inserted, 0::BIGINT AS skipped")
+def import_empty(spark, sf):
+    """An empty batch against the whole ledger (K2)."""
+    t = _orders(spark, sf)
+    return I.import_transactions(t, t.where("false").withColumn("line_no", F.lit(0)), ["line_no"]).counts
+
+
 # --- snapshots (K3-K7, S10) -------------------------------------------------
 
 def _exported(spark, sf, ledger=None, m=None):
@@ -995,6 +1035,57 @@ def snapshot_validation(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+@register("snapshot_invalid_rows", O.with_orders("""
+SELECT 'transactions' AS "table", "index", 'missing_description' AS reason FROM (
+  SELECT row_number() OVER (ORDER BY id) - 1 AS "index", amount FROM ledger) WHERE amount > 200000"""))
+def snapshot_invalid_rows(spark, sf):
+    """A snapshot in order of the ids; the position of every row that a dry run finds fault with."""
+    broken = _orders(spark, sf).withColumn("description", F.when(F.col("amount") <= 200000, F.col("description")))
+    path = shared_dir(spark, "snapshot")
+    SN.export_snapshot(broken.limit(0), _mappings(spark), path)
+    broken.orderBy("id").select("transaction_date", "description", "amount").write.mode("overwrite").json(
+        f"{path}/transactions")
+    return SN.validate_snapshot(SN.read_snapshot(spark, path))
+
+
+def _two_copies(spark, sf):
+    """A snapshot whose second, larger file repeats the keys of its first with other notes."""
+    t = _orders(spark, sf).select("transaction_date", "description", "amount", "notes")
+    path = shared_dir(spark, "snapshot")
+    SN.export_snapshot(_orders(spark, sf).limit(0), _mappings(spark), path)
+    early = F.col("transaction_date") < F.lit(_dt.date(1996, 1, 1))
+    for name, rows in (("0", t.where(early)), ("1", t)):
+        rows.withColumn("notes", F.lit(name)).write.json(f"{path}/transactions/{name}")
+    return SN.read_snapshot(spark, path)
+
+
+@register("snapshot_first_wins", O.with_orders("""
+SELECT CASE WHEN transaction_date < DATE '1996-01-01' THEN '0' ELSE '1' END AS notes, COUNT(*) AS n,
+       CAST(SUM(amount) AS DOUBLE) AS total
+FROM (SELECT DISTINCT transaction_date, description, amount FROM ledger) GROUP BY 1"""))
+def snapshot_first_wins(spark, sf):
+    empty_t, empty_m = _orders(spark, sf).limit(0), _mappings(spark).limit(0)
+    new, _, _ = SN.import_snapshot(empty_t, empty_m, _two_copies(spark, sf))
+    return new.groupBy("notes").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"))
+
+
+@register("snapshot_times", O.with_orders("""
+SELECT notes, COUNT(*) AS n, COUNT(*) FILTER (WHERE notes = 'given') AS kept,
+       COUNT(*) FILTER (WHERE notes = 'absent') AS now FROM (
+  SELECT CASE WHEN transaction_date < DATE '1998-01-01' THEN 'given' ELSE 'absent' END AS notes FROM (
+    SELECT DISTINCT transaction_date, description, amount FROM ledger)) GROUP BY 1"""))
+def snapshot_times(spark, sf):
+    """Given import times stay, absent ones become the time of the import (K9)."""
+    given = F.to_timestamp(F.lit("2001-02-03 04:05:06"))
+    early = F.col("transaction_date") < F.lit(_dt.date(1998, 1, 1))
+    t = (_orders(spark, sf).withColumn("imported_at", F.when(early, given))
+         .withColumn("notes", F.when(early, F.lit("given")).otherwise(F.lit("absent"))))
+    new, _, _ = SN.import_snapshot(t.limit(0), _mappings(spark).limit(0), _exported(spark, sf, t))
+    return new.groupBy("notes").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("imported_at") == given).alias("kept"),
+        F.count_if(F.abs(F.unix_timestamp("imported_at") - F.unix_timestamp()) < 86400).alias("now"))
+
+
 @register("snapshot_counts", O.with_orders_and_mappings("""
 SELECT 'transactions' AS "table", COUNT(*) AS expected, COUNT(*) AS actual, TRUE AS ok FROM ledger
 UNION ALL

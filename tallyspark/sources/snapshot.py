@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.ingest import import_transactions
 from ..operators.maintain import MAPPING_KEY
+from .lines import in_order, numbered_lines
 
 SNAPSHOT_TRANSACTIONS = T.StructType([
     T.StructField("transaction_date", T.StringType()),
@@ -98,13 +99,18 @@ def export_snapshot(t: DataFrame, m: DataFrame, path: str, source_db: str = "led
     return spark.read.schema(MANIFEST).json(f"{path}/manifest")
 
 
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of a folder of JSON lines with ``row_id``, their position in the table: files in the order
+    of their names, lines in the order of each file. Blank lines are no rows, but are counted."""
+    lines = in_order(numbered_lines(spark, path, "*.json")).where(F.trim("line") != "")
+    return lines.select(F.from_json("line", schema).alias("r"), "row_id").select("r.*", "row_id")
+
+
 def read_snapshot(spark: SparkSession, path: str) -> Snapshot:
     """Read a snapshot folder with fixed schemas (no inference)."""
-    t = spark.read.schema(SNAPSHOT_TRANSACTIONS).json(f"{path}/transactions")
-    m = spark.read.schema(SNAPSHOT_MAPPINGS).json(f"{path}/person_mappings")
     man = spark.read.schema(MANIFEST).json(f"{path}/manifest")
-    return Snapshot(t.withColumn("row_id", F.monotonically_increasing_id()),
-                    m.withColumn("row_id", F.monotonically_increasing_id()), man)
+    return Snapshot(_table(spark, f"{path}/transactions", SNAPSHOT_TRANSACTIONS),
+                    _table(spark, f"{path}/person_mappings", SNAPSHOT_MAPPINGS), man)
 
 
 def read_document(spark: SparkSession, path: str) -> Snapshot:
@@ -126,7 +132,8 @@ def read_document(spark: SparkSession, path: str) -> Snapshot:
 
 
 def validate_snapshot(snap: Snapshot) -> DataFrame:
-    """Dry run: rows missing a required field, as (table, row_id, reason).
+    """Dry run: rows missing a required field, as (table, index, reason); ``index`` is
+    the row's position in its table, from 0.
 
     Transactions need a date and a description, mappings a person and a
     keyword; NULL and empty text both count as missing."""
@@ -134,11 +141,11 @@ def validate_snapshot(snap: Snapshot) -> DataFrame:
         return F.col(c).isNull() | (F.col(c) == "")
 
     t = snap.transactions.select(
-        F.lit("transactions").alias("table"), "row_id",
+        F.lit("transactions").alias("table"), F.col("row_id").alias("index"),
         F.when(missing("transaction_date"), "missing_transaction_date")
         .when(missing("description"), "missing_description").alias("reason"))
     m = snap.mappings.select(
-        F.lit("person_mappings").alias("table"), "row_id",
+        F.lit("person_mappings").alias("table"), F.col("row_id").alias("index"),
         F.when(missing("person_name"), "missing_person_name")
         .when(missing("keyword"), "missing_keyword").alias("reason"))
     return t.unionByName(m).filter(F.col("reason").isNotNull())

@@ -19,13 +19,14 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import categorize, extract_source
 from ..functions.parse import is_na, parse_amount, parse_balance, with_parsed_dates
 from ..functions.text import strip_ws
 from ..schema import REJECTS, conform
+from .lines import numbered_lines
 
 # Header aliases (compared trimmed and lower-case).
 ALIASES = {
@@ -207,39 +208,6 @@ def _parse_lines(lines: DataFrame) -> DataFrame:
         "reason")
 
 
-def _split_lines(spark: SparkSession, path, glob: str) -> DataFrame:
-    """(path, idx, line) for every physical line, read with the ``text`` source,
-    which splits large files into many tasks and leaves out a file's first BOM.
-    ``path`` is a folder or a list of file names.
-
-    Exact 0-based line numbers without a row-level window: within a split the
-    generated row ids are consecutive, so a line's number is the count of lines
-    in the file's earlier splits plus its distance from the split's first id.
-    The per-split table (a few rows per file) gets its offsets from a running
-    sum over the file's splits."""
-    reader = spark.read.format("text")
-    if isinstance(path, str):
-        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    elif not path:
-        return spark.createDataFrame([], "path string, idx long, line string")
-    else:
-        path = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]     # names, not patterns
-    # the metadata holds the path as a URI; elsewhere (binaryFile) it is plain
-    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    raw = (reader.load(path)
-           .select(plain.alias("path"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line")))
-    splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
-                                              F.min("rid").alias("first_rid"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    idx = F.col("offset") + F.col("rid") - F.col("first_rid")
-    lines = raw.join(splits.select("path", "block", "first_rid", "offset"), ["path", "block"])
-    return lines.select("path", idx.alias("idx"), "line")
-
-
 def empty_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
     """(path, size 0) of the 0-byte files, which no scan returns: the names of the
     listing that the scan of the listing's metadata does not have."""
@@ -268,7 +236,7 @@ def parse_large_statement_files(spark: SparkSession, path, glob: str = "*.csv",
 
     ``path`` is a folder (with ``glob``) or a list of the names of files with bytes in
     them; a list needs ``listed(path, size)``, which may name 0-byte files too."""
-    lines = _split_lines(spark, path, glob)
+    lines = numbered_lines(spark, path, glob)
     if listed is None:
         listed = _listing(spark, path, glob)
     looks = _is_header(F.col("line"), strict_header)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import tempfile
 from decimal import Decimal
 
@@ -306,3 +307,61 @@ def test_projection_sums_of_any_size(spark, amounts):
     r = P.monthly_flows(items, ["account_id"]).first()
     assert math.isclose(r.monthly_deposits, sum(a * 52 / 12 for a in amounts), rel_tol=1e-13)
     assert math.isclose(r.monthly_withdrawals, sum(map(abs, amounts)), rel_tol=1e-13)
+
+
+def _edited(rows, edits):
+    """Edits one after another: (descriptions by id, refused (id, description) in order)."""
+    key = {i: (d, t, a) for i, d, t, a in rows}
+    refused = []
+    for _, i, to in sorted(edits, key=lambda e: e[:2]):
+        if i in key:
+            d, _, a = key[i]
+            new = (d, to, a)
+            if None not in new and any(k == new for j, k in key.items() if j != i):
+                refused.append((i, to))
+            else:
+                key[i] = new
+    return {i: k[1] for i, k in key.items()}, sorted(refused, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_corrections_refuse_keys_taken_at_their_time(spark, seed):
+    """Chains and swaps of descriptions against the same edits made one by one."""
+    rnd = random.Random(seed)
+    rows, seen = [], set()
+    while len(rows) < 60:
+        k = (rnd.choice([dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]), rnd.choice("abcdefgh") + rnd.choice("12"),
+             rnd.choice([Decimal("1.00"), Decimal("2.00")]))
+        if k not in seen or None in k:
+            seen.add(k)
+            rows.append((len(rows), *k))
+    edits = [(n, rnd.randint(0, 65), rnd.choice([rnd.choice("abcdefgh") + rnd.choice("12"), "new", None]))
+             for n in range(45)]
+    t = spark.createDataFrame([(*r, "c", "s", "n") for r in rows],
+                              "id long, transaction_date date, description string, amount decimal(12,2), "
+                              "category string, source string, notes string")
+    c = spark.createDataFrame([(n, i, {"description": to, "notes": str(n)}) for n, i, to in edits],
+                              "seq int, id long, changes map<string,string>").repartition(3)
+    after, refused = M.correct(t, c, order="seq")
+    want, no = _edited(rows, edits)
+    got = {r.id: r.description for r in after.collect()}
+    assert got == want
+    assert sorted(((r.id, r.description) for r in refused.collect()), key=repr) == no and no
+    # a refused edit changes no field
+    notes = {i: "n" for i in want}
+    left = list(no)
+    for n, i, to in edits:
+        if i in notes:
+            ok = _edited(rows, edits[:n + 1])[1].count((i, to)) == _edited(rows, edits[:n])[1].count((i, to))
+            notes[i] = str(n) if ok else notes[i]
+    assert {r.id: r.notes for r in after.collect()} == notes
+
+
+def test_corrections_many_to_one_key_take_few_rounds(spark):
+    """Thousands of edits to one key: the first takes it, the others are refused together."""
+    t = spark.range(3000).selectExpr("id", "DATE '2024-01-01' AS transaction_date", "concat('d', id) AS description",
+                                     "CAST(1 AS DECIMAL(12,2)) AS amount", "'' AS category", "'' AS source", "'' AS notes")
+    c = spark.range(3000).selectExpr("id", "map('description', 'same') AS changes")
+    after, refused = M.correct(t, c)
+    assert refused.count() == 2999 and after.where("description = 'same'").select("id").first().id == 0
+    assert after.select("description").distinct().count() == 3000

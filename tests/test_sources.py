@@ -37,7 +37,7 @@ def test_read_document_validate_and_import(spark):
     with open(path, "w") as fh:
         json.dump(doc, fh, indent=2)
     snap = SN.read_document(spark, path)
-    bad = {(r.table, r.row_id, r.reason) for r in SN.validate_snapshot(snap).collect()}
+    bad = {(r.table, r["index"], r.reason) for r in SN.validate_snapshot(snap).collect()}
     assert bad == {("transactions", 2, "missing_description"),
                    ("person_mappings", 1, "missing_keyword")}
     man = {r.table: r["count"] for r in snap.manifest.collect()}
