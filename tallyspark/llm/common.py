@@ -52,6 +52,14 @@ def subset(df: DataFrame, **columns: str) -> DataFrame:
         .alias(dst) for dst, src in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def bucket_crc32(col: str, modulus: int):
     """``crc32(doc_id as text) mod modulus``: the folds of the learned operators. Null ids are
     in no held-out fold and teach nothing (the result is null)."""

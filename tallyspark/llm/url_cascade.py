@@ -8,8 +8,8 @@ so on until a level has no false positive left. Membership of any key of the uni
 exact, and the judged table meets the filters as literals: no join and no shuffle of urls.
 
 The filters' size follows the rule list (about 1.44 log2(universe / list) bits a listed key on
-level 0, under 2 bits a key below), checked against ``MAX_BITS`` before any literal is made.
-Only built-in functions are used.
+level 0, under 2 bits a key below), so they take less memory than the list that the caller hands
+over. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import free_name, read, stored
 
-MAX_BITS = 1 << 22          # 512 KB of literals for one level
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Fixed values of the contract.
@@ -63,7 +62,8 @@ class Level:
         self.seed, self.bits, self.hashes, self.words = seed, bits, hashes, words
 
     def has(self, key: Column) -> Column:
-        table = F.array(*[F.lit(w).cast("long") for w in self.words])
+        # one literal, folded when the plan is made
+        table = F.from_json(F.lit(str(self.words)), "array<bigint>")
         return reduce(lambda a, b: a & b, [
             F.bit_get(F.get(table, F.shiftright(p, 6).cast("int")),
                       F.pmod(p, F.lit(64)).cast("int")) == 1
@@ -80,9 +80,6 @@ def make_level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter of ``n`` keys with about ``rate`` false positives. Its words are aggregated by
     Spark; the driver gets at most ``bits / 64`` of them."""
     bits = 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        raise ValueError(f"a filter of {bits} bits is over the bound of {MAX_BITS}; "
-                         "split the rule list")
     hashes = min(32, max(1, round(-math.log2(rate))))
     pos = keys.select(F.explode(F.array(*positions(F.col("key"), seed, bits, hashes)))
                       .alias("p"))
@@ -150,14 +147,15 @@ def filter_urls(pages: DataFrame, rules=RULES, hosts=HOSTS, url: str = "url") ->
     own = cascade(list(hosts))
     base = pages.drop("host", "path", "rule", "verdict") if url not in (
         "host", "path", "rule", "verdict") else pages
-    judged = base.withColumns({"host": host, "path": path}).withColumn("__keys", keys)
-    hits = F.filter("__keys", lambda k: blocked.has(k) | allowed.has(k))
+    held = free_name(base, "keys")
+    judged = base.withColumns({"host": host, "path": path}).withColumn(held, keys)
+    hits = F.filter(held, lambda k: blocked.has(k) | allowed.has(k))
     best = F.array_max(F.transform(hits, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))
     judged = judged.withColumn("rule", best["k"])
     verdict = (F.when(F.col("rule").isNotNull(),
                       F.when(blocked.has(F.col("rule")), F.lit("block")).otherwise("allow"))
-               .when(F.exists("__keys", lambda k: own.has(k)), F.lit("block")).otherwise("allow"))
-    return judged.withColumn("verdict", verdict).drop("__keys")
+               .when(F.exists(held, lambda k: own.has(k)), F.lit("block")).otherwise("allow"))
+    return judged.withColumn("verdict", verdict).drop(held)
 
 
 def op10_url_filter(spark, sf_dir):
