@@ -6,9 +6,8 @@ Nystroem landmarks (texts of the sample) give each text a finite feature vector,
 regression per language (one against the rest) is solved on those features. A batch of texts
 becomes a presence matrix P; its scores are two matrix products, ``(P L^T) B + b``.
 
-Only the model is learned from a bounded sample: at most ``per_language`` texts of each of the
-``max_languages`` most frequent languages, of at most ``max_bytes`` bytes each, chosen by a hash
-of the id. Counts of languages and all predictions cover every document and its whole text.
+Only the model is learned from a bounded sample: at most ``per_language`` texts of every language,
+of at most ``max_bytes`` bytes each, chosen by a hash of the id. Counts of languages and all predictions cover every document and its whole text.
 """
 
 from __future__ import annotations
@@ -26,9 +25,9 @@ from .common import bucket_crc32, read, ship_package, slices, subset
 @dataclass(frozen=True)
 class Fit:
     """Bounds and settings of the learned model."""
-    per_language: int = 300
-    max_languages: int = 200
-    max_bytes: int = 1 << 16
+    per_language: int = 300        # texts, fewer where they would exceed sample_bytes
+    sample_bytes: int = 1 << 26
+    max_bytes: int = 1 << 16       # of a text of the sample
     landmarks_per_language: int = 32
     max_landmarks: int = 1024
     features: int = 8192
@@ -160,30 +159,43 @@ class KernelModel:
 
 def fit_model(docs: DataFrame, fit: Fit = Fit(), doc_id: str = "doc_id", text: str = "text",
               lang: str = "lang") -> KernelModel:
-    """Learn from the rows outside the held-out fold that have a language and a letter."""
+    """Learn from the rows outside the held-out fold that have a language and a letter.
+
+    Every language is learned. The sample holds texts of at most ``max_bytes``; a language that
+    gives none gives the beginning of its shortest text. Many languages share ``sample_bytes``, the bound of
+    what comes to the driver: then each gives fewer texts, one at least."""
     rows = (subset(docs, id=doc_id, text=text, lang=lang)
             .withColumn("lang", F.col("lang").cast("string"))
             .where("lang is not null and text is not null")
             .where(bucket_crc32("id", FOLDS) != HELD_OUT)
-            .where(F.octet_length("text") <= fit.max_bytes)
             .where(F.col("text").rlike(r"\p{L}")))
-    count = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(fit.max_languages).collect()}
-    if not count:
+    size = F.octet_length("text")
+    small = size <= fit.max_bytes
+    seen = rows.groupBy("lang").agg(F.count_if(small).alias("n"), F.avg(F.when(small, size)).alias("bytes")).collect()
+    if not seen:
         return KernelModel([], [], fit)
-    share = F.create_map(*[x for lang_, n in count.items()
-                           for x in (F.lit(lang_), F.lit(1.5 * fit.per_language / n))])
+    count = {r.lang: r.n for r in seen if r.n}
+    per_language = max(1, min(fit.per_language, int(fit.sample_bytes / max(1.0, sum(r.bytes or 0 for r in seen)))))
+    share = F.create_map(*[x for lang_, n in sorted(count.items())
+                           for x in (F.lit(lang_), F.lit((1.5 * per_language + 12) / n))]) if count else None
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    bound = 2 * fit.per_language * len(count)
-    got = (rows.where(F.col("lang").isin(*count) & (draw < share[F.col("lang")]))
-           .select("lang", "text", draw.alias("draw")).orderBy("draw", "lang", "text")
-           .limit(bound).collect())
+    bound = (2 * per_language + 24) * len(count)
+    got = [] if share is None else (
+        rows.where(small & (draw < share[F.col("lang")]))
+        .select("lang", "text", draw.alias("draw")).orderBy("draw", "lang", "text")
+        .limit(bound).collect())
     kept: dict[str, int] = {}
     sample = []
     for r in got:
         kept[r.lang] = kept.get(r.lang, 0) + 1
-        if kept[r.lang] <= fit.per_language:
+        if kept[r.lang] <= per_language:
             sample.append(r)
+    rest = [r.lang for r in seen if r.lang not in kept]        # only long texts, or none drawn
+    if rest:
+        few = rows.where(F.col("lang").isin(rest)).withColumn("size", size)
+        sample += (few.groupBy("lang").agg(F.min("size").alias("size")).join(few, ["lang", "size"])
+                   .groupBy("lang").agg(F.min(F.substring("text", 1, fit.max_bytes // 4)).alias("text"))
+                   .orderBy("lang").collect())
     return KernelModel([r.text for r in sample], [r.lang for r in sample], fit)
 
 
