@@ -232,9 +232,9 @@ def with_sketch(batches):
     for whole in batches:
         for b in slices(whole):
             yield pa.RecordBatch.from_arrays(
-                [b.column("text"), b.column("toxic"),
+                [b.column("id"), b.column("text"), b.column("toxic"),
                  pa.array([sketch(t) for t in b.column("text").to_pylist()], pa.int64())],
-                names=["text", "toxic", "sketch"])
+                names=["id", "text", "toxic", "sketch"])
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int,
@@ -272,7 +272,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str
               text: str = "text", label: str = "toxic") -> ToxicModel:
     """Learn from labelled rows outside the held-out fold: of each class the ``per_class`` with
     the smallest hash of the id (repeated labels of one id count once, toxic if any is). Of
-    texts with one sketch one is kept, so copies do not pose as evidence for their words."""
+    texts of a class with one sketch that of the least id is kept, so copies do not pose as evidence
+    for their words. The same rows give the same model, however they are dealt out."""
     marks = (subset(labels, id=doc_id, toxic=label).where("id is not null and toxic is not null")
              .where(bucket_crc32("id", FOLDS) != HELD_OUT)
              .groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -282,10 +283,10 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str
     chosen = stored(picked[0].unionByName(picked[1]), "toxic-labels")      # <= 2 per_class rows
     rows = (subset(docs, id=doc_id, text=text).where("text is not null")
             .where(F.octet_length("text") <= fit.max_bytes)
-            .join(F.broadcast(chosen), "id").select("id", "text", "toxic")
-            .select("text", "toxic"))
-    rows = stored(rows.mapInArrow(with_sketch, "text string, toxic int, sketch long")
-                  .dropDuplicates(["sketch"]), "toxic-sample")
+            .join(F.broadcast(chosen), "id").select(F.col("id").cast("string"), "text", "toxic"))
+    rows = stored(rows.mapInArrow(with_sketch, "id string, text string, toxic int, sketch long")
+                  .groupBy("sketch", "toxic").agg(F.min(F.struct("id", "text")).alias("one"))
+                  .select("one.text", "toxic"), "toxic-sample")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
 
     def split(batches):
@@ -316,8 +317,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str
                 yield pa.RecordBatch.from_arrays(
                     [b.column("toxic"), *[pa.array(m[:, i]) for i in range(len(KINDS) + 1)]],
                     names=["toxic"] + [f"f{i}" for i in range(len(KINDS) + 1)])
-        got = np.array([tuple(r) for r in rows.select("text", "toxic")
-                        .mapInArrow(measure, f"toxic int, {kinds}").collect()], float)
+        got = np.array(sorted(tuple(r) for r in rows.select("text", "toxic")   # one order, one result
+                              .mapInArrow(measure, f"toxic int, {kinds}").collect()), float)
         model.learn(got[:, 1:], got[:, 0])
     return model
 
