@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, slices, stored, subset, task_memory
+from .common import free_name, read, slices, stored, subset, task_memory
 from .graph import components
 
 SIZE, PERCENT = 3, 90       # of the contract; in general five words and 80 are usual
@@ -413,15 +413,16 @@ def keep_one(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: st
     Documents without shingles, and rows without an id, all stay. Of rows that share both id and
     text one stays; rows that share an id but not the text stay or go together."""
     groups = stored(link(docs, size, doc_id, text, percent), "groups")
+    own = free_name(docs, "own_id")
     gone = (groups.where("component_id is not null and doc_id is not null and doc_id != component_id")
-            .select(F.col("doc_id").alias("__id")).distinct())
+            .select(F.col("doc_id").alias(own)).distinct())
     gone = gone.hint("merge")       # the same join at every size, as above
-    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__id"), "left_anti")
-    again = (groups.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("__id"))
-             .count().where("count > 1").select("__id"))
+    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col(own), "left_anti")
+    again = (groups.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(own))
+             .count().where("count > 1").select(own))
     if again.isEmpty():
         return kept
-    on = F.col(f"`{doc_id}`") == F.col("__id")
+    on = F.col(f"`{doc_id}`") == F.col(own)
     return kept.join(again, on, "left_anti").unionByName(
         kept.join(again, on, "left_semi").dropDuplicates([doc_id, text]))
 

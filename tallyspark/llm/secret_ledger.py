@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.session import shared_dir
 
-from .common import read, read_or_empty, slices, stored, subset
+from .common import free_name, read, read_or_empty, slices, stored, subset
 
 
 @dataclass(frozen=True)
@@ -43,13 +43,15 @@ class Rule:
 
 
 # Fixed values of the contract; ``pem`` is the method's own addition. For access and hex a match
-# is a run up to its end, so a shorter run can be skipped inside the pattern itself.
+# is a run up to its end, so a shorter run can be skipped inside the pattern itself. A pem match is
+# the key up to its END line, without one the lines of base64 that follow.
 RULES = (
     Rule("assign", 1, r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?"
                       r"([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    Rule("pem", 2, r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----"
+                   r"(?:(?:[^-]|-(?!-))*+-----END \1PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,})*+)", 0, 0),
 )
 BASE = ("assign", "access", "hex")
 
@@ -156,12 +158,13 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]", rules=RULES,
     are. Overlapping spans are replaced as one."""
     update(docs, ledger, rules, doc_id, text)
     spark = docs.sparkSession
+    blob, spans = free_name(docs, "blob"), free_name(docs, "spans")
     hits = (read_or_empty(spark, f"{ledger}/findings", FINDINGS)
-            .groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
-            .withColumnRenamed("blob", "__blob"))
-    keyed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)))
+            .groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias(spans))
+            .withColumnRenamed("blob", blob))
+    keyed = docs.withColumn(blob, F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)))
     at = F.aggregate(
-        "__spans",
+        F.col(spans),
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")),
         lambda a, s: F.struct(
             F.when(s["start"] >= a["pos"], F.concat(
@@ -171,8 +174,8 @@ def redact(docs: DataFrame, ledger: str, mark: str = "[secret]", rules=RULES,
             F.greatest(a["pos"], s["stop"]).alias("pos")))
     made = F.concat(at["out"], F.col(f"`{text}`").substr(at["pos"].cast("int") + 1,
                                                        F.length(F.col(f"`{text}`"))))
-    got = keyed.join(hits, "__blob", "left")
-    return got.withColumn(text, F.when(F.col("__spans").isNull(), F.col(f"`{text}`"))
+    got = keyed.join(hits, blob, "left")
+    return got.withColumn(text, F.when(F.col(spans).isNull(), F.col(f"`{text}`"))
                           .otherwise(made)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -15,7 +15,9 @@ def plain(rows, items):
     out = []
     for d, t in rows:
         spans = [(int(a), int(z)) for _, a, z in (x.split(":") for x in brute.secrets(t)[4].split(",") if x)]
-        spans += [m.span() for m in re.finditer(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", t)]
+        spans += [m.span() for m in re.finditer(
+            r"-----BEGIN ((?:[A-Z]+ )*)PRIVATE KEY-----(?:(?:[^-]|-(?!-))*-----END \1PRIVATE KEY-----"
+            r"|(?:\s+[A-Za-z0-9+/=]{16,})*)", t)]
         made, at = "", 0
         for a, z in sorted(spans):
             if a >= at:
