@@ -211,16 +211,18 @@ def intervals(flag: np.ndarray) -> list[tuple[int, int]]:
 
 
 def passages(rights, lcps, lefts, many) -> list[bool]:
-    """Whether an entry shares a passage of ``PASSAGE`` words with a neighbour of its sorted group,
-    or occurs more than once with as many around its anchor."""
-    def long(left, right):
-        return len(left) + len(right) >= 2 * PASSAGE - 1 and len((left + right).split()) >= PASSAGE
-    out = [k > 1 and long(left, right) for k, left, right in zip(many, lefts, rights)]
+    """Whether an entry shares a passage of ``PASSAGE`` words (parted by spaces or line ends) with a
+    neighbour of its sorted group, or occurs more than once with as many around its anchor."""
+    def long(text):
+        return text.count(b" ") + text.count(b"\n") >= PASSAGE - 1
+    out = [k > 1 and long(left + right) for k, left, right in zip(many, lefts, rights)]
     for i in range(1, len(out)):
-        if not (out[i - 1] and out[i]):
-            n = shared(lefts[i - 1][::-1], lefts[i][::-1], 0)
-            if long(lefts[i][len(lefts[i]) - n:], rights[i][:lcps[i]]):
-                out[i - 1] = out[i] = True
+        left, r = lefts[i], lcps[i]
+        if out[i - 1] and out[i] or len(left) + r < 2 * PASSAGE - 1:
+            continue
+        n = len(left) if left == lefts[i - 1] else shared(lefts[i - 1][::-1], left[::-1], 0)
+        if n + r >= 2 * PASSAGE - 1 and long(left[len(left) - n:] + rights[i][:r]):
+            out[i - 1] = out[i] = True
     return out
 
 
@@ -234,12 +236,16 @@ def judge(merged, size: int, reach: int):
     def decide():
         if len(group) > 1 or group and group[0][2][1] > 1:
             rights, lcps, loads = zip(*group)
+            lefts, many = [p[0] for p in loads], [p[1] for p in loads]
+            known = passages(rights, lcps, lefts, many)
+            if max(many) == 1 and max(lcps[1:]) <= size - reach:       # too little for any string
+                yield from ((p, [], True) for p, passage in zip(loads, known) if passage)
+                return
             make = _flags_by_pairs if len(group) <= PAIRS_UP_TO else _flags_by_offset
-            flag = make(rights, lcps, [p[0] for p in loads], [p[1] for p in loads], size, reach)
-            known = passages(rights, lcps, [p[0] for p in loads], [p[1] for p in loads])
-            for row, p, passage in zip(flag, loads, known):
-                if passage or row.any():
-                    yield p, intervals(row), passage
+            flag = make(rights, lcps, lefts, many, size, reach)
+            for row, some, p, passage in zip(flag, flag.any(axis=1).tolist(), loads, known):
+                if some or passage:
+                    yield p, intervals(row) if some else [], passage
     for entry in merged:
         if entry[1] < least and group:
             yield from decide()
