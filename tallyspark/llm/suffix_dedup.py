@@ -210,48 +210,57 @@ def intervals(flag: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(z) - 1) for a, z in zip(edge[::2], edge[1::2])]
 
 
-def passages(rights, lcps, lefts, many) -> list[bool]:
-    """Whether an entry shares a passage of ``PASSAGE`` words (parted by spaces or line ends) with a
-    neighbour of its sorted group, or occurs more than once with as many around its anchor."""
-    def long(text):
-        return text.count(b" ") + text.count(b"\n") >= PASSAGE - 1
-    out = [k > 1 and long(left + right) for k, left, right in zip(many, lefts, rights)]
-    for i in range(1, len(out)):
-        left, r = lefts[i], lcps[i]
-        if out[i - 1] and out[i] or len(left) + r < 2 * PASSAGE - 1:
-            continue
-        n = len(left) if left == lefts[i - 1] else shared(lefts[i - 1][::-1], left[::-1], 0)
-        if n + r >= 2 * PASSAGE - 1 and long(left[len(left) - n:] + rights[i][:r]):
-            out[i - 1] = out[i] = True
-    return out
+def is_passage(text: bytes) -> bool:
+    """Whether a text has ``PASSAGE`` words, parted by spaces or line ends."""
+    return text.count(b" ") + text.count(b"\n") >= PASSAGE - 1
+
+
+def shares_passage(a, b, same: int) -> bool:
+    """Whether two neighbours of a merge, whose rights share ``same`` bytes, share a passage."""
+    left = b[2][0]
+    if len(left) + same < 2 * PASSAGE - 1:
+        return False
+    n = len(left) if left == a[2][0] else shared(a[2][0][::-1], left[::-1], 0)
+    return n + same >= 2 * PASSAGE - 1 and is_passage(left[len(left) - n:] + b[0][:same])
 
 
 def judge(merged, size: int, reach: int):
     """``(payload, offsets, passage)`` for every entry of a merged bucket with repeated strings; the
     payload is (left, occurrences, ...), ``offsets`` are inclusive intervals, ``passage`` tells
-    whether a passage of many words is shared."""
-    least = key_length(size, reach)
+    whether a neighbour shares a passage of many words or the entry occurs more than once with as
+    many around its anchor. Strings need groups that share ``size - reach + 1`` bytes; passages are
+    looked for at shorter keys too, there only between neighbours."""
+    least, strong = key_length(size, reach), size - reach + 1
     group: list = []
 
-    def decide():
-        if len(group) > 1 or group and group[0][2][1] > 1:
-            rights, lcps, loads = zip(*group)
-            lefts, many = [p[0] for p in loads], [p[1] for p in loads]
-            known = passages(rights, lcps, lefts, many)
-            if max(many) == 1 and max(lcps[1:]) <= size - reach:       # too little for any string
-                yield from ((p, [], True) for p, passage in zip(loads, known) if passage)
-                return
-            make = _flags_by_pairs if len(group) <= PAIRS_UP_TO else _flags_by_offset
-            flag = make(rights, lcps, lefts, many, size, reach)
-            for row, some, p, passage in zip(flag, flag.any(axis=1).tolist(), loads, known):
-                if some or passage:
-                    yield p, intervals(row) if some else [], passage
+    def decide(before: bool, after: bool):
+        """``before``, ``after``: the first entry shares a passage with the one before the group, the
+        last with the one after it."""
+        if len(group) == 1 and group[0][2][1] == 1:
+            if before or after:
+                yield group[0][2], [], True
+            return
+        rights, lcps, loads = zip(*group)
+        lefts, many = [p[0] for p in loads], [p[1] for p in loads]
+        known = [k > 1 and is_passage(left + right) for k, left, right in zip(many, lefts, rights)]
+        known[0], known[-1] = known[0] or before, known[-1] or after
+        for i in range(1, len(group)):
+            if not (known[i - 1] and known[i]) and shares_passage(group[i - 1], group[i], lcps[i]):
+                known[i - 1] = known[i] = True
+        make = _flags_by_pairs if len(group) <= PAIRS_UP_TO else _flags_by_offset
+        flag = make(rights, lcps, lefts, many, size, reach)
+        for row, some, p, passage in zip(flag, flag.any(axis=1).tolist(), loads, known):
+            if some or passage:
+                yield p, intervals(row) if some else [], passage
+    before = False
     for entry in merged:
-        if entry[1] < least and group:
-            yield from decide()
-            group = []
+        if group and entry[1] < strong:
+            link = entry[1] >= least and shares_passage(group[-1], entry, entry[1])
+            yield from decide(before, link)
+            group, before = [], link
         group.append(entry)
-    yield from decide()
+    if group:
+        yield from decide(before, False)
 
 
 def bucketed(docs: DataFrame, name: str) -> DataFrame:
