@@ -6,10 +6,11 @@ far exceeds that in the others, learned from a bounded sample of labelled rows.
 **Matching.** All terms lie in one trie. A Levenshtein automaton of one edit runs over the whole
 trie at once: a state is a set of (trie node, edits used), made deterministic step by step and
 kept, so a word is read with one dictionary look-up a character and most words die after a few.
-Whole words of ``fuzzy_length`` characters or more are met with one edit; shorter words and stems
-exactly.
+Whole words of ``fuzzy_length`` characters or more are met with one edit, also those that a stem
+covers; shorter words and stems exactly. A word that clean training texts use is spelled as it
+should be: it is not taken for a misspelling of a term.
 
-**Context.** A hit inside quotation marks, or with a reporting word (``said``, ``called``, ...)
+**Context.** A hit inside quotation marks (paired in one scan of the whole text, however far apart), or with a reporting word (``said``, ``called``, ...)
 in the few words before it, counts as quotation; a hit with a second-person word around it as
 address; any other as plain. A logistic regression on the weights of these kinds of hits, learned
 from the same sample, gives the score.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -41,7 +43,8 @@ class Fit:
     least_odds: float = 3.0      # log odds of a term's document frequencies
     evidence: float = 14.0       # nats against chance, for about a million candidate terms
     stem: tuple = (4, 8)
-    fuzzy_length: int = 6
+    fuzzy_length: int = 5
+    known_docs: int = 2          # clean texts that make a word a spelling of its own
     window: int = 6
     ridge: float = 1e-2
 
@@ -49,13 +52,34 @@ class Fit:
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7     # of the contract
 MAX_STATES = 50_000
 WORD = re.compile(r"[^\W\d_]+")
-QUOTED = re.compile("\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»"
-                    "|„[^“\n]{1,400}“")
+MARKS = re.compile("[\"“”„«»]")
+CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«"}
 REPORTING = frozenset("said says wrote quoted quote called calling term word shouted dijo dit sagte".split())
 ADDRESS = frozenset("you your yours youre tu te vous votre du dich dein sie usted ustedes".split())
 KINDS = ("plain", "address", "quoted", "fuzzy")
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the quotations of a text, in order and apart, found in one scan.
+
+    A mark that can close the open quotation does; else it opens one, and a quotation left open
+    by then is none. A straight mark opens only before and closes only after a character that is
+    not a space, and neither inside a word nor, to open, right after one (``5"``)."""
+    out, opened = [], None
+    for m in MARKS.finditer(text):
+        mark, a, z = m.group(), m.start(), m.end()
+        before, after = text[a - 1:a], text[z:z + 1]
+        straight = mark == '"'
+        if (opened is not None and mark in CLOSERS[text[opened]]
+                and not (straight and (before.isspace() or after.isalnum()))):
+            out.append((opened, z))
+            opened = None
+        elif mark in CLOSERS and not (straight and (before.isalnum() or not after
+                                                    or after.isspace())):
+            opened = a
+    return out
+
+
 class TrieAutomaton:
     """Terms ``{(text, is_stem): weight}`` in a trie, met by a lazily determinised Levenshtein
     automaton of at most one edit."""
@@ -161,8 +185,8 @@ class TrieAutomaton:
 
 
 class ToxicModel:
-    def __init__(self, terms: dict, fit: Fit = Fit()):
-        self.fit, self.terms = fit, terms
+    def __init__(self, terms: dict, fit: Fit = Fit(), known: frozenset = frozenset()):
+        self.fit, self.terms, self.known = fit, terms, known
         self.automaton = TrieAutomaton(terms, fit.fuzzy_length)
         self.coef, self.bias = np.zeros(len(KINDS) + 1), -2.0
 
@@ -171,10 +195,12 @@ class ToxicModel:
         low = (text or "").lower()
         aut = self.automaton
         aut.bound()
-        found = {w: m for w in set(WORD.findall(low)) if (m := aut.match(w))}
+        found = {w: m for w in set(WORD.findall(low))
+                 if (m := aut.match(w)) and not (m[1] and w in self.known)}
         if not found:
             return []
-        quoted = [m.span() for m in QUOTED.finditer(low)]
+        quoted = quotations(low)
+        opens = [a for a, _ in quoted]
         words = [(m.group(), m.start(), m.end()) for m in WORD.finditer(low)]
         out, span = [], self.fit.window
         for i, (w, a, z) in enumerate(words):
@@ -183,7 +209,8 @@ class ToxicModel:
             weight, edits = found[w]
             before = {x[0] for x in words[max(0, i - span):i]}
             around = before | {x[0] for x in words[i + 1:i + 1 + span]}
-            kind = ("quoted" if before & REPORTING or any(s <= a < e for s, e in quoted)
+            at = bisect_right(opens, a) - 1
+            kind = ("quoted" if before & REPORTING or at >= 0 and a < quoted[at][1]
                     else "fuzzy" if edits else "address" if around & ADDRESS else "plain")
             out.append((a, z, kind, weight))
         return out
@@ -242,7 +269,7 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_clean
     """Terms of enough log odds (document frequencies smoothed by a half) and evidence: the
     binomial tail bound ``n KL(t / n, share)`` of finding ``t`` of its ``n`` texts toxic by
     chance. A stem is taken at its shortest telling length, if it covers more toxic texts than
-    any one word of it; words that a stem covers are left out."""
+    any one word of it; words that a stem covers are left out unless they may have an edit."""
     share = n_toxic / max(1, n_toxic + n_clean)
     odds = {}
     for text, is_stem, t, c in counts:
@@ -263,11 +290,28 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], n_toxic: int, n_clean
         out[text, is_stem] = lo
     stems = {text for text, is_stem in out if is_stem}
     out = {k: lo for k, lo in out.items()
-           if k[1] or not any(k[0][:n] in stems for n in range(fit.stem[0], fit.stem[1] + 1))}
+           if k[1] or len(k[0]) >= fit.fuzzy_length
+           or not any(k[0][:n] in stems for n in range(fit.stem[0], fit.stem[1] + 1))}
     top = sorted(out, key=lambda k: (-odds[k][1], k))[:fit.max_terms]
     return {k: out[k] for k in top}
 
 
+def known_spellings(counted: DataFrame, terms: dict, fit: Fit) -> frozenset:
+    """The words of the clean texts of the sample that lie one edit from a term: the automaton
+    picks them where the counts lie, so only they come to the driver."""
+    automaton = TrieAutomaton(terms, fit.fuzzy_length)
+
+    def near(batches):
+        for b in batches:
+            automaton.bound()
+            got = [w for w in b.column(0).to_pylist() if (m := automaton.match(w)) and m[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["term"])
+    if not terms:
+        return frozenset()
+    words = counted.where(~F.col("stem") & (F.col("c") >= fit.known_docs)).select("term")
+    return frozenset(r.term for r in words.mapInArrow(near, "term string").collect())
+
+
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str = "doc_id",
               text: str = "text", label: str = "toxic") -> ToxicModel:
     """Learn from labelled rows outside the held-out fold: of each class the ``per_class`` with
@@ -300,13 +344,17 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), doc_id: str
                     [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.int32(),
                                                            pa.int64()))],
                     names=["term", "stem", "toxic", "n"])
-    counted = (rows.select("text", "toxic").mapInArrow(split, "term string, stem boolean, toxic int, n long")
-               .groupBy("term", "stem").agg(
-                   F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
-                   F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-               .where(F.col("t") >= fit.least_docs).where(F.col("c") <= 0.02 * F.col("t")))
-    counts = counted.orderBy(F.desc("t"), "term", "stem").limit(50 * fit.max_terms).collect()
-    model = ToxicModel(choose_terms([tuple(r) for r in counts], n.get(1, 0), n.get(0, 0), fit), fit)
+    counted = stored(
+        rows.select("text", "toxic").mapInArrow(split, "term string, stem boolean, toxic int, n long")
+        .groupBy("term", "stem").agg(
+            F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"),
+            F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+        .where((F.col("t") >= fit.least_docs) & (F.col("c") <= 0.02 * F.col("t"))
+               | ~F.col("stem") & (F.col("c") >= fit.known_docs)), "toxic-terms")
+    counts = (counted.where((F.col("t") >= fit.least_docs) & (F.col("c") <= 0.02 * F.col("t")))
+              .orderBy(F.desc("t"), "term", "stem").limit(50 * fit.max_terms).collect())
+    terms = choose_terms([tuple(r) for r in counts], n.get(1, 0), n.get(0, 0), fit)
+    model = ToxicModel(terms, fit, known_spellings(counted, terms, fit))
     if len(n) == 2:
         kinds = ", ".join(f"f{i} double" for i in range(len(KINDS) + 1))
 

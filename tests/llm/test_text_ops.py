@@ -349,3 +349,28 @@ def test_toxicity_context_and_empty_tables(spark):
     assert X.score_docs(docs.where("false"), model).count() == 0
     odd = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     assert X.fit_model(docs, odd).terms == {}
+
+
+def test_toxicity_quotations_of_any_length_and_known_spellings():
+    from tallyspark.llm import toxicity as X
+    long = "word " * 300
+    text = f'he put it so: "{long}\n\n{long} blockhead" and 5" of rain'
+    m = X.ToxicModel({("blockhead", False): 5.0, ("trash", False): 3.0}, known=frozenset({"crash"}))
+    assert [h[2] for h in m.hits(text)] == ["quoted"]
+    assert X.quotations('a 5" pipe, a "b c" d') == [(13, 18)]
+    assert X.quotations('an "open one\n and "a closed" one') == [(18, 28)]
+    assert X.quotations("„so“ «la» »hin« “x” ”") == [(0, 4), (5, 9), (10, 15), (16, 19)]
+    assert X.quotations("") == [] and X.quotations('"') == []
+    many = '"a" ' * 50_000
+    assert len(X.quotations(many)) == 50_000
+    assert [h[2] for h in m.hits("a trsh, a crash, a trashy thing")] == ["fuzzy", "fuzzy"]
+
+
+def test_toxicity_covered_words_keep_their_edit():
+    from tallyspark.llm import toxicity as X
+    counts = [(w[:n], True, 60, 0) for w in ("grumblor",) for n in range(4, 9)]
+    counts += [("grumblors", False, 40, 0), ("grumbled", False, 30, 0), ("grum", False, 9, 0)]
+    terms = X.choose_terms(counts, 100, 1000, X.Fit())
+    assert ("grum", True) in terms and ("grumblors", False) in terms and ("grum", False) not in terms
+    m = X.ToxicModel(terms)
+    assert [h[2] for h in m.hits("grumblors and gumblors")] == ["plain", "fuzzy"]
