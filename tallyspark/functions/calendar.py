@@ -62,6 +62,11 @@ def months_since(first_month: Column, as_of: _dt.date) -> Column:
     return F.greatest(F.lit(1), F.lit(now) - (y * 12 + m) + 1)
 
 
+def date_literal(day) -> Column:
+    """A date of any year as a literal (the binding renders years before 1000 without zeros)."""
+    return F.lit(day.isoformat()).cast("date")
+
+
 def as_date(value) -> _dt.date | None:
     """Accept ``date``/``datetime``/``'YYYY-MM-DD'``; ``None``/'' stay None."""
     if value is None or value == "":

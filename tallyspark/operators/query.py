@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import as_date
+from ..functions.calendar import as_date, date_literal
 from ..functions.text import safe_pattern
 
 DATE = "transaction_date"
@@ -26,13 +26,13 @@ def date_bounds(df: DataFrame, start=None, end=None) -> list[Column]:
     conds = []
     has_month = "month" in df.columns
     if start:
-        conds.append(F.col(DATE) >= F.lit(start))
+        conds.append(F.col(DATE) >= date_literal(start))
         if has_month:
-            conds.append(F.col("month") >= F.lit(start.strftime("%Y-%m")))
+            conds.append(F.col("month") >= F.lit(start.isoformat()[:7]))
     if end:
-        conds.append(F.col(DATE) <= F.lit(end))
+        conds.append(F.col(DATE) <= date_literal(end))
         if has_month:
-            conds.append(F.col("month") <= F.lit(end.strftime("%Y-%m")))
+            conds.append(F.col("month") <= F.lit(end.isoformat()[:7]))
     return conds
 
 

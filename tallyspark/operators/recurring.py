@@ -30,8 +30,16 @@ def analyze_recurring(df: DataFrame, min_occurrences: int = 3,
         F.sum("value").alias("total"),
         F.min("transaction_date").alias("first_date"),
         F.max("transaction_date").alias("last_date"),
-    ).filter(F.col("occurrences") >= F.lit(min_occurrences))
+    )
+    return with_frequency(g, min_occurrences, keys, ordered)
+
+
+def with_frequency(g: DataFrame, min_occurrences: int, keys: list[str],
+                   ordered: bool = False) -> DataFrame:
+    """Amount and frequency of groups (keys, direction, description) that have ``occurrences``,
+    ``total``, ``first_date`` and ``last_date``."""
     n = F.col("occurrences")
+    g = g.filter(n >= F.lit(min_occurrences))
     gap = F.when(n > 1, F.datediff("last_date", "first_date") / (n - 1))
     out = g.select(
         *keys, "direction", "description",

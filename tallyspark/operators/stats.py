@@ -126,25 +126,35 @@ def statistics_one_pass(df: DataFrame, start=None, end=None,
     group are dropped, as the per-set queries filter them. Note: unlike
     ``overall``, an empty ledger yields no rows.
     """
+    return fold_cells(cells(date_range(df, start, end), keys), keys)
+
+
+def cells(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row of mergeable aggregates per (keys, source, month, category)."""
     keys = keys or []
-    d = date_range(df, start, end).select(
-        *keys, "amount", "transaction_date", "source", "category",
-        ledger_month(df).alias("month"))
+    d = df.select(*keys, "amount", "transaction_date", "source", "category",
+                  ledger_month(df).alias("month"))
     amount, pos = _amt(), _amt() > 0
-    cells = d.groupBy(*keys, "source", "month", "category").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(pos, F.lit(1))).alias("n_pos"),
+    return d.groupBy(*keys, "source", "month", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count(amount).alias("n_amount"),
+        F.count(F.when(pos, F.lit(1))).alias("n_pos"),
         F.sum(F.when(pos, amount)).alias("up"), F.sum(F.when(amount < 0, amount)).alias("down"),
         F.sum(amount).alias("all"), F.min("transaction_date").alias("first"),
         F.max("transaction_date").alias("last"))
+
+
+def fold_cells(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The statistics of ``statistics_one_pass`` from ``cells``, fresh or stored."""
+    keys = keys or []
     sets = [keys, keys + ["source"], keys + ["month"], keys + ["category"]]
     agg = cells.groupingSets(sets, *keys, "source", "month", "category").agg(
-        F.grouping_id("source", "month", "category").alias("gid"),
+        F.grouping_id(*keys, "source", "month", "category").alias("gid"),
         F.sum("n").alias("transactions"), F.sum("n_pos").alias("deposit_count"),
         _dsum(F.col("up")).alias("deposits"), _dsum(F.col("down")).alias("withdrawals"),
         _dsum(F.col("all")).alias("net"),
         F.min("first").alias("earliest_date"), F.max("last").alias("latest_date"),
     )
-    # grouping_id bits (source, month, category): 7 = overall, 3 = source,
+    # grouping_id bits (source, month, category; those of the keys are never set): 7 = overall, 3 = source,
     # 5 = month, 6 = category.
     gid = F.col("gid")
     stat_set = (F.when(gid == 7, "overall").when(gid == 3, "source")

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from ..operators import contrib as C
 from ..operators import ingest as I
 from ..operators import maintain as M
+from ..operators import paging as G
+from ..operators import partials as A
 from ..operators import project as P
 from ..operators import recurring as R
 from ..operators import query as Q
 from ..operators import stats as S
 from ..functions import parse as PF
 from ..schema import money_out
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import fixtures as FX
 from ..sources import snapshot as SN
 from ..sources import statements as ST
@@ -300,6 +302,21 @@ def list_all_when_limit_zero(spark, sf):
     return _listed(Q.list_page(_orders(spark, sf), limit=0, offset=100))
 
 
+@register("page_deep", O.with_orders("""
+SELECT * EXCLUDE (place) FROM (
+  SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
+         CAST(balance AS DOUBLE) AS balance, category, source, notes,
+         ROW_NUMBER() OVER (ORDER BY transaction_date DESC, id DESC) AS place
+  FROM ledger) WHERE place > (SELECT COUNT(*) // 2 FROM ledger)
+               AND place <= (SELECT COUNT(*) // 2 FROM ledger) + 50"""))
+def page_deep(spark, sf):
+    """The fifty rows after half of the ledger, by its stored row-count index."""
+    t = _orders(spark, sf)
+    index = stored(G.day_counts(t), "day-counts")
+    half = index.agg(F.sum("n")).first()[0] // 2
+    return _listed(G.page_at(t, 50, half, index, near=0))
+
+
 @register("page_view", O.with_orders("""
 SELECT *, COUNT(*) OVER () = 50 AS has_next FROM (
   SELECT id, account_id, transaction_date, description, CAST(amount AS DOUBLE) AS amount,
@@ -507,11 +524,60 @@ def recurring_frequency(spark, sf):
     return R.analyze_recurring(_orders(spark, sf), min_occurrences=3)
 
 
+@register("recurring_frequency_ranked", O.with_orders(f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY direction, amount DESC, description) AS place
+FROM ({_recurring_sql(3)})"""))
+def recurring_frequency_ranked(spark, sf):
+    """The places of the rows in the operator's own order (O7)."""
+    rows = R.analyze_recurring(_orders(spark, sf), min_occurrences=3, ordered=True)
+    return G.numbered(rows)
+
+
 @register("recurring_frequency_events", f"WITH {O.EVENTS_LEDGER_CTE}" + _recurring_sql(2))
 def recurring_frequency_events(spark, sf):
     return R.analyze_recurring(FX.events_ledger(spark, sf), min_occurrences=2)
 
 
+# --- stored partial aggregates (A1-A5, R1) ------------------------------------
+
+def _partials(spark, sf):
+    """Partials of the ledger up to mid-1998, renewed for the months of the rows that came after:
+    the folder and the whole ledger."""
+    ledger = _orders(spark, sf)
+    late = F.col("transaction_date") > F.lit(_dt.date(1998, 6, 16))
+    path = shared_dir(spark, "ledger-partials")
+    A.write(ledger.filter(~late), path)
+    A.refresh(ledger, path, ledger.filter(late))
+    return path, ledger
+
+
+@register("statistics_from_partials", QUERIES["statistics_one_pass"][1])
+def statistics_from_partials(spark, sf):
+    path, ledger = _partials(spark, sf)
+    return S.fold_cells(A.read(spark, path, "cells", ledger))
+
+
+@register("overall_statistics_from_partials", O.with_orders("""
+SELECT COUNT(*) AS total_transactions,
+       CAST(COALESCE(SUM(CASE WHEN amount > 0 THEN amount ELSE 0 END), 0) AS DOUBLE) AS total_deposits,
+       CAST(COALESCE(SUM(CASE WHEN amount < 0 THEN amount ELSE 0 END), 0) AS DOUBLE) AS total_withdrawals,
+       CAST(COALESCE(SUM(amount), 0) AS DOUBLE) AS net_change,
+       COALESCE(CAST(SUM(amount) AS DOUBLE) / COUNT(amount), 0) AS avg_transaction,
+       MIN(transaction_date) AS earliest_date, MAX(transaction_date) AS latest_date
+FROM ledger WHERE transaction_date >= DATE '1996-01-17' AND transaction_date <= DATE '1998-07-04'"""))
+def overall_statistics_from_partials(spark, sf):
+    """A range that cuts its first and its last month."""
+    path, ledger = _partials(spark, sf)
+    return A.overall(A.cells_between(A.read(spark, path, "cells", ledger), ledger,
+                                     "1996-01-17", "1998-07-04"))
+
+
+@register("recurring_from_partials", QUERIES["recurring_frequency"][1])
+def recurring_from_partials(spark, sf):
+    path, ledger = _partials(spark, sf)
+    return A.analyze_recurring(A.read(spark, path, "groups", ledger), min_occurrences=3)
+
+
 # --- projection (R2-R6, P6, P10, P11) ---------------------------------------
 
 PROJECTION_MONTHS = 12
@@ -963,6 +1029,42 @@ def statement_rejects(spark, sf):
     return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("statement_files", O.with_orders(f"""
+SELECT CAST(k AS BIGINT) AS file_key, COUNT(*) AS clean_rows, 1::BIGINT AS hashes,
+       MIN(line_no) AS first_line, MAX(line_no) AS last_line
+FROM (SELECT *, floor(account_id / 16) AS k,
+             2 + ROW_NUMBER() OVER (PARTITION BY floor(account_id / 16) ORDER BY id) AS line_no
+      FROM ledger)
+WHERE k % 23 <> 0 AND id % 101 <> 0 AND id % 103 <> 0 GROUP BY k"""))
+def statement_files(spark, sf):
+    """Where the clean rows of each statement file stand: below its preamble, in the order of its
+    lines (S5), under one content hash a file (S6)."""
+    clean, _ = ST.read_statements(spark, _statement_dir(spark, sf), glob="*.txt")
+    key = F.regexp_extract("path", r"file_key=(\d+)", 1).cast("long").alias("file_key")
+    return clean.groupBy(key).agg(
+        F.count(F.lit(1)).alias("clean_rows"), F.count_distinct("csv_hash").alias("hashes"),
+        F.min("line_no").cast("long").alias("first_line"),
+        F.max("line_no").cast("long").alias("last_line"))
+
+
+@register("statement_hash_follows_content", O.with_orders("""
+SELECT COUNT(DISTINCT floor(account_id / 16)) AS contents,
+       COUNT(DISTINCT floor(account_id / 16)) AS hashes,
+       2 * COUNT(DISTINCT floor(account_id / 16)) AS files
+FROM ledger WHERE floor(account_id / 16) % 23 <> 0"""))
+def statement_hash_follows_content(spark, sf):
+    """Every statement file is there twice under two names: copies share a hash, others do not."""
+    root = shared_dir(spark, "statement-copies")
+    for name in ("a", "b"):
+        FX.write_statements(_orders(spark, sf), f"{root}/{name}")
+    clean, _ = ST.read_statements(spark, root, glob="*.txt")
+    rows = clean.select("path", "csv_hash").distinct()
+    key = F.regexp_extract("path", r"file_key=(\d+)", 1)
+    return rows.agg(F.count_distinct(key).alias("contents"),
+                    F.count_distinct("csv_hash").alias("hashes"),
+                    F.count_distinct("path").alias("files"))
+
+
 @register("statement_import", O.with_orders(f"""
 SELECT COUNT(*) AS incoming,
        COUNT(*) FILTER (WHERE transaction_date >= DATE '1998-01-01') AS inserted,
