@@ -1015,6 +1015,21 @@ def statement_ingest_split(spark, sf):
                                   "category", "source"))
 
 
+@register("statement_quoted_breaks", O.with_orders(f"""
+SELECT transaction_date, CAST(amount AS DOUBLE) AS amount, CAST(balance AS DOUBLE) AS balance,
+       CASE WHEN id % 7 = 0 THEN description || chr(10) || 'ref, "' || id || '"'
+            ELSE description END AS description
+FROM ({_STATEMENT_ROWS})"""))
+def statement_quoted_breaks(spark, sf):
+    """Every seventh description holds a line break, a comma and quotes inside its quoted cell."""
+    ref = F.concat("description", F.lit('\nref, "'), F.col("id").cast("string"), F.lit('"'))
+    ledger = _orders(spark, sf).withColumn(
+        "description", F.when(F.col("id") % 7 == 0, ref).otherwise(F.col("description")))
+    clean, _ = ST.read_statements(spark, FX.write_statements(ledger, shared_dir(spark, "quoted")),
+                                  glob="*.txt")
+    return money_out(clean.select("transaction_date", "description", "amount", "balance"))
+
+
 @register("statement_rejects", O.with_orders("""
 SELECT reason, COUNT(*) AS n FROM (
   SELECT CASE WHEN id % 101 = 0 THEN 'bad_date' ELSE 'bad_amount' END AS reason

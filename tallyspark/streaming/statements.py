@@ -24,10 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.calendar import month_key
 from ..operators.ingest import import_transactions
-from ..sources.statements import (CLEAN_COLUMNS, empty_files, parse_large_statement_files,
-                                  split_parsed)
-
-SPREAD_ABOVE_BYTES = 0    # not read any more (no size is special); an existing test sets it
+from ..sources.statements import CLEAN_COLUMNS, empty_files, parse_statement_files, split_parsed
 
 LEDGER_COLUMNS = CLEAN_COLUMNS + ["imported_at"]
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -74,7 +71,7 @@ def import_batch(batch: DataFrame, batch_id: int, ledger_dir: str,
     paths = [r.path for r in listed.select("path").collect()]
     if in_dir is not None:
         listed = listed.unionByName(_new_empty(spark, batch_id, ledger_dir, in_dir, glob))
-    parsed = parse_large_statement_files(spark, paths, strict_header=strict_header, listed=listed)
+    parsed = parse_statement_files(spark, paths, strict_header=strict_header, listed=listed)
     clean, rejects = split_parsed(parsed.persist())
     try:
         incoming = clean.withColumn("imported_at", F.current_timestamp())

@@ -77,13 +77,15 @@ def test_column_pruning(spark):
     assert "ReadSchema: struct<c_custkey:bigint>" in text
 
 
-def test_statement_parse_has_no_shuffle(spark):
+def test_statement_lines_meet_their_files_without_moving(spark):
+    """The stored file table is broadcast; without a quoted line break the only window is that of the
+    splits' line counts, and lines are not grouped."""
     from tallyspark.session import shared_dir
     from tallyspark.sources import statements as ST
     d = FX.write_statements(FX.orders_ledger(spark, SF_SMALL), shared_dir(spark, "plan-st"))
-    parsed = ST.parse_statement_files(ST.binary_files(spark, d, "*.txt"))
-    text = plan_text(parsed, "simple")
-    assert "Exchange" not in text and "Join" not in text
+    text = plan_text(ST.parse_statement_files(spark, d, "*.txt"), "simple")
+    assert "BroadcastHashJoin [path" in text
+    assert "collect_list" not in text and "chunk" not in text
 
 
 def test_import_reads_stored_keys_for_batch_span_only(spark):

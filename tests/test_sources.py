@@ -1,9 +1,12 @@
 """Snapshots, statement and stream sources: round trips and properties."""
 
+import csv
 import datetime as dt
 import json
 import os
+import random
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -64,18 +67,99 @@ def test_export_order_and_counts(spark):
     assert all(r.ok for r in ok.collect())
 
 
+def plain_records(text):
+    """(header line number, [(first line number, cells)] from the header on, whether the end is inside a
+    quote) by the csv module."""
+    lines = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    head = next((i for i, x in enumerate(lines)
+                 if any(w in x.lower() for w in ("date", "amount", "description"))), 0)
+    reader = csv.reader([x + "\n" for x in lines[head:]] + ["\x01"])
+    out, at = [], head
+    for cells in reader:
+        out.append((at, cells))
+        at = head + reader.line_num
+    is_open = out[-1][1] != ["\x01"]
+    return head, out if is_open else out[:-1], is_open
+
+
+def plain_file(path):
+    return plain_records(Path(path).read_bytes().decode())
+
+
 def test_statement_lines_add_up(spark):
     ledger = FX.orders_ledger(spark, SF_SMALL)
     d = FX.write_statements(ledger, shared_dir(spark, "st-test"))
-    raw = ST.binary_files(spark, d, "*.txt")
-    parsed = ST.parse_statement_files(raw)
-    files = ST._files(raw, False)
-    data_lines = ST._line_rows(files).filter(F.col("file_reason").isNull()).count()
-    file_rejects = files.filter(F.col("file_reason").isNotNull()).count()
+    want = {}
+    for p in sorted(Path(d.removeprefix("file:")).rglob("*.txt")):
+        head, records, _ = plain_file(p)
+        names = [c.strip().lower() for c in records[0][1]] if records else []
+        usable = {"transaction date", "description", "amount"} <= set(names)
+        want[str(p)] = sum(1 for _, c in records[1:] if any(c)) if usable else 1
     clean, rejects = ST.read_statements(spark, d, glob="*.txt")
-    # every non-blank data line is either clean or rejected; files add one reject each
-    assert clean.count() + rejects.count() == data_lines + file_rejects
-    assert parsed.count() == data_lines + file_rejects
+    got = clean.select("path").unionByName(rejects.select("path")).groupBy("path").count().collect()
+    # every data record is either clean or rejected; an unusable file is one reject
+    assert {r.path.removeprefix("file:"): r["count"] for r in got} == want
+
+
+def test_join_records_equals_the_csv_module(spark):
+    rnd = random.Random(5)
+    texts = {f"f{n:03d}": "\n".join("".join(rnd.choice('"",,ab ') for _ in range(rnd.randint(0, 7)))
+                                     for _ in range(rnd.randint(1, 14))) for n in range(300)}
+    texts |= {"blank": "\n\n\n", "stray": 'a,5" pipe,b\nc,"d"e,f', "long": 'x,"' + "y\n" * 40 + '",z\nlast,"l"',
+              "open": 'a,b\n"c,d\ne,f'}
+    lines = spark.createDataFrame([(n, i, x) for n, t in texts.items() for i, x in enumerate(t.split("\n"))],
+                                  "path string, idx long, line string").repartition(7)
+
+    def rows(df):
+        return {(r.path, r.idx): (r.cells, r.bad) for r in df.select(
+            "path", "idx", "bad", ST._cells(F.col("line")).alias("cells")).collect()}
+    want = {}
+    for n, t in texts.items():
+        reader, at = csv.reader([x + "\n" for x in t.split("\n")] + ["\x01"]), 0
+        for cells in reader:
+            if cells != ["\x01"]:
+                is_open = reader.line_num == len(t.split("\n")) + 1
+                want[n, at] = None if is_open else (cells or [""], None)
+            at = reader.line_num
+    for chunk in (1, 3, 8192):
+        got = rows(ST.join_records(lines, chunk_lines=chunk))
+        assert set(got) == set(want)
+        for k, v in want.items():
+            assert got[k][1] == "unbalanced_quote" if v is None else got[k] == v, (k, got[k], v)
+    # a record of too many lines is one reject, and what follows it is read
+    got = rows(ST.join_records(lines.filter("path = 'long'"), chunk_lines=3, record_lines=40))
+    assert {k[1]: v[1] for k, v in got.items()} == {0: "quote_too_long", 41: None}
+    got = rows(ST.join_records(lines.filter("path = 'long'"), chunk_lines=3, record_lines=41))
+    assert got["long", 0] == (["x", "y\n" * 40, "z"], None)
+    assert ST.join_records(lines.limit(0)).count() == 0
+
+
+def test_quoted_line_breaks_in_statements(spark, tmp_path):
+    files = {
+        "cells.csv": 'Pre,"amble\nDate,Description,Amount,Balance\n01/15/2024,"Coffee\nShop, ""A""",1.50,\n'
+                     '01/16/2024,plain,2,\n01/17/2024,5" pipe,3,\n01/18/2024,"a\n\n,b\n",4,5\n',
+        "head.csv": '"Date","Description\n","Amount"\n01/15/2024,"x\ny",1\n\n01/16/2024,z,2\n',
+        "open.csv": 'Date,Description,Amount\n01/15/2024,x,1\n01/16/2024,"y,2\n01/17/2024,z,3\n',
+        "crlf.csv": 'Date,Description,Amount\r\n01/15/2024,"x\r\ny",1\r\n',
+    }
+    for n, t in files.items():
+        (tmp_path / n).write_bytes(t.encode())
+    want = {("cells.csv", 2, 'Coffee\nShop, "A"', 1.5), ("cells.csv", 4, "plain", 2.0),
+            ("cells.csv", 5, '5" pipe', 3.0), ("cells.csv", 6, "a\n\n,b", 4.0), ("head.csv", 2, "x\ny", 1.0),
+            ("head.csv", 5, "z", 2.0), ("open.csv", 1, "x", 1.0), ("crlf.csv", 1, "x\ny", 1.0)}
+    name = F.element_at(F.split("path", "/"), -1)
+    for split in (None, "64"):              # whole, and in splits that begin inside a cell
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            clean, rejects = ST.read_statements(spark, str(tmp_path))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {tuple(r) for r in clean.select(
+            name, "line_no", "description", F.col("amount").cast("double")).collect()} == want
+        assert [tuple(r) for r in rejects.select(name, "line_no", "raw", "reason").collect()] == [
+            ("open.csv", 2, '01/16/2024,"y,2', "unbalanced_quote")]
 
 
 def test_stream_equals_batch(spark):
@@ -131,16 +215,6 @@ def I_since(existing, incoming, as_of):
     return since_watermark(existing, incoming, as_of)
 
 
-def test_spread_lines_gives_same_rows(spark):
-    ledger = FX.orders_ledger(spark, SF_SMALL)
-    d = FX.write_statements(ledger, shared_dir(spark, "spread"))
-    a, ra = ST.read_statements(spark, d, glob="*.txt", spread_lines=False)
-    b, rb = ST.read_statements(spark, d, glob="*.txt", spread_lines=True)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert ra.count() == rb.count()
-    assert ST.largest_file(spark, d, "*.txt") > 0
-
-
 def test_stream_accepts_late_rows_and_skips_repeats(spark):
     ledger = FX.orders_ledger(spark, SF_SMALL)
     in_dir = shared_dir(spark, "late-in")
@@ -161,40 +235,19 @@ def test_stream_accepts_late_rows_and_skips_repeats(spark):
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
 
 
-def test_split_reader_matches_whole_file_reader(spark):
+def test_many_splits_give_the_rows_of_one(spark):
     ledger = FX.orders_ledger(spark, SF_SMALL)
     d = FX.write_statements(ledger, shared_dir(spark, "split-st"))
-    a, ra = ST.read_statements(spark, d, glob="*.txt", spread_lines=False)
+    a, ra = ST.read_statements(spark, d, glob="*.txt")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")     # force many splits
     try:
-        b, rb = ST.read_large_statements(spark, d, glob="*.txt")
-        cols = ["path", "line_no", "transaction_date", "description", "amount", "balance",
-                "category", "source"]
-        assert a.select(cols).exceptAll(b.select(cols)).count() == 0
-        assert b.select(cols).exceptAll(a.select(cols)).count() == 0
-        r = ["path", "line_no", "reason"]
-        assert ra.select(r).exceptAll(rb.select(r)).count() == 0
-        assert rb.select(r).exceptAll(ra.select(r)).count() == 0
+        b, rb = ST.read_statements(spark, d, glob="*.txt")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+        assert ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_stream_batch_with_large_file_uses_split_reader(spark, monkeypatch):
-    import tallyspark.streaming.statements as SSM
-    ledger = FX.orders_ledger(spark, SF_SMALL)
-    in_dir = FX.write_statements(ledger, shared_dir(spark, "big-in"))
-    batch = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option(
-        "recursiveFileLookup", "true").load(in_dir)
-    monkeypatch.setattr(SSM, "SPREAD_ABOVE_BYTES", 0)      # every file counts as large
-    out = shared_dir(spark, "big-out")
-    SSM.import_batch(batch, 0, out)
-    streamed = SSM.read_ledger(spark, out).select("transaction_date", "description", "amount")
-    clean, _ = ST.read_statements(spark, in_dir, glob="*.txt", spread_lines=False)
-    batch_rows = clean.select("transaction_date", "description", "amount")
-    assert streamed.exceptAll(batch_rows).count() == 0
-    assert batch_rows.exceptAll(streamed).count() == 0
-
-
 def test_statement_files_do_not_depend_on_their_neighbours(spark, tmp_path):
     head, row = b"Date,Description,Amount\n", b"01/15/2024,x,1\n"
     files = {"a b+%41.txt": head + row, "bad.txt": b"\xef\xbb\xbfDate,Description,Amount,\xff\n" + row,
@@ -220,7 +273,6 @@ def test_statement_files_do_not_depend_on_their_neighbours(spark, tmp_path):
     c, r = ST.read_statements(spark, str(beside), glob="*.txt")
     small = ~F.col("path").endswith("large.txt")
     assert seen(c.filter(small), r) == (clean, rejects)
-    assert seen(*ST.read_statements(spark, str(alone), glob="*.txt", spread_lines=False)) == (clean, rejects)
     # the stream gives the same, and an empty file's reject only once
     out = str(tmp_path / "ledger")
     for _ in range(2):
