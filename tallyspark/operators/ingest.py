@@ -5,9 +5,12 @@ the first row per key in input order wins; rows whose key is already stored
 are skipped. First-wins uses ``min_by`` over the order columns, which is a
 partial aggregate: a key repeated a million times is folded map-side to one
 row per task before the shuffle, so a hot key cannot pile up in one task.
-The stored side is read only for the batch's date range (pushed into the
-Parquet scan; on a month-partitioned ledger it also prunes partitions), so
-the cost follows the batch, not the history.
+The batch is evaluated once: one aggregate yields the first rows and how many
+rows each stands for, and is written to the shared checkpoint folder. The date
+span, the new rows and all counts come from that table. The stored side is read
+only for the batch's date range (pushed into the Parquet scan; on a
+month-partitioned ledger it also prunes partitions), so the cost follows the
+batch, not the history.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .query import date_range
 
 KEY = ["transaction_date", "description", "amount"]
@@ -29,14 +33,25 @@ class ImportResult:
     counts: DataFrame     # one row: incoming, inserted, skipped
 
 
-def first_per_key(incoming: DataFrame, order: list[str]) -> DataFrame:
-    """The first row of each key in ``order`` (file, line) order."""
+def first_per_key(incoming: DataFrame, order: list[str], count: str | None = None) -> DataFrame:
+    """The first row of each key in ``order`` (file, line) order; with ``count`` a column of that
+    name says how many rows the key has."""
     cols = [c for c in incoming.columns if c not in KEY]
     ordering = F.struct(*[F.col(c) for c in order])
     packed = F.struct(*[F.col(c) for c in cols])
+    counts = [F.count(F.lit(1)).alias(count)] if count else []
     return (incoming.groupBy(*KEY)
-            .agg(F.min_by(packed, ordering).alias("_row"))
-            .select(*KEY, *[F.col("_row").getField(c).alias(c) for c in cols]))
+            .agg(F.min_by(packed, ordering).alias("_row"), *counts)
+            .select(*KEY, *[F.col("_row").getField(c).alias(c) for c in cols],
+                    *([count] if count else [])))
+
+
+def _free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def stored_keys(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -57,10 +72,14 @@ def import_transactions(existing: DataFrame, incoming: DataFrame,
     batch after the append inserts 0 (idempotent).
     """
     order = order or ["line_no"]
-    firsts = first_per_key(incoming, order)
-    new = firsts.join(stored_keys(existing, incoming), KEY, "left_anti")
+    n = _free_name(incoming, "n_rows")
+    # Parquet has no column without a type
+    typed = incoming.select(*[F.col(f.name).cast("string") if f.dataType.typeName() == "void"
+                              else F.col(f.name) for f in incoming.schema.fields])
+    firsts = stored(first_per_key(typed, order, n), "import-batch")
+    new = firsts.drop(n).join(stored_keys(existing, firsts), KEY, "left_anti")
     # Two one-row aggregates stacked and folded: no cross join.
-    stacked = incoming.agg(F.count(F.lit(1)).alias("n")).select(
+    stacked = firsts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).select(
         F.lit("incoming").alias("k"), "n").unionByName(
         new.agg(F.count(F.lit(1)).alias("n")).select(F.lit("inserted").alias("k"), "n"))
     counts = stacked.agg(

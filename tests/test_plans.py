@@ -100,3 +100,16 @@ def test_import_reads_stored_keys_for_batch_span_only(spark):
     text = plan_text(res.new, "formatted")
     assert "PartitionFilters: [isnotnull(month" in text and "1997-03" in text
     assert res.counts.first().inserted == 0
+
+
+def test_import_evaluates_its_batch_once(spark):
+    """New rows and counts are read from the folded batch, whose input is not scanned again."""
+    from tallyspark.operators import ingest as I
+    batch = FX.coarse_events(spark, SF_SMALL)
+    res = I.import_transactions(batch.limit(0), batch.withColumn("n_rows", F.lit(None)), ["line_no"])
+    for df in (res.new, res.counts):
+        text = plan_text(df, "formatted")
+        assert "import-batch" in text and "events.parquet" not in text
+    assert "n_rows" in res.new.columns
+    c = res.counts.first()
+    assert c.incoming == batch.count() and c.inserted == res.new.count() and c.skipped > 0
