@@ -9,13 +9,18 @@ physical strategies produce the same (row, mapping) pairs:
   bounds, because the cost is rows x keywords; a larger table takes the other
   strategy even where ``inline`` is asked for.
 * ``ngram``: for large mapping tables. Each pattern's longest literal segment
-  must occur in any matching description, so one of its n-grams (n <= 3, the
-  one rarest among the distinct descriptions) is an equi-join key against the
-  n-grams of the distinct lower-cased descriptions. Candidates are verified
-  with the full ILIKE, so the result is exact. Patterns with no literal
-  character (only ``%``/``_``) reduce to a length test and join on length.
-  Matches are found per distinct description and equi-joined back to the
-  ledger rows (AQE splits a skewed description on that join).
+  must occur in any matching description, so one of its n-grams is an equi-join
+  key against the n-grams of the distinct lower-cased descriptions. n is the
+  largest of ``GRAM_LENGTHS`` that fits the segment, and of a segment's n-grams
+  the one shared by the fewest mappings is taken: a description has at most as
+  many candidates as it has n-grams, times the mappings that share one.
+  Candidates are verified with the full ILIKE, so the result is exact. Patterns
+  with no literal character (only ``%``/``_``) reduce to a length test and join
+  on length. Only a mapping table measured as small is broadcast (then no n-gram
+  is shuffled); the n-grams of descriptions never are, as their size estimate
+  does not count the explode. Matches are found and summed per distinct
+  description, mapping copies as a count, and equi-joined back to the ledger
+  rows (AQE splits a skewed description on that join).
 
 Aggregations follow the reference's fan-out semantics: ``SUM(amount)`` over
 join pairs (a row hit by two keywords of one person counts twice) and
@@ -40,6 +45,12 @@ from .query import date_range, ledger_month
 # Size bounds of the inline strategy (checked on the mapping table).
 INLINE_MAX_KEYWORDS = 256
 INLINE_MAX_BYTES = 4 << 20
+# Size bounds of a mapping table that the n-gram plan broadcasts.
+BROADCAST_MAX_KEYWORDS = 10_000
+BROADCAST_MAX_BYTES = 4 << 20
+# Lengths of the n-grams: few, so that a description has few, and a literal's length is at most
+# doubled from one to the next.
+GRAM_LENGTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
 _ROW_COLS = ["id", "transaction_date", "description", "amount", "balance"]
 
@@ -48,11 +59,17 @@ _ROW_COLS = ["id", "transaction_date", "description", "amount", "balance"]
 class MappingProfile:
     rows: int
     bytes: int
-    ngram_lengths: tuple[int, ...]   # n-gram lengths needed (1..3)
+    ngram_lengths: tuple[int, ...]   # n-gram lengths needed (of GRAM_LENGTHS)
     wildcard_only: int               # patterns with no literal character
     max_underscores: int
 
 
+def gram_length(length: Column) -> Column:
+    """The largest of ``GRAM_LENGTHS`` up to ``length`` (0 for none, null for null)."""
+    fitting = [F.when(length >= n, F.lit(n)) for n in reversed(GRAM_LENGTHS)]
+    return F.coalesce(*fitting, F.when(length.isNotNull(), F.lit(0)))
+
+
 def _patterns(m: DataFrame) -> DataFrame:
     """person_name, keyword, lower-case safe pattern, its longest literal
     segment and the number of ``_`` wildcards."""
@@ -69,7 +86,7 @@ def _patterns(m: DataFrame) -> DataFrame:
     underscores = F.length(ph) - F.length(F.regexp_replace(ph, "_", ""))
     return m.select(
         "person_name", "keyword", pattern.alias("pattern"), literal.alias("literal"),
-        F.least(F.length(literal), F.lit(3)).alias("n"), underscores.alias("underscores"),
+        gram_length(F.length(literal)).alias("n"), underscores.alias("underscores"),
         _plain(F.col("keyword")).alias("plain"))
 
 
@@ -117,53 +134,55 @@ def choose_strategy(prof) -> str:
     return "ngram"
 
 
-def _grams(text: Column, n: int) -> Column:
-    """Distinct n-grams of ``text`` (empty when shorter than n)."""
+def _grams(text: Column, n) -> Column:
+    """Hashes of the n-grams of ``text`` (empty when shorter than n)."""
     idx = F.sequence(F.lit(1), F.length(text) - n + 1)
     return F.when(F.length(text) >= n,
-                  F.array_distinct(F.transform(idx, lambda i: F.substring(text, i, n)))
-                  ).otherwise(F.array().cast("array<string>"))
+                  F.transform(idx, lambda i: F.xxhash64(F.substring(text, i, n)))
+                  ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _ngram_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataFrame:
-    """Large-dimension plan (see module docstring). A mapping repeated in ``m``
-    matches once per copy, as in the inline plan."""
+def _description_matches(rows: DataFrame, m: DataFrame, prof: MappingProfile) -> DataFrame:
+    """Large-dimension plan (see module docstring): ``ld`` (a distinct lower-cased description of
+    ``rows``), ``person_name``, ``keyword`` and ``copies``, the mappings that are alike."""
     pats = _patterns(m)
-    ld = F.lower(F.col("description"))
-    descs = rows.select(ld.alias("ld")).distinct()
+    small = prof.rows <= BROADCAST_MAX_KEYWORDS and prof.bytes <= BROADCAST_MAX_BYTES
+    side = "broadcast" if small else "merge"
+    descs = rows.select(F.lower(F.col("description")).alias("ld")).distinct()
+    one = ["person_name", "keyword", "pattern", "literal", "plain", "n"]
 
     found = []
-    for n in prof.ngram_lengths:
-        dg = descs.select("ld", F.explode(_grams(F.col("ld"), n)).alias("gram"))
-        freq = dg.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        kp = (pats.filter(F.col("n") == n)
-              .groupBy("person_name", "keyword", "pattern", "literal", "plain")
-              .agg(F.count(F.lit(1)).alias("copies")))
-        kg = kp.select("person_name", "keyword", "pattern", "literal", "plain", "copies",
-                       F.explode(_grams(F.col("literal"), n)).alias("gram"))
-        best = (kg.join(freq, "gram", "left")
-                .groupBy("person_name", "keyword", "pattern", "literal", "plain", "copies")
-                .agg(F.min_by("gram", F.coalesce(F.col("df"), F.lit(0))).alias("gram")))
-        cand = dg.join(best, "gram")
+    if prof.ngram_lengths:
+        kp = pats.filter(F.col("n") > 0).groupBy(*one).agg(F.count(F.lit(1)).alias("copies"))
+        kg = kp.select(*one, "copies", F.explode(F.array_distinct(
+            _grams(F.col("literal"), F.col("n")))).alias("gram"))
+        shared = kg.groupBy("gram").agg(F.count(F.lit(1)).alias("mappings"))
+        best = (kg.join(shared.hint("merge"), "gram").groupBy(*one, "copies")
+                .agg(F.min_by("gram", F.struct("mappings", "gram")).alias("gram")))
+        dg = descs.select("ld", F.explode(F.array_distinct(F.concat(
+            *[_grams(F.col("ld"), n) for n in prof.ngram_lengths]))).alias("gram"))
         verified = F.when(F.col("plain"), F.col("ld").contains(F.col("literal"))).otherwise(
             F.like(F.col("ld"), F.col("pattern")))
-        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-        found.append(cand.filter(verified).select("ld", "person_name", "keyword",
-                                                  copy.alias("copy")).drop("copy"))
+        found.append(dg.join(best.hint(side), "gram").filter(verified)
+                     .select("ld", "person_name", "keyword", "copies"))
     if prof.wildcard_only:
         # '%' + only wildcards + '%': matches iff length >= number of '_'.
-        wp = pats.filter(F.col("n") == 0).select("person_name", "keyword",
-                                                  F.col("underscores").alias("len_min"))
+        wp = (pats.filter(F.col("n") == 0).groupBy("person_name", "keyword", "underscores")
+              .agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("underscores", "len_min"))
         dl = descs.select("ld", F.explode(F.sequence(
             F.lit(0), F.least(F.length("ld"), F.lit(prof.max_underscores)))).alias("len_min"))
-        found.append(dl.join(wp, "len_min").select("ld", "person_name", "keyword"))
+        found.append(dl.join(wp.hint(side), "len_min").select("ld", "person_name", "keyword", "copies"))
     if not found:
-        return rows.limit(0).withColumn("person_name", F.lit(None).cast("string")) \
-                   .withColumn("keyword", F.lit(None).cast("string"))
-    matched = found[0]
-    for f in found[1:]:
-        matched = matched.unionByName(f)
-    return rows.withColumn("ld", ld).join(matched, "ld").drop("ld")
+        return descs.limit(0).select("ld", F.lit(None).cast("string").alias("person_name"),
+                                     F.lit(None).cast("string").alias("keyword"),
+                                     F.lit(0).cast("bigint").alias("copies"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _with_matches(rows: DataFrame, matched: DataFrame) -> DataFrame:
+    """``rows`` joined with the columns that ``matched`` has for their description."""
+    ld = F.lower(F.col("description"))
+    return rows.withColumn("ld", ld).join(matched.hint("merge"), "ld").drop("ld")
 
 
 def _plain(keyword: Column) -> Column:
@@ -213,7 +232,10 @@ def keyword_matches(rows: DataFrame, m: DataFrame, strategy: str = "auto") -> Da
     """
     found = tests(m, strategy)
     if found is None:
-        return _ngram_matches(rows, m, profile(m))
+        # a mapping repeated in ``m`` matches once per copy, as in the inline plan
+        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
+        matched = _description_matches(rows, m, profile(m)).select("ld", "person_name", "keyword", copy)
+        return _with_matches(rows, matched).drop("_copy")
     pairs = [F.when(x.holds, F.struct(F.lit(x.person).cast("string").alias("person_name"),
                                       F.lit(x.keyword).alias("keyword"))) for x in found]
     pair = F.explode(F.array_compact(F.array(*pairs)) if pairs else
@@ -236,8 +258,9 @@ def contributions(t: DataFrame, m: DataFrame, start=None, end=None, person: str
     rows = _deposits(t, start, end).select(*_ROW_COLS)
     found = tests(m, strategy)
     if found is None:
-        out = _ngram_matches(rows, m, profile(m)).groupBy(*_ROW_COLS).agg(
-            F.min("person_name").alias("person_name"))
+        first = F.min("person_name").alias("person_name")
+        matched = _description_matches(rows, m, profile(m)).groupBy("ld").agg(first)
+        out = _with_matches(rows, matched).groupBy(*_ROW_COLS).agg(first)
     else:
         # people in order of their names: the first that holds is the least
         first = reduce(lambda rest, p: F.when(_any(p[1]), F.lit(p[0]).cast("string")).otherwise(rest),
@@ -257,10 +280,11 @@ def per_row_person(t: DataFrame, m: DataFrame, start=None, end=None,
         "id", "amount", ledger_month(t).alias("month"), "description")
     found = tests(m, strategy)
     if found is None:
-        # All pairs of a transaction come out of the same join task, so the partial aggregate
-        # folds them before the shuffle.
-        return _ngram_matches(rows, m, profile(m)).groupBy("id", "month", "amount", "person_name").agg(
-            F.count(F.lit(1)).alias("hits"))
+        # summed per description first: a ledger row meets a person once, however many mappings hit
+        matched = _description_matches(rows, m, profile(m)).groupBy("ld", "person_name").agg(
+            F.sum("copies").alias("hits"))
+        return _with_matches(rows, matched).groupBy("id", "month", "amount", "person_name").agg(
+            F.sum("hits").alias("hits"))
     people = [F.when(_any(own), F.struct(
         F.lit(name).cast("string").alias("person_name"),
         reduce(lambda a, b: a + b, [x.holds.cast("bigint") for x in own]).alias("hits")))
