@@ -39,6 +39,11 @@ def is_na(raw: Column) -> Column:
     return raw.isNull() | raw.isin(NA_VALUES)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _pivot_yy(yy: Column) -> Column:
     """Two-digit year as ``%y`` reads it: 69..99 -> 19xx, 00..68 -> 20xx."""
     return F.when(yy >= 69, yy + 1900).otherwise(yy + 2000)
@@ -64,8 +69,14 @@ def _month_from_name(name: Column) -> Column:
 def _named(s: Column, regex: str, order: str) -> Column:
     full = f"(?i)^{regex}$"
     g = {k: F.regexp_extract(s, full, i + 1) for i, k in enumerate(order)}
-    return F.when(s.rlike(full), make_valid_date(g["y"].cast("int"), _month_from_name(g["m"]),
-                                                 g["d"].cast("int")))
+    return F.when(s.rlike(full), _date_of(g["y"].cast("int"), _month_from_name(g["m"]),
+                                          g["d"].cast("int")))
+
+
+def _date_of(y: Column, m: Column, d: Column) -> Column:
+    """``make_valid_date`` of fields that are dear to work out."""
+    return _let(F.struct(y.alias("y"), m.alias("m"), d.alias("d")),
+                lambda v: make_valid_date(v["y"], v["m"], v["d"]))
 
 
 def _readings(s: Column, parts: Column, seps: Column) -> tuple[Column, Column]:
@@ -113,15 +124,15 @@ def _combine(s: Column, first: Column, second: Column) -> Column:
         return F.call_function("try_to_date", text, F.lit("yyyyMMdd"))
 
     fallbacks = [
-        F.when(s.rlike(_ISO), make_valid_date(F.regexp_extract(s, _ISO, 1).cast("int"),
-                                              F.regexp_extract(s, _ISO, 2).cast("int"),
-                                              F.regexp_extract(s, _ISO, 3).cast("int"))),
+        F.when(s.rlike(_ISO), _date_of(F.regexp_extract(s, _ISO, 1).cast("int"),
+                                       F.regexp_extract(s, _ISO, 2).cast("int"),
+                                       F.regexp_extract(s, _ISO, 3).cast("int"))),
         _named(s, _MONTH_NAME + r"\.? +(\d{1,2}),? +(\d{4})", "mdy"),
         _named(s, r"(\d{1,2}) +" + _MONTH_NAME + r"\.?,? +(\d{4})", "dmy"),
         F.when(_digits(s) & (F.length(s) == 8),
-               make_valid_date(F.substring(s, 1, 4).cast("int"),
-                               F.substring(s, 5, 2).cast("int"),
-                               F.substring(s, 7, 2).cast("int"))),
+               _date_of(F.substring(s, 1, 4).cast("int"),
+                        F.substring(s, 5, 2).cast("int"),
+                        F.substring(s, 7, 2).cast("int"))),
     ]
     return F.coalesce(valid(first), valid(second), *fallbacks)
 
@@ -184,10 +195,10 @@ with_parsed_dates.__doc__ += "\n\n    " + DATE_RULES
 
 def clean_amount_text(raw: Column) -> Column:
     """Strip, drop ``$``, ``,`` and spaces, then turn ``(x)`` into ``-x``."""
-    s = F.translate(strip_ws(raw.cast("string")), "$, ", "")
-    paren = s.startswith("(") & s.endswith(")")
-    inner = F.substring(s, F.lit(2), F.length(s) - 2)
-    return F.when(paren, F.concat(F.lit("-"), inner)).otherwise(s)
+    def signed(s: Column) -> Column:
+        inner = F.substring(s, F.lit(2), F.length(s) - 2)
+        return F.when(s.startswith("(") & s.endswith(")"), F.concat(F.lit("-"), inner)).otherwise(s)
+    return _let(F.translate(strip_ws(raw.cast("string")), "$, ", ""), signed)
 
 
 # A zero mantissa with any exponent ("0e99") is zero; Spark's decimal cast
@@ -197,9 +208,9 @@ ZERO_RE = r"^[+-]?(0+\.?0*|\.0+)([eE][+-]?\d+)?$"
 
 def parse_number(raw: Column) -> Column:
     """Amount text -> decimal(12,2) (HALF_UP), NULL when unreadable."""
-    s = clean_amount_text(raw)
-    return (F.when(s.rlike(ZERO_RE), F.lit(0).cast("decimal(12,2)"))
-            .when(s.rlike(NUMBER_RE), s.try_cast("decimal(12,2)")))
+    return _let(clean_amount_text(raw), lambda s: (
+        F.when(s.rlike(ZERO_RE), F.lit(0).cast("decimal(12,2)"))
+        .when(s.rlike(NUMBER_RE), s.try_cast("decimal(12,2)"))))
 
 
 def parse_amount(raw: Column) -> Column:
@@ -212,8 +223,7 @@ def parse_balance(raw: Column) -> Column:
 
     Returns a struct ``(value, ok)`` so the caller can tell NULL from reject.
     """
-    value = parse_number(raw)
-    return F.struct(
+    return _let(parse_number(raw), lambda value: F.struct(
         F.when(is_na(raw), F.lit(None).cast("decimal(12,2)")).otherwise(value).alias("value"),
         (is_na(raw) | value.isNotNull()).alias("ok"),
-    )
+    ))

@@ -25,6 +25,9 @@ from ..session import stored
 from .query import date_range
 
 KEY = ["transaction_date", "description", "amount"]
+# Size bounds of a batch whose keys are broadcast to the stored ledger.
+BROADCAST_MAX_KEYS = 200_000
+BROADCAST_MAX_CHARS = 16 << 20
 
 
 @dataclass
@@ -55,13 +58,17 @@ def _free_name(df: DataFrame, name: str) -> str:
 
 
 def stored_keys(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Keys of the stored ledger restricted to the batch's date span."""
-    span = incoming.agg(F.min("transaction_date").alias("lo"),
-                        F.max("transaction_date").alias("hi")).first()
+    """Keys of the stored ledger restricted to the batch's date span, and where the batch is
+    measured as small to the batch's own keys: then the stored side is scanned and not moved."""
+    span = incoming.agg(F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi"),
+                        F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("chars")).first()
     lo, hi = span["lo"], span["hi"]
     if lo is None:
         return existing.select(*KEY).limit(0)
-    return date_range(existing, lo, hi).select(*KEY)
+    keys = date_range(existing, lo, hi).select(*KEY)
+    if span["n"] <= BROADCAST_MAX_KEYS and (span["chars"] or 0) <= BROADCAST_MAX_CHARS:
+        keys = keys.join(F.broadcast(incoming.select(*KEY)), KEY, "left_semi")
+    return keys
 
 
 def import_transactions(existing: DataFrame, incoming: DataFrame,

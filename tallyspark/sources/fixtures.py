@@ -10,6 +10,9 @@ sort-merge join on the customer key.
 from __future__ import annotations
 
 import os
+import re
+import uuid
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -240,13 +243,32 @@ def statement_lines(ledger: DataFrame) -> DataFrame:
 
 
 def write_statements(ledger: DataFrame, out_dir: str) -> str:
-    """Write one statement file per group of accounts under ``out_dir``.
+    """Write one statement file per group of accounts under ``out_dir``, as ``file_key=<n>.txt`` in
+    one of ``FOLDERS`` folders.
 
     Each file key is hash-partitioned into exactly one task and sorted by line
-    order inside it, so each ``file_key=...`` folder holds one ordered file.
+    order inside it, so the task writes its files one after the other, line by line.
     """
-    lines = statement_lines(ledger)
-    (lines.repartition("file_key").sortWithinPartitions("file_key", "ord")
-     .select("file_key", "value").write.mode("overwrite").partitionBy("file_key")
-     .text(out_dir))
+    local = re.sub("^file:/+", "/", out_dir)
+    lines = (statement_lines(ledger).repartition("file_key").sortWithinPartitions("file_key", "ord")
+             .select("file_key", "value"))
+    if "://" in local:          # no mounted folder: a folder a file, by Spark's writer
+        lines.write.mode("overwrite").partitionBy("file_key").text(out_dir)
+        return out_dir
+    os.makedirs(local, exist_ok=True)
+    lines.foreachPartition(lambda rows: _write_files(rows, local))
     return out_dir
+
+
+FOLDERS = 64        # the folders that statement files are dealt over
+
+
+def _write_files(rows, root: str) -> None:
+    """``rows(file_key, value)`` ordered by file -> the files, each in place once it is whole."""
+    for key, own in groupby(rows, lambda r: r.file_key):
+        folder = os.path.join(root, f"part={int(key) % FOLDERS}")
+        os.makedirs(folder, exist_ok=True)
+        tmp = os.path.join(folder, f".{key}-{uuid.uuid4().hex}")
+        with open(tmp, "w", encoding="utf-8", newline="") as f:
+            f.writelines(f"{r.value}\n" for r in own)
+        os.replace(tmp, os.path.join(folder, f"file_key={key}.txt"))

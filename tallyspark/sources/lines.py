@@ -8,29 +8,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def numbered_lines(spark: SparkSession, path, glob: str = "*") -> DataFrame:
-    """(path, idx, line) for every physical line, read with the ``text`` source,
-    which splits large files into many tasks and leaves out a file's first BOM.
-    ``path`` is a folder or a list of file names.
-
-    Exact 0-based line numbers without a row-level window: within a split the
-    generated row ids are consecutive, so a line's number is the count of lines
-    in the file's earlier splits plus its distance from the split's first id.
-    The per-split table (a few rows per file) gets its offsets from a running
-    sum over the file's splits."""
+def text_lines(spark: SparkSession, path, glob: str = "*") -> DataFrame:
+    """(path, size, block, rid, line) for every physical line, read with the ``text`` source,
+    which splits large files into many tasks and leaves out a file's first BOM: ``size`` is the
+    file's, ``block`` the split's first byte, ``rid`` rises by one within a split.
+    ``path`` is a folder or a list of file names."""
     reader = spark.read.format("text")
     if isinstance(path, str):
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
     elif not path:
-        return spark.createDataFrame([], "path string, idx long, line string")
+        return spark.createDataFrame([], "path string, size long, block long, rid long, line string")
     else:
         path = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]     # names, not patterns
     # the metadata holds the path as a URI; elsewhere (binaryFile) it is plain
     plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    raw = (reader.load(path)
-           .select(plain.alias("path"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line")))
+    return reader.load(path).select(
+        plain.alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"))
+
+
+def numbered(raw: DataFrame) -> DataFrame:
+    """(path, idx, line) of ``text_lines``.
+
+    Exact 0-based line numbers without a row-level window: within a split the
+    generated row ids are consecutive, so a line's number is the count of lines
+    in the file's earlier splits plus its distance from the split's first id.
+    The per-split table (a few rows per file) gets its offsets from a running
+    sum over the file's splits."""
     splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
                                               F.min("rid").alias("first_rid"))
     before = Window.partitionBy("path").orderBy("block").rowsBetween(
@@ -41,6 +46,11 @@ def numbered_lines(spark: SparkSession, path, glob: str = "*") -> DataFrame:
     return lines.select("path", idx.alias("idx"), "line")
 
 
+def numbered_lines(spark: SparkSession, path, glob: str = "*") -> DataFrame:
+    """(path, idx, line) for every physical line of a folder or a list of files."""
+    return numbered(text_lines(spark, path, glob))
+
+
 def in_order(lines: DataFrame) -> DataFrame:
     """``numbered_lines`` with ``row_id``: the number of a line in all files, taken in the order of
     their names. Only the files' line counts (a row a file) are summed in one place."""

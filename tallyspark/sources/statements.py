@@ -1,12 +1,16 @@
 """Bank-statement CSV files -> clean typed ledger rows and rejects (S1-S7).
 
 Plan shape: files of every size are read with the split ``text`` source, so no file
-is read by one task: exact line numbers come from per-split offsets. One per-file
+is read by one task. They are listed and opened once: their lines are written to the
+shared checkpoint folder, and every later step reads that copy, as opening a folder of
+many small files costs more than its bytes. Exact line numbers come from per-split
+offsets. One per-file
 aggregate gives the content hash (S6), the UTF-8 check, the header (S2), its aliases
 and required columns (S3, S4) and whether a quoted cell runs over a line's end. This
 table (a row a file) is written once, so that its size is known when the lines meet it:
 small, it is broadcast and no line moves. Files without a line (0 bytes, or a BOM
-alone) are known from the listing only.
+alone) are known from the listing only, which is gone through if it counts more files
+than have lines.
 
 A quoted cell may hold line breaks. Only files in which some line ends inside a quote
 go through ``join_records``, which finds the state at every line's start in chunks of
@@ -32,7 +36,7 @@ from ..functions.parse import is_na, parse_amount, parse_balance, with_parsed_da
 from ..functions.text import strip_ws
 from ..schema import REJECTS, conform
 from ..session import shared_dir, stored
-from .lines import numbered_lines
+from .lines import numbered, text_lines
 
 # Header aliases (compared trimmed and lower-case).
 ALIASES = {
@@ -261,6 +265,22 @@ def _listing(spark: SparkSession, path: str, glob: str) -> DataFrame:
         empty_files(spark, path, glob))
 
 
+def _count_files(scan: DataFrame) -> int:
+    """How many files the listing of ``scan`` holds; their names stay where the listing is."""
+    try:
+        return len(scan._jdf.inputFiles())
+    except AttributeError:      # Spark Connect: no JVM handle
+        return len(scan.inputFiles())
+
+
+def _listed(spark: SparkSession, path: str, glob: str, scan: DataFrame, raw: DataFrame) -> DataFrame:
+    """(path, size) of every file under ``path``: as its lines say, if all files have some."""
+    sizes = stored(raw.groupBy("path").agg(F.max("size").alias("size")), "statement-sizes")
+    if _count_files(scan) == sizes.count():
+        return sizes
+    return _listing(spark, path, glob)
+
+
 def _file_table(lines: DataFrame, listed: DataFrame, strict_header: bool) -> DataFrame:
     """A row a file, written to the shared checkpoint folder: hash, header line, ``multi`` (some line
     ends inside a quote) and the flags of the verdict."""
@@ -300,9 +320,11 @@ def parse_statement_files(spark: SparkSession, path, glob: str = "*.csv",
 
     ``path`` is a folder (with ``glob``) or a list of the names of files with bytes in
     them; a list needs ``listed(path, size)``, which may name 0-byte files too."""
-    lines = numbered_lines(spark, path, glob)
+    scan = text_lines(spark, path, glob)
+    raw = stored(scan, "statement-lines")
+    lines = numbered(raw)
     if listed is None:
-        listed = _listing(spark, path, glob)
+        listed = _listed(spark, path, glob, scan, raw)
     files = _file_table(lines, listed, strict_header)
     # two flags over the file table: plans without a quoted line break need no joining of lines
     multi = F.col("multi") & F.col("utf8")

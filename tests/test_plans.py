@@ -113,3 +113,20 @@ def test_import_evaluates_its_batch_once(spark):
     assert "n_rows" in res.new.columns
     c = res.counts.first()
     assert c.incoming == batch.count() and c.inserted == res.new.count() and c.skipped > 0
+
+
+def test_small_batch_does_not_move_the_stored_ledger(spark):
+    from tallyspark.operators import ingest as I
+    t = FX.orders_ledger(spark, SF_SMALL)
+    few = t.filter("id % 10 = 0").localCheckpoint()
+    text = plan_text(I.stored_keys(t, few), "simple")
+    assert "LeftSemi, BuildRight" in text
+    assert I.stored_keys(t, few).distinct().count() == few.select(*I.KEY).distinct().count()
+
+
+def test_parsers_work_out_each_text_once(spark):
+    """Repeated subexpressions had made one projection of all parsers too large to compile."""
+    from tallyspark.functions import parse as PF
+    df = spark.createDataFrame([("(1.5)",)], "a string")
+    assert plan_text(df.select(PF.parse_amount(F.col("a"))), "simple").count("trim(") <= 2
+    assert str(df.select(PF.parse_balance(F.col("a"))).first()[0].value) == "-1.50"

@@ -284,3 +284,45 @@ def test_statement_files_do_not_depend_on_their_neighbours(spark, tmp_path):
     assert got == ({c for c in clean if c[:2] == ("[s]{1}.txt", 1)},
                    rejects | {("later.txt", None, "missing_column")})
     assert spark.read.json(f"{out}_rejects").filter("reason = 'empty_file'").count() == 1
+
+
+def test_statement_files_are_opened_once(spark, tmp_path):
+    """After their lines are stored no step opens, lists or names the files again."""
+    from tallyspark.plans.inspect import plan_text
+    d = FX.write_statements(FX.orders_ledger(spark, SF_SMALL), str(tmp_path / "st"))
+    text = plan_text(ST.parse_statement_files(spark, d, "*.txt"), "simple")
+    assert "FileScan parquet" in text and "FileScan text" not in text and "binaryFile" not in text
+
+
+def test_statement_writer_opens_few_folders(spark, tmp_path):
+    ledger = spark.range(4000).selectExpr(
+        "id", "id * 16 AS account_id", "DATE'2024-01-15' AS transaction_date", "concat('é ', id) AS description",
+        "CAST(id AS decimal(12,2)) AS amount", "CAST(NULL AS decimal(12,2)) AS balance")
+    d = FX.write_statements(ledger, str(tmp_path / "st"))
+    assert FX.write_statements(ledger, d) == d              # again: the same files
+    found = list((tmp_path / "st").glob("**/*.txt"))
+    assert len(found) == 4000 and len({f.parent for f in found}) <= FX.FOLDERS
+    (one,) = (tmp_path / "st").glob("**/file_key=1000*/**/*.txt") if not (
+        own := list((tmp_path / "st").glob("**/file_key=1000.txt"))) else own
+    assert one.read_bytes().decode() == (
+        'Account,1000\n\nTransaction Date ,DESCRIPTION,Amount,Balance,Ref\n"01/15/2024","é 1000","1000.00",,1000\n'
+        .replace('"01/15/2024"', f'"{one.read_text(encoding="utf-8").splitlines()[3].split(chr(34))[1]}"'))
+    clean, rejects = ST.read_statements(spark, d, glob="*.txt")
+    assert clean.count() + rejects.count() == 4000
+
+
+def test_stream_lists_its_folder_once_a_run(spark, tmp_path, monkeypatch):
+    calls = []
+    monkeypatch.setattr(SS, "empty_files", lambda *a, of=ST.empty_files: calls.append(a) or of(*a))
+    src, out = tmp_path / "in", str(tmp_path / "ledger")
+    src.mkdir()
+    for i in range(3):
+        (src / f"{i}.csv").write_text("Date,Description,Amount\n" + "".join(
+            f"01/{k:02}/2024,x{k % 7},{k}\n" for k in range(1, 29 - i)))
+    (src / "none.csv").write_text("")
+    SS.stream_statements(spark, str(src), out, str(tmp_path / "ckpt"), max_files=1).awaitTermination()
+    led = SS.read_ledger(spark, out)
+    assert led.count() == 28 and len(calls) == 1
+    assert spark.read.json(f"{out}_rejects").filter("reason = 'empty_file'").count() == 1
+    # one file a month, however many tasks had its rows
+    assert led.filter("batch_id = 0").select(F.input_file_name()).distinct().count() == 1
