@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import built_once
 from .text import strip_ws
 
 # The cell texts pandas ``read_csv`` treats as missing by default.
@@ -169,6 +170,16 @@ def parse_date(raw: Column) -> Column:
 parse_date.__doc__ += "\n\n    " + DATE_RULES
 
 
+@built_once
+def _date_stages(raw: str, prefix: str) -> tuple[list[dict[str, Column]], Column]:
+    """The intermediate columns of ``with_parsed_dates``, stage by stage, and the date."""
+    s_, p_, e_, r1, r2 = (f"{prefix}{k}" for k in ("s", "p", "e", "r1", "r2"))
+    parts, seps = _split_date(F.col(s_))
+    first, second = _readings(F.col(s_), F.col(p_), F.col(e_))
+    return ([{s_: strip_ws(F.col(raw).cast("string"))}, {p_: parts, e_: seps}, {r1: first, r2: second}],
+            F.when(~is_na(F.col(raw)), _combine(F.col(s_), F.col(r1), F.col(r2))))
+
+
 def with_parsed_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add ``out = parse_date(raw)`` for each ``{out: raw}`` in stages.
 
@@ -178,15 +189,11 @@ def with_parsed_dates(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """
     tmp = []
     for i, (out, raw) in enumerate(columns.items()):
-        s_, p_, e_, r1, r2 = (f"_pd{i}_{k}" for k in ("s", "p", "e", "r1", "r2"))
-        tmp += [s_, p_, e_, r1, r2]
-        df = df.withColumn(s_, strip_ws(F.col(raw).cast("string")))
-        parts, seps = _split_date(F.col(s_))
-        df = df.withColumn(p_, parts).withColumn(e_, seps)
-        first, second = _readings(F.col(s_), F.col(p_), F.col(e_))
-        df = df.withColumn(r1, first).withColumn(r2, second)
-        df = df.withColumn(out, F.when(~is_na(F.col(raw)),
-                                       _combine(F.col(s_), F.col(r1), F.col(r2))))
+        stages, date = _date_stages(raw, f"_pd{i}_")
+        for stage in stages:
+            df = df.withColumns(stage)
+            tmp += stage
+        df = df.withColumn(out, date)
     return df.drop(*tmp)
 
 

@@ -60,15 +60,21 @@ def _free_name(df: DataFrame, name: str) -> str:
 def stored_keys(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Keys of the stored ledger restricted to the batch's date span, and where the batch is
     measured as small to the batch's own keys: then the stored side is scanned and not moved."""
+    return _stored_keys(existing, incoming)[0]
+
+
+def _stored_keys(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, bool]:
+    """``stored_keys``, and whether they are restricted to the keys of a small batch."""
     span = incoming.agg(F.min("transaction_date").alias("lo"), F.max("transaction_date").alias("hi"),
                         F.count(F.lit(1)).alias("n"), F.sum(F.length("description")).alias("chars")).first()
     lo, hi = span["lo"], span["hi"]
     if lo is None:
-        return existing.select(*KEY).limit(0)
+        return existing.select(*KEY).limit(0), True
     keys = date_range(existing, lo, hi).select(*KEY)
-    if span["n"] <= BROADCAST_MAX_KEYS and (span["chars"] or 0) <= BROADCAST_MAX_CHARS:
+    small = span["n"] <= BROADCAST_MAX_KEYS and (span["chars"] or 0) <= BROADCAST_MAX_CHARS
+    if small:
         keys = keys.join(F.broadcast(incoming.select(*KEY)), KEY, "left_semi")
-    return keys
+    return keys, small
 
 
 def import_transactions(existing: DataFrame, incoming: DataFrame,
@@ -84,7 +90,10 @@ def import_transactions(existing: DataFrame, incoming: DataFrame,
     typed = incoming.select(*[F.col(f.name).cast("string") if f.dataType.typeName() == "void"
                               else F.col(f.name) for f in incoming.schema.fields])
     firsts = stored(first_per_key(typed, order, n), "import-batch")
-    new = firsts.drop(n).join(stored_keys(existing, firsts), KEY, "left_anti")
+    keys, small = _stored_keys(existing, firsts)
+    if small:       # at most the batch's own keys, each once: the batch is not moved either
+        keys = F.broadcast(keys.distinct())
+    new = firsts.drop(n).join(keys, KEY, "left_anti")
     # Two one-row aggregates stacked and folded: no cross join.
     stacked = firsts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).select(
         F.lit("incoming").alias("k"), "n").unionByName(

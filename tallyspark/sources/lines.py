@@ -28,21 +28,28 @@ def text_lines(spark: SparkSession, path, glob: str = "*") -> DataFrame:
         F.monotonically_increasing_id().alias("rid"), F.col("value").alias("line"))
 
 
-def numbered(raw: DataFrame) -> DataFrame:
-    """(path, idx, line) of ``text_lines``.
+def split_offsets(raw: DataFrame) -> DataFrame:
+    """(path, block, first_rid, offset) of ``text_lines``: a row a split, ``offset`` the count of lines
+    in the file's earlier splits."""
+    splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
+                                              F.min("rid").alias("first_rid"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return splits.select("path", "block", "first_rid",
+                         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+
+
+def numbered(raw: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """(path, idx, line) of ``text_lines`` (``splits``: its ``split_offsets``, if they are kept).
 
     Exact 0-based line numbers without a row-level window: within a split the
     generated row ids are consecutive, so a line's number is the count of lines
     in the file's earlier splits plus its distance from the split's first id.
     The per-split table (a few rows per file) gets its offsets from a running
     sum over the file's splits."""
-    splits = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"),
-                                              F.min("rid").alias("first_rid"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    splits = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    splits = split_offsets(raw) if splits is None else splits
     idx = F.col("offset") + F.col("rid") - F.col("first_rid")
-    lines = raw.join(splits.select("path", "block", "first_rid", "offset"), ["path", "block"])
+    lines = raw.join(splits, ["path", "block"])
     return lines.select("path", idx.alias("idx"), "line")
 
 

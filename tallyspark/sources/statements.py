@@ -35,8 +35,8 @@ from ..functions.classify import categorize, extract_source
 from ..functions.parse import is_na, parse_amount, parse_balance, with_parsed_dates
 from ..functions.text import strip_ws
 from ..schema import REJECTS, conform
-from ..session import shared_dir, stored
-from .lines import numbered, text_lines
+from ..session import built_once, shared_dir, stored
+from .lines import numbered, split_offsets, text_lines
 
 # Header aliases (compared trimmed and lower-case).
 ALIASES = {
@@ -157,22 +157,29 @@ def _alias_test(words: list[str]):
     return lambda h: F.coalesce(h.isin(words), F.lit(False))
 
 
-def _resolve_header(f: DataFrame) -> DataFrame:
-    """From per-file ``header`` text (plus ``utf8``/``empty`` flags): names,
-    width, column positions and the file-level verdict ``file_reason``."""
+@built_once
+def _header_columns() -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """The columns that ``_resolve_header`` adds: names and width, then positions, then the verdict."""
     names = F.transform(_cells(F.col("header")), lambda h: F.lower(strip_ws(h)))
-    f = f.withColumn("names", names).withColumn("width", F.size("names"))
+    places = {}
     for target, words in ALIASES.items():
         flags = F.transform("names", _alias_test(words))
-        f = f.withColumn(f"n_{target}", F.size(F.filter(flags, lambda x: x)))
-        f = f.withColumn(f"p_{target}", F.array_position(flags, True).cast("int"))
+        places[f"n_{target}"] = F.size(F.filter(flags, lambda x: x))
+        places[f"p_{target}"] = F.array_position(flags, True).cast("int")
     reason = (F.when(~F.col("utf8"), "invalid_utf8")
               .when(F.col("empty"), "empty_file"))
     for target in ALIASES:
         reason = reason.when(F.col(f"n_{target}") > 1, "duplicate_column")
     for target in REQUIRED:
         reason = reason.when(F.col(f"n_{target}") == 0, "missing_column")
-    return f.withColumn("file_reason", reason)
+    return {"names": names}, {"width": F.size("names"), **places}, reason
+
+
+def _resolve_header(f: DataFrame) -> DataFrame:
+    """From per-file ``header`` text (plus ``utf8``/``empty`` flags): names,
+    width, column positions and the file-level verdict ``file_reason``."""
+    names, places, reason = _header_columns()
+    return f.withColumns(names).withColumns(places).withColumn("file_reason", reason)
 
 
 def _line_hash(idx: Column, line: Column) -> Column:
@@ -189,21 +196,15 @@ def _file_hash(size: Column, n: Column, a: Column, b: Column) -> Column:
                                     for c in (size, n, a, b)]))
 
 
-def _parse_lines(lines: DataFrame) -> DataFrame:
-    """Records (path, csv_hash, file_reason, header_no, width, p_*, idx, line, bad)
-    -> parsed rows with a reject ``reason``.
-
-    Each stage adds named columns (cells, raw cell texts, parsed values,
-    reason), so every parser runs once per record and the generated code stays
-    small."""
-    rows = lines.withColumn("cells", _cells(F.col("line")))
-
+@built_once
+def _line_columns() -> tuple[Column, list[Column], list[Column], list[Column], list[Column]]:
+    """The columns of ``_parse_lines``: the cells, then what each of its stages selects."""
     def cell(p: str) -> Column:
         return F.when(F.col(p) > 0, F.get(F.col("cells"), F.col(p) - 1))
 
     in_width = F.slice("cells", 1, F.greatest(F.col("width"), F.lit(1)))
     is_file = F.col("file_reason").isNotNull()
-    texts = rows.select(
+    texts = [
         "path", "csv_hash", "file_reason", "p_balance",
         F.when(~is_file, F.col("idx")).cast("int").alias("line_no"),
         F.col("line").alias("raw"),
@@ -215,36 +216,48 @@ def _parse_lines(lines: DataFrame) -> DataFrame:
         F.exists(F.slice("cells", F.col("width") + 1, F.greatest(F.size("cells") - F.col("width"), F.lit(0))),
                  lambda c: c != "").alias("too_wide"),
         (is_file | F.col("bad").isNotNull() | F.exists(in_width, lambda c: ~is_na(c))).alias("keep"),
-    ).filter("keep")
-    parsed = with_parsed_dates(texts, {"date": "date_raw"})
+    ]
     bal = parse_balance(F.col("balance_raw"))
-    parsed = parsed.select(
+    parsed = [
         "*", parse_amount(F.col("amount_raw")).alias("amt"),
         F.when(F.col("p_balance") > 0, bal.getField("value")).alias("bal"),
         (F.col("p_balance").isNull() | (F.col("p_balance") == 0) | bal.getField("ok"))
         .alias("bal_ok"),
         F.when(is_na(F.col("desc_raw")), F.lit("nan")).otherwise(strip_ws(F.col("desc_raw")))
-        .alias("desc"))
+        .alias("desc")]
     reason = (F.when(is_file, F.col("file_reason"))
               .when(F.col("bad").isNotNull(), F.col("bad"))
               .when(F.col("too_wide"), "too_wide")
               .when(F.col("date").isNull(), "bad_date")
               .when(F.col("amt").isNull(), "bad_amount")
               .when(~F.col("bal_ok"), "bad_balance"))
-    out = parsed.select(
+    out = [
         "path", "line_no", "csv_hash", "raw", reason.alias("reason"),
         F.when(~is_file, F.col("date")).alias("transaction_date"),
         F.when(~is_file, F.col("desc")).alias("description"),
         F.when(~is_file, F.col("amt")).alias("amount"),
-        F.when(~is_file, F.col("bal")).alias("balance"))
-    return out.select(
+        F.when(~is_file, F.col("bal")).alias("balance")]
+    classified = [
         "path", "line_no", "csv_hash", "raw", "transaction_date", "description", "amount",
         "balance",
         F.when(F.col("reason").isNull(), categorize(F.col("description"), F.col("amount")))
         .alias("category"),
         F.when(F.col("reason").isNull(), extract_source(F.col("description"), F.col("amount")))
         .alias("source"),
-        "reason")
+        "reason"]
+    return _cells(F.col("line")), texts, parsed, out, classified
+
+
+def _parse_lines(lines: DataFrame) -> DataFrame:
+    """Records (path, csv_hash, file_reason, header_no, width, p_*, idx, line, bad)
+    -> parsed rows with a reject ``reason``.
+
+    Each stage adds named columns (cells, raw cell texts, parsed values,
+    reason), so every parser runs once per record and the generated code stays
+    small."""
+    cells, texts, parsed, out, classified = _line_columns()
+    rows = lines.withColumn("cells", cells).select(*texts).filter("keep")
+    return with_parsed_dates(rows, {"date": "date_raw"}).select(*parsed).select(*out).select(*classified)
 
 
 def empty_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
@@ -322,9 +335,11 @@ def parse_statement_files(spark: SparkSession, path, glob: str = "*.csv",
     them; a list needs ``listed(path, size)``, which may name 0-byte files too."""
     scan = text_lines(spark, path, glob)
     raw = stored(scan, "statement-lines")
-    lines = numbered(raw)
     if listed is None:
+        lines = numbered(raw)
         listed = _listed(spark, path, glob, scan, raw)
+    else:       # a list is bounded: its splits are counted once
+        lines = numbered(raw, stored(split_offsets(raw), "statement-splits"))
     files = _file_table(lines, listed, strict_header)
     # two flags over the file table: plans without a quoted line break need no joining of lines
     multi = F.col("multi") & F.col("utf8")

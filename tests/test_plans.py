@@ -124,6 +124,24 @@ def test_small_batch_does_not_move_the_stored_ledger(spark):
     assert I.stored_keys(t, few).distinct().count() == few.select(*I.KEY).distinct().count()
 
 
+def test_small_batch_is_not_moved_for_a_large_ledger(spark):
+    """The stored keys that it meets, each once, are broadcast: no shuffle of the batch, no file a task of it."""
+    from tallyspark.operators import ingest as I
+    t = FX.orders_ledger(spark, SF_SMALL)
+    few = t.filter("id % 10 = 0").withColumn("line_no", F.col("id")).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        twice = t.filter("id % 20 = 0")
+        res = I.import_transactions(twice.unionByName(twice), few, ["line_no"])
+        text = plan_text(res.new, "simple")
+        assert "LeftAnti, BuildRight" in text and "SortMergeJoin" not in text.split("LeftAnti")[0]
+        want = few.filter("id % 20 != 0").select(*I.KEY).distinct().join(twice.select(*I.KEY), I.KEY, "left_anti")
+        assert res.new.select(*I.KEY).exceptAll(want).count() == 0
+        assert res.new.count() == want.count() == res.counts.first().inserted
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_parsers_work_out_each_text_once(spark):
     """Repeated subexpressions had made one projection of all parsers too large to compile."""
     from tallyspark.functions import parse as PF

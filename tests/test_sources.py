@@ -326,3 +326,80 @@ def test_stream_lists_its_folder_once_a_run(spark, tmp_path, monkeypatch):
     assert spark.read.json(f"{out}_rejects").filter("reason = 'empty_file'").count() == 1
     # one file a month, however many tasks had its rows
     assert led.filter("batch_id = 0").select(F.input_file_name()).distinct().count() == 1
+
+
+def _months(folder, name, months):
+    (folder / name).write_text("Date,Description,Amount\n" + "".join(
+        f"{m % 12 + 1:02}/15/{2000 + m // 12},{name} {m},{m + 1}\n" for m in months))
+
+
+def test_stream_reads_stored_keys_from_few_files(spark, tmp_path):
+    """A batch opens the key files of earlier batches, not a file a month and batch."""
+    src, out = tmp_path / "in", str(tmp_path / "ledger")
+    src.mkdir()
+    for i in range(3):
+        _months(src, f"{i}.csv", range(24))
+    SS.stream_statements(spark, str(src), out, str(tmp_path / "ckpt"), max_files=1).awaitTermination()
+    assert SS.read_ledger(spark, out).select(F.input_file_name()).distinct().count() == 72
+
+    def stored():
+        keys = SS._stored_keys(spark, out, SS._key_folders(spark, out))
+        led = SS.read_ledger(spark, out).select(*keys.columns)
+        assert keys.exceptAll(led).count() == 0 and led.exceptAll(keys).count() == 0
+        return keys.inputFiles()
+    files = stored()
+    assert len(files) < 36 and all("/ledger_keys/" in f for f in files)
+    # what is put into a batch's ledger folder, or taken out, counts: then its keys are not
+    (month,) = (tmp_path / "ledger" / "batch_id=1").glob("month=2001-03")
+    (file,) = month.glob("*.parquet")
+    (month / "more.parquet").write_bytes(file.read_bytes())
+    files = stored()
+    assert any("/batch_id=1/month=2001-03/more.parquet" in f for f in files)
+    assert not any("/ledger_keys/batch_id=1/" in f for f in files) and any("/ledger_keys/" in f for f in files)
+    # a batch that comes again is imported as if it had not come, its key folder as well
+    assert SS.read_ledger(spark, out).count() == 73
+    came = SS.read_ledger(spark, out).filter("batch_id = 1").select("path").first().path
+    SS.import_batch(ST.binary_files(spark, str(src), came.split("/")[-1]), 1, out)
+    assert SS.read_ledger(spark, out).count() == 72 and len(stored()) < 36
+
+
+def test_stream_goes_on_with_a_ledger_without_key_files(spark, tmp_path):
+    """As it was written before there were any; batches without rows are in it too."""
+    src, out = tmp_path / "in", str(tmp_path / "ledger")
+    src.mkdir()
+    _months(src, "a.csv", range(5))
+    SS.import_batch(ST.binary_files(spark, str(src), "a.csv"), 0, out)
+    SS.import_batch(ST.binary_files(spark, str(src), "a.csv"), 1, out)      # nothing new
+    (tmp_path / "ledger_keys").rename(tmp_path / "elsewhere")
+    assert set(SS._key_folders(spark, out).values()) == {None}
+    (src / "b.csv").write_text((src / "a.csv").read_text() + "07/15/2003,new,7\n")
+    SS.import_batch(ST.binary_files(spark, str(src), "*.csv"), 2, out)
+    led = SS.read_ledger(spark, out)
+    assert led.count() == 6 and led.filter("batch_id = 2").select("description").first()[0] == "new"
+
+
+def test_stream_looks_files_up_in_few_tasks(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "ledger")
+    src.mkdir()
+    for i in range(70):
+        _months(src, f"{i}.csv", range(2))
+    before = dict(spark.conf.getAll)
+    q = SS.stream_statements(spark, str(src), out, str(tmp_path / "ckpt"))
+    q.awaitTermination()
+    seen = spark.sparkContext.statusTracker()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup(str(q.runId))
+              for s in seen.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 32
+    assert SS.read_ledger(spark, out).count() == 140 and dict(spark.conf.getAll) == before
+
+
+def test_parser_columns_are_built_once(spark):
+    """Building them costs a stream seconds a batch; they fit any table of lines."""
+    assert ST._line_columns() is ST._line_columns() and ST._header_columns() is ST._header_columns()
+    for other in (spark, spark.newSession()):
+        lines = other.sql("SELECT 'p' AS path, 'h' AS csv_hash, CAST(NULL AS string) AS file_reason, 1 AS header_no, "
+                          "3 AS width, 1 AS p_transaction_date, 2 AS p_description, 3 AS p_amount, 0 AS p_balance, "
+                          "4L AS idx, '01/15/2024,Payroll,2.50' AS line, CAST(NULL AS string) AS bad")
+        (row,) = ST._parse_lines(lines).collect()
+        assert (row.line_no, str(row.transaction_date), row.description, str(row.amount), row.category,
+                row.reason) == (4, "2024-01-15", "Payroll", "2.50", "Income", None)
